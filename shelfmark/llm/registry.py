@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shelfmark.llm.chat_format import OP10_SQL, op10_chat_format
+from shelfmark.llm.html_extract import op4_html_extract
 from shelfmark.llm.langid import op3_langid
 from shelfmark.llm.mixing import op5_mixing
 from shelfmark.llm.near_dedup import op9_near_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_tiff": op2_tiff,
     "op3_langid": op3_langid,
+    "op4_html_extract": op4_html_extract,
     "op5_mixing": op5_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
