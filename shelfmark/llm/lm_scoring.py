@@ -37,7 +37,7 @@ from shelfmark.llm.common import batches_of, cut, fold, table, word_hashes
 
 CLASSES, DIM = 512, 16
 #: Noise words shared by a step, tokens of a step, and the step size of the adaptive gradient.
-NOISE, STEP, RATE = 48, 8192, 0.2
+NOISE, STEP, RATE = 48, 8192, 0.05
 HEAD = 1 << 18
 SEED = 20240311
 END, RARE = CLASSES - 2, CLASSES - 1

@@ -5,9 +5,11 @@ from __future__ import annotations
 from shelfmark.llm.chat_format import OP10_SQL, op10_chat_format
 from shelfmark.llm.html_extract import op4_html_extract
 from shelfmark.llm.langid import op3_langid
+from shelfmark.llm.lm_scoring import op7_lm_scoring
 from shelfmark.llm.mixing import op5_mixing
 from shelfmark.llm.near_dedup import op9_near_dedup
 from shelfmark.llm.tiff import op2_tiff
+from shelfmark.llm.topk_search import OP6_SQL, op6_topk_search
 from shelfmark.llm.url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
@@ -16,11 +18,14 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_html_extract": op4_html_extract,
     "op5_mixing": op5_mixing,
+    "op6_topk_search": op6_topk_search,
+    "op7_lm_scoring": op7_lm_scoring,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLES = {
     "op1_url_filters": OP1_SQL,
+    "op6_topk_search": OP6_SQL,
     "op10_chat_format": OP10_SQL,
 }
