@@ -8,6 +8,7 @@ from shelfmark.llm.langid import op3_langid
 from shelfmark.llm.lm_scoring import op7_lm_scoring
 from shelfmark.llm.mixing import op5_mixing
 from shelfmark.llm.near_dedup import op9_near_dedup
+from shelfmark.llm.spm_sampling import op8_spm_sampling
 from shelfmark.llm.tiff import op2_tiff
 from shelfmark.llm.topk_search import OP6_SQL, op6_topk_search
 from shelfmark.llm.url_filters import OP1_SQL, op1_url_filters
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_topk_search": op6_topk_search,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_spm_sampling": op8_spm_sampling,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
