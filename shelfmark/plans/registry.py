@@ -1,4 +1,6 @@
-"""Names of the queries over the reference's operators, and their SQL."""
+"""All queries over the reference's operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from shelfmark.plans import catalogue, chunking, lifecycle, retrieval, search, texts  # noqa: F401
+from shelfmark.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
