@@ -26,9 +26,9 @@ def norm_filename(name: Column) -> Column:
 def type_label(filetype: Column) -> Column:
     """The first label that fits."""
     t = F.lower(F.coalesce(filetype, F.lit("")))
-    out = F.when(t.contains("pdf"), "PDF").when(t.startswith("image/"), "Image").when(t.startswith("video/"), "Video")
-    out = out.when(t.contains("word") | t.contains("document"), "Doc").when(t.contains("sheet") | t.contains("excel") | t.contains("csv"), "Sheet")
-    return out.when(t == "", "File").otherwise(F.element_at(F.split(t, "/"), -1))
+    out = F.when(t.contains("pdf"), "PDF").when(t.contains("image"), "Image").when(t.contains("video") | t.contains("media"), "Video")
+    out = out.when(t.contains("doc"), "Doc").when(t.contains("sheet") | t.contains("excel"), "Sheet")
+    return out.when(t == "", "File").otherwise(filetype)
 
 
 def norm_list(items: Column) -> Column:

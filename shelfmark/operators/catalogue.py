@@ -151,20 +151,20 @@ def normalise_clicks(clicks: DataFrame) -> DataFrame:
     return clicks.where("rank >= 1").withColumns({"rank": F.least("rank", F.lit(100)), "query": F.substring(F.trim(F.lower("query")), 1, 500)})
 
 
-#: Kinds of blobs that can be read at once, by MIME type and by extension.
-QUICK_MIMES = {"application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "text/markdown": "markdown", "text/plain": "text"}
-QUICK_EXTENSIONS = {"pdf": "pdf", "docx": "docx", "md": "markdown", "markdown": "markdown", "txt": "text", "text": "text", "log": "text"}
+def quick_kind(filetype: Column, filename: Column) -> Column:
+    """The kind of file that can be read at once, by MIME type or name, else null."""
+    m, n = F.lower(F.coalesce(filetype, F.lit(""))), F.lower(F.coalesce(filename, F.lit("")))
+    pdf = (m == "application/pdf") | n.endswith(".pdf")
+    docx = m.contains("officedocument.wordprocessingml") | n.endswith(".docx")
+    markdown = m.contains("markdown") | n.rlike(r"\.(md|markdown)$")
+    text = m.startswith("text/") | n.rlike(r"\.(txt|log|csv|json|html|htm|xml|yml|yaml)$")
+    return F.when(pdf, "pdf").when(docx, "docx").when(markdown, "markdown").when(text, "text")
 
 
 def classify_blobs(blobs: DataFrame, most: int = 20 * 1024 * 1024) -> DataFrame:
-    """Kind (MIME type first, then extension) and the reason for a rejection; needs filetype, filename, length."""
-    kind = F.lit(None).cast("string")
-    ext = F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1))
-    for x, k in reversed(QUICK_EXTENSIONS.items()):
-        kind = F.when(ext == x, k).otherwise(kind)
-    for x, k in reversed(QUICK_MIMES.items()):
-        kind = F.when(F.lower("filetype") == x, k).otherwise(kind)
-    reason = F.when(kind.isNull(), "unsupported").when(F.col("length") == 0, "empty").when(F.col("length") > most, "too_large")
+    """Kind and the reason for a rejection; needs filetype, filename, length."""
+    kind = quick_kind(F.col("filetype"), F.col("filename"))
+    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > most, "too_large").when(kind.isNull(), "unsupported")
     return blobs.withColumns({"kind": kind, "reason": reason})
 
 
@@ -212,8 +212,8 @@ def click_pairs(clicks: DataFrame) -> DataFrame:
     return clicks.groupBy("query_id", "file_id").agg(F.min("rank").alias("best_rank"), F.count("*").alias("n_clicks"))
 
 
-#: Error codes that reports know; others count as unknown.
-ERROR_CODES = ("encrypted_pdf", "corrupt_file", "unsupported_format", "empty_content", "download_failed", "model_failed", "index_failed", "timeout", "unknown")
+# Error codes that reports know (A17); others count as unknown.
+ERROR_CODES = ("download_failed", "extraction_failed", "no_content", "llm_failed", "embedding_failed", "storage_failed", "unsupported_type", "invalid_message", "unknown")
 
 
 def failure_report(results: DataFrame) -> DataFrame:

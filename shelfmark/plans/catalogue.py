@@ -170,7 +170,7 @@ def p14(spark, sf):
     return K.catalogue_view(S.read_files(spark, sf))
 
 
-@query("p15_type_label", "SELECT DISTINCT filetype, CASE filetype WHEN 'application/pdf' THEN 'PDF' WHEN 'image/png' THEN 'Image' WHEN 'video/mp4' THEN 'Video' WHEN 'audio/mpeg' THEN 'mpeg' ELSE 'plain' END AS label FROM files", "files")
+@query("p15_type_label", "SELECT DISTINCT filetype, CASE filetype WHEN 'application/pdf' THEN 'PDF' WHEN 'image/png' THEN 'Image' WHEN 'video/mp4' THEN 'Video' ELSE filetype END AS label FROM files", "files")
 def p15(spark, sf):
     return S.read_files(spark, sf).select("filetype", C.type_label(F.col("filetype")).alias("label")).distinct()
 
@@ -186,7 +186,7 @@ def p16b(spark, sf):
     return K.normalise_clicks(c).select("event_id", "rank", "query")
 
 
-@query("p17_quick_kind", "SELECT file_id, CASE collection WHEN 'Images' THEN NULL WHEN 'Media' THEN NULL ELSE CASE filetype WHEN 'application/pdf' THEN 'pdf' ELSE 'text' END END AS kind, CASE WHEN collection <> 'Documents' THEN 'unsupported' WHEN length(text) = 0 THEN 'empty' WHEN length(text) > 5000 THEN 'too_large' END AS reason FROM files JOIN documents ON doc_id = file_id", "files")
+@query("p17_quick_kind", "SELECT file_id, CASE collection WHEN 'Images' THEN NULL WHEN 'Media' THEN NULL ELSE CASE filetype WHEN 'application/pdf' THEN 'pdf' ELSE 'text' END END AS kind, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) > 5000 THEN 'too_large' WHEN collection <> 'Documents' THEN 'unsupported' END AS reason FROM files JOIN documents ON doc_id = file_id", "files")
 def p17(spark, sf):
     d = S.read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.length("text").alias("length"))
     return K.classify_blobs(S.read_files(spark, sf).join(d, "file_id"), 5000).select("file_id", "kind", "reason")
@@ -280,9 +280,9 @@ def a16(spark, sf):
     return K.stage_summary(S.read_events(spark, sf).select(stage.alias("stage"), (F.col("value") * 100).alias("ms"), (F.col("event_id") % 37 == 0).alias("failed")))
 
 
-@query("a17_failure_taxonomy", "SELECT CASE file_id % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'corrupt_file' ELSE 'unknown' END AS error_kind, collection, count(*) AS n FROM files WHERE extraction_status = 'failed' GROUP BY ALL", "files")
+@query("a17_failure_taxonomy", "SELECT CASE file_id % 3 WHEN 0 THEN 'no_content' WHEN 1 THEN 'llm_failed' ELSE 'unknown' END AS error_kind, collection, count(*) AS n FROM files WHERE extraction_status = 'failed' GROUP BY ALL", "files")
 def a17(spark, sf):
-    code = F.element_at(F.array(F.lit("timeout"), F.lit("corrupt_file"), F.lit("disk_on_fire")), (F.col("file_id") % 3 + 1).cast("int"))
+    code = F.element_at(F.array(F.lit("no_content"), F.lit("llm_failed"), F.lit("disk_on_fire")), (F.col("file_id") % 3 + 1).cast("int"))
     return K.failure_report(S.read_files(spark, sf).withColumns({"error_code": code, "status": F.col("extraction_status")}))
 
 

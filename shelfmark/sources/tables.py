@@ -145,8 +145,8 @@ def parse_blob_url(url: Column) -> Column:
     return F.struct(F.nullif(F.regexp_extract(url, at, 1), F.lit("")).alias("bucket"), F.nullif(F.regexp_extract(url, at, 2), F.lit("")).alias("key"))
 
 
-#: Extensions of the files that are read as plain text.
-TEXT_EXTENSIONS = ("txt", "md", "csv", "json", "log", "xml", "html", "yaml", "yml", "py", "js", "ts")
+# Extensions of the files that are read as plain text.
+TEXT_EXTENSIONS = tuple("txt md log csv tsv py js ts java go sql json yaml yml sh".split())
 
 
 def read_plain_text(blobs: DataFrame) -> DataFrame:
