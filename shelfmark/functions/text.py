@@ -127,18 +127,18 @@ def _public_ip(m: Column) -> Column:
     return inside & ~(a.isin(0, 10, 127) | (a >= 224) | ((a == 192) & (b == 168)) | ((a == 172) & b.between(16, 31)))
 
 
-# The rules in their order: kind, what a match becomes, its pattern, and a test of each match.
+# The rules in their order: kind, what a match becomes, its pattern, a test of each match, and what a text must hold at least.
 REDACTION = [
-    ("EMAIL", "[REDACTED:EMAIL]", B + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + B, None),
-    ("SSN", "[REDACTED:SSN]", B + r"(?!000|666|9\d\d)\d{3}[- ]?(?!00)\d{2}[- ]?(?!0000)\d{4}" + B, None),
-    ("CREDIT_CARD", "[REDACTED:CREDIT_CARD]", B + r"(?:\d[ -]*?){13,19}" + B, luhn_ok),
-    ("PHONE", "[REDACTED:PHONE]", r"(?:\+?\d{1,3}[\s.-]?)?(?:\(?\d{2,4}\)?[\s.-]?){1,3}\d{3,4}[\s.-]?\d{3,4}" + B, _phone),
-    ("API_KEY", "[REDACTED:API_KEY]", B + r"sk-[A-Za-z0-9_-]{20,}" + B, None),
-    ("API_KEY", "[REDACTED:AWS_ACCESS_KEY]", B + r"AKIA[0-9A-Z]{16}" + B, None),
-    ("API_KEY", "[REDACTED:GITHUB_TOKEN]", B + r"gh[pousr]_[A-Za-z0-9]{36,}" + B, None),
-    ("API_KEY", "[REDACTED:SLACK_TOKEN]", B + r"xox[abps]-[A-Za-z0-9-]{10,}" + B, None),
-    ("JWT", "[REDACTED:JWT]", B + r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+" + B, None),
-    ("IPV4", "[REDACTED:IP]", B + r"(?:\d{1,3}\.){3}\d{1,3}" + B, _public_ip),
+    ("EMAIL", "[REDACTED:EMAIL]", B + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + B, None, "@"),
+    ("SSN", "[REDACTED:SSN]", B + r"(?!000|666|9\d\d)\d{3}[- ]?(?!00)\d{2}[- ]?(?!0000)\d{4}" + B, None, r"\d{4}"),
+    ("CREDIT_CARD", "[REDACTED:CREDIT_CARD]", B + r"(?:\d[ -]*?){13,19}" + B, luhn_ok, r"\d[ -]*\d[ -]*\d[ -]*\d"),
+    ("PHONE", "[REDACTED:PHONE]", r"(?:\+?\d{1,3}[\s.-]?)?(?:\(?\d{2,4}\)?[\s.-]?){1,3}\d{3,4}[\s.-]?\d{3,4}" + B, _phone, r"\d{3}"),
+    ("API_KEY", "[REDACTED:API_KEY]", B + r"sk-[A-Za-z0-9_-]{20,}" + B, None, "sk-"),
+    ("API_KEY", "[REDACTED:AWS_ACCESS_KEY]", B + r"AKIA[0-9A-Z]{16}" + B, None, "AKIA"),
+    ("API_KEY", "[REDACTED:GITHUB_TOKEN]", B + r"gh[pousr]_[A-Za-z0-9]{36,}" + B, None, "gh[pousr]_"),
+    ("API_KEY", "[REDACTED:SLACK_TOKEN]", B + r"xox[abps]-[A-Za-z0-9-]{10,}" + B, None, "xox"),
+    ("JWT", "[REDACTED:JWT]", B + r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+" + B, None, "eyJ"),
+    ("IPV4", "[REDACTED:IP]", B + r"(?:\d{1,3}\.){3}\d{1,3}" + B, _public_ip, r"\d\.\d"),
 ]
 
 
@@ -158,18 +158,22 @@ def redact(df: DataFrame, col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(col), F.lit(""))
     names = []
-    for i, (_, token, pattern, test) in enumerate(REDACTION):
+    for i, (_, token, pattern, test, least) in enumerate(REDACTION):
         src, hits = f"_r{i}", f"_m{i}"
         df = df.withColumn(src, text)
+        # Most texts hold none of it: the rule's own pattern is tried on the others only.
+        some = F.col(src).rlike(least)
+        df = df.withColumn(hits, F.when(some, F.regexp_extract_all(src, F.lit(pattern), 0)))
+        found = F.coalesce(F.size(hits), F.lit(0)) > 0
         if test is None:
-            text = F.regexp_replace(src, pattern, token)
-            df = df.withColumn(f"_n{i}", F.regexp_count(src, F.lit(pattern)))
+            text = F.when(found, F.regexp_replace(src, pattern, token)).otherwise(F.col(src))
+            n = F.size(hits)
         else:
-            df = df.withColumn(hits, F.regexp_extract_all(src, F.lit(pattern), 0))
             swap = F.transform(F.col(hits), _swap(test, token))
             parts = F.split(src, pattern, -1)
-            text = F.array_join(F.zip_with(parts, swap, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-            df = df.withColumn(f"_n{i}", F.size(F.filter(F.col(hits), _only(test))))
+            text = F.when(found, F.array_join(F.zip_with(parts, swap, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col(src))
+            n = F.size(F.filter(F.col(hits), _only(test)))
+        df = df.withColumn(f"_n{i}", F.when(found, n).otherwise(0))
         names += [src, hits, f"_n{i}"]
     kinds = list(dict.fromkeys(k for k, *_ in REDACTION))
     sums = [functools.reduce(operator.add, [F.col(f"_n{i}") for i, (x, *_) in enumerate(REDACTION) if x == k]) for k in kinds]
