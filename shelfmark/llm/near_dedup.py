@@ -4,15 +4,16 @@
    and a 128-bit key of the set; texts of equal sets form one class, and only
    class representatives (least doc_id) go on.
 2. Signatures are banded; a bucket is a band value that two classes share.  Each
-   bucket picks a pseudo-random pivot, and members are paired with pivots only,
+   bucket picks a pivot, the first by one of a few orders, and members are paired with pivots only,
    so a bucket of g members gives g - 1 pairs.
 3. Pairs are compared batch by batch of the signature; a pair is pruned as soon
    as the posterior probability of reaching the threshold (uniform prior,
    binomial matches) falls below ``MISS``.  Survivors are verified on full sets.
 4. What pivots have not joined is finished: in each bucket that still holds
    several components, the members outside the largest one are compared, in
-   blocks, with all members of other components.  Pairs inside one component
-   cannot change the result and are never looked at.
+   blocks, with all members of other components: by signature, then on their
+   sets, before any pair leaves the task.  Pairs inside one component cannot
+   change the result and are never looked at.
 
 So no link between candidates is lost, and no group is expanded into all pairs.
 A pair at exactly the threshold shares no band with probability
@@ -41,6 +42,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
+#: Each of these, by exclusive or, gives another order of the documents.
+ORDERS = [0x2B7E151628AED2A6, 0x3243F6A8885A308D, 0x13198A2E03707344, 0x243F6A8885A308D3]
 BLOCK = 1024
 #: A list of ids up to this length is broadcast (8 MB); a longer one is shuffled.
 MAX_BROADCAST_IDS = 1_000_000
@@ -128,19 +131,20 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, n long, k1 long, k2 long, sig binary")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(node, n, shingles) of the documents named by ``ids`` (column node)."""
+def _sets(docs: DataFrame, ids: DataFrame, words: int, short: bool = False) -> DataFrame:
+    """(node, n, shingles) of the documents named by ``ids`` (column node); ``short``: as bytes, 32 bits of each shingle."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = [b"" if t is None else bytes(t) for t in part["text"]]
             for begin, end in batches_of(texts, 1 << 22):
                 sets = shingle_sets(texts[begin:end], words)
-                yield pd.DataFrame({"node": part["doc_id"].iloc[begin:end].array, "n": [len(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+                made = [(s >> np.uint64(32)).astype(np.uint32).tobytes() if short else s.view(np.int64) for s in sets]
+                yield pd.DataFrame({"node": part["doc_id"].iloc[begin:end].array, "n": [len(s) for s in sets], "shingles": made})
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     rows = rows.join(small(ids, MAX_BROADCAST_IDS), rows["doc_id"] == ids["node"], "left_semi")
-    return rows.mapInPandas(run, "node long, n long, shingles array<long>")
+    return rows.mapInPandas(run, f"node long, n long, shingles {'binary' if short else 'array<long>'}")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -183,28 +187,40 @@ def _with_component(df: DataFrame, col: str, comp: DataFrame, name: str) -> Data
     return df.join(other, df[col] == F.col("_n"), "left").withColumn(name, F.coalesce("_c", col)).drop("_n", "_c")
 
 
-def _remaining(inside: DataFrame, comp: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that the signatures don't rule out."""
-    need = least_matches(threshold)
-    rows = cut(_with_component(inside.select("key", "node"), "node", comp, "c"))
+def _remaining(docs: DataFrame, inside: DataFrame, comp: DataFrame, sigs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket that may be similar enough.
+
+    Signatures prune first; what they leave is compared on sets of 32 bits a
+    shingle, inside the task, so only pairs that are links (but for chance) come out,
+    however many look alike.
+    """
+    need = least_matches(num / den)
+    rows = cut(_with_component(inside.select("band", "key", "node"), "node", comp, "c"))
     per = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
     buckets = per.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"), F.count("*").alias("cs"))
     buckets = buckets.where("cs > 1").select("key", "main", F.ceil(F.col("n_all") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("deep"))
-    mixed = rows.join(cut(buckets), "key").join(sigs.select(F.col("doc_id").alias("node"), "sig"), "node")
+    rows = cut(rows.join(cut(buckets), "key"))
+    ids = cut(rows.select("node").distinct())
+    sets = cut(_sets(docs, ids, words, short=True).select("node", "shingles").join(sigs.select(F.col("doc_id").alias("node"), "sig"), "node"))
+    mixed = rows.join(sets, "node")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    others = mixed.where("c != main").select("key", deal("deep").alias("i"), F.explode(spread("wide")).alias("j"), F.lit(True).alias("left"), "node", "c", "sig")
-    everyone = mixed.select("key", F.explode(spread("deep")).alias("i"), deal("wide").alias("j"), F.lit(False).alias("left"), "node", "c", "sig")
+    kept = ["node", "c", "sig", "shingles"]
+    others = mixed.where("c != main").select("band", "key", deal("deep").alias("i"), F.explode(spread("wide")).alias("j"), F.lit(True).alias("left"), *kept)
+    everyone = mixed.select("band", "key", F.explode(spread("deep")).alias("i"), deal("wide").alias("j"), F.lit(False).alias("left"), *kept)
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["left"]], part[~part["left"]]
-        found = []
+        found = set()
         if len(left) and len(right):
+            band = int(part["band"].iloc[0])
             y = np.frombuffer(b"".join(right["sig"]), np.uint32).reshape(-1, HASHES)
             y_c, y_id = right["c"].to_numpy(), right["node"].to_numpy()
-            for node, c, sig in zip(left["node"], left["c"], left["sig"], strict=True):
-                x = np.frombuffer(sig, np.uint32)
-                alive = np.flatnonzero(y_c != c)
+            y_sets = [np.frombuffer(x, np.uint32) for x in right["shingles"]]
+            y_n = np.array([len(x) for x in y_sets])
+            for node, c, sig, own in zip(left["node"], left["c"], left["sig"], left["shingles"], strict=True):
+                x, mine = np.frombuffer(sig, np.uint32), np.frombuffer(own, np.uint32)
+                alive = np.flatnonzero((y_c != c) & (den * np.minimum(y_n, len(mine)) >= num * np.maximum(y_n, len(mine))))
                 matches = np.zeros(len(y), np.int64)
                 for k, least in enumerate(need):
                     cols = slice(k * BATCH, (k + 1) * BATCH)
@@ -212,8 +228,17 @@ def _remaining(inside: DataFrame, comp: DataFrame, sigs: DataFrame, threshold: f
                     alive = alive[matches[alive] >= least]
                     if not len(alive):
                         break
-                found += [(min(node, o), max(node, o)) for o in y_id[alive].tolist()]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+                # A pair that met in an earlier band is that band's.
+                before = (y[alive, : band * ROWS] == x[: band * ROWS]).reshape(len(alive), band, ROWS).all(axis=2).any(axis=1)
+                alive = alive[~before]
+                if not len(alive):
+                    continue
+                flat = np.concatenate([y_sets[i] for i in alive.tolist()])
+                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                shared = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(y_n[alive]) - y_n[alive])
+                alive = alive[den * shared >= num * (len(mine) + y_n[alive] - shared)]
+                found |= {(min(node, o), max(node, o)) for o in y_id[alive].tolist()}
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     return others.unionByName(everyone).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
@@ -233,8 +258,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     sigs = cut(full.select("doc_id", "sig").join(reps, F.col("doc_id") == F.col("rep"), "left_semi"))
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS)), b))
-    keys = sigs.select(F.col("doc_id").alias("node"), F.explode(bands).alias("key"))
-    buckets = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m")).where("n > 1").select("key", F.col("m").bitwiseXOR(F.col("key")).alias("pivot")))
+    keys = sigs.select(F.col("doc_id").alias("node"), F.posexplode(bands).alias("band", "key"))
+    # A few orders of all documents, shared by the bands: members of a group meet few pivots.
+    mask = F.element_at(F.array(*[F.lit(m) for m in ORDERS]), F.col("band") % len(ORDERS) + 1)
+    buckets = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(mask)).alias("m"))
+    buckets = cut(buckets.where("n > 1").select("key", F.col("m").bitwiseXOR(mask).alias("pivot")))
     inside = cut(keys.join(buckets, "key"))
     pairs = inside.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     likely = cut(_sequential(pairs, sigs, threshold))
@@ -245,7 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     apart = _with_component(_with_component(likely.select("a", "b"), "a", comp, "ca"), "b", comp, "cb").where("ca != cb")
     edges = edges.union(_verify(docs, apart.select("a", "b"), words, num, den))
     comp = cut(components(edges))
-    edges = edges.union(_verify(docs, _remaining(inside, comp, sigs, threshold), words, num, den))
+    edges = edges.union(_verify(docs, _remaining(docs, inside, comp, sigs, words, num, den), words, num, den))
     comp = cut(components(edges))
 
     linked = _with_component(members, "rep", comp, "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
