@@ -181,18 +181,18 @@ def redact(df: DataFrame, col: str = "text") -> DataFrame:
     return df.withColumn("redacted", text).withColumn("counts", F.map_filter(counts, lambda _, n: n > 0)).drop(*names)
 
 
+#: Two control characters that no text holds together.
+SENTENCE_END = "\x01\x02"
+
+
 def sentences(text: Column) -> Column:
     """Split after ``.!?`` before a capital, a quote or a parenthesis; not after abbreviations, initials and bare numbers."""
     parts = F.split(text, r"(?<=[.!?])\s+(?=[A-Z(\"'])")
     open_end = rf"(?:^|\s)(?:{either(ABBREVIATIONS)}|[A-Z]|\$?\d+)\.?\s*$"
-    joined = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & F.element_at(acc, -1).rlike(open_end), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.element_at(acc, -1), F.lit(" "), p)))
-        ).otherwise(F.concat(acc, F.array(p))),
-    )
-    return F.when(F.length(F.trim(text)) > 0, joined).otherwise(F.array().cast("array<string>"))
+    # Whether two parts belong together depends on the end of the first alone: mark the true ends and split there.
+    marked = F.transform(parts, lambda p: F.concat(p, F.when(p.rlike(open_end), " ").otherwise(SENTENCE_END)))
+    joined = F.regexp_replace(F.array_join(marked, ""), rf"(?:{SENTENCE_END}|\s)+$", "")
+    return F.when(F.length(F.trim(text)) > 0, F.split(joined, SENTENCE_END)).otherwise(F.array().cast("array<string>"))
 
 
 # Forms of dates in queries, in order.
