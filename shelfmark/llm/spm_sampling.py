@@ -43,12 +43,15 @@ from pyspark.sql import types as T
 from shelfmark.llm.common import batches_of, mix64, table
 
 MARK = "▁"
-BATCH = 1 << 21
+BATCH = 1 << 18
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _CHUNK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _BASE_INV = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
 SLOTS = 19
+KEPT = 1 << 16
+#: Regions behind this log-probability hold less mass than a draw can resolve: they are never opened.
+FAINT = -60.0
 
 
 class Pieces:
@@ -128,190 +131,244 @@ def _substring(prefix: np.ndarray, inverse: np.ndarray, begin: np.ndarray, end:
     return mix64((prefix[end] - prefix[begin]) * inverse[begin] + np.uint64(1) * np.asarray(size, np.uint64))
 
 
+@lru_cache(maxsize=1)
+def lattice_of(model_file: str, sharpness: float) -> "Lattice":
+    return Lattice(load(model_file, sharpness))
+
+
 @lru_cache(maxsize=2)
 def load(model_file: str, sharpness: float) -> Pieces:
     return Pieces(model_file, sharpness)
 
 
 class Lattice:
-    """Lattices of distinct chunks: one node per character, edges by length."""
+    """Lattices of distinct chunks: one node per character, edges by length.
+
+    The first ``KEPT`` chunks that a worker meets stay (frequent ones come early);
+    what a batch adds to them is forgotten after it.  Results do not depend on it.
+    """
 
-    def __init__(self, pieces: Pieces, chunks: list[str]) -> None:
-        wide = pieces.longest
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces, self.wide = pieces, 1
+        self.kept: dict[str, int] = {}
+        self.base = self.end = np.zeros(0, np.int64)
+        self.codes = np.zeros(0, np.uint32)
+        self.edge = np.zeros((0, 1), pieces.ids.dtype)
+        self.cdf = np.zeros((0, 1))
+        self.near = np.zeros((0, 1), np.float32)
+        self._kept_nodes = 0
+
+    def kinds_of(self, chunks: list[str]) -> np.ndarray:
+        """The number of each chunk's lattice; new ones are built."""
+        n_kept = len(self.kept)
+        found = np.array(list(map(self.kept.get, chunks)), np.float64)
+        lost = np.flatnonzero(np.isnan(found))
+        new: dict[str, int] = {}
+        found[lost] = [new.setdefault(chunks[i], n_kept + len(new)) for i in lost.tolist()]
+        self._build(list(new), n_kept)
+        if n_kept < KEPT:
+            for c, i in new.items():
+                if len(self.kept) < KEPT:
+                    self.kept[c] = i
+            self._kept_nodes = int(self.end[len(self.kept) - 1]) if self.kept else 0
+        return found.astype(np.int64)
+
+    def _build(self, chunks: list[str], n_kept: int) -> None:
+        p, longest = self.pieces, self.pieces.longest
         sizes = np.array([len(c) for c in chunks], np.int64)
-        self.codes = np.frombuffer("".join(chunks).encode("utf-32-le", "replace"), np.uint32)
-        self.base = np.cumsum(sizes) - sizes
-        self.end = self.base + sizes
-        n = len(self.codes)
-        room = np.repeat(self.end, sizes) - np.arange(n)
-        prefix, inverse = _prefix(self.codes)
-        self.edge = np.full((n, wide), -1, pieces.ids.dtype)
-        at = np.arange(n)
-        for size in range(1, wide + 1):
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "replace"), np.uint32)
+        ends = np.cumsum(sizes)
+        n, begin = len(codes), self._kept_nodes
+        room = np.repeat(ends, sizes) - np.arange(n)
+        prefix, inverse = _prefix(codes)
+        edge = np.full((n, longest), -1, p.ids.dtype)
+        at, wide = np.arange(n), self.wide
+        for size in range(1, longest + 1):
             at = at[room[at] >= size]
-            self.edge[at, size - 1] = pieces.find(_substring(prefix, inverse, at, at + size, size))
-        # No edge here is longer than the longest that some chunk has.
-        while wide > 1 and not (self.edge[:, wide - 1] >= 0).any():
-            wide -= 1
-        self.edge = np.ascontiguousarray(self.edge[:, :wide])
-        lost = self.edge[:, 0] < 0
-        self.edge[lost, 0] = pieces.unk
+            got = p.find(_substring(prefix, inverse, at, at + size, size))
+            edge[at, size - 1] = got
+            if size > wide and (got >= 0).any():
+                wide = size
+        edge[edge[:, 0] < 0, 0] = p.unk
+        if wide > self.wide:
+            more = wide - self.wide
+            self.edge = np.pad(self.edge, ((0, 0), (0, more)), constant_values=-1)
+            self.cdf, self.near = (np.pad(x, ((0, 0), (0, more)), constant_values=1) for x in (self.cdf, self.near))
+            self.wide = wide
+        if begin + n > len(self.codes):
+            room_for = begin + n + n // 4 - len(self.codes)
+            self.codes = np.pad(self.codes, (0, room_for))
+            self.edge, self.cdf, self.near = (np.pad(x, ((0, room_for), (0, 0))) for x in (self.edge, self.cdf, self.near))
+        self.codes[begin : begin + n] = codes
+        self.edge[begin : begin + n] = edge[:, :wide]
+        self.base = np.concatenate([self.base[:n_kept], begin + ends - sizes])
+        self.end = np.concatenate([self.end[:n_kept], begin + ends])
         # Backward, all chunks in step from their last character; ahead[:, k] is the
         # mass of what follows k + 1 characters on, relative to that of the next node.
         order = np.argsort(-sizes, kind="stable")
-        ends, sizes = self.end[order], sizes[order]
+        ends, sizes = begin + ends[order], sizes[order]
         active = np.searchsorted(-sizes, -np.arange(1, sizes.max(initial=0) + 1), "right")
         ahead = np.zeros((len(chunks), wide))
         ahead[:, 0] = 1
-        self.cdf = np.empty((n, wide))
         for back, m in enumerate(active.tolist(), 1):
             rows = ends[:m] - back
-            w = pieces.weight[self.edge[rows]] * ahead[:m]
-            total = np.cumsum(w, axis=1)
-            mass = total[:, -1:]
-            self.cdf[rows] = total / mass
+            total = np.cumsum(p.weight[self.edge[rows]] * ahead[:m], axis=1)
+            mass = total[:, -1:].copy()
+            total /= mass
+            self.cdf[rows] = total
+            self.near[rows] = total
             ahead[:m, 1:] = ahead[:m, :-1] / mass
             ahead[:m, 0] = 1
 
     def chance(self, node: np.ndarray, k: np.ndarray) -> np.ndarray:
         return self.cdf[node, k] - np.where(k > 0, self.cdf[node, k - 1], 0.0)
 
+    def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge of each node that the number u in (0, 1) falls on."""
+        rows = self.near[node]
+        u = np.minimum(u.astype(np.float32), np.float32(0.99999994))
+        out = (rows[:, 0] <= u).astype(np.int8)
+        for k in range(1, self.wide):
+            out += rows[:, k] <= u
+        return out
+
 
-def _uniform(key: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, salt: int) -> np.ndarray:
+def _uniform(key: np.ndarray, place: np.ndarray | int, salt: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on the arguments alone."""
-    x = mix64(key + np.asarray(a, np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) + np.uint64(salt))
-    x = mix64(x ^ (np.asarray(b, np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    x = mix64(key + np.asarray(place, np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt * 0x632BE59BD9B4E019 % 2**64))
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 class _Drawn:
-    """One segmentation of one text: nodes, edges (length - 1), tokens and chances of its steps."""
+    """One segmentation of one text.
 
-    __slots__ = ("node", "k", "tok", "chance", "before", "arrival", "race", "start", "barred")
+    It shares the steps before ``start`` with ``parent`` and holds its own from
+    there on: nodes, edges (length - 1) and tokens, and for each step the T of the
+    region that leaves the segmentation there.
+    """
 
+    __slots__ = ("parent", "start", "node", "edge", "tok", "logs", "race", "barred", "log_prob")
 
-def sample(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int) -> tuple[Lattice, list[list[_Drawn]], list[float]]:
+
+def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tuple[list[list[_Drawn]], np.ndarray]:
     """For each text its segmentations in order, and the T that the next one would have."""
-    kinds: dict[str, int] = {}
-    tokens: list[int] = []
+    chunks: list[str] = []
     counts = []
     for t in texts:
         found = _CHUNK.findall(MARK + t.replace(" ", MARK)) if t else []
-        tokens += [kinds.setdefault(c, len(kinds)) for c in found]
+        chunks += found
         counts.append(len(found))
-    lattice = Lattice(pieces, list(kinds))
-    kind = np.array(tokens, np.int64)
+    kind = lattice.kinds_of(chunks)
     n_tok = np.array(counts, np.int64)
     first = np.cumsum(n_tok) - n_tok
     owner = np.repeat(np.arange(len(texts)), n_tok)
-    place = np.arange(len(kind)) - first[owner]
     start_node, end_node = lattice.base[kind], lattice.end[kind]
     keys = mix64(keys.astype(np.int64).view(np.uint64))
+    #: A key for each token: draws in it depend on this and on the place in the token.
+    tok_key = mix64(keys[owner] + (np.arange(len(kind)) - first[owner]).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
     drawn: list[list[_Drawn]] = [[] for _ in texts]
-    #: What the next draw of each text continues: (sample, step), or None at first.
-    todo: list[tuple[int, _Drawn | None, int, float]] = []
-    for i in range(len(texts)):
-        todo.append((i, None, 0, float(-np.log(_uniform(keys[i : i + 1], 0, 0, 1)[0]))))
-    final: dict[int, float] = {}
+    arrival = -np.log(_uniform(keys, 0, 1))
+    after = np.full(len(texts), np.inf)
+    #: Texts to draw from, and where: (sample, step) to leave, or None at first.
+    todo: list[tuple[int, _Drawn | None, int]] = [(i, None, 0) for i in range(len(texts))]
     for number in range(k):
         if not todo:
             break
         docs = np.array([x[0] for x in todo], np.int64)
-        begin_tok = np.array([first[i] if d is None else d.tok[s] for i, d, s, _ in todo], np.int64)
-        # Tokens that are drawn afresh: all from begin_tok on; in a continued text that token is half drawn.
-        fresh_from = begin_tok + np.array([d is not None for _, d, _, _ in todo])
-        left = np.maximum(first[docs] + n_tok[docs] - fresh_from, 0)
-        act = np.repeat(fresh_from - (np.cumsum(left) - left), left) + np.arange(left.sum())
-        cur = start_node[act]
-        steps: list[tuple[np.ndarray, ...]] = []
-        again = [(j, *x) for j, x in enumerate(todo) if x[1] is not None]
+        again = [(i, d, s) for i, d, s in todo if d is not None]
+        fresh_from, carry = first[docs], np.zeros(len(texts))
+        steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        left_tok = left_node = np.zeros(0, np.int64)
         if again:
-            tok = np.array([d.tok[s] for _, _, d, s, _ in again], np.int64)
-            node = np.array([d.node[s] for _, _, d, s, _ in again], np.int64)
+            tok = np.array([d.tok[s] for _, d, s in again], np.int64)
+            node = np.array([d.node[s] for _, d, s in again], np.int64)
+            fresh_from = tok + 1
+            carry[docs] = [d.log_prob - d.logs[s:].sum() for _, d, s in again]
             w = np.diff(lattice.cdf[node], axis=1, prepend=0.0)
-            for r, (_, _, d, s, _) in enumerate(again):
-                w[r, d.k[s]] = 0
-                if s == d.start:
+            for r, (_, d, s) in enumerate(again):
+                w[r, d.edge[s]] = 0
+                if s == 0:
                     w[r, d.barred] = 0
             cdf = np.cumsum(w, axis=1)
-            u = _uniform(keys[owner[tok]], place[tok], node - start_node[tok], 16 * number + 2) * cdf[:, -1]
+            u = _uniform(tok_key[tok], node - start_node[tok], 8 * number + 2) * cdf[:, -1]
             edge = np.minimum((cdf <= u[:, None]).sum(axis=1), w.shape[1] - 1)
             steps.append((tok, node, edge))
             go = node + edge + 1 < end_node[tok]
-            act, cur = np.concatenate([tok[go], act]), np.concatenate([(node + edge + 1)[go], cur])
+            left_tok, left_node = tok[go], (node + edge + 1)[go]
+        left = np.maximum(first[docs] + n_tok[docs] - fresh_from, 0)
+        act = np.repeat(fresh_from - (np.cumsum(left) - left), left) + np.arange(left.sum())
+        act, cur = np.concatenate([left_tok, act]), np.concatenate([left_node, start_node[act]])
         while len(act):
-            u = _uniform(keys[owner[act]], place[act], cur - start_node[act], 16 * number + 2)
-            edge = (lattice.cdf[cur] <= u[:, None]).sum(axis=1)
+            edge = lattice.pick(cur, _uniform(tok_key[act], cur - start_node[act], 8 * number + 2))
             steps.append((act, cur, edge))
             cur = cur + edge + 1
             go = cur < end_node[act]
             act, cur = act[go], cur[go]
-        if steps:
-            tok, node, edge = (np.concatenate(x) for x in zip(*steps, strict=True))
-            # In the order of the text: by token, then by place in it.  Steps of a token are already in order.
-            per = np.bincount(tok, minlength=len(kind))
-            offset = np.cumsum(per) - per
-            to = np.empty(len(tok), np.int64)
-            done = np.zeros(len(kind), np.int64)
-            begun = 0
-            for t, _, _ in steps:
-                to[begun : begun + len(t)] = offset[t] + done[t]
-                done[t] += 1
-                begun += len(t)
-            out = np.empty((3, len(tok)), np.int64)
-            out[0, to], out[1, to], out[2, to] = tok, node, edge
-            tok, node, edge = out
-            chance = lattice.chance(node, edge)
-            per_doc = np.bincount(owner[tok], minlength=len(texts))
-        else:
-            tok = node = edge = np.zeros(0, np.int64)
-            chance, per_doc = np.zeros(0), np.zeros(len(texts), np.int64)
+        # In the order of the text: by token, then by place in it.
+        per = np.zeros(len(kind), np.int64)
+        for t, _, _ in steps:
+            per[t] += 1
+        at = np.cumsum(per) - per
+        n = int(per.sum())
+        tok, node, edge = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int8)
+        for t, x, e in steps:
+            to = at[t]
+            tok[to], node[to], edge[to] = t, x, e
+            at[t] += 1
+        del steps
+        doc = owner[tok]
+        per_doc = np.bincount(doc, minlength=len(texts))
         stop = np.cumsum(per_doc)
+        begin = stop - per_doc
+        chance = lattice.chance(node, edge)
+        logs = np.log(chance)
+        total = np.cumsum(logs)
+        base = np.where(begin > 0, total[begin - 1] if n else 0.0, 0.0)
+        rest = 1 - chance
+        for i, d, s in again:
+            x = begin[i]
+            barred = np.array([*(d.barred if s == 0 else []), int(d.edge[s])])
+            rest[x] -= lattice.chance(np.full(len(barred), node[x]), barred).sum()
+        rest[rest < 1e-15] = 0
+        before = (carry - base)[doc] + total - logs
+        race = np.full(n, np.inf)
+        some = np.flatnonzero((before > FAINT) & (rest > 0))
+        own = doc[some]
+        spread = -np.log(_uniform(keys[own], some - begin[own], 8 * number + 5))
+        race[some] = arrival[own] + spread / (np.exp(before[some]) * rest[some])
         following = []
-        for i, d, s, arrival in todo:
-            part = slice(stop[i] - per_doc[i], stop[i])
+        for i, d, s in todo:
+            part = slice(begin[i], stop[i])
             new = _Drawn()
+            new.parent = d
             new.start = s
-            if d is None:
-                new.node, new.k, new.tok, new.chance, new.barred = node[part], edge[part], tok[part], chance[part], []
-            else:
-                new.node = np.concatenate([d.node[:s], node[part]])
-                new.k = np.concatenate([d.k[:s], edge[part]])
-                new.tok = np.concatenate([d.tok[:s], tok[part]])
-                new.chance = np.concatenate([d.chance[:s], chance[part]])
-                new.barred = [*(d.barred if s == d.start else []), int(d.k[s])]
-            new.arrival = arrival
-            logs = np.cumsum(np.log(new.chance))
-            new.before = logs[-1] if len(logs) else 0.0
-            rest = 1 - new.chance[s:]
-            if new.barred and len(rest):
-                rest[0] -= lattice.chance(np.full(len(new.barred), new.node[s]), np.array(new.barred)).sum()
-            rest[rest < 1e-15] = 0
-            mass = np.exp(np.concatenate([[logs[s - 1] if s else 0.0], logs[s:-1]])[: len(rest)]) * rest
-            spread = -np.log(_uniform(keys[i : i + 1], np.arange(s, s + len(rest)), number, 5))
-            with np.errstate(divide="ignore", over="ignore"):
-                new.race = arrival + spread / mass
+            new.tok, new.node, new.edge, new.logs, new.race = tok[part], node[part], edge[part], logs[part], race[part]
+            new.log_prob = carry[i] + float(new.logs.sum())
+            new.barred = [] if d is None else [*(d.barred if s == 0 else []), int(d.edge[s])]
             drawn[i].append(new)
-            best = min(((float(x.race.min()), x) for x in drawn[i] if len(x.race)), key=lambda y: y[0], default=(np.inf, None))
-            following.append((i, best[1], best[0]))
-        todo = []
-        final |= {i: t for i, _, t in following}
-        if number + 1 < k:
-            for i, d, t in following:
-                if d is not None and np.isfinite(t):
-                    at = int(d.race.argmin())
-                    d.race[at] = np.inf
-                    todo.append((i, d, d.start + at, t))
-    return lattice, drawn, [final[i] for i in range(len(texts))]
+            best, where = np.inf, None
+            for x in drawn[i]:
+                if len(x.race):
+                    at_step = int(x.race.argmin())
+                    if x.race[at_step] < best:
+                        best, where = float(x.race[at_step]), (x, at_step)
+            after[i] = best
+            if where is not None and number + 1 < k:
+                following.append((i, *where))
+                where[0].race[where[1]] = np.inf
+                arrival[i] = best
+        todo = following
+    return drawn, after
 
 
 def piece_ids(pieces: Pieces, lattice: Lattice, d: _Drawn) -> np.ndarray:
     """Vocabulary ids of a segmentation; characters without a piece become bytes."""
-    ids = lattice.edge[d.node, d.k].astype(np.int32)
+    node, edge = _steps(d)
+    ids = lattice.edge[node, edge].astype(np.int32)
     lost = np.flatnonzero(ids == pieces.unk)
     if not len(lost):
         return ids
-    codes = lattice.codes[d.node[lost]]
+    codes = lattice.codes[node[lost]]
     if (codes < 128).all():
         ids[lost] = pieces.byte[codes]
         return ids
@@ -322,6 +379,15 @@ def piece_ids(pieces: Pieces, lattice: Lattice, d: _Drawn) -> np.ndarray:
     return np.concatenate([*out, ids[begin:]])
 
 
+def _steps(d: _Drawn) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes and edges of a segmentation, those that it shares with its parents first."""
+    if d.parent is None:
+        return d.node, d.edge
+    node, edge = _steps(d.parent)
+    own = len(node) - len(d.parent.node) + d.start
+    return np.concatenate([node[:own], d.node]), np.concatenate([edge[:own], d.edge])
+
+
 SAMPLE_FIELDS = "rank int, ids array<int>, n_pieces int, log_prob double, log_inclusion double"
 
 
@@ -335,17 +401,18 @@ def encode(docs: DataFrame, key: str, keep: list[str], k: int = 2, sharpness: fl
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model_file, sharpness)
+        lattice = lattice_of(model_file, sharpness)
+        pieces = lattice.pieces
         for part in parts:
             texts = part.column("text").to_pylist()
             keys = part.column("key").to_numpy(zero_copy_only=False)
             for begin, end in batches_of(texts, BATCH):
-                lattice, drawn, nexts = sample(pieces, texts[begin:end], keys[begin:end], k)
+                drawn, nexts = sample(lattice, texts[begin:end], keys[begin:end], k)
                 origin = np.repeat(np.arange(begin, end), [len(d) for d in drawn])
                 ids = [piece_ids(pieces, lattice, x) for d in drawn for x in d]
                 sizes = np.array([len(x) for x in ids], np.int32)
-                logp = np.array([x.before for d in drawn for x in d])
-                after = np.array(nexts)[origin - begin]
+                logp = np.array([x.log_prob for d in drawn for x in d])
+                after = nexts[origin - begin]
                 rate = np.log(np.maximum(after, 1e-300)) + logp
                 with np.errstate(divide="ignore", over="ignore"):
                     inclusion = np.where(rate < -30, rate, np.log(-np.expm1(-np.exp(np.minimum(rate, 700)))))
@@ -369,14 +436,25 @@ def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", model_file: st
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = load(model_file, 1.0).raw
+        size = np.array([len(x) for x in raw], np.int64)
+        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(raw), np.uint8)
         for part in parts:
             column = part.column(len(keep))
-            values, ends = column.flatten().to_pylist(), np.cumsum([0 if n is None else n for n in column.value_lengths().to_pylist()]).tolist()
-            texts, begin = [], 0
-            for end in ends:
-                t = b"".join(map(raw.__getitem__, values[begin:end]))
-                texts.append((t[1:] if t[:1] == b" " else t).decode("utf-8", "replace"))
-                begin = end
+            values = column.values.to_numpy()
+            offsets = column.offsets.to_numpy()
+            texts: list[str] = []
+            # So many rows at a time that their bytes stay few.
+            step = max(1, (1 << 19) * part.num_rows // max(1, len(values)))
+            for a in range(0, part.num_rows, step):
+                edges = offsets[a : a + step + 1]
+                own = values[edges[0] : edges[-1]]
+                n = size[own]
+                ends = np.cumsum(n)
+                data = flat[np.repeat(begin[own] - (ends - n), n) + np.arange(n.sum())].tobytes()
+                stops = np.concatenate([[0], ends])[edges - edges[0]].tolist()
+                for x, y in zip(stops, stops[1:], strict=False):
+                    t = data[x:y]
+                    texts.append((t[1:] if t[:1] == b" " else t).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.select(*keep, F.col(ids)).mapInArrow(run, schema)
