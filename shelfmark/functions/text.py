@@ -142,43 +142,45 @@ REDACTION = [
 ]
 
 
-def _swap(test, token: str):
-    return lambda m: F.when(test(m), F.lit(token)).otherwise(m)
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _only(test):
-    return lambda m: test(m)
+def _apply_rule(state: Column, token: str, pattern: str, test, least: str) -> Column:
+    """One rule on struct(text, n): the text split at its matches, the matches tested, and the parts joined again."""
+
+    def with_text(v: Column) -> Column:
+        text, n = v["text"], v["n"]
+
+        def with_hits(hits: Column) -> Column:
+            good = F.filter(hits, lambda m: test(m)) if test else hits
+            swap = F.transform(hits, lambda m: F.when(test(m), F.lit(token)).otherwise(m) if test else F.lit(token))
+            parts = F.split(text, pattern, -1)
+            joined = F.array_join(F.zip_with(parts, swap, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+            return F.struct(F.when(F.size(good) > 0, joined).otherwise(text).alias("text"), F.concat(n, F.array(F.size(good))).alias("n"))
+
+        # Most texts hold none of it: the rule's own pattern is tried on the others only.
+        none = F.struct(text.alias("text"), F.concat(n, F.array(F.lit(0))).alias("n"))
+        return F.when(text.rlike(least), _bind(F.regexp_extract_all(text, F.lit(pattern), 0), with_hits)).otherwise(none)
+
+    return _bind(state, with_text)
 
 
 def redact(df: DataFrame, col: str = "text") -> DataFrame:
     """Add ``redacted`` and ``counts`` (kind to number of matches); ``col`` stays.
 
-    Each rule splits the text at its matches, tests the matches, and joins the
-    parts again; nothing leaves the engine.
+    The rules form one expression whose steps are bound to lambda variables, so it
+    grows with the number of rules and nothing leaves the engine.
     """
-    text = F.coalesce(F.col(col), F.lit(""))
-    names = []
-    for i, (_, token, pattern, test, least) in enumerate(REDACTION):
-        src, hits = f"_r{i}", f"_m{i}"
-        df = df.withColumn(src, text)
-        # Most texts hold none of it: the rule's own pattern is tried on the others only.
-        some = F.col(src).rlike(least)
-        df = df.withColumn(hits, F.when(some, F.regexp_extract_all(src, F.lit(pattern), 0)))
-        found = F.coalesce(F.size(hits), F.lit(0)) > 0
-        if test is None:
-            text = F.when(found, F.regexp_replace(src, pattern, token)).otherwise(F.col(src))
-            n = F.size(hits)
-        else:
-            swap = F.transform(F.col(hits), _swap(test, token))
-            parts = F.split(src, pattern, -1)
-            text = F.when(found, F.array_join(F.zip_with(parts, swap, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col(src))
-            n = F.size(F.filter(F.col(hits), _only(test)))
-        df = df.withColumn(f"_n{i}", F.when(found, n).otherwise(0))
-        names += [src, hits, f"_n{i}"]
+    state = F.struct(F.coalesce(F.col(col), F.lit("")).alias("text"), F.array().cast("array<int>").alias("n"))
+    for _, token, pattern, test, least in REDACTION:
+        state = _apply_rule(state, token, pattern, test, least)
     kinds = list(dict.fromkeys(k for k, *_ in REDACTION))
-    sums = [functools.reduce(operator.add, [F.col(f"_n{i}") for i, (x, *_) in enumerate(REDACTION) if x == k]) for k in kinds]
+    sums = [functools.reduce(operator.add, [F.col("_redaction.n")[i] for i, (x, *_) in enumerate(REDACTION) if x == k]) for k in kinds]
     counts = F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*sums))
-    return df.withColumn("redacted", text).withColumn("counts", F.map_filter(counts, lambda _, n: n > 0)).drop(*names)
+    df = df.withColumn("_redaction", state)
+    return df.withColumns({"redacted": F.col("_redaction.text"), "counts": F.map_filter(counts, lambda _, n: n > 0)}).drop("_redaction")
 
 
 #: Two control characters that no text holds together.
