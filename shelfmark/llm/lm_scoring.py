@@ -39,6 +39,8 @@ CLASSES, DIM = 512, 16
 #: Noise words shared by a step, tokens of a step, and the step size of the adaptive gradient.
 NOISE, STEP, RATE = 48, 8192, 0.05
 HEAD = 1 << 18
+#: Words whose counts a task holds before it passes them on.
+MERGE = 1 << 20
 SEED = 20240311
 END, RARE = CLASSES - 2, CLASSES - 1
 
@@ -47,15 +49,32 @@ def _texts(part: pd.DataFrame) -> list[bytes]:
     return [b"" if t is None else bytes(t) for t in part["text"]]
 
 
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    words, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+    return words, np.bincount(at, np.concatenate([c for _, c in parts]), len(words)).astype(np.int64)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(text) -> (word, c): the 64-bit hash of each word, and its count over all texts."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for part in parts:
             texts = _texts(part)
-            for begin, end in batches_of(texts, 1 << 25):
-                words, c = np.unique(word_hashes(texts[begin:end])[0], return_counts=True)
-                yield pd.DataFrame({"word": words.view(np.int64), "c": c})
+            for begin, end in batches_of(texts, 1 << 21):
+                held.append(np.unique(word_hashes(texts[begin:end])[0], return_counts=True))
+                size += len(held[-1][0])
+                if size > MERGE:
+                    words, c = _merge(held)
+                    if len(words) > MERGE // 2:
+                        yield pd.DataFrame({"word": words.view(np.int64), "c": c})
+                        held, size = [], 0
+                    else:
+                        held, size = [(words, c)], len(words)
+        if held:
+            words, c = _merge(held)
+            yield pd.DataFrame({"word": words.view(np.int64), "c": c})
 
     rows = docs.select(F.col("text").cast("binary").alias("text"))
     return rows.mapInPandas(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
