@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import fold, table
+from shelfmark.llm.common import batches_of, fold, table
 
 BUCKETS = 1 << 16
 #: Languages beyond this many are an error: the model would not be small.
@@ -39,6 +39,8 @@ SMOOTH = 0.5
 #: A script belongs to a language if it has this share of its letters.
 SCRIPT_SHARE = 0.01
 PIECE = 1 << 20
+#: Characters whose words are labelled together.
+GROUP = 1 << 23
 
 # First and last code point of the main blocks of each script.
 SCRIPTS = {
@@ -260,17 +262,23 @@ def label_texts(texts: list[str | None], model: dict, spans: bool = True) -> pd.
     return pd.DataFrame({"lang_pred": pred, "score": share, "spans": [[{"begin": a, "end": b, "lang": c} for a, b, c in x] for x in out_spans]} if spans else {"lang_pred": pred, "score": share})
 
 
-def identify(docs: DataFrame, model: dict, keep: list[str], spans: bool = True) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred, score and, if wanted, the spans (code points) of its text."""
+def labelled(docs: DataFrame, model: dict, spans: bool) -> DataFrame:
+    """``docs`` with the struct ``_found``; only the text goes to Python, a few million characters at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double" + f", spans {SPAN}" * spans)
+    def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = label_texts(part["_text"].tolist(), shared.value, spans)
-            yield pd.concat([part[keep].reset_index(drop=True), found], axis=1)
+            texts = part.tolist()
+            out = [label_texts(texts[a:b], shared.value, spans) for a, b in batches_of([t or "" for t in texts], GROUP)]
+            yield pd.concat(out, ignore_index=True) if out else label_texts([], shared.value, spans)
+
+    return docs.withColumn("_found", label(F.col("text")))
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, f"{fields}, lang_pred string, score double" + f", spans {SPAN}" * spans)
+
+def identify(docs: DataFrame, model: dict, keep: list[str], spans: bool = True) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with lang_pred, score and, if wanted, the spans (code points) of its text."""
+    return labelled(docs, model, spans).select(*keep, "_found.*")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +291,4 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
     """``docs`` without those that are rejected: no letters, or no language that holds ``min_score`` of the letters."""
     model = train(docs)
-    columns = docs.columns
-    rows = docs.withColumn("_row", F.struct(*columns)).select("_row", "text")
-    found = identify(rows, model, ["_row"], spans=False)
-    return found.where(f"lang_pred != 'und' and score >= {min_score}").select("_row.*")
+    return labelled(docs, model, spans=False).where(f"_found.lang_pred != 'und' and _found.score >= {min_score}").drop("_found")
