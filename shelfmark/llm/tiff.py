@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import table
+from shelfmark.llm.common import batches_of, table
 
 WIDTH = 64
+#: Bytes of texts or files that a task turns at a time.
+GROUP = 1 << 22
 # Fixed values of the format: compression codes, and type sizes by type code.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -273,25 +275,30 @@ def read_pages(files: DataFrame, media: str = "media") -> DataFrame:
     names = [f.name for f in rest]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            origin, rows = [], []
-            for i, data in enumerate(part[media]):
-                if data is None:
-                    continue
-                page_no = -1
-                try:
-                    for page_no, tags in enumerate(directories(data)):
-                        a = decode_page(data, tags)
-                        rows.append((page_no, a.shape[1], a.shape[0], a.shape[2], tags.get(259, [NONE])[0], 324 in tags, tags.get(317, [1])[0], a.tobytes(), None))
-                        origin.append(i)
-                except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
-                    rows.append((page_no + 1, None, None, None, None, None, None, None, str(e)[:200]))
+        for whole in parts:
+            sizes = [b"" if d is None else d for d in whole[media]]
+            for begin, end in batches_of(sizes, GROUP):
+                yield pages_of(whole.iloc[begin:end])
+
+    def pages_of(part: pd.DataFrame) -> pd.DataFrame:
+        origin, rows = [], []
+        for i, data in enumerate(part[media]):
+            if data is None:
+                continue
+            page_no = -1
+            try:
+                for page_no, tags in enumerate(directories(data)):
+                    a = decode_page(data, tags)
+                    rows.append((page_no, a.shape[1], a.shape[0], a.shape[2], tags.get(259, [NONE])[0], 324 in tags, tags.get(317, [1])[0], a.tobytes(), None))
                     origin.append(i)
-            made = pd.DataFrame(rows, columns=[f.name for f in schema.fields[len(rest) :]])
-            kept = part[names].iloc[origin].reset_index(drop=True)
-            for c in ("page_no", "width", "height", "samples", "compression", "predictor"):
-                made[c] = made[c].astype("Int32")
-            yield pd.concat([kept, made], axis=1)
+            except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
+                rows.append((page_no + 1, None, None, None, None, None, None, None, str(e)[:200]))
+                origin.append(i)
+        made = pd.DataFrame(rows, columns=[f.name for f in schema.fields[len(rest) :]])
+        kept = part[names].iloc[origin].reset_index(drop=True)
+        for c in ("page_no", "width", "height", "samples", "compression", "predictor"):
+            made[c] = made[c].astype("Int32")
+        return pd.concat([kept, made], axis=1)
 
     return files.mapInPandas(run, schema)
 
@@ -310,10 +317,12 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = part[[f.name for f in rest]].copy()
-            out["n_bytes"] = [len(t) for t in part[text]]
-            out["media"] = [write_payload(t + bytes(-len(t) % WIDTH if t else WIDTH)) for t in part[text]]
-            yield out
+            texts = part[text].tolist()
+            for begin, end in batches_of(texts, GROUP):
+                out = part[[f.name for f in rest]].iloc[begin:end].copy()
+                out["n_bytes"] = [len(t) for t in texts[begin:end]]
+                out["media"] = [write_payload(t + bytes(-len(t) % WIDTH if t else WIDTH)) for t in texts[begin:end]]
+                yield out
 
     return raw.mapInPandas(run, schema)
 
