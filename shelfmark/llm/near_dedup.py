@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ MISS = 1e-6
 #: Each of these, by exclusive or, gives another order of the documents.
 ORDERS = [0x2B7E151628AED2A6, 0x3243F6A8885A308D, 0x13198A2E03707344, 0x243F6A8885A308D3]
 BLOCK = 1024
+ROWS_AT_ONCE = 512
 #: A list of ids up to this length is broadcast (8 MB); a longer one is shuffled.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -56,7 +58,7 @@ _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text."""
     out: list[np.ndarray] = []
-    for begin, end in batches_of(texts):
+    for begin, end in batches_of(texts, 1 << 20):
         hashes, counts = word_hashes(texts[begin:end])
         at = np.cumsum(counts) - counts
         chain = hashes.copy()
@@ -108,43 +110,47 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
+def _sets_of(parts: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Ids and shingle sets of (doc_id, text), a few hundred rows at a time."""
+    for part in parts:
+        for at in range(0, part.num_rows, ROWS_AT_ONCE):
+            some = part.slice(at, ROWS_AT_ONCE)
+            texts = [b"" if t is None else t for t in some.column(1).to_pylist()]
+            yield some.column(0), shingle_sets(texts, words)
+
+
 def _features(docs: DataFrame, words: int) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts = [b"" if t is None else bytes(t) for t in part["text"]]
-            for begin, end in batches_of(texts, 1 << 22):
-                sets = shingle_sets(texts[begin:end], words)
-                some = [i for i, s in enumerate(sets) if len(s)]
-                sigs: list[bytes | None] = [None] * len(sets)
-                if some:
-                    for i, row in zip(some, signatures([sets[i] for i in some]), strict=True):
-                        sigs[i] = row.tobytes()
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].iloc[begin:end].astype("Int64").array,
-                    "n": [len(s) for s in sets],
-                    "k1": np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
-                    "k2": np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
-                    "sig": sigs,
-                })
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets_of(parts, words):
+            some = [i for i, s in enumerate(sets) if len(s)]
+            sigs: list[bytes | None] = [None] * len(sets)
+            if some:
+                for i, row in zip(some, signatures([sets[i] for i in some]), strict=True):
+                    sigs[i] = row.tobytes()
+            k1 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            k2 = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "k1", "k2", "sig"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n long, k1 long, k2 long, sig binary")
+    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int, short: bool = False) -> DataFrame:
     """(node, n, shingles) of the documents named by ``ids`` (column node); ``short``: as bytes, 32 bits of each shingle."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts = [b"" if t is None else bytes(t) for t in part["text"]]
-            for begin, end in batches_of(texts, 1 << 22):
-                sets = shingle_sets(texts[begin:end], words)
-                made = [(s >> np.uint64(32)).astype(np.uint32).tobytes() if short else s.view(np.int64) for s in sets]
-                yield pd.DataFrame({"node": part["doc_id"].iloc[begin:end].array, "n": [len(s) for s in sets], "shingles": made})
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets_of(parts, words):
+            if short:
+                made = pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())
+            else:
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                made = pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), made], names=["node", "n", "shingles"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     rows = rows.join(small(ids, MAX_BROADCAST_IDS), rows["doc_id"] == ids["node"], "left_semi")
-    return rows.mapInPandas(run, f"node long, n long, shingles {'binary' if short else 'array<long>'}")
+    return rows.mapInArrow(run, f"node long, n long, shingles {'binary' if short else 'array<long>'}")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
