@@ -154,7 +154,7 @@ class Lattice:
         self.base = self.end = np.zeros(0, np.int64)
         self.codes = np.zeros(0, np.uint32)
         self.edge = np.zeros((0, 1), pieces.ids.dtype)
-        self.cdf = np.zeros((0, 1))
+        self.prob = np.zeros((0, 1))
         self.near = np.zeros((0, 1), np.float32)
         self._kept_nodes = 0
 
@@ -193,12 +193,13 @@ class Lattice:
         if wide > self.wide:
             more = wide - self.wide
             self.edge = np.pad(self.edge, ((0, 0), (0, more)), constant_values=-1)
-            self.cdf, self.near = (np.pad(x, ((0, 0), (0, more)), constant_values=1) for x in (self.cdf, self.near))
+            self.prob = np.pad(self.prob, ((0, 0), (0, more)))
+            self.near = np.pad(self.near, ((0, 0), (0, more)), constant_values=1)
             self.wide = wide
         if begin + n > len(self.codes):
             room_for = begin + n + n // 4 - len(self.codes)
             self.codes = np.pad(self.codes, (0, room_for))
-            self.edge, self.cdf, self.near = (np.pad(x, ((0, room_for), (0, 0))) for x in (self.edge, self.cdf, self.near))
+            self.edge, self.prob, self.near = (np.pad(x, ((0, room_for), (0, 0))) for x in (self.edge, self.prob, self.near))
         self.codes[begin : begin + n] = codes
         self.edge[begin : begin + n] = edge[:, :wide]
         self.base = np.concatenate([self.base[:n_kept], begin + ends - sizes])
@@ -212,16 +213,19 @@ class Lattice:
         ahead[:, 0] = 1
         for back, m in enumerate(active.tolist(), 1):
             rows = ends[:m] - back
-            total = np.cumsum(p.weight[self.edge[rows]] * ahead[:m], axis=1)
-            mass = total[:, -1:].copy()
-            total /= mass
-            self.cdf[rows] = total
-            self.near[rows] = total
+            w = p.weight[self.edge[rows]] * ahead[:m]
+            mass = w.sum(axis=1, keepdims=True)
+            w /= mass
+            self.prob[rows] = w
+            upto = np.cumsum(w, axis=1)
+            # The last edge that has mass takes what rounding leaves.
+            upto[np.arange(m), wide - 1 - np.argmax(w[:, ::-1] > 0, axis=1)] = 1
+            self.near[rows] = np.maximum.accumulate(upto, axis=1)
             ahead[:m, 1:] = ahead[:m, :-1] / mass
             ahead[:m, 0] = 1
 
     def chance(self, node: np.ndarray, k: np.ndarray) -> np.ndarray:
-        return self.cdf[node, k] - np.where(k > 0, self.cdf[node, k - 1], 0.0)
+        return self.prob[node, k]
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node that the number u in (0, 1) falls on."""
@@ -239,6 +243,16 @@ def _uniform(key: np.ndarray, place: np.ndarray | int, salt: int) -> np.ndarray:
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+def split_chunks(text: str) -> list[str]:
+    """The chunks of a text: a line feed, or marks and the word after them; a mark stands before the text."""
+    if not text:
+        return []
+    if "  " in text or MARK in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
+        return _CHUNK.findall(MARK + text.replace(" ", MARK))
+    # Single separators only: the common case, without a regular expression.
+    return (MARK + text.replace("\n", " \n ").replace(" ", " " + MARK).replace(MARK + "\n " + MARK, "\n ")).split(" ")
+
+
 class _Drawn:
     """One segmentation of one text.
 
@@ -255,7 +269,7 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tupl
     chunks: list[str] = []
     counts = []
     for t in texts:
-        found = _CHUNK.findall(MARK + t.replace(" ", MARK)) if t else []
+        found = split_chunks(t)
         chunks += found
         counts.append(len(found))
     kind = lattice.kinds_of(chunks)
@@ -284,7 +298,7 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tupl
             node = np.array([d.node[s] for _, d, s in again], np.int64)
             fresh_from = tok + 1
             carry[docs] = [d.log_prob - d.logs[s:].sum() for _, d, s in again]
-            w = np.diff(lattice.cdf[node], axis=1, prepend=0.0)
+            w = lattice.prob[node]
             for r, (_, d, s) in enumerate(again):
                 w[r, d.edge[s]] = 0
                 if s == 0:
