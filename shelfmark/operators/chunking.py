@@ -264,7 +264,11 @@ def chunk_flat(docs: DataFrame, target: int = 600, overlap: int = 80) -> DataFra
 
 
 def chunk_semantic(sentences: DataFrame, target: int = 400, least_like: float = 0.65) -> DataFrame:
-    """Sentences (doc_id, pos, sentence, embedding) as chunks: cut where a sentence leaves the running centroid, or at the budget."""
+    """Sentences (doc_id, pos, sentence, embedding) as chunks: cut where a sentence leaves the running centroid, or at the budget.
+
+    A sentence without a vector stays with the sentences before it, up to the budget, and doesn't move the centroid.
+    doc_id is the key; rows without one are left out.
+    """
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
@@ -273,20 +277,21 @@ def chunk_semantic(sentences: DataFrame, target: int = 400, least_like: float =
         total, tokens = None, 0
         doc = int(part["doc_id"].iloc[0])
         for s, v in zip(part["sentence"], part["embedding"], strict=True):
-            v = np.asarray(v, np.float64)
+            v = None if v is None else np.asarray(v, np.float64)
             n = max(1, len(s) // CHARS)
             if cur:
-                like = float(total @ v / (np.linalg.norm(total) * np.linalg.norm(v) + 1e-9))
+                like = 1.0 if v is None or total is None else float(total @ v / (np.linalg.norm(total) * np.linalg.norm(v) + 1e-9))
                 if tokens + n > target or like < least_like and tokens > target / 3:
                     rows.append((doc, len(rows), " ".join(cur), len(cur)))
                     cur, total, tokens = [], None, 0
             cur.append(s)
-            total = v if total is None else total + v
+            if v is not None:
+                total = v if total is None else total + v
             tokens += n
         rows.append((doc, len(rows), " ".join(cur), len(cur)))
         return pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk_text", "n_sentences"])
 
-    return sentences.where("embedding IS NOT NULL").groupBy("doc_id").applyInPandas(one, "doc_id long, chunk_index int, chunk_text string, n_sentences int")
+    return sentences.where("doc_id IS NOT NULL").groupBy("doc_id").applyInPandas(one, "doc_id long, chunk_index int, chunk_text string, n_sentences int")
 
 
 def build_chunks(files: DataFrame, texts: DataFrame, vectors: DataFrame, old: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from shelfmark.functions import columns as C
 from shelfmark.functions import text as X
 from shelfmark.operators import catalogue as K
 from shelfmark.operators import chunking, lifecycle, retrieval, search
+from shelfmark.plans.chunking import sentence_vectors
 from shelfmark.sources import tables as S
 from shelfmark.streaming import jobs
 
@@ -116,6 +117,20 @@ def test_semantic_chunks_cut_where_vectors_turn(spark):
     assert [r.n_sentences for r in out] == [3, 3]
 
 
+def test_semantic_chunks_keep_sentences_without_vectors(spark):
+    rows = [(1, i, f"s{i}", [1.0, 0.0] if i % 2 else None) for i in range(4)] + [(2, 0, "alone", None)]
+    out = chunking.chunk_semantic(spark.createDataFrame(rows, "doc_id long, pos int, sentence string, embedding array<double>")).collect()
+    assert sorted((r.doc_id, r.chunk_text) for r in out) == [(1, "s0 s1 s2 s3"), (2, "alone")]
+
+
+def test_sentence_vectors_take_the_whole_table(spark, tmp_path):
+    spark.createDataFrame([(i, "One. Two.") for i in range(100)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    e = [(i, [float(i)]) for i in range(700) if i != 7]
+    spark.createDataFrame(e, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.doc_id, r.pos): r.embedding for r in sentence_vectors(spark, str(tmp_path)).collect()}
+    assert len(got) == 200 and got[99, 0] == [693.0] and got[1, 0] is None
+
+
 def test_semantic_matches_numpy_cosine(spark):
     a, b = np.arange(4.0), np.ones(4)
     r = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<double>, b array<double>").select(C.cosine(F.col("a"), F.col("b")).alias("c")).first().c
