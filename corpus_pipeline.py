@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id."""
+    """One row of each group of near copies stays: the one with the least doc_id; repeated rows and rows without doc_id are grouped too."""
     return near_dedup.drop_near_duplicates(docs, words=5)
 
 

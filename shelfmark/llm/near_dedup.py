@@ -28,6 +28,7 @@ null doc_id keeps component_id null and is kept.  Empty tables give empty result
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import batches_of, cut, mix64, small, table, word_hashes
+from shelfmark.llm.common import batches_of, cut, ensure_checkpoint_dir, mix64, small, table, word_hashes
 from shelfmark.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -288,9 +289,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without the documents that are not the first of their component."""
-    gone = cut(near_duplicates(docs, words, num, den).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone, MAX_BROADCAST_IDS), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each component: that of the least doc_id (nulls last), and of rows that share it the first.
+
+    Rows are linked by a key of their own, so repeated rows and rows without doc_id take part.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    folder = f"{docs.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4()}"
+    # The keys hold once they are written; Parquet, unlike a checkpoint, is compressed and read by column.
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
+    rows = docs.sparkSession.read.parquet(folder)
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, num, den)
+    linked = cut(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c")))
+    groups = linked.groupBy("_c").agg(F.count("*").alias("_n")).where("_n > 1").select("_c")
+    several = cut(linked.join(groups, "_c").join(rows.select("_row", "doc_id"), "_row"))
+    first = several.groupBy("_c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first")).select("_first._row")
+    gone = cut(several.select("_row").join(first, "_row", "left_anti").select(F.col("_row").alias("_gone")))
+    return rows.join(small(gone, MAX_BROADCAST_IDS), rows["_row"] == F.col("_gone"), "left_anti").drop("_row")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

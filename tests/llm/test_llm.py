@@ -372,6 +372,13 @@ def test_near_duplicates_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "rep"] and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
 
 
+def test_drop_near_duplicates_by_row(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "un deux trois quatre cinq six sept")
+    rows = [(7, a), (7, a), (7, a), (None, b), (None, b), (None, c), (9, c), (8, c), (None, None), (None, "")]
+    kept = near_dedup.drop_near_duplicates(docs(spark, rows)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(7, a), (None, b), (8, c), (None, None), (None, "")])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 150) for i in range(40)] + [(7, 7), (3, 2)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
