@@ -15,7 +15,7 @@ from shelfmark.llm.common import ensure_checkpoint_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a language that holds enough of them, go."""
+    """Documents without letters, or with none in a script of any learned language, go; mixed languages stay."""
     return langid.keep_identified(docs)
 
 

@@ -217,6 +217,7 @@ SPAN = "array<struct<begin: long, end: long, lang: string>>"
 
 
 def label_texts(texts: list[str | None], model: dict, spans: bool = True) -> pd.DataFrame:
+    """lang_pred, score and spans of each text; without spans, its number of letters and the share of them that has any label."""
     langs, logp, allowed = model["langs"], model["logp"], model["allowed"]
     flat, owner, shift = [], [], []
     for i, t in enumerate(texts):
@@ -244,7 +245,7 @@ def label_texts(texts: list[str | None], model: dict, spans: bool = True) -> pd.
         done += len(chunk)
     n = len(texts)
     pred = np.where(letters > 0, langs[model["default"]] if langs else "und", "und").astype(object)
-    share = np.zeros(n)
+    share, labelled_share = np.zeros(n), np.zeros(n)
     out_spans: list[list] = [[] for _ in range(n)]
     if parts:
         text, begin, size, s = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -254,19 +255,22 @@ def label_texts(texts: list[str | None], model: dict, spans: bool = True) -> pd.
         best = mass.argmax(axis=1)
         pred[held] = np.array(langs, object)[best[held]]
         share[held] = mass[held, best[held]] / letters[held]
+        labelled_share[held] = mass[held].sum(axis=1) / letters[held]
         if spans:
             new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
             last = np.append(new[1:], len(text)) - 1
             for a, b in zip(new.tolist(), last.tolist(), strict=True):
                 out_spans[text[a]].append((int(begin[a]), int(begin[b] + size[b]), langs[label[a]]))
-    return pd.DataFrame({"lang_pred": pred, "score": share, "spans": [[{"begin": a, "end": b, "lang": c} for a, b, c in x] for x in out_spans]} if spans else {"lang_pred": pred, "score": share})
+    if spans:
+        return pd.DataFrame({"lang_pred": pred, "score": share, "spans": [[{"begin": a, "end": b, "lang": c} for a, b, c in x] for x in out_spans]})
+    return pd.DataFrame({"letters": letters, "labelled": labelled_share})
 
 
 def labelled(docs: DataFrame, model: dict, spans: bool) -> DataFrame:
     """``docs`` with the struct ``_found``; only the text goes to Python, a few million characters at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double" + f", spans {SPAN}" * spans)
+    @F.pandas_udf(f"lang_pred string, score double, spans {SPAN}" if spans else "letters long, labelled double")
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = part.tolist()
@@ -276,9 +280,9 @@ def labelled(docs: DataFrame, model: dict, spans: bool) -> DataFrame:
     return docs.withColumn("_found", label(F.col("text")))
 
 
-def identify(docs: DataFrame, model: dict, keep: list[str], spans: bool = True) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred, score and, if wanted, the spans (code points) of its text."""
-    return labelled(docs, model, spans).select(*keep, "_found.*")
+def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with lang_pred, score and the spans (code points) of its text."""
+    return labelled(docs, model, True).select(*keep, "_found.*")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +292,11 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
-    """``docs`` without those that are rejected: no letters, or no language that holds ``min_score`` of the letters."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without those that are rejected: no letters, or no letter in a script of any learned language.
+
+    Spans of several languages, or of other scripts beside them, are no ground to reject.  Where no
+    language could be learned, every text that has letters stays.
+    """
     model = train(docs)
-    return labelled(docs, model, spans=False).where(f"_found.lang_pred != 'und' and _found.score >= {min_score}").drop("_found")
+    return labelled(docs, model, spans=False).where("_found.labelled > 0" if model["langs"] else "_found.letters > 0").drop("_found")

@@ -131,6 +131,16 @@ def test_spans_of_mixed_text(spark):
     assert langid.label_texts(["words"], langid.train(train.limit(0)))["lang_pred"][0] == "und"
 
 
+def test_mixed_and_unlabelled_documents_are_kept(spark):
+    own = {k: " ".join(f"{k}{x}{k}{y}" for x in "aeiou" for y in "aeiou") for k in ("b", "d", "f")}
+    rows = [(i, own[k] + " " + own[k], k) for k in own for i in range(5)]
+    odd = [(100, " ".join(own.values()), None), (101, own["b"] + " " + "слово " * 60, None), (102, "123 ...", None), (103, None, None), (104, "漢字", None)]
+    columns = "doc_id long, text string, lang string"
+    kept = langid.keep_identified(docs(spark, rows + odd, columns))
+    assert {r.doc_id for r in kept.where("doc_id >= 100").collect()} == {100, 101} and kept.count() == 17
+    assert {r.doc_id for r in langid.keep_identified(docs(spark, [(i, t, None) for i, t, _ in odd], columns)).collect()} == {100, 101, 104}
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(3)
     counts = np.array([3, 0, 5, 1])
