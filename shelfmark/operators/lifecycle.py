@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -44,22 +47,29 @@ def rate_breaches(events: DataFrame, window: str, most: int) -> DataFrame:
 def lockouts(events: DataFrame, failures: int = 5, minutes: int = 15) -> DataFrame:
     """When users were locked out: ``failures`` failed logins in a row; attempts while locked don't count, a success resets.
 
-    Events: user_id, ts, ok.
+    Events: event_id, user_id, ts, ok.  A user's events pass in order and are never held together.
     """
-    span = pd.Timedelta(minutes=minutes)
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        out, n, until = [], 0, None
-        for ts, ok in part.sort_values(["ts", "event_id"])[["ts", "ok"]].itertuples(index=False):
-            if until is not None and ts < until:
-                continue
-            n = 0 if ok else n + 1
-            if n >= failures:
-                n, until = 0, ts + span
-                out.append((ts, until))
-        return pd.DataFrame({"user_id": [part["user_id"].iloc[0]] * len(out), "locked_at": pd.Series([a for a, _ in out], dtype="datetime64[ns]"), "until": pd.Series([b for _, b in out], dtype="datetime64[ns]")})
-
-    return events.groupBy("user_id").applyInPandas(one, "user_id long, locked_at timestamp_ntz, until timestamp_ntz")
+    span = timedelta(minutes=minutes)
+    schema = pa.schema([("user_id", pa.int64()), ("locked_at", pa.timestamp("us")), ("until", pa.timestamp("us"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, n, until = object(), 0, None
+        for batch in batches:
+            out = []
+            for u, ts, ok in zip(*(batch.column(c).to_pylist() for c in ("user_id", "ts", "ok")), strict=True):
+                if u != user:
+                    user, n, until = u, 0, None
+                if until is not None and ts is not None and ts < until:
+                    continue
+                n = 0 if ok else n + 1
+                if n >= failures:
+                    n, until = 0, None if ts is None else ts + span
+                    out.append((u, ts, until))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    e = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "ok")
+    ordered = e.repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_last("ts"), "event_id")
+    return ordered.mapInArrow(run, "user_id long, locked_at timestamp_ntz, until timestamp_ntz")
 
 
 def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:

@@ -169,6 +169,29 @@ def test_lockouts(spark):
     assert [(r.user_id, str(r.locked_at)) for r in rows] == [(1, "2024-01-01 00:04:00")]
 
 
+def test_lockouts_hold_no_user_whole(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(u), int(t), bool(ok)) for i, (u, t, ok) in enumerate(zip(np.minimum(rng.integers(0, 6, 3000), 3), rng.integers(0, 90_000, 3000), rng.random(3000) < 0.2, strict=True))]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, s long, ok boolean").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"), "ok")
+    want, state = [], {}
+    for i, u, t, ok in sorted(rows, key=lambda r: (r[2], r[0])):
+        n, until = state.get(u, (0, -1))
+        if t < until:
+            continue
+        n = 0 if ok else n + 1
+        if n == 3:
+            n, until = 0, t + 900
+            want.append((u, t))
+        state[u] = n, until
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)  # users go on from one batch to the next
+    try:
+        found = lifecycle.lockouts(e, failures=3)
+        assert sorted((r.user_id, r.s) for r in found.select("user_id", F.unix_timestamp("locked_at").alias("s")).collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
 def run(query_df, path, mode="append"):
     q = query_df.writeStream.format("memory").queryName(path).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
