@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it, and wherever the planner moves it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collection_of(filetype: Column) -> Column:
     """The collection that a MIME type belongs to."""
     t = F.lower(filetype)

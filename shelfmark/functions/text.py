@@ -12,6 +12,8 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.columns import bind
+
 W = "[A-Za-z0-9_]"
 B = rf"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))"
 
@@ -142,11 +144,6 @@ REDACTION = [
 ]
 
 
-def _bind(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _apply_rule(state: Column, token: str, pattern: str, test, least: str) -> Column:
     """One rule on struct(text, n): the text split at its matches, the matches tested, and the parts joined again."""
 
@@ -162,9 +159,9 @@ def _apply_rule(state: Column, token: str, pattern: str, test, least: str) -> Co
 
         # Most texts hold none of it: the rule's own pattern is tried on the others only.
         none = F.struct(text.alias("text"), F.concat(n, F.array(F.lit(0))).alias("n"))
-        return F.when(text.rlike(least), _bind(F.regexp_extract_all(text, F.lit(pattern), 0), with_hits)).otherwise(none)
+        return F.when(text.rlike(least), bind(F.regexp_extract_all(text, F.lit(pattern), 0), with_hits)).otherwise(none)
 
-    return _bind(state, with_text)
+    return bind(state, with_text)
 
 
 def redact(df: DataFrame, col: str = "text") -> DataFrame:
@@ -183,16 +180,18 @@ def redact(df: DataFrame, col: str = "text") -> DataFrame:
     return df.withColumns({"redacted": F.col("_redaction.text"), "counts": F.map_filter(counts, lambda _, n: n > 0)}).drop("_redaction")
 
 
+# Where a sentence may end, and what stands at the end of a part that goes on.
+SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z(\"'])"
+SENTENCE_OPEN = rf"(?:^|\s)(?:{either(ABBREVIATIONS)}|[A-Z]|\$?\d+)\.?\s*$"
 #: Two control characters that no text holds together.
 SENTENCE_END = "\x01\x02"
 
 
 def sentences(text: Column) -> Column:
     """Split after ``.!?`` before a capital, a quote or a parenthesis; not after abbreviations, initials and bare numbers."""
-    parts = F.split(text, r"(?<=[.!?])\s+(?=[A-Z(\"'])")
-    open_end = rf"(?:^|\s)(?:{either(ABBREVIATIONS)}|[A-Z]|\$?\d+)\.?\s*$"
+    parts = F.split(text, SENTENCE_BREAK)
     # Whether two parts belong together depends on the end of the first alone: mark the true ends and split there.
-    marked = F.transform(parts, lambda p: F.concat(p, F.when(p.rlike(open_end), " ").otherwise(SENTENCE_END)))
+    marked = F.transform(parts, lambda p: F.concat(p, F.when(p.rlike(SENTENCE_OPEN), " ").otherwise(SENTENCE_END)))
     joined = F.regexp_replace(F.array_join(marked, ""), rf"(?:{SENTENCE_END}|\s)+$", "")
     return F.when(F.length(F.trim(text)) > 0, F.split(joined, SENTENCE_END)).otherwise(F.array().cast("array<string>"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from shelfmark.functions.text import ABBREVIATIONS, either, redact, token_count
+from shelfmark.functions.text import SENTENCE_BREAK, SENTENCE_OPEN, redact, token_count
 from shelfmark.operators.catalogue import replace_by_key
 from shelfmark.operators.texts import strip_boilerplate
 
@@ -96,8 +96,8 @@ def budgets(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"parent_tokens": pick(2000, 800, 1500), "child_tokens": pick(600, 250, 400), "overlap_tokens": F.lit(120)})
 
 
-_BREAK = re.compile(r"(?<=[.!?])\s+(?=[A-Z(\"'])")
-_OPEN = re.compile(rf"(?:^|\s)(?:{either(ABBREVIATIONS)}|[A-Z]|\$?\d+)\.?\s*$")
+_BREAK = re.compile(SENTENCE_BREAK)
+_OPEN = re.compile(SENTENCE_OPEN)
 
 
 def split_sentences(text: str) -> list[str]:
@@ -184,7 +184,7 @@ CHUNK_FIELDS = "doc_id long, chunk_index int, parent_index int, chunk_text strin
 
 def chunk_documents(docs: DataFrame, parent_tokens: int | None = None, child_tokens: int | None = None, overlap_tokens: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text) as chunks with their parents; budgets follow the document unless given."""
-    clean = strip_boilerplate(docs.select("doc_id", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))).where("text != ''")
+    clean = strip_boilerplate(docs.select("doc_id", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")))
     b = with_sections(heading_paths(parse_blocks(clean)))
     last = F.last("path").over(W.partitionBy("doc_id", "section_no").orderBy("block_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     b = b.withColumn("path", last)

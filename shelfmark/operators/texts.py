@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
-from shelfmark.functions.columns import norm_list
+from shelfmark.functions.columns import bind, norm_list
 from shelfmark.operators.catalogue import best_per_key
 
 
@@ -17,20 +17,30 @@ def boilerplate_lines(docs: DataFrame, least: int = 3) -> DataFrame:
     return lines.groupBy("doc_id", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def strip_boilerplate(docs: DataFrame, least: int = 3) -> DataFrame:
-    """Texts without their boilerplate lines.
+def without_repeats(text: Column, least: int = 3) -> Column:
+    """``text`` without its boilerplate lines.
 
-    Lines repeat within one document, so the count is taken inside the row; no
-    shuffle is needed.
+    Lines repeat within one document, so the count is taken inside the row.  Each
+    step is bound to a lambda variable: a filter that the planner moves below this
+    column then sorts the lines once a row, not once for each line.
     """
-    lines = F.split("text", "\n")
-    trimmed = F.transform(lines, lambda x: F.trim(x))
-    # Sorted, equal lines are neighbours: a line is frequent if it equals the one ``least - 1`` places on.
-    s = F.col("_s")
-    frequent = F.array_distinct(F.filter(s, lambda x, i: F.get(s, i + (least - 1)) == x))
-    out = docs.withColumn("_s", F.array_sort(F.filter(trimmed, lambda x: F.length(x).between(4, 120)))).withColumn("_f", frequent)
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_f"), F.trim(x)))
-    return out.withColumn("text", F.when(F.size("_f") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop("_s", "_f")
+
+    def keep(lines: Column, frequent: Column) -> Column:
+        kept = F.filter(lines, lambda x: ~F.array_contains(frequent, F.trim(x)))
+        return F.when(F.size(frequent) > 0, F.array_join(kept, "\n"))
+
+    def count(lines: Column) -> Column:
+        # Sorted, equal lines are neighbours: a line is frequent if it equals the one ``least - 1`` places on.
+        frequent = lambda s: F.array_distinct(F.filter(s, lambda x, i: F.get(s, i + (least - 1)) == x))
+        ordered = F.array_sort(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: F.length(x).between(4, 120)))
+        return bind(bind(ordered, frequent), lambda f: keep(lines, f))
+
+    return bind(text, lambda t: F.coalesce(bind(F.split(t, "\n"), count), t))
+
+
+def strip_boilerplate(docs: DataFrame, least: int = 3) -> DataFrame:
+    """T8 over a table with a column ``text``; nothing is shuffled."""
+    return docs.withColumn("text", without_repeats(F.col("text"), least))
 
 
 def redaction_report(docs: DataFrame) -> DataFrame:
