@@ -8,7 +8,8 @@ of them, and the hash join on the expression removes the filter's false
 positives.  The longest fitting rule wins (ties: longer host, then text).
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
-and fits nothing.  Empty tables give empty results.  Repeated URLs are judged
+and fits nothing; a URL with an empty host has its path, fits nothing and is not
+listed.  Rules may be of any length.  Empty tables give empty results.  Repeated URLs are judged
 once and joined back.  Extra columns of ``pages`` are not looked at.
 """
 
@@ -31,9 +32,8 @@ RULES = [
 ]
 WORDS = 8
 LANE_BITS = 6
-#: At most so many 512-bit blocks (4 MB of filter), however long the list is.
-MAX_BLOCKS = 1 << 16
-MAX_LABELS, MAX_PATH = 127, 2000
+#: A filter of up to so many 512-bit blocks (4 MB) is broadcast; a larger one is joined by block.
+BROADCAST_BLOCKS = 1 << 16
 
 
 def url_host(url: Column) -> Column:
@@ -57,13 +57,9 @@ def _probe(df: DataFrame, key: str, n_blocks: int) -> DataFrame:
 
 
 def build_filter(listed: DataFrame, key: str, bits_per_key: int = 12) -> tuple[DataFrame, int]:
-    """Blocked Bloom filter of ``listed[key]`` as rows (block, eight 64-bit words).
-
-    Its rows are at most ``MAX_BLOCKS``; beyond that bound more keys only raise
-    the share of false positives, which the exact join removes.
-    """
+    """Blocked Bloom filter of ``listed[key]`` as rows (block, eight 64-bit words); it grows with the list."""
     n = max(1, listed.count())
-    n_blocks = min(MAX_BLOCKS, max(1, math.ceil(n * bits_per_key / (64 * WORDS))))
+    n_blocks = max(1, math.ceil(n * bits_per_key / (64 * WORDS)))
     words = [F.bit_or(f"_b{i}").alias(f"_w{i}") for i in range(WORDS)]
     return _probe(listed.select(key), key, n_blocks).groupBy("_block").agg(*words), n_blocks
 
@@ -74,7 +70,7 @@ def possible_hits(candidates: DataFrame, key: str, bloom: DataFrame, n_blocks: i
     hit = F.lit(True)
     for i in range(WORDS):
         hit = hit & (F.col(f"_b{i}").bitwiseAND(F.col(f"_w{i}")) != 0)
-    kept = probed.join(F.broadcast(bloom), "_block").where(hit)
+    kept = probed.join(F.broadcast(bloom) if n_blocks <= BROADCAST_BLOCKS else bloom, "_block").where(hit)
     return kept.drop("_block", *[f"_b{i}" for i in range(WORDS)], *[f"_w{i}" for i in range(WORDS)])
 
 
@@ -85,14 +81,18 @@ def judge_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame | None = Non
     (host followed by path); a URL that no rule fits is blocked if its canonical
     form is listed, else allowed.
     """
-    shapes_of = rules.where(f"length(host) > 0 and length(path) <= {MAX_PATH} and size(split(host, '[.]')) <= {MAX_LABELS}")
-    exact = cut(shapes_of.select(F.concat("host", "path").alias("rule"), "action", F.concat_ws(" ", "host", "path").alias("_key"), F.length("host").alias("_hl"), F.size(F.split("host", "[.]")).alias("_labels"), F.length("path").alias("_pl")))
-    # Bounded by the two constants above, whatever the length of the list.
-    shapes = [(r._labels, r._pl) for r in exact.select("_labels", "_pl").distinct().orderBy("_labels", "_pl").collect()]
+    labels = lambda host: F.size(F.split(host, "[.]"))
+    exact = rules.where("length(host) > 0").select(F.concat("host", "path").alias("rule"), "action", F.concat_ws(" ", "host", "path").alias("_key"), F.length("host").alias("_hl"), labels("host").alias("_labels"), F.length("path").alias("_pl"))
+    exact = cut(exact)
+    # Which lengths of path the list has for each number of labels; a URL is expanded to those that it can hold.
+    shapes = cut(exact.groupBy("_labels").agg(F.collect_set("_pl").alias("_pls")))
     base = urls.select(F.col(url).alias("_url")).where(F.col("_url").isNotNull()).distinct()
-    base = base.withColumn("host", url_host(F.col("_url"))).withColumn("path", url_path(F.col("_url"))).where("host != ''")
-    wide = [F.when(F.length("path") >= p, F.concat_ws(" ", F.substring_index("host", ".", -k), F.substring("path", 1, p))) for k, p in shapes]
-    candidates = base.select("_url", F.explode(F.array_distinct(F.array_compact(F.array(*wide)))).alias("_key")) if wide else base.select("_url", F.lit("").alias("_key")).limit(0)
+    base = base.withColumn("host", url_host(F.col("_url"))).withColumn("path", url_path(F.col("_url")))
+    hosted = base.where("host != ''")
+    wide = hosted.withColumn("_labels", F.explode(F.sequence(F.lit(1), labels("host")))).join(small(shapes, 1000), "_labels")
+    wide = wide.withColumn("_pl", F.explode(F.filter("_pls", lambda p: p <= F.length("path"))))
+    suffix = F.array_join(F.slice(F.split("host", "[.]"), -F.col("_labels"), F.col("_labels")), ".")
+    candidates = wide.select("_url", F.concat_ws(" ", suffix, F.col("path").substr(F.lit(1), F.col("_pl"))).alias("_key"))
     bloom, n_blocks = build_filter(exact, "_key")
     hits = possible_hits(candidates, "_key", bloom, n_blocks)
     ruled = hits.join(small(exact, 100_000), "_key")
@@ -104,9 +104,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame | None = Non
     else:
         names = cut(listed.select(F.col("canonical").alias("_canon")).where("_canon is not null").distinct())
         bloom2, blocks2 = build_filter(names, "_canon")
-        mine = base.select(F.concat("host", "path").alias("_canon")).distinct()
+        mine = hosted.select(F.concat("host", "path").alias("_canon")).distinct()
         found = possible_hits(mine, "_canon", bloom2, blocks2).join(names, "_canon", "left_semi").withColumn("listed", F.lit(True))
-        out = out.withColumn("_canon", F.concat("host", "path")).join(found, "_canon", "left").drop("_canon")
+        out = out.withColumn("_canon", F.when(F.col("host") != "", F.concat("host", "path"))).join(found, "_canon", "left").drop("_canon")
     out = out.withColumn("listed", F.coalesce("listed", F.lit(False)))
     verdict = F.coalesce(F.col("_best.action"), F.when(F.col("listed"), "block").otherwise("allow"))
     return out.select(F.col("_url").alias(url), "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"), "listed")
