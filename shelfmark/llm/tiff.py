@@ -160,6 +160,10 @@ def lzw_decode(data: bytes, size: int) -> bytes:
     return b"".join(out)[:size]
 
 
+#: Each byte with its bits from last to first.
+REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1).tobytes()
+
+
 def _compress(data: bytes, how: int) -> bytes:
     return {NONE: lambda x: x, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1)}[how](data)
 
@@ -239,11 +243,17 @@ def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
 
 
 def decode_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
-    """(rows, columns, samples) of one directory; 8 or 16 bits a sample, samples interleaved."""
+    """(rows, columns, samples) of one directory; 8 or 16 bits a sample, all samples alike and interleaved.
+
+    Other layouts (a missing number of bits means 1) and predictors are errors.
+    """
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
-    width, height, samples, bits = one(256), one(257), one(277, 1), one(258, 8)
-    if bits not in (8, 16) or one(284, 1) != 1:
+    width, height, samples, bits = one(256), one(257), one(277, 1), one(258, 1)
+    if bits not in (8, 16) or set(tags[258]) != {bits} or one(284, 1) != 1 or one(266, 1) not in (1, 2):
         raise ValueError("sample layout")
+    predictor = one(317, 1)
+    if predictor not in (1, 2):
+        raise ValueError(f"predictor {predictor}")
     kind = np.dtype(f"{'<' if data[:2] == b'II' else '>'}u{bits // 8}")
     if 324 in tags:
         tile_w, tile_h, places, sizes = one(322), one(323), tags[324], tags[325]
@@ -255,11 +265,14 @@ def decode_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
         top, left = i // across * tile_h, i % across * tile_w
         rows = tile_h if 324 in tags else min(tile_h, height - top)
         want = rows * tile_w * samples * bits // 8
-        raw = _expand(data[place : place + size], one(259, NONE), want)
+        stored = data[place : place + size]
+        if one(266, 1) == 2:
+            stored = stored.translate(REVERSED)
+        raw = _expand(stored, one(259, NONE), want)
         if len(raw) != want:
             raise ValueError("short strip or tile")
         a = np.frombuffer(raw, kind).reshape(rows, tile_w, samples)
-        if one(317, 1) == 2:
+        if predictor == 2:
             a = np.cumsum(a, axis=1, dtype=kind)
         page[top : top + rows, left : left + tile_w] = a[: height - top, : width - left]
     return page
