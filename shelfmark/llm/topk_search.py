@@ -130,7 +130,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
     asked = query.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     if not size.n or not asked.n:
         return spark.createDataFrame([], out_schema)
-    dim = max(size.d, asked.d)
+    # Vectors may all be empty.
+    dim = max(1, size.d, asked.d)
     basis = rotation(cand, dim)
     n_levels = min(LEVELS, -(-size.n // BLOCK))
     # Norms at which levels begin, descending; the list is at most LEVELS long.
