@@ -14,9 +14,10 @@ Scale: a hot source is many blocks; only (source, block, hash, tokens) is
 shuffled, never a text.  Blocks number at most ``max_blocks`` plus one per source.
 
 Defined results: a null or blank text has no token, takes no part in shares and
-is emitted in whole passes only.  A null source is a source of its own.  An empty table gives an
-empty schedule.  Repeated rows are separate documents (ties in the permutation
-are taken in order of doc_id).
+is emitted in whole passes only; a source of such texts alone has weight 0 and one
+pass.  A null source is a source of its own.  A budget above ``max_repeats`` is an error.  An empty table gives an
+empty schedule.  Repeated rows are separate documents (equal
+rows stand at one place of the permutation: a partial pass takes all of them or none).
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ def token_count(text: Column) -> Column:
 
 def solve(tokens: np.ndarray, cfg: MixConfig) -> tuple[float, np.ndarray]:
     """The exponent and the weights for token totals ``tokens`` (all positive)."""
+    if cfg.budget > cfg.max_repeats:
+        raise ValueError("a budget above max_repeats has no weights")
     logp = np.log(tokens / tokens.sum())
 
     def weights(a: float) -> np.ndarray:
@@ -75,14 +78,14 @@ def solve(tokens: np.ndarray, cfg: MixConfig) -> tuple[float, np.ndarray]:
 
     target = cfg.entropy * np.log(len(tokens)) if len(tokens) > 1 else 0.0
     a = 1.0 if entropy(1.0) >= target else bisect(lambda x: entropy(x) > target)
-    if repeats(a) > cfg.max_repeats and cfg.budget <= cfg.max_repeats:
+    if repeats(a) > cfg.max_repeats:
         a = max(a, bisect(lambda x: repeats(x) > cfg.max_repeats))
     return a, weights(a)
 
 
 def source_weights(counted: DataFrame, cfg: MixConfig) -> DataFrame:
     """Per source: tokens, weight, exponent, passes, part, blocks.  ``counted`` has source and tokens."""
-    totals = cut(counted.groupBy("source").agg(F.sum("tokens").alias("source_tokens")).where("source_tokens > 0"))
+    totals = cut(counted.groupBy("source").agg(F.sum("tokens").alias("source_tokens")))
     if totals.count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
     rows = sorted(totals.collect(), key=lambda r: (r.source is not None, r.source or ""))
@@ -90,10 +93,13 @@ def source_weights(counted: DataFrame, cfg: MixConfig) -> DataFrame:
     if not rows:
         return counted.sparkSession.createDataFrame([], schema)
     t = np.array([r.source_tokens for r in rows], dtype=np.float64)
-    a, w = solve(t, cfg)
+    some = t > 0
+    a, w, r = 1.0, np.zeros(len(t)), np.ones(len(t))
+    if some.any():
+        a, w[some] = solve(t[some], cfg)
+        r[some] = cfg.budget * t.sum() * w[some] / t[some]
     size = max(cfg.block_tokens, t.sum() / cfg.max_blocks)
-    r = cfg.budget * t.sum() * w / t
-    out = [(x.source, int(x.source_tokens), float(w[i]), a, float(r[i]), int(r[i]), float(r[i] - int(r[i])), int(np.ceil(t[i] / size))) for i, x in enumerate(rows)]
+    out = [(x.source, int(x.source_tokens), float(w[i]), a, float(r[i]), int(r[i]), float(r[i] - int(r[i])), max(1, int(np.ceil(t[i] / size)))) for i, x in enumerate(rows)]
     return counted.sparkSession.createDataFrame(out, schema)
 
 
@@ -107,7 +113,7 @@ def _keyed(docs: DataFrame, weights: DataFrame, cfg: MixConfig, *keep: str) -> D
 def _ranked(keyed: DataFrame) -> DataFrame:
     """Mark by ``_in`` the documents that the last, partial pass takes."""
     block = W.partitionBy("source", "_block")
-    upto = block.orderBy("_perm", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    upto = block.orderBy("_perm", "doc_id").rangeBetween(W.unboundedPreceding, 0)
     d = keyed.withColumn("_cum", F.sum("_tokens").over(upto)).withColumn("_all", F.sum("_tokens").over(block.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     return d.withColumn("_in", (F.col("_cum") - F.col("_tokens") / 2 < F.col("part") * F.col("_all")) & (F.col("_tokens") > 0))
 
