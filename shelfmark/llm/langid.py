@@ -10,7 +10,7 @@ Training counts every trigram of every training row (hash aggregates; the table
 has at most ``BUCKETS`` rows per language).  Prediction looks at the text only.
 
 Defined results: a null text or one without letters is ``und`` with score 0.0
-and no spans.  Words of a script that no learned language uses join no span; if
+and no spans (marks without a letter are no word).  Words of a script that no learned language uses join no span; if
 no word has candidates, the most frequent language is given with score 0.0.
 Without training rows every text is ``und``.  Ties go to the language first in
 alphabetical order.  Texts are whole, of any length.
@@ -40,7 +40,7 @@ SMOOTH = 0.5
 SCRIPT_SHARE = 0.01
 PIECE = 1 << 20
 #: Characters whose words are labelled together.
-GROUP = 1 << 23
+GROUP = 1 << 21
 
 # First and last code point of the main blocks of each script.
 SCRIPTS = {
@@ -61,42 +61,52 @@ SCRIPTS = {
 _TABLES: list[np.ndarray] = []
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Per code point: the lower-case letter (0 for what is no letter), and the number of its script (0: another)."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per code point: the lower-case letter or the mark (else 0), the number of its script (0: another), and whether it is a letter."""
     if not _TABLES:
         letter = np.zeros(sys.maxunicode + 1, np.uint32)
-        for c in range(0x30000):
+        alpha = np.zeros(sys.maxunicode + 1, bool)
+        # No plane between the third and the fourteenth is assigned.
+        for c in (*range(0x40000), *range(0xE0000, 0xF0000)):
             s = chr(c)
-            if s.isalpha() or unicodedata.category(s)[0] == "M":
+            alpha[c] = s.isalpha()
+            if alpha[c] or unicodedata.category(s)[0] == "M":
                 low = s.lower()
                 letter[c] = ord(low) if len(low) == 1 else c
         script = np.zeros(sys.maxunicode + 1, np.uint8)
         for k, ranges in enumerate(SCRIPTS.values(), 1):
             for a, b in ranges:
                 script[a : b + 1] = k
-        _TABLES[:] = [letter, script]
-    return _TABLES[0], _TABLES[1]
+        _TABLES[:] = [letter, script, alpha]
+    return _TABLES[0], _TABLES[1], _TABLES[2]
 
 
 @dataclass
 class Words:
-    """The words of several texts: where each begins in its text, its letters, script and trigram buckets."""
+    """The words of several texts: where each begins and ends in its text, its number of letters, script and trigram buckets."""
 
     text: np.ndarray
     begin: np.ndarray
+    end: np.ndarray
     size: np.ndarray
     script: np.ndarray
     grams: np.ndarray
 
 
 def split_words(texts: list[str]) -> Words:
-    """Runs of letters; trigrams run over the lower-case word with an edge mark on either side."""
-    letter, script = _tables()
+    """Runs of letters and marks that hold a letter, with their number of letters; trigrams run over the lower-case word with an edge mark on either side."""
+    letter, script, alpha = _tables()
     points = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
     code = letter[points] if len(points) else np.zeros(0, np.uint32)
     inside = code > 0
     edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    upto = np.concatenate([[0], np.cumsum(alpha[points])])
+    size = upto[ends] - upto[starts]
+    if (size == 0).any():
+        for a, b in zip(starts[size == 0].tolist(), ends[size == 0].tolist(), strict=True):
+            inside[a:b] = False
+        starts, ends, size = starts[size > 0], ends[size > 0], size[size > 0]
     sizes = np.array([len(t) for t in texts], np.int64)
     offsets = np.cumsum(sizes + 1) - (sizes + 1)
     owner = np.searchsorted(offsets, starts, "right") - 1
@@ -105,7 +115,7 @@ def split_words(texts: list[str]) -> Words:
     # Code 0 before and after a word is its edge mark, as words never touch.
     gram = padded[at] * np.uint32(0x9E3779B1) + padded[at + 1] * np.uint32(0x85EBCA77) + padded[at + 2] * np.uint32(0xC2B2AE3D)
     gram = ((gram ^ (gram >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
-    return Words(owner, starts - offsets[owner], ends - starts, script[points[starts]] if len(starts) else np.zeros(0, np.uint8), gram.astype(np.int64))
+    return Words(owner, starts - offsets[owner], ends - offsets[owner], size, script[points[starts]] if len(starts) else np.zeros(0, np.uint8), gram.astype(np.int64))
 
 
 def pieces(text: str) -> list[str]:
@@ -147,8 +157,8 @@ def train(docs: DataFrame) -> dict:
 
     data = docs.select("text", "lang").where("text is not null and lang is not null")
     sums = data.mapInPandas(run, "lang string, kind string, k long, n long").groupBy("lang", "kind", "k").agg(F.sum("n").alias("n"))
-    # At most MAX_LANGS * (BUCKETS + scripts) rows, however large the corpus.
-    got = sums.toPandas()
+    # Three rows of arrays for each language, of at most BUCKETS counts, however large the corpus.
+    got = sums.groupBy("lang", "kind").agg(F.collect_list("k").alias("k"), F.collect_list("n").alias("n")).limit(3 * MAX_LANGS + 1).toPandas()
     langs = sorted(got["lang"].unique())
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
@@ -157,9 +167,9 @@ def train(docs: DataFrame) -> dict:
     for i, lang in enumerate(langs):
         own = got[got["lang"] == lang]
         for kind, out in (("gram", gram[i]), ("script", script[i])):
-            x = own[own["kind"] == kind]
-            out[x["k"].to_numpy()] += x["n"].to_numpy()
-        prior[i] = own.loc[own["kind"] == "rows", "n"].sum()
+            for k, n in zip(own.loc[own["kind"] == kind, "k"], own.loc[own["kind"] == kind, "n"], strict=True):
+                out[np.asarray(k)] += np.asarray(n)
+        prior[i] = sum(x[0] for x in own.loc[own["kind"] == "rows", "n"])
     logp = np.log(gram / gram.sum(axis=1, keepdims=True)).T.astype(np.float32) if langs else np.zeros((BUCKETS, 0), np.float32)
     allowed = script >= SCRIPT_SHARE * np.maximum(1, script.sum(axis=1, keepdims=True))
     return {"langs": langs, "logp": logp.T.copy(), "allowed": allowed.T.copy(), "default": int(prior.argmax()) if langs else -1}
@@ -234,21 +244,22 @@ def label_texts(texts: list[str | None], model: dict, spans: bool = True) -> pd.
         w = split_words(chunk)
         text = owner_of[w.text + done] if len(w.text) else w.text
         begin = w.begin + shift_of[w.text + done] if len(w.text) else w.begin
+        end = begin + w.end - w.begin
         letters += np.bincount(text, weights=w.size, minlength=len(texts)).astype(np.int64)
         if len(w.text) and langs:
-            first = np.cumsum(w.size) - w.size
+            first = np.cumsum(w.end - w.begin) - (w.end - w.begin)
             s = np.stack([np.add.reduceat(logp[k][w.grams], first) for k in range(len(langs))], axis=1)
             may = allowed[w.script]
             some = may.any(axis=1)
             s = np.where(may, s, np.float32(-1e9))[some]
-            parts.append((text[some], begin[some], w.size[some], s))
+            parts.append((text[some], begin[some], end[some], w.size[some], s))
         done += len(chunk)
     n = len(texts)
     pred = np.where(letters > 0, langs[model["default"]] if langs else "und", "und").astype(object)
     share, labelled_share = np.zeros(n), np.zeros(n)
     out_spans: list[list] = [[] for _ in range(n)]
     if parts:
-        text, begin, size, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+        text, begin, end, size, s = (np.concatenate(x) for x in zip(*parts, strict=True))
         label = viterbi(s, np.bincount(text, minlength=n), SWITCH).astype(np.int64)
         mass = np.bincount(text * len(langs) + label, weights=size, minlength=n * len(langs)).reshape(n, len(langs))
         held = mass.sum(axis=1) > 0
@@ -260,7 +271,7 @@ def label_texts(texts: list[str | None], model: dict, spans: bool = True) -> pd.
             new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
             last = np.append(new[1:], len(text)) - 1
             for a, b in zip(new.tolist(), last.tolist(), strict=True):
-                out_spans[text[a]].append((int(begin[a]), int(begin[b] + size[b]), langs[label[a]]))
+                out_spans[text[a]].append((int(begin[a]), int(end[b]), langs[label[a]]))
     if spans:
         return pd.DataFrame({"lang_pred": pred, "score": share, "spans": [[{"begin": a, "end": b, "lang": c} for a, b, c in x] for x in out_spans]})
     return pd.DataFrame({"letters": letters, "labelled": labelled_share})
