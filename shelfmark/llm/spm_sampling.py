@@ -19,9 +19,12 @@ T of the (k+1)-th gives each its inclusion probability 1 - exp(-p T).
 All draws are hashes of the row key, the sample's number and the place in the
 text, so a task that runs again gives the same samples.
 
+Times are kept as logarithms, so no region is too faint to be drawn from.
+
 Scale: rows are independent and nothing is shuffled; lattices of a batch are built
-once per distinct chunk, by array operations, from about ``BATCH`` characters of
-text at a time (a longer text is a batch of its own).
+once per distinct chunk, by array operations, from about ``BATCH`` bytes of
+text at a time (a longer text is a batch of its own).  The vocabulary is read by
+the driver and sent to the workers.
 
 Defined results: a null or empty text has one segmentation, without pieces.  A
 text with fewer than k segmentations has as many rows as it has.  Rows with equal
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import batches_of, mix64, table
+from shelfmark.llm.common import mix64, slices_of, table
 
 MARK = "▁"
 BATCH = 1 << 18
@@ -49,18 +52,19 @@ _CHUNK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _BASE_INV = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
 SLOTS = 19
-KEPT = 1 << 16
-#: Regions behind this log-probability hold less mass than a draw can resolve: they are never opened.
-FAINT = -60.0
+#: Nodes of frequent chunks that a worker keeps, about 110 bytes each.
+KEPT_NODES = 1 << 19
+#: A vocabulary file is sent whole to each executor; a larger one is refused.
+MAX_MODEL_BYTES = 1 << 26
 
 
 class Pieces:
     """The vocabulary: weights, strings, and a hash table from substring hashes to ids."""
 
-    def __init__(self, model_file: str, sharpness: float) -> None:
+    def __init__(self, model: bytes, sharpness: float) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.unk = sp.unk_id()
         self.byte = np.zeros(256, np.int32)
@@ -103,6 +107,11 @@ class Pieces:
             self.keys[slot + d], self.ids[slot + d] = h, i
             self.reach = max(self.reach, d)
 
+    def spelling(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each id the number of bytes and where they begin, and all bytes."""
+        size = np.array([len(x) for x in self.raw], np.int64)
+        return size, np.cumsum(size) - size, np.frombuffer(b"".join(self.raw), np.uint8)
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         slot = (hashes >> np.uint64(64 - SLOTS)).astype(np.int64)
         found = self.keys[slot]
@@ -131,30 +140,43 @@ def _substring(prefix: np.ndarray, inverse: np.ndarray, begin: np.ndarray, end:
     return mix64((prefix[end] - prefix[begin]) * inverse[begin] + np.uint64(1) * np.asarray(size, np.uint64))
 
 
+def read_model(model_file: str) -> bytes:
+    with open(model_file, "rb") as f:
+        model = f.read(MAX_MODEL_BYTES + 1)
+    if len(model) > MAX_MODEL_BYTES:
+        raise ValueError(f"{model_file} holds more than {MAX_MODEL_BYTES} bytes")
+    return model
+
+
 @lru_cache(maxsize=1)
-def lattice_of(model_file: str, sharpness: float) -> "Lattice":
-    return Lattice(load(model_file, sharpness))
+def lattice_of(model: bytes, sharpness: float) -> "Lattice":
+    return Lattice(load(model, sharpness))
 
 
 @lru_cache(maxsize=2)
-def load(model_file: str, sharpness: float) -> Pieces:
-    return Pieces(model_file, sharpness)
+def load(model: bytes, sharpness: float) -> Pieces:
+    return Pieces(model, sharpness)
 
 
 class Lattice:
-    """Lattices of distinct chunks: one node per character, edges by length.
+    """Lattices of distinct chunks: a node per character and one at the end, edges by length.
 
-    The first ``KEPT`` chunks that a worker meets stay (frequent ones come early);
-    what a batch adds to them is forgotten after it.  Results do not depend on it.
+    ``behind`` is the logarithm of the mass of all paths from a node to the end of
+    its chunk, so an edge's probability needs no table; ``near`` holds running sums
+    of those probabilities, to draw from.  The chunks that a worker meets first
+    stay, up to ``KEPT_NODES`` nodes (frequent ones come early); what a batch adds to them
+    is forgotten after it.  Results do not depend on it.
     """
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces, self.wide = pieces, 1
+        with np.errstate(divide="ignore"):
+            self.log_weight = np.log(pieces.weight)
         self.kept: dict[str, int] = {}
         self.base = self.end = np.zeros(0, np.int64)
         self.codes = np.zeros(0, np.uint32)
+        self.behind = np.zeros(0)
         self.edge = np.zeros((0, 1), pieces.ids.dtype)
-        self.prob = np.zeros((0, 1))
         self.near = np.zeros((0, 1), np.float32)
         self._kept_nodes = 0
 
@@ -166,20 +188,21 @@ class Lattice:
         new: dict[str, int] = {}
         found[lost] = [new.setdefault(chunks[i], n_kept + len(new)) for i in lost.tolist()]
         self._build(list(new), n_kept)
-        if n_kept < KEPT:
-            for c, i in new.items():
-                if len(self.kept) < KEPT:
-                    self.kept[c] = i
-            self._kept_nodes = int(self.end[len(self.kept) - 1]) if self.kept else 0
+        for c, i in new.items():
+            if self.end[i] >= KEPT_NODES:
+                break
+            self.kept[c] = i
+            self._kept_nodes = int(self.end[i]) + 1
         return found.astype(np.int64)
 
     def _build(self, chunks: list[str], n_kept: int) -> None:
         p, longest = self.pieces, self.pieces.longest
         sizes = np.array([len(c) for c in chunks], np.int64)
-        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "replace"), np.uint32)
-        ends = np.cumsum(sizes)
+        # A zero ends each chunk; no piece holds one.
+        codes = np.frombuffer("".join([c + "\0" for c in chunks]).encode("utf-32-le", "replace"), np.uint32)
+        ends = np.cumsum(sizes + 1) - 1
         n, begin = len(codes), self._kept_nodes
-        room = np.repeat(ends, sizes) - np.arange(n)
+        room = np.repeat(ends, sizes + 1) - np.arange(n)
         prefix, inverse = _prefix(codes)
         edge = np.full((n, longest), -1, p.ids.dtype)
         at, wide = np.arange(n), self.wide
@@ -193,17 +216,18 @@ class Lattice:
         if wide > self.wide:
             more = wide - self.wide
             self.edge = np.pad(self.edge, ((0, 0), (0, more)), constant_values=-1)
-            self.prob = np.pad(self.prob, ((0, 0), (0, more)))
             self.near = np.pad(self.near, ((0, 0), (0, more)), constant_values=1)
             self.wide = wide
-        if begin + n > len(self.codes):
-            room_for = begin + n + n // 4 - len(self.codes)
-            self.codes = np.pad(self.codes, (0, room_for))
-            self.edge, self.prob, self.near = (np.pad(x, ((0, room_for), (0, 0))) for x in (self.edge, self.prob, self.near))
+        # Behind the last node stand ``wide`` more, so that no edge leads out of the arrays.
+        if begin + n + wide > len(self.codes):
+            room_for = begin + n + n // 4 + wide - len(self.codes)
+            self.codes, self.behind = (np.pad(x, (0, room_for)) for x in (self.codes, self.behind))
+            self.edge, self.near = (np.pad(x, ((0, room_for), (0, 0))) for x in (self.edge, self.near))
         self.codes[begin : begin + n] = codes
         self.edge[begin : begin + n] = edge[:, :wide]
         self.base = np.concatenate([self.base[:n_kept], begin + ends - sizes])
         self.end = np.concatenate([self.end[:n_kept], begin + ends])
+        self.behind[begin + ends] = 0
         # Backward, all chunks in step from their last character; ahead[:, k] is the
         # mass of what follows k + 1 characters on, relative to that of the next node.
         order = np.argsort(-sizes, kind="stable")
@@ -216,7 +240,7 @@ class Lattice:
             w = p.weight[self.edge[rows]] * ahead[:m]
             mass = w.sum(axis=1, keepdims=True)
             w /= mass
-            self.prob[rows] = w
+            self.behind[rows] = self.behind[rows + 1] + np.log(mass[:, 0])
             upto = np.cumsum(w, axis=1)
             # The last edge that has mass takes what rounding leaves.
             upto[np.arange(m), wide - 1 - np.argmax(w[:, ::-1] > 0, axis=1)] = 1
@@ -224,8 +248,14 @@ class Lattice:
             ahead[:m, 1:] = ahead[:m, :-1] / mass
             ahead[:m, 0] = 1
 
-    def chance(self, node: np.ndarray, k: np.ndarray) -> np.ndarray:
-        return self.prob[node, k]
+    def log_chance(self, node: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The log-probability of edge ``k`` at each node."""
+        return self.log_weight[self.edge[node, k]] + self.behind[node + k + 1] - self.behind[node]
+
+    def chances(self, node: np.ndarray) -> np.ndarray:
+        """The probabilities of all edges of each node."""
+        logs = self.log_weight[self.edge[node]] - self.behind[node, None]
+        return np.where(np.isfinite(logs), np.exp(logs + self.behind[node[:, None] + 1 + np.arange(self.wide)]), 0.0)
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node that the number u in (0, 1) falls on."""
@@ -265,7 +295,7 @@ class _Drawn:
 
 
 def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tuple[list[list[_Drawn]], np.ndarray]:
-    """For each text its segmentations in order, and the T that the next one would have."""
+    """For each text its segmentations in order, and the logarithm of the T that the next one would have."""
     chunks: list[str] = []
     counts = []
     for t in texts:
@@ -281,7 +311,7 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tupl
     #: A key for each token: draws in it depend on this and on the place in the token.
     tok_key = mix64(keys[owner] + (np.arange(len(kind)) - first[owner]).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
     drawn: list[list[_Drawn]] = [[] for _ in texts]
-    arrival = -np.log(_uniform(keys, 0, 1))
+    arrival = np.log(-np.log(_uniform(keys, 0, 1)))
     after = np.full(len(texts), np.inf)
     #: Texts to draw from, and where: (sample, step) to leave, or None at first.
     todo: list[tuple[int, _Drawn | None, int]] = [(i, None, 0) for i in range(len(texts))]
@@ -298,7 +328,7 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tupl
             node = np.array([d.node[s] for _, d, s in again], np.int64)
             fresh_from = tok + 1
             carry[docs] = [d.log_prob - d.logs[s:].sum() for _, d, s in again]
-            w = lattice.prob[node]
+            w = lattice.chances(node)
             for r, (_, d, s) in enumerate(again):
                 w[r, d.edge[s]] = 0
                 if s == 0:
@@ -334,22 +364,25 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tupl
         per_doc = np.bincount(doc, minlength=len(texts))
         stop = np.cumsum(per_doc)
         begin = stop - per_doc
-        chance = lattice.chance(node, edge)
-        logs = np.log(chance)
+        logs = np.minimum(lattice.log_chance(node, edge), 0.0)
         total = np.cumsum(logs)
         base = np.where(begin > 0, total[begin - 1] if n else 0.0, 0.0)
-        rest = 1 - chance
+        rest = -np.expm1(logs)
+        # What is left beside a nearly certain edge, and beside edges that are spent, is summed up: a difference would be rounding.
+        thin = np.flatnonzero(rest < 1e-6)
+        rest[thin] = _others(lattice, node[thin], edge[thin])
         for i, d, s in again:
             x = begin[i]
-            barred = np.array([*(d.barred if s == 0 else []), int(d.edge[s])])
-            rest[x] -= lattice.chance(np.full(len(barred), node[x]), barred).sum()
-        rest[rest < 1e-15] = 0
+            barred = np.array([*(d.barred if s == 0 else []), int(d.edge[s]), int(edge[x])])
+            w = lattice.chances(node[x : x + 1])[0]
+            w[barred] = 0
+            rest[x] = w.sum()
         before = (carry - base)[doc] + total - logs
         race = np.full(n, np.inf)
-        some = np.flatnonzero((before > FAINT) & (rest > 0))
+        some = np.flatnonzero(rest > 0)
         own = doc[some]
         spread = -np.log(_uniform(keys[own], some - begin[own], 8 * number + 5))
-        race[some] = arrival[own] + spread / (np.exp(before[some]) * rest[some])
+        race[some] = np.logaddexp(arrival[own], np.log(spread / rest[some]) - before[some])
         following = []
         for i, d, s in todo:
             part = slice(begin[i], stop[i])
@@ -375,6 +408,17 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tupl
     return drawn, after
 
 
+def _others(lattice: Lattice, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The probability of all edges of each node but ``edge``."""
+    out = np.zeros(len(node))
+    w = lattice.log_weight[lattice.edge[node]]
+    several = np.flatnonzero(np.isfinite(w).sum(axis=1) > 1)
+    w = lattice.chances(node[several])
+    w[np.arange(len(several)), edge[several]] = 0
+    out[several] = w.sum(axis=1)
+    return out
+
+
 def piece_ids(pieces: Pieces, lattice: Lattice, d: _Drawn) -> np.ndarray:
     """Vocabulary ids of a segmentation; characters without a piece become bytes."""
     node, edge = _steps(d)
@@ -405,78 +449,81 @@ def _steps(d: _Drawn) -> tuple[np.ndarray, np.ndarray]:
 SAMPLE_FIELDS = "rank int, ids array<int>, n_pieces int, log_prob double, log_inclusion double"
 
 
-def encode(docs: DataFrame, key: str, keep: list[str], k: int = 2, sharpness: float = 1.0, model_file: str = DEFAULT_MODEL) -> DataFrame:
+def encode(docs: DataFrame, key: str, keep: list[str], k: int = 2, sharpness: float = 1.0, model_file: str = DEFAULT_MODEL, check: bool = False) -> DataFrame:
     """One row per document and segmentation: the columns ``keep`` and ``SAMPLE_FIELDS``.
 
     ``key`` names the integer column that seeds a row; ``text`` is encoded whole.
+    With ``check`` the column ``round_trip`` says whether the ids, decoded by the same
+    worker, give the text again.
     """
     fields = docs.select(*keep).schema.fields
-    schema = T.StructType([*fields, *T._parse_datatype_string(SAMPLE_FIELDS).fields])
+    schema = T.StructType([*fields, *T._parse_datatype_string(SAMPLE_FIELDS + (", round_trip boolean" if check else "")).fields])
+    model = docs.sparkSession.sparkContext.broadcast(read_model(model_file))
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = lattice_of(model_file, sharpness)
+        lattice = lattice_of(model.value, sharpness)
         pieces = lattice.pieces
-        for part in parts:
-            texts = part.column("text").to_pylist()
-            keys = part.column("key").to_numpy(zero_copy_only=False)
-            for begin, end in batches_of(texts, BATCH):
-                drawn, nexts = sample(lattice, texts[begin:end], keys[begin:end], k)
-                origin = np.repeat(np.arange(begin, end), [len(d) for d in drawn])
+        for whole in parts:
+            for part in slices_of(whole, len(keep) + 1, BATCH):
+                texts = part.column("text").to_pylist()
+                drawn, nexts = sample(lattice, texts, part.column("key").to_numpy(zero_copy_only=False), k)
+                origin = np.repeat(np.arange(len(texts)), [len(d) for d in drawn])
                 ids = [piece_ids(pieces, lattice, x) for d in drawn for x in d]
                 sizes = np.array([len(x) for x in ids], np.int32)
                 logp = np.array([x.log_prob for d in drawn for x in d])
-                after = nexts[origin - begin]
-                rate = np.log(np.maximum(after, 1e-300)) + logp
+                rate = nexts[origin] + logp
                 with np.errstate(divide="ignore", over="ignore"):
                     inclusion = np.where(rate < -30, rate, np.log(-np.expm1(-np.exp(np.minimum(rate, 700)))))
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 made = [
                     pa.array([r for d in drawn for r in range(1, len(d) + 1)], pa.int32()),
-                    pa.ListArray.from_arrays(offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32)),
+                    pa.ListArray.from_arrays(offsets, flat),
                     pa.array(sizes),
                     pa.array(logp),
                     pa.array(inclusion),
                 ]
+                if check:
+                    made.append(pa.array([t == texts[i] for t, i in zip(decoded(pieces, flat, offsets), origin.tolist(), strict=True)], pa.bool_()))
                 kept = [part.column(i).take(pa.array(origin)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def decoded(pieces: Pieces, values: np.ndarray, offsets: np.ndarray) -> Iterator[str]:
+    """The texts of lists of ids, from their flat values and offsets."""
+    size, begin, flat = pieces.spelling()
+    step = max(1, (1 << 19) * (len(offsets) - 1) // max(1, len(values)))
+    # So many rows at a time that their bytes stay few.
+    for a in range(0, len(offsets) - 1, step):
+        edges = offsets[a : a + step + 1]
+        own = values[edges[0] : edges[-1]]
+        n = size[own]
+        ends = np.cumsum(n)
+        data = flat[np.repeat(begin[own] - (ends - n), n) + np.arange(n.sum())].tobytes()
+        stops = np.concatenate([[0], ends])[edges - edges[0]].tolist()
+        for x, y in zip(stops, stops[1:], strict=False):
+            t = data[x:y]
+            yield (t[1:] if t[:1] == b" " else t).decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", model_file: str = DEFAULT_MODEL) -> DataFrame:
     """The columns ``keep`` and ``decoded``, the text of the column ``ids``."""
     schema = T.StructType([*encoded.select(*keep).schema.fields, T.StructField("decoded", T.StringType())])
+    model = encoded.sparkSession.sparkContext.broadcast(read_model(model_file))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = load(model_file, 1.0).raw
-        size = np.array([len(x) for x in raw], np.int64)
-        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(raw), np.uint8)
+        pieces = load(model.value, 1.0)
         for part in parts:
             column = part.column(len(keep))
-            values = column.values.to_numpy()
-            offsets = column.offsets.to_numpy()
-            texts: list[str] = []
-            # So many rows at a time that their bytes stay few.
-            step = max(1, (1 << 19) * part.num_rows // max(1, len(values)))
-            for a in range(0, part.num_rows, step):
-                edges = offsets[a : a + step + 1]
-                own = values[edges[0] : edges[-1]]
-                n = size[own]
-                ends = np.cumsum(n)
-                data = flat[np.repeat(begin[own] - (ends - n), n) + np.arange(n.sum())].tobytes()
-                stops = np.concatenate([[0], ends])[edges - edges[0]].tolist()
-                for x, y in zip(stops, stops[1:], strict=False):
-                    t = data[x:y]
-                    texts.append((t[1:] if t[:1] == b" " else t).decode("utf-8", "replace"))
+            texts = list(decoded(pieces, column.values.to_numpy(), column.offsets.to_numpy()))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.select(*keep, F.col(ids)).mapInArrow(run, schema)
 
 
 def op8_spm_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    coded = encode(docs, "doc_id", ["doc_id", "_hash"])
-    coded = coded.withColumn("ids_hash", F.xxhash64("ids"))
-    read = decode(coded, ["doc_id", "_hash", "rank", "n_pieces", "ids_hash", "log_prob", "log_inclusion"])
-    return read.withColumn("round_trip", F.xxhash64("decoded") == F.col("_hash")).drop("_hash", "decoded")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, "doc_id", ["doc_id"], check=True).withColumn("ids_hash", F.xxhash64("ids")).drop("ids")
