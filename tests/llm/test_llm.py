@@ -249,7 +249,7 @@ def test_lm_against_counts(spark):
     rows = [(i, " ".join(f"W{(i * j) % 17}" for j in range(1, 40))) for i in range(60)] + ODD + [(99, "unseen words é")]
     d = docs(spark, rows)
     train = d.where("doc_id % 3 = 0")
-    got = lm_scoring.score(d, train, ["doc_id"]).collect()
+    got = lm_scoring.score(d, lm_scoring.fit(train), ["doc_id"]).collect()
     words = lambda t: (t or "").encode().lower().split() + [None]
     c = Counter(w for i, t in rows if i is not None and i % 3 == 0 for w in words(t))
     n, v = sum(c.values()), len(c)
@@ -261,15 +261,71 @@ def test_lm_against_counts(spark):
 
 def test_lm_without_training_texts(spark):
     d = docs(spark)
-    assert {(r.base_score, r.score, r.train_tokens) for r in lm_scoring.score(d, d.limit(0), ["doc_id"]).collect()} == {(0.0, 0.0, 0)}
+    assert {(r.base_score, r.score, r.train_tokens) for r in lm_scoring.score(d, lm_scoring.fit(d.limit(0)), ["doc_id"]).collect()} == {(0.0, 0.0, 0)}
+
+
+def plain_log10(vocab, params, t):
+    """The score of one text by loops over all items: no batches, no classes sorted."""
+    r, m1, m2, b, q, bq = (p.astype(np.float64) for p in params)
+    hashes, _ = common.word_hashes([(t or "").encode()])
+    known = {int(h): (int(c), int(i)) for h, c, i in zip(vocab.words, vocab.counts, vocab.item, strict=True)}
+    before, total = [vocab.end, vocab.end], 0.0
+    for h in [*hashes.tolist(), None]:
+        c, item = known.get(h, (0, -1)) if h is not None else (None, vocab.end)
+        share = 0.0
+        if item < 0:
+            bucket = (h if h < 2**63 else h - 2**64) % lm_scoring.BUCKETS
+            item, share = int(vocab.bucket_item[bucket]), math.log((c + 0.1) / vocab.bucket_mass[bucket])
+        ctx = r[before[0]] @ m1 + r[before[1]] @ m2
+        k = item // lm_scoring.GROUP
+        inside = np.arange(k * lm_scoring.GROUP, min((k + 1) * lm_scoring.GROUP, vocab.n_items))
+        of_class = np.exp([ctx @ q[j] + bq[j] for j in range(len(q))])
+        of_item = np.exp([ctx @ r[j] + b[j] for j in inside])
+        total += math.log(of_class[k] / of_class.sum()) + math.log(of_item[item - inside[0]] / of_item.sum()) + share
+        before = [item, before[0]]
+    return total / math.log(10)
+
+
+def test_lm_against_loops(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD", 9)
+    rows = [(i, " ".join(f"W{(i * j) % 23}" for j in range(1, 12))) for i in range(40)] + ODD + [(99, "unseen words é")]
+    d = docs(spark, rows)
+    model = lm_scoring.fit(d.where("doc_id < 30"))
+    assert 0 < (model[1].item >= 0).sum() <= 9 and (model[1].item < 0).any()
+    for r in lm_scoring.score(d, model, ["doc_id", "text"]).collect():
+        assert r.score == pytest.approx(plain_log10(model[1], model[2], r.text), rel=1e-4, abs=1e-4)
+
+
+def test_lm_parameters_do_not_depend_on_partitions(spark):
+    d = docs(spark, [(i, " ".join(f"W{(i * j) % 23}" for j in range(1, 12))) for i in range(200)])
+    one, other = lm_scoring.fit(d.repartition(1)), lm_scoring.fit(d.repartition(7))
+    assert all((x == y).all() for x, y in zip(one[2], other[2], strict=True))
 
 
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    params = [rng.normal(0, 0.5, (lm_scoring.CLASSES, lm_scoring.DIM)).astype(np.float32), *(rng.normal(0, 0.5, (lm_scoring.DIM, lm_scoring.DIM)).astype(np.float32) for _ in range(2)), rng.normal(0, 1, lm_scoring.CLASSES).astype(np.float32)]
-    s = lm_scoring.Scorer(params)
-    w = np.arange(lm_scoring.CLASSES)
-    assert np.exp(s(w, np.full_like(w, 3), np.full_like(w, 9)).astype(np.float64)).sum() == pytest.approx(1, abs=1e-3)
+    n, d, k = 300, lm_scoring.DIM, 3
+    params = [rng.normal(0, 0.5, s).astype(np.float32) for s in ((n, d), (d, d), (d, d), (n,), (k, d), (k,))]
+    w = np.arange(n)
+    assert np.exp(lm_scoring.Scorer(params)(w, np.full_like(w, 3), np.full_like(w, 9)).astype(np.float64)).sum() == pytest.approx(1, abs=1e-3)
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 10, 1000])
+def test_least_count(spark, most):
+    values = [1] * 50 + [2] * 7 + [3, 3, 900, 10**12]
+    counts = spark.createDataFrame([(i, c) for i, c in enumerate(values)], "word long, c long")
+    got = lm_scoring.least_count(counts, most)
+    assert sum(c >= got for c in values) <= most
+    assert got <= 1 or sum(c >= got - 1 for c in values) > most
+
+
+def test_hash_index():
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**64, 5000, dtype=np.uint64), np.arange(200, dtype=np.uint64)]))
+    index = common.HashIndex(keys)
+    assert (index.find(keys) == np.arange(len(keys))).all()
+    assert (index.find(np.arange(200, 400, dtype=np.uint64)) == -1).all()
+    assert common.HashIndex(keys[:0]).find(keys[:3]).tolist() == [-1, -1, -1]
 
 
 def test_lm_beats_counts_on_held_out(spark):
@@ -428,3 +484,70 @@ def test_chat_round_trip(spark):
         assert back[conv] == [(role, text) for _, role, text in own]
     assert chats.where("conv_id = 1").first().formatted.count("<|im_start|>assistant") == 1
     assert chat_format.format_chats(turns.limit(0)).count() == 0
+
+
+def test_urls_without_host_keep_their_path(spark):
+    rows = [(1, "file:///etc/x?q"), (2, "http:///es/x"), (3, "http://a.org"), (4, None), (5, "no scheme"), (6, "http:///es/x"), (7, "x://e.org/" + "p" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = spark.createDataFrame([*url_filters.RULES, ("block", "e.org", "/" + "p" * 2500)], "action string, host string, path string")
+    got = {r.page_id: r for r in url_filters.filter_pages(pages, rules, url_filters.recrawled(pages)).collect()}
+    assert [(got[i].host, got[i].path) for i in range(1, 7)] == [("", "/etc/x"), ("", "/es/x"), ("a.org", ""), ("", ""), ("", ""), ("", "/es/x")]
+    assert all(got[i].verdict == "allow" and not got[i].listed for i in range(1, 7))
+    # Rules of any length are kept, and a rule's path needs a path to stand in.
+    assert got[7].verdict == "block" and got[7].rule == "e.org/" + "p" * 2500
+    assert got[3].rule is None
+
+
+def test_letters_of_every_plane_and_marks_alone():
+    model = {"langs": ["en"], "logp": np.zeros((1, langid.BUCKETS), np.float32), "allowed": np.ones((len(langid.SCRIPTS) + 1, 1), bool), "default": 0}
+    out = langid.label_texts(["\U00030010\U00030011", "\u0301\u0302 \u0303", "", "e\u0301a \u0301 b"], model)
+    assert out["lang_pred"].tolist() == ["en", "und", "und", "en"]
+    assert out["score"].tolist() == [1.0, 0.0, 0.0, 1.0]
+    assert out["spans"][3] == [{"begin": 0, "end": 7, "lang": "en"}]
+
+
+def test_sources_of_blank_texts_keep_their_rows(spark):
+    rows = [(i, "a", "x y z") for i in range(6)] + [(10, "blank", " "), (11, "blank", None), (12, None, ""), (3, "a", "x y z"), (3, "a", "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plan = mixing.schedule(docs).collect()
+    assert {r.doc_id for r in plan} >= {10, 11, 12}
+    assert all(r.weight == 0 for r in plan if r.doc_id >= 10)
+    mixed = mixing.mix(docs).collect()
+    assert Counter(r.doc_id for r in mixed) == Counter(r.doc_id for r in plan)
+    with pytest.raises(ValueError):
+        mixing.solve(np.array([1.0, 2.0]), mixing.MixConfig(budget=5.0))
+
+
+def test_vectors_that_are_all_empty_score_zero(spark):
+    v = spark.createDataFrame([(i, []) for i in range(4)], "vec_id long, embedding array<float>")
+    got = topk_search.top_k(v.where("vec_id = 0"), v).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 1, 0), (0, 2, 0), (0, 3, 0)]
+
+
+def _retag(data, tag, value):
+    at = struct.unpack_from("<I", data, 4)[0]
+    out = bytearray(data)
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        place = at + 2 + 12 * i
+        if struct.unpack_from("<H", data, place)[0] == tag:
+            struct.pack_into("<HHIHH", out, place, tag if value is not None else 65000, 3, 1, value or 0, 0)
+    return bytes(out)
+
+
+def test_layouts_that_are_not_read_are_errors(spark):
+    page = np.arange(128, dtype=np.uint8).reshape(2, 64)
+    good = tiff.write_tiff([page], tiff.DEFLATE, predictor=2)
+    files = [(0, good), (1, _retag(good, 317, 3)), (2, _retag(good, 258, None)), (3, tiff.write_tiff([page], tiff.NONE))]
+    plain = bytearray(files[3][1])
+    plain[8 : 8 + 128] = bytes(plain[8 : 8 + 128]).translate(tiff.REVERSED)
+    # Tag 262 of the plain file makes room for 266: the bits of each byte from last to first.
+    at = struct.unpack_from("<I", plain, 4)[0]
+    for i in range(struct.unpack_from("<H", plain, at)[0]):
+        place = at + 2 + 12 * i
+        if struct.unpack_from("<H", plain, place)[0] == 262:
+            struct.pack_into("<HHIHH", plain, place, 266, 3, 1, 2, 0)
+    files.append((4, bytes(plain)))
+    got = {r.id: r for r in tiff.read_pages(spark.createDataFrame(files, "id int, media binary")).collect()}
+    assert bytes(got[0].pixels) == page.tobytes() == bytes(got[4].pixels) == bytes(got[3].pixels)
+    assert got[1].error == "predictor 3" and got[1].pixels is None
+    assert got[2].error == "sample layout"
