@@ -19,7 +19,9 @@ T of the (k+1)-th gives each its inclusion probability 1 - exp(-p T).
 All draws are hashes of the row key, the sample's number and the place in the
 text, so a task that runs again gives the same samples.
 
-Times are kept as logarithms, so no region is too faint to be drawn from.
+Times are kept as logarithms, so no region is too faint to be drawn from.  Regions behind
+a log-probability of ``FAINT`` are timed only where none of the others comes before
+``SURE``, which they never do.
 
 Scale: rows are independent and nothing is shuffled; lattices of a batch are built
 once per distinct chunk, by array operations, from about ``BATCH`` bytes of
@@ -52,8 +54,10 @@ _CHUNK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _BASE_INV = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
 SLOTS = 19
+#: A waiting time is 2^-53 or more, so what lies behind FAINT has a log T above SURE.
+FAINT, SURE = -60.0, 23.0
 #: Nodes of frequent chunks that a worker keeps, about 110 bytes each.
-KEPT_NODES = 1 << 19
+KEPT_NODES = 1 << 20
 #: A vocabulary file is sent whole to each executor; a larger one is refused.
 MAX_MODEL_BYTES = 1 << 26
 
@@ -176,6 +180,8 @@ class Lattice:
         self.base = self.end = np.zeros(0, np.int64)
         self.codes = np.zeros(0, np.uint32)
         self.behind = np.zeros(0)
+        #: How many edges a node has.
+        self.options = np.zeros(0, np.int8)
         self.edge = np.zeros((0, 1), pieces.ids.dtype)
         self.near = np.zeros((0, 1), np.float32)
         self._kept_nodes = 0
@@ -221,10 +227,11 @@ class Lattice:
         # Behind the last node stand ``wide`` more, so that no edge leads out of the arrays.
         if begin + n + wide > len(self.codes):
             room_for = begin + n + n // 4 + wide - len(self.codes)
-            self.codes, self.behind = (np.pad(x, (0, room_for)) for x in (self.codes, self.behind))
+            self.codes, self.behind, self.options = (np.pad(x, (0, room_for)) for x in (self.codes, self.behind, self.options))
             self.edge, self.near = (np.pad(x, ((0, room_for), (0, 0))) for x in (self.edge, self.near))
         self.codes[begin : begin + n] = codes
         self.edge[begin : begin + n] = edge[:, :wide]
+        self.options[begin : begin + n] = (p.weight[edge[:, :wide]] > 0).sum(axis=1)
         self.base = np.concatenate([self.base[:n_kept], begin + ends - sizes])
         self.end = np.concatenate([self.end[:n_kept], begin + ends])
         self.behind[begin + ends] = 0
@@ -288,10 +295,22 @@ class _Drawn:
 
     It shares the steps before ``start`` with ``parent`` and holds its own from
     there on: nodes, edges (length - 1) and tokens, and for each step the T of the
-    region that leaves the segmentation there.
+    region that leaves the segmentation there (where it is timed), with what that follows from.
     """
 
-    __slots__ = ("parent", "start", "node", "edge", "tok", "logs", "race", "barred", "log_prob")
+    __slots__ = ("parent", "start", "node", "edge", "tok", "logs", "race", "barred", "log_prob", "before", "rest", "arrival", "number", "timed")
+
+    def time_all(self, key: np.uint64) -> None:
+        """Time the regions behind FAINT too."""
+        far = np.flatnonzero((self.before <= FAINT) & (self.rest > 0))
+        self.race[far] = _times(self.arrival, key, far, self.number, self.before[far], self.rest[far])
+        self.timed = True
+
+
+def _times(arrival: np.ndarray | float, key: np.ndarray | np.uint64, step: np.ndarray, number: int, before: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """log T of regions: that of their parent plus an exponential variate divided by their mass."""
+    spread = -np.log(_uniform(key, step, 8 * number + 5))
+    return np.logaddexp(arrival, np.log(spread / rest) - before)
 
 
 def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tuple[list[list[_Drawn]], np.ndarray]:
@@ -337,6 +356,8 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tupl
             u = _uniform(tok_key[tok], node - start_node[tok], 8 * number + 2) * cdf[:, -1]
             edge = np.minimum((cdf <= u[:, None]).sum(axis=1), w.shape[1] - 1)
             steps.append((tok, node, edge))
+            w[np.arange(len(again)), edge] = 0
+            beside = w.sum(axis=1)
             go = node + edge + 1 < end_node[tok]
             left_tok, left_node = tok[go], (node + edge + 1)[go]
         left = np.maximum(first[docs] + n_tok[docs] - fresh_from, 0)
@@ -369,20 +390,20 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tupl
         base = np.where(begin > 0, total[begin - 1] if n else 0.0, 0.0)
         rest = -np.expm1(logs)
         # What is left beside a nearly certain edge, and beside edges that are spent, is summed up: a difference would be rounding.
-        thin = np.flatnonzero(rest < 1e-6)
-        rest[thin] = _others(lattice, node[thin], edge[thin])
-        for i, d, s in again:
-            x = begin[i]
-            barred = np.array([*(d.barred if s == 0 else []), int(d.edge[s]), int(edge[x])])
-            w = lattice.chances(node[x : x + 1])[0]
-            w[barred] = 0
-            rest[x] = w.sum()
+        several = lattice.options[node] > 1
+        rest[~several] = 0
+        thin = np.flatnonzero(several & (rest < 1e-8))
+        if len(thin):
+            w = lattice.chances(node[thin])
+            w[np.arange(len(thin)), edge[thin]] = 0
+            rest[thin] = w.sum(axis=1)
+        if again:
+            rest[begin[[i for i, _, _ in again]]] = beside
         before = (carry - base)[doc] + total - logs
         race = np.full(n, np.inf)
-        some = np.flatnonzero(rest > 0)
+        some = np.flatnonzero((before > FAINT) & (rest > 0))
         own = doc[some]
-        spread = -np.log(_uniform(keys[own], some - begin[own], 8 * number + 5))
-        race[some] = np.logaddexp(arrival[own], np.log(spread / rest[some]) - before[some])
+        race[some] = _times(arrival[own], keys[own], some - begin[own], number, before[some], rest[some])
         following = []
         for i, d, s in todo:
             part = slice(begin[i], stop[i])
@@ -390,15 +411,16 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tupl
             new.parent = d
             new.start = s
             new.tok, new.node, new.edge, new.logs, new.race = tok[part], node[part], edge[part], logs[part], race[part]
+            new.before, new.rest, new.arrival, new.number, new.timed = before[part], rest[part], arrival[i], number, False
             new.log_prob = carry[i] + float(new.logs.sum())
             new.barred = [] if d is None else [*(d.barred if s == 0 else []), int(d.edge[s])]
             drawn[i].append(new)
-            best, where = np.inf, None
-            for x in drawn[i]:
-                if len(x.race):
-                    at_step = int(x.race.argmin())
-                    if x.race[at_step] < best:
-                        best, where = float(x.race[at_step]), (x, at_step)
+            best, where = _first(drawn[i])
+            if best >= SURE:
+                for x in drawn[i]:
+                    if not x.timed:
+                        x.time_all(keys[i])
+                best, where = _first(drawn[i])
             after[i] = best
             if where is not None and number + 1 < k:
                 following.append((i, *where))
@@ -408,15 +430,15 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tupl
     return drawn, after
 
 
-def _others(lattice: Lattice, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """The probability of all edges of each node but ``edge``."""
-    out = np.zeros(len(node))
-    w = lattice.log_weight[lattice.edge[node]]
-    several = np.flatnonzero(np.isfinite(w).sum(axis=1) > 1)
-    w = lattice.chances(node[several])
-    w[np.arange(len(several)), edge[several]] = 0
-    out[several] = w.sum(axis=1)
-    return out
+def _first(drawn: list[_Drawn]) -> tuple[float, tuple[_Drawn, int] | None]:
+    """The least log T of all regions, and where it is."""
+    best, where = np.inf, None
+    for x in drawn:
+        if len(x.race):
+            at_step = int(x.race.argmin())
+            if x.race[at_step] < best:
+                best, where = float(x.race[at_step]), (x, at_step)
+    return best, where
 
 
 def piece_ids(pieces: Pieces, lattice: Lattice, d: _Drawn) -> np.ndarray:
