@@ -358,8 +358,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: in
     rows = docs.sparkSession.read.parquet(folder)
     found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, num, den)
     linked = cut(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c")))
-    groups = linked.groupBy("_c").agg(F.count("*").alias("_n")).where("_n > 1").select("_c")
-    several = cut(linked.join(groups, "_c").join(rows.select("_row", "doc_id"), "_row"))
+    groups = cut(linked.groupBy("_c").agg(F.count("*").alias("rows")).where("rows > 1"))
+    several = cut(_grouped(linked, groups, ["_c"]).join(rows.select("_row", "doc_id"), "_row"))
     first = several.groupBy("_c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first")).select("_first._row")
     gone = cut(several.select("_row").join(first, "_row", "left_anti").select(F.col("_row").alias("_gone")))
     return rows.join(small(gone, MAX_BROADCAST), rows["_row"] == F.col("_gone"), "left_anti").drop("_row")
