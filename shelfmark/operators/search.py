@@ -47,10 +47,11 @@ def bm25(queries: DataFrame, docs: DataFrame, field: str, keys: list[str]) -> Da
     id_keys = ["collection", "user_id", *keys]
     q = queries.select("query_id", "user_id", F.explode(F.array_distinct(X.tokens(F.col("bm25_query")))).alias("term"))
     asked = q.select("term").distinct()
-    post = build_postings(docs, id_keys, field).join(asked, "term", "left_semi")
+    # Terms that nobody asks for go before anything is counted or shuffled; a posting carries its document's length.
+    words = docs.select(*id_keys, X.tokens(F.col(field)).alias("w")).select(*id_keys, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    post = words.join(asked, "term", "left_semi").groupBy(*id_keys, "dl", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("collection", "term").agg(F.count("*").alias("df"))
-    length = docs.select(*id_keys, F.size(X.tokens(F.col(field))).alias("dl"))
-    hit = post.join(q, ["user_id", "term"]).join(df, ["collection", "term"]).join(length, id_keys).join(bm25_stats(docs, field), "collection")
+    hit = post.join(q, ["user_id", "term"]).join(df, ["collection", "term"]).join(bm25_stats(docs, field), "collection")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avg_len")))
     return hit.groupBy("query_id", *id_keys).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")

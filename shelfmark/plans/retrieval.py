@@ -32,16 +32,16 @@ def reranked(spark, sf):
 
 
 def passages(spark, sf):
-    """Passing chunks with texts: lines of the question's file, and that text twice as their parent."""
+    """Passing chunks with texts: the question's file marked by the chunk, and that text twice as their parent."""
     r = reranked(spark, sf).withColumn("file_id", F.col("query_id") % 100)
     t = S.read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text")
     t = r.join(t, "file_id").where("rerank >= 4")
-    chunk = F.concat(F.substring("text", 1, 20), (F.col("chunk_index") % 2).cast("string"))
+    chunk = F.concat("text", (F.col("chunk_index") % 2).cast("string"))
     return t.withColumn("chunk_text", chunk).withColumn("parent_text", F.when(F.col("chunk_index") % 3 == 0, F.concat("chunk_text", "chunk_text")))
 
 
 VIEWS["blocks"] = """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, body, has_table FROM (SELECT *, row_number() OVER (PARTITION BY query_id, body ORDER BY rank) AS m FROM
- (SELECT query_id, rank, chunk_index % 2 = 0 AS has_table, CASE WHEN chunk_index % 3 = 0 THEN c || c ELSE c END AS body FROM (SELECT r.*, substring(text,1,20) || (chunk_index % 2) AS c FROM reranked r JOIN documents ON doc_id = query_id % 100 WHERE rerank >= 4))) WHERE m = 1"""
+ (SELECT query_id, rank, chunk_index % 2 = 0 AS has_table, CASE WHEN chunk_index % 3 = 0 THEN c || c ELSE c END AS body FROM (SELECT r.*, text || (chunk_index % 2) AS c FROM reranked r JOIN documents ON doc_id = query_id % 100 WHERE rerank >= 4))) WHERE m = 1"""
 RERANK = [*BASE, "cand", "outside", "reranked"]
 
 

@@ -158,14 +158,14 @@ def q13(spark, sf):
     return newest_files(S.read_summaries(spark, sf)).select("user_id", "file_id", "collection", "pos")
 
 
-#: Questions about one file: for each of the first files with vectors, the chunks nearest to the vector of the same number.
-VIEWS["fileq"] = "SELECT vec_id AS query_id, vec_id % 100 AS file_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 100"
+#: Questions about one file: every vector asks for the chunks of its file that are nearest to it.
+VIEWS["fileq"] = "SELECT vec_id AS query_id, vec_id % 100 AS file_id, embedding::DOUBLE[] AS v FROM embeddings"
 FILE_HITS = "SELECT query_id, chunk_index, round(list_inner_product(v, e) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(e, e)) + 1e-9), 6) AS score FROM fileq q JOIN (SELECT file_id, chunk_index, embedding::DOUBLE[] AS e FROM chunks) c USING (file_id)"
 VIEWS["file_hits"] = FILE_HITS
 
 
 def file_questions(spark, sf):
-    return S.read_chunks(spark, sf).where("vec_id < 100").select(F.col("vec_id").alias("query_id"), "file_id", F.col("embedding").alias("query_vector"))
+    return S.read_chunks(spark, sf).select(F.col("vec_id").alias("query_id"), "file_id", F.col("embedding").alias("query_vector"))
 
 
 @query("q14_file_scoped", "SELECT query_id, chunk_index, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) AS rank FROM file_hits QUALIFY rank <= 6", "chunks", "fileq", "file_hits")

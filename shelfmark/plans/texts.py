@@ -145,9 +145,9 @@ def t10(spark, sf):
     return asked(spark, sf).select("doc_id", F.array_join(X.query_dates(F.col("query")), "|").alias("dates"))
 
 
-@query("t11_query_ids", "SELECT doc_id, CASE WHEN doc_id < 10 THEN doc_id::VARCHAR || '|ref-' || doc_id ELSE doc_id::VARCHAR || '|ref-' || doc_id END AS ids FROM documents WHERE doc_id >= 10")
+@query("t11_query_ids", "SELECT doc_id, CASE WHEN doc_id BETWEEN 0 AND 9 THEN '' ELSE doc_id::VARCHAR || '|' END || 'ref-' || doc_id AS ids FROM documents")
 def t11(spark, sf):
-    out = asked(spark, sf).where("doc_id >= 10").select("doc_id", X.query_doc_ids(F.col("query")).alias("ids"))
+    out = asked(spark, sf).select("doc_id", X.query_doc_ids(F.col("query")).alias("ids"))
     return out.select("doc_id", F.array_join(F.filter("ids", lambda x: x.rlike(r"^\d+$") | x.startswith("ref-")), "|").alias("ids"))
 
 
@@ -164,14 +164,14 @@ def t13(spark, sf):
 
 @query(
     "t14_entity_filter",
-    """WITH q AS (SELECT query_id, user_id, unnest([split_part(query,' ',1), split_part(query,' ',2)]) AS item FROM queries WHERE query_id >= 1000),
+    """WITH q AS (SELECT query_id, user_id, unnest(list_distinct([lower(trim(x)) FOR x IN list_slice(string_split(query, ' '), 1, 2) IF trim(x) <> ''])) AS item FROM queries),
 h AS (SELECT file_id, user_id, unnest([lower(source), lang, '2024-01-01', 'inv-' || file_id]) AS item FROM summaries WHERE NOT is_private)
 SELECT query_id, file_id, string_agg(DISTINCT h.item, '|' ORDER BY h.item) AS matched FROM q JOIN h USING (user_id, item) GROUP BY ALL""",
     "queries",
     "summaries",
 )
 def t14(spark, sf):
-    q = S.read_queries(spark, sf).where("query_id >= 1000").withColumn("items", F.slice(F.split("query", " "), 1, 2))
+    q = S.read_queries(spark, sf).withColumn("items", F.slice(F.split("query", " "), 1, 2))
     s = S.read_summaries(spark, sf).where("NOT is_private").withColumn("index", F.from_json("index_json", S.INDEX_SCHEMA))
     return O.entity_filter(q, s).withColumn("matched", F.array_join("matched", "|"))
 
@@ -181,9 +181,16 @@ def t15(spark, sf):
     return S.read_table(spark, sf, "conversations").select("conv_id", "turn", X.table_intent(F.col("text")).alias("wants"))
 
 
-@query("t16_small_talk", "SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'greeting' WHEN turn = 1 THEN 'thanks' END AS kind FROM conversations WHERE turn < 2 OR length(trim(text)) > 30")
+KINDS = " ".join(f"WHEN plain IN ({', '.join(map(repr, phrases))}) THEN '{kind}'" for kind, phrases in X.SMALL_TALK.items())
+
+
+@query(
+    "t16_small_talk",
+    rf"""SELECT conv_id, turn, CASE WHEN length(trim(said)) <= 30 THEN CASE {KINDS} END END AS kind FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(said), '[^a-z ]+', ' ', 'g'), '\s+', ' ', 'g')) AS plain
+FROM (SELECT conv_id, turn, CASE turn WHEN 0 THEN ' Good   MORNING! ' WHEN 1 THEN 'thank you :)' ELSE text END AS said FROM conversations))""",
+)
 def t16(spark, sf):
-    c = S.read_table(spark, sf, "conversations").where("turn < 2 OR length(trim(text)) > 30")
+    c = S.read_table(spark, sf, "conversations")
     said = F.when(F.col("turn") == 0, " Good   MORNING! ").when(F.col("turn") == 1, "thank you :)").otherwise(F.col("text"))
     return c.select("conv_id", "turn", X.small_talk_kind(said).alias("kind"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from shelfmark.operators.catalogue import merge_usage, route_messages
+from shelfmark.operators.catalogue import route_messages
 from shelfmark.operators.lifecycle import ingest_batch, route_dead_letters
 from shelfmark.sources.tables import read_messages
 
@@ -32,7 +32,7 @@ def usage_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def usage_upsert(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps each batch's increments under its own number; ``read_usage`` adds them up."""
+    """A ``foreachBatch`` function that keeps each batch's running totals under its own number; ``read_usage`` takes the latest of each key."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -41,8 +41,10 @@ def usage_upsert(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def read_usage(spark, path: str) -> DataFrame:
-    rows = spark.read.parquet(path).drop("batch")
-    return merge_usage(rows.limit(0), rows)
+    """The totals per user and day: in update mode a later batch's row of a key replaces the earlier one's, in append mode a key has one row."""
+    counts = ["messages", "persistent", "ephemeral"]
+    last = spark.read.parquet(path).groupBy("user_id", "day").agg(F.max_by(F.struct(*counts), "batch").alias("n"))
+    return last.select("user_id", "day", *[f"n.{c}" for c in counts])
 
 
 def run_ingest(values: DataFrame, indexed: Callable[[], DataFrame], out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

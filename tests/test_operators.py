@@ -233,3 +233,30 @@ def test_entry_lists_queries():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     json.dumps(sorted(e.queries()))
+
+
+def test_usage_stream_in_update_mode_counts_each_event_once(spark, tmp_path):
+    import datetime
+
+    from shelfmark.streaming import jobs
+
+    at = datetime.datetime(2024, 1, 5, 12)
+    for n in range(3):
+        spark.createDataFrame([(1, "click" if n else "view", at)], "user_id long, event_type string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    e = spark.readStream.schema("user_id long, event_type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = jobs.usage_stream(e).writeStream.outputMode("update").foreachBatch(jobs.usage_upsert(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(list((tmp_path / "out").glob("batch=*"))) >= 3
+    got = jobs.read_usage(spark, str(tmp_path / "out")).collect()
+    assert [(r.user_id, str(r.day), r.messages, r.persistent, r.ephemeral) for r in got] == [(1, "2024-01-05", 3, 2, 1)]
+
+
+def test_boilerplate_is_sorted_once_under_a_filter(spark):
+    from shelfmark.operators.texts import strip_boilerplate
+
+    d = spark.createDataFrame([(1, "head line\na b c\nhead line\nx\nhead line"), (2, "one\ntwo"), (3, None), (4, "same line\nsame line\nsame line")], "doc_id long, text string")
+    out = strip_boilerplate(d).where("text != ''")
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "a b c\nx", 2: "one\ntwo"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # At most once for the filter and once for the column, never inside the lambda over lines.
+    assert plan.count("array_sort(") <= 2
