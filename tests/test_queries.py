@@ -45,9 +45,3 @@ def test_same_rows(name, spark, sf, duck):
     want = Counter(repr([plain(r[names.index(c)]) for c in order]) for r in rows.fetchall())
     have = Counter(repr([plain(r[c]) for c in order]) for r in got.collect())
     assert have == want
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_gives_rows(name, spark, sf):
-    df = QUERIES[name](spark, sf)
-    assert df.columns and df.count() >= 0
