@@ -11,10 +11,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from shelfmark.functions import text as X
-from shelfmark.functions.columns import cosine
+from shelfmark.functions.columns import dot
 from shelfmark.operators.catalogue import federate, top_k
 
 K1, BM25_B = 1.2, 0.75
@@ -90,9 +91,12 @@ def hybrid(queries: DataFrame, docs: DataFrame, field: str, keys: list[str], alp
     """
     id_keys = ["collection", "user_id", *keys]
     words = bm25(queries, docs, field, keys).withColumnRenamed("score", "words")
-    q = queries.where("query_vector IS NOT NULL").select("query_id", "user_id", "query_vector")
-    dense = docs.where("embedding IS NOT NULL").select(*id_keys, "embedding").join(q, "user_id")
-    dense = dense.select("query_id", *id_keys, F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("dense"))
+    # Lengths are taken once a vector, not once a pair.
+    length = lambda v: F.sqrt(dot(v, v))
+    q = queries.where("query_vector IS NOT NULL").select("query_id", "user_id", "query_vector", length(F.col("query_vector")).alias("_ql"))
+    dense = docs.where("embedding IS NOT NULL").select(*id_keys, "embedding", length(F.col("embedding")).alias("_dl")).join(q, "user_id")
+    like = dot(F.col("embedding"), F.col("query_vector")) / (F.col("_dl") * F.col("_ql") + F.lit(1e-9))
+    dense = dense.select("query_id", *id_keys, F.round(like, 6).alias("dense"))
     both = dense.join(words, ["query_id", *id_keys], "full")
     w = W.partitionBy("query_id", "collection")
     score = alpha * F.coalesce(min_max(F.col("dense"), w), F.lit(0.0)) + (1 - alpha) * F.coalesce(min_max(F.col("words"), w), F.lit(0.0))
@@ -100,18 +104,21 @@ def hybrid(queries: DataFrame, docs: DataFrame, field: str, keys: list[str], alp
 
 
 def consolidate(signals: dict[str, DataFrame]) -> DataFrame:
-    """All signals in one table; the best rank per (query, file, signal)."""
-    rows = federate([s.select("query_id", "file_id", "rank", F.lit(n).alias("signal")) for n, s in signals.items()])
-    return rows.groupBy("query_id", "file_id", "signal").agg(F.min("rank").alias("rank"))
+    """All signals in one table; the best rank per (query, file, signal), and the chunk that matched (signals of chunks only)."""
+    chunk = lambda s, n: F.col("chunk_index").cast("long") if n.startswith("chunk:") and "chunk_index" in s.columns else F.lit(None).cast("long")
+    rows = federate([s.select("query_id", "file_id", "rank", chunk(s, n).alias("matched_chunk"), F.lit(n).alias("signal")) for n, s in signals.items()])
+    return rows.groupBy("query_id", "file_id", "signal").agg(F.min("rank").alias("rank"), F.min_by("matched_chunk", "rank").alias("matched_chunk"))
 
 
 def rrf(ranks: DataFrame) -> DataFrame:
-    """Q8, Q10: fused score, and the signals that found a file, strongest first."""
+    """Q8, Q10: fused score, the signals that found a file, strongest first, and the chunk that matched best."""
+    if "matched_chunk" not in ranks.columns:
+        ranks = ranks.withColumn("matched_chunk", F.lit(None).cast("long"))
     pairs = [x for n, v in WEIGHTS.items() for x in (F.lit(n), F.lit(v))]
     weight = F.element_at(F.create_map(*pairs), F.col("signal"))
     place = F.element_at(F.create_map(*[x for i, n in enumerate(WEIGHTS) for x in (F.lit(n), F.lit(i))]), F.col("signal"))
     names = F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), "signal"))), lambda x: x["signal"])
-    return ranks.groupBy("query_id", "file_id").agg(F.sum(weight / (RRF_K + F.col("rank"))).alias("base"), names.alias("matched_in"))
+    return ranks.groupBy("query_id", "file_id").agg(F.sum(weight / (RRF_K + F.col("rank"))).alias("base"), names.alias("matched_in"), F.min_by("matched_chunk", F.when(F.col("matched_chunk").isNotNull(), F.col("rank"))).alias("matched_chunk"))
 
 
 def age_days(as_of: Column, at: Column) -> Column:
@@ -133,7 +140,7 @@ def top_results(scored: DataFrame, n: int = 30) -> DataFrame:
 
 
 def mmr(results: DataFrame, lam: float = 0.7) -> DataFrame:
-    """Q11: greedy re-order of each query's results (at most a few dozen rows) by score and unlikeness of names."""
+    """Q11: ``results`` with ``position``: greedy re-order of each query's results (at most a few dozen rows) by score and unlikeness of names."""
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rank").reset_index(drop=True)
@@ -150,12 +157,12 @@ def mmr(results: DataFrame, lam: float = 0.7) -> DataFrame:
             for x in left:
                 if names[x] and names[i]:
                     like[x] = max(like[x], len(names[x] & names[i]) / min(len(names[x]), len(names[i])))
-        out = part.loc[picked, ["query_id", "file_id", "score", "rank"]].reset_index(drop=True)
+        out = part.loc[picked].drop(columns="words").reset_index(drop=True)
         out["position"] = range(1, len(out) + 1)
         return out
 
-    rows = results.select("query_id", "file_id", "score", "rank", X.filename_tokens(F.col("filename")).alias("words"))
-    return rows.groupBy("query_id").applyInPandas(one, "query_id long, file_id long, score double, rank int, position int")
+    schema = T.StructType([*results.schema.fields, T.StructField("position", T.IntegerType())])
+    return results.withColumn("words", X.filename_tokens(F.col("filename"))).groupBy("query_id").applyInPandas(one, schema)
 
 
 def search_signals(queries: DataFrame, files: DataFrame, summaries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -171,11 +178,17 @@ def search_signals(queries: DataFrame, files: DataFrame, summaries: DataFrame, c
     }
     if vectors is not None:
         hits = hybrid(q.join(queries.select("query_id", "query_vector"), "query_id"), public.join(vectors, "file_id"), "raw_text", ["file_id"])
-        out["chunk:hybrid"] = rank_files(hits.where("score > 0.55").withColumn("chunk_index", F.lit(0)), 20)
+        # Vectors are of whole files here: which chunk matched isn't known.
+        out["chunk:hybrid"] = rank_files(hits.where("score > 0.55").withColumn("chunk_index", F.lit(0)), 20).drop("chunk_index")
     return out
 
 
 def federated_search(queries: DataFrame, files: DataFrame, summaries: DataFrame, chunks: DataFrame, access: DataFrame, as_of: Column, vectors: DataFrame | None = None, n: int = 30) -> DataFrame:
-    """Q12: query_id, file_id, score, rank and the signals that found the file."""
+    """Q12, Q10: query_id, file_id, score, rank, the signals that found the file and the chunk that matched; ``diverse_search`` goes on to Q11's order."""
     fused = rrf(consolidate(search_signals(queries, files, summaries, chunks, vectors)))
     return top_results(boosts(fused, files, access, as_of), n)
+
+
+def diverse_search(*args, **kwargs) -> DataFrame:
+    """Q12 to its end: the rows of ``federated_search`` with their ``position`` in the order for diversity."""
+    return mmr(federated_search(*args, **kwargs))

@@ -55,7 +55,7 @@ JOIN (SELECT collection, count(*) AS n_docs, avg(len(toks)) AS avg_len FROM {nam
 
 
 def rank_sql(source: str, where: str = "true") -> str:
-    return f"""SELECT query_id, collection, file_id, row_number() OVER (PARTITION BY query_id, collection ORDER BY n) AS rank FROM (SELECT query_id, collection, file_id, min(n) AS n FROM
+    return f"""SELECT query_id, collection, file_id, chunk_index, row_number() OVER (PARTITION BY query_id, collection ORDER BY n) AS rank FROM (SELECT query_id, collection, file_id, min(n) AS n, arg_min(chunk_index, n) AS chunk_index FROM
  (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, file_id, chunk_index) AS n FROM {source} WHERE {where}) WHERE n <= 20 GROUP BY ALL)"""
 
 
@@ -72,11 +72,11 @@ VIEWS["hyb_r"] = rank_sql("hyb", "score > 0.55")
 BASE = ["files", "summaries", "queries", "qk", "public"]
 SIGNALS = ["line_chunks", "sig_full", "sig_tok", *[f"{b}{x}" for b in ("b_chunk", "b_sum", "b_raw") for x in ("_t", "_p", "", "_r")]]
 HYBRID = ["dense", "b_vec_t", "b_vec_p", "b_vec", "hyb", "hyb_r"]
-VIEWS["ranks"] = """SELECT query_id, file_id, signal, min(rank) AS rank FROM (SELECT query_id, file_id, rank, 'filename:full' AS signal FROM sig_full UNION ALL SELECT query_id, file_id, rank, 'filename:tokenized' FROM sig_tok
- UNION ALL SELECT query_id, file_id, rank, 'chunk:bm25' FROM b_chunk_r UNION ALL SELECT query_id, file_id, rank, 'summary:bm25' FROM b_sum_r UNION ALL SELECT query_id, file_id, rank, 'raw_text:bm25' FROM b_raw_r UNION ALL SELECT query_id, file_id, rank, 'chunk:hybrid' FROM hyb_r) GROUP BY ALL"""
-VIEWS["fused"] = "SELECT query_id, file_id, sum(CASE signal WHEN 'filename:full' THEN 3.0 WHEN 'chunk:hybrid' THEN 1.5 WHEN 'raw_text:bm25' THEN 1.5 ELSE 2.0 END::DOUBLE / (60 + rank)) AS base, string_agg(signal, '|' ORDER BY CASE signal WHEN 'filename:full' THEN 0 WHEN 'filename:tokenized' THEN 1 WHEN 'chunk:bm25' THEN 2 WHEN 'summary:bm25' THEN 3 WHEN 'chunk:hybrid' THEN 4 ELSE 5 END) AS matched_in FROM ranks GROUP BY ALL"
+VIEWS["ranks"] = """SELECT query_id, file_id, signal, min(rank) AS rank, arg_min(chunk, rank) AS matched_chunk FROM (SELECT query_id, file_id, rank, 'filename:full' AS signal, NULL::BIGINT AS chunk FROM sig_full UNION ALL SELECT query_id, file_id, rank, 'filename:tokenized', NULL FROM sig_tok
+ UNION ALL SELECT query_id, file_id, rank, 'chunk:bm25', chunk_index FROM b_chunk_r UNION ALL SELECT query_id, file_id, rank, 'summary:bm25', NULL FROM b_sum_r UNION ALL SELECT query_id, file_id, rank, 'raw_text:bm25', NULL FROM b_raw_r UNION ALL SELECT query_id, file_id, rank, 'chunk:hybrid', NULL FROM hyb_r) GROUP BY ALL"""
+VIEWS["fused"] = "SELECT query_id, file_id, sum(CASE signal WHEN 'filename:full' THEN 3.0 WHEN 'chunk:hybrid' THEN 1.5 WHEN 'raw_text:bm25' THEN 1.5 ELSE 2.0 END::DOUBLE / (60 + rank)) AS base, string_agg(signal, '|' ORDER BY CASE signal WHEN 'filename:full' THEN 0 WHEN 'filename:tokenized' THEN 1 WHEN 'chunk:bm25' THEN 2 WHEN 'summary:bm25' THEN 3 WHEN 'chunk:hybrid' THEN 4 ELSE 5 END) AS matched_in, max(matched_chunk) AS matched_chunk FROM ranks GROUP BY ALL"
 AGE = f"greatest(0.0, epoch(TIMESTAMP '{AS_OF}' - date_trunc('second', {{}})) / 86400)"
-VIEWS["boosted"] = f"""SELECT query_id, f.file_id, filename, base, matched_in, round(base * (1 + 0.08 * exp(-{AGE.format('created_at')} / 30) + CASE WHEN coalesce(access_count, 0) > 0 THEN 0.12 * least(1.0, ln(1 + access_count) * exp(-{AGE.format('last_accessed_at')} / 14) / 3) ELSE 0 END), 6) AS score
+VIEWS["boosted"] = f"""SELECT query_id, f.file_id, filename, base, matched_in, matched_chunk, round(base * (1 + 0.08 * exp(-{AGE.format('created_at')} / 30) + CASE WHEN coalesce(access_count, 0) > 0 THEN 0.12 * least(1.0, ln(1 + access_count) * exp(-{AGE.format('last_accessed_at')} / 14) / 3) ELSE 0 END), 6) AS score
 FROM fused JOIN files f USING (file_id) LEFT JOIN access a ON a.file_id = f.file_id WHERE length(filename) > 0"""
 
 
@@ -107,10 +107,10 @@ def q5(spark, sf):
     return Q.bm25(prepared(spark, sf), S.read_summaries(spark, sf).where("NOT is_private"), "summary", ["file_id"])
 
 
-@query("q5_bm25_chunks_w1", "SELECT * FROM b_chunk_r", *BASE, "line_chunks", "b_chunk_t", "b_chunk_p", "b_chunk", "b_chunk_r")
+@query("q5_bm25_chunks_w1", "SELECT query_id, collection, file_id, chunk_index, rank FROM b_chunk_r", *BASE, "line_chunks", "b_chunk_t", "b_chunk_p", "b_chunk", "b_chunk_r")
 def q5b(spark, sf):
     hits = Q.bm25(prepared(spark, sf), line_chunks(spark, sf), "text", ["file_id", "chunk_index"])
-    return Q.rank_files(hits, 20).select("query_id", "collection", "file_id", "rank")
+    return Q.rank_files(hits, 20).select("query_id", "collection", "file_id", "chunk_index", "rank")
 
 
 @query("q6_signal_hybrid", "SELECT query_id, collection, user_id, file_id, score FROM hyb WHERE score > 0.55", *BASE, *HYBRID[:-1])
@@ -135,22 +135,22 @@ def q8(spark, sf):
     return Q.rrf(Q.consolidate(signals(spark, sf))).select("query_id", "file_id", F.round("base", 6).alias("base"), F.array_join("matched_in", "|").alias("matched_in"))
 
 
-def searched(spark, sf):
+def searched(spark, sf, search=Q.federated_search):
     q, v = with_vectors(spark, sf)
-    return Q.federated_search(q, S.read_files(spark, sf), S.read_summaries(spark, sf), line_chunks(spark, sf), S.read_access(spark, sf), as_of(), v)
+    return search(q, S.read_files(spark, sf), S.read_summaries(spark, sf), line_chunks(spark, sf), S.read_access(spark, sf), as_of(), v)
 
 
-SEARCH_SQL = "SELECT query_id, file_id, filename, score, matched_in, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM boosted QUALIFY rank <= 30"
+SEARCH_SQL = "SELECT query_id, file_id, filename, score, matched_in, matched_chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM boosted QUALIFY rank <= 30"
 
 
 @query("q12_federated_search", SEARCH_SQL, *BASE, "ev", "access", *SIGNALS, *HYBRID, "ranks", "fused", "boosted")
 def q12(spark, sf):
-    return searched(spark, sf).select("query_id", "file_id", "filename", "score", F.array_join("matched_in", "|").alias("matched_in"), "rank")
+    return searched(spark, sf).select("query_id", "file_id", "filename", "score", F.array_join("matched_in", "|").alias("matched_in"), "matched_chunk", "rank")
 
 
 @query("q11_mmr_diversity")
 def q11(spark, sf):
-    return Q.mmr(searched(spark, sf))
+    return searched(spark, sf, Q.diverse_search).withColumn("matched_in", F.array_join("matched_in", "|"))
 
 
 @query("q13_recent_uploads", "WITH t AS (SELECT * FROM summaries QUALIFY row_number() OVER (PARTITION BY user_id, collection ORDER BY created_at DESC, file_id) <= 50) SELECT user_id, file_id, collection, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, file_id) AS pos FROM t", "summaries")
