@@ -166,6 +166,18 @@ def test_viterbi_is_optimal():
         ("<body><div id=cookie-notice>ok?</div><p>text<script>var x='</p>'</script><form>f<input></form></body>", "text"),
         ("<p>1 < 2 <!-- gone -->and &#x41;&eacute;", "1 < 2 and Aé"),
         ("<ul><li>a<li>b</ul><div hidden>no</div><p style='display: none'>no</p>", "a b"),
+        # A name may say what the page has; a wrapper named like a side block holds the article.
+        ("<body class='home no-sidebar'><article class='post comments-open'><p>the text</p></article></body>", "the text"),
+        ("<div class='sidebar-layout'><div class='discussion'><p>all of the text</p></div></div>", "all of the text"),
+        ("<div class='with-menu'><div class='nav'><a>m</a></div><article><p>text</p></article></div>", "text"),
+        ("<div class='sidebar'><article>teaser</article></div><article><p>a much longer text</p></article>", "a much longer text"),
+        # One teaser in an article element beside the text.
+        ("<article class='card'><p>read this</p></article><div><p>the main text, which is much longer than that</p></div>", "read this the main text, which is much longer than that"),
+        ("<article><p>short</p></article><div class='comments'><p>a comment that is much longer than the article</p></div>", "short"),
+        ("<article><p>text</p><section id='comments'><article class='comment'>one more</article></section><div class='related'><a>r</a></div></article>", "text"),
+        ("<form id='aspnetForm'><div><article><p>text</p></article></div><form>f</form></form>", "text"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "so x=1 holds"),
+        ("<div class='top-story'><p>the story</p></div><div class='top'>x</div>", "the story"),
     ],
 )
 def test_content(html, want):
@@ -179,6 +191,85 @@ def test_template_is_removed_but_copies_stay(spark):
     assert got[3] == "story 3 more 3" and got[100] == "Always here story 1 more 1" and got[200] == "z" and got[201] == ""
 
 
+def test_constant_headings_of_an_article_stay(spark):
+    page = lambda i: f"<body><div>Site name</div><article class='post-{i}'><h2>Summary</h2><p>text {i}</p></article></body>"
+    rows = [(i, "http://h.com/x", page(i)) for i in range(6)] + [(10 + i, "http://few.com/", f"<div>Site name</div><p>text {i}</p>") for i in range(3)] + [(20 + i, "http://two.com/", f"<div>Site name</div><p>text {i}</p>") for i in range(2)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Summary text 3" and got[11] == "text 1" and got[21] == "Site name text 1"
+    whole = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=2)
+    assert {r.page_id: r.text for r in whole.collect()}[21] == "text 1"
+
+
+def test_extraction_against_plain_python(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(120):
+        layout = "<div class='w{0}'><ul><li>home<li>news</ul></div><div><h1>t{0}</h1>{1}</div><div>About us</div>" if i % 3 else "<div><p>News</p></div><article><h2>Intro</h2>{1}</article><div>About us</div>"
+        text = "".join(f"<p>w{x}</p>" for x in rng.integers(0, 9, rng.integers(1, 5)))
+        rows.append((i, f"http://h{i % 7}.org/{i}", layout.format(i, text)))
+    rows += [rows[5], rows[6], (300, "http://h1.org/", None), (301, None, "<p>x</p>"), (302, "http://h1.org/", "<p>" + "long " * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df).collect())
+
+    key = {r.html: r.h for r in df.selectExpr("html", "xxhash64(html) as h").collect()}
+    hosts = {}
+    for _, url, source in rows:
+        if url and source:
+            hosts.setdefault(url.split("/")[2], set()).add(source)
+    want, wrappers = [], {}
+    for host, sources in hosts.items():
+        ref = html_extract.parse(min(sources, key=key.get))
+        own, seen = ref.own(), {}
+        for source in sources:
+            page = html_extract.parse(source)
+            equal = {j: i for i, j in html_extract.align(ref, page) if own[i] and own[i] == page.own()[j]}
+            slots = tuple(t for j, t in enumerate(page.own()) if t and j not in equal)
+            for i in (-1, *equal.values()):
+                seen.setdefault(i, set()).add(slots)
+        least = max(0.6 * len(seen[-1]), 3)
+        wrappers[host] = ref, {i for i, s in seen.items() if i >= 0 and len(s) >= least}
+    for page_id, url, source in rows:
+        page, template = html_extract.parse(source or ""), set()
+        if url:
+            ref, constant = wrappers[url.split("/")[2]]
+            template = {j for i, j in html_extract.align(ref, page) if i in constant and ref.own()[i] == page.own()[j]}
+        text = html_extract.content(page, template)
+        want.append((page_id, text, len(text)))
+    assert got == sorted(want)
+    assert not any("About us" in t for i, t, _ in got if i < 300)
+
+
+def test_alignment_of_long_rows_is_bounded():
+    rows = "".join(f"<p>{i}</p><div><b>{i}</b></div>" for i in range(3000))
+    a, b = html_extract.parse(rows), html_extract.parse("<h1>x</h1>" + rows)
+    assert len(html_extract.align(a, b)) == 1 + 3000 * 3
+
+
+def test_alignment_is_a_largest_match():
+    rng = np.random.default_rng(1)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choice(["div", "section"], rng.integers(0, 4)))
+
+    def best(a, i, b, j):
+        p, q = a.children[i], b.children[j]
+        most = 0
+        for k in range(min(len(p), len(q)) + 1):
+            for u in itertools.combinations(p, k):
+                for v in itertools.combinations(q, k):
+                    if all(a.label[x] == b.label[y] for x, y in zip(u, v, strict=True)):
+                        most = max(most, sum(best(a, x, b, y) for x, y in zip(u, v, strict=True)))
+        return 1 + most
+
+    for _ in range(30):
+        a, b = html_extract.parse(tree(2)), html_extract.parse(tree(2))
+        assert len(html_extract.align(a, b)) == best(a, 0, b, 0)
+
+
+def test_extraction_of_no_pages(spark):
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
 def test_alignment_counts_best_match():
     a, b = html_extract.parse("<div><p>1</p><ul><li>x</ul><p>2</p></div>"), html_extract.parse("<div><p>1</p><p>2</p></div><div>q</div>")
     assert len(html_extract.align(a, b)) == 4
