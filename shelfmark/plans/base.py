@@ -22,8 +22,8 @@ VIEWS = {
   doc_id % 17 = 0 AS is_private, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(cast((doc_id*37) % 43200 AS bigint)) AS created_at FROM documents""",
     "summaries": f"""SELECT f.file_id, f.user_id, f.collection, f.filename, CASE WHEN is_private THEN '{PLACEHOLDER}' ELSE substring(d.text,1,300) END AS summary,
   CASE WHEN is_private THEN '' ELSE d.text END AS raw_text, is_private, created_at, d.lang, d.source, d.n_chars FROM files f JOIN documents d ON d.doc_id = f.file_id""",
-    "queries": """SELECT item_id AS query_id, item_id % 20 AS user_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 6), ' ') AS query FROM benchmark
-  UNION ALL SELECT doc_id + 1000, doc_id % 20, concat(source,' ',lang,' report') FROM documents WHERE doc_id < 20""",
+    "queries": """SELECT item_id AS query_id, item_id % 20 AS user_id, replace(text, chr(10), ' ') AS query FROM benchmark
+  UNION ALL SELECT -1 - min(doc_id), doc_id % 20, concat(source,' ',lang,' report') FROM documents GROUP BY doc_id % 20, source, lang""",
     "ev": "SELECT event_id, ts, user_id, event_type, value, cast(json_extract_string(props,'$.k') AS bigint) AS k FROM events",
     "clicks": "SELECT event_id, user_id, event_id % 40 AS query_id, k AS file_id, 1 + event_id % 13 AS rank, ts FROM ev WHERE event_type = 'click'",
     "access": "SELECT k AS file_id, count(*) AS access_count, max(ts) AS last_accessed_at FROM ev WHERE event_type IN ('view','click') GROUP BY k",

@@ -259,7 +259,7 @@ def a7(spark, sf):
 
 @query(
     "a12_merge_partials",
-    """WITH p AS (SELECT doc_id % 50 AS file_id, doc_id AS part, substring(text,1,20) AS overview, source, lang FROM documents),
+    """WITH p AS (SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS overview, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS part, source, lang FROM documents),
 i AS (SELECT file_id, lower(trim(x)) AS low, min((part, pos, trim(x))) AS k FROM (SELECT file_id, part, unnest([source, upper(source), lang]) AS x, unnest([0,1,2]) AS pos FROM p) WHERE trim(x) <> '' GROUP BY ALL),
 l AS (SELECT file_id, list_transform(list(k ORDER BY k), lambda t: t[3]) AS items FROM i GROUP BY file_id)
 SELECT p.file_id, string_agg('[Section ' || (part + 1) || '] ' || overview, chr(10) ORDER BY part) AS overview, array_to_string(list_slice(first(items), 1, 8), '|') AS insights, array_to_string(first(items), '|') AS entities FROM p JOIN l USING (file_id) WHERE length(trim(overview)) > 0 GROUP BY p.file_id""",
@@ -267,7 +267,7 @@ SELECT p.file_id, string_agg('[Section ' || (part + 1) || '] ' || overview, chr(
 def a12(spark, sf):
     d = S.read_table(spark, sf, "documents")
     items = F.array("source", F.upper("source"), "lang")
-    parts = d.select((F.col("doc_id") % 50).alias("file_id"), F.col("doc_id").alias("part"), F.substring("text", 1, 20).alias("overview"), items.alias("insights"), items.alias("entities"))
+    parts = d.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("part", "overview"), items.alias("insights"), items.alias("entities"))
     return K.merge_partials(parts).withColumns({c: F.array_join(c, "|") for c in ("insights", "entities")})
 
 

@@ -110,13 +110,12 @@ def a11b(spark, sf):
 
 @query(
     "t7_luhn",
-    """WITH d AS (SELECT doc_id, lpad((doc_id * 7919 + 4000000000000000)::VARCHAR, 16, '0') AS n FROM documents),
-s AS (SELECT doc_id, n, unnest(range(1, 17)) AS i FROM d), v AS (SELECT doc_id, n, CASE WHEN i % 2 = 1 THEN 2 * substring(n, i, 1)::INTEGER ELSE substring(n, i, 1)::INTEGER END AS x FROM s)
-SELECT doc_id, sum(CASE WHEN x > 9 THEN x - 9 ELSE x END) % 10 = 0 AS ok FROM v GROUP BY doc_id""",
+    r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9 -]*[0-9]')) AS number FROM documents), d AS (SELECT *, regexp_replace(number, '[^0-9]', '', 'g') AS d FROM m)
+SELECT doc_id, number, length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 1 THEN (2 * substring(d, length(d) - i, 1)::INTEGER) // 10 + (2 * substring(d, length(d) - i, 1)::INTEGER) % 10 ELSE substring(d, length(d) - i, 1)::INTEGER END)) % 10 = 0 AS ok FROM d""",
 )
 def t7(spark, sf):
-    n = (F.col("doc_id") * 7919 + F.lit(4000000000000000)).cast("string")
-    return docs(spark, sf).select("doc_id", X.luhn_ok(n).alias("ok"))
+    d = docs(spark, sf).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9][0-9 -]*[0-9]"), 0)).alias("number"))
+    return d.select("doc_id", "number", X.luhn_ok(F.col("number")).alias("ok"))
 
 
 @query("t9_sentence_split")
@@ -151,10 +150,10 @@ def t11(spark, sf):
     return out.select("doc_id", F.array_join(F.filter("ids", lambda x: x.rlike(r"^\d+$") | x.startswith("ref-")), "|").alias("ids"))
 
 
-@query("t12_confidence", "SELECT doc_id, least(0.95, 0.3 + 0.2 * (doc_id % 5))::DOUBLE AS conf FROM documents")
+@query("t12_confidence", "SELECT doc_id, least(0.95, 0.3 + 0.2 * (len(regexp_extract_all(text, '[0-9]{4}')) + len(regexp_extract_all(text, '[A-Z]{2,}'))))::DOUBLE AS conf FROM documents")
 def t12(spark, sf):
-    items = F.slice(F.array(*[F.lit("x")] * 4), 1, (F.col("doc_id") % 5).cast("int"))
-    return docs(spark, sf).select("doc_id", X.extraction_confidence(items, F.array().cast("array<string>")).alias("conf"))
+    found = [F.regexp_extract_all("text", F.lit(p), 0) for p in ("[0-9]{4}", "[A-Z]{2,}")]
+    return docs(spark, sf).select("doc_id", X.extraction_confidence(*found).alias("conf"))
 
 
 @query("t13_model_worthiness", r"SELECT query_id, length(query) >= 8 AND len(regexp_split_to_array(trim(query), '\s+')) >= 3 AND regexp_matches(query, '[A-Z][a-z]') AS worth FROM queries", "queries")
@@ -210,17 +209,17 @@ def t19(spark, sf):
     return e.join(nxt, "vec_id").select("vec_id", F.round(C.cosine(F.col("embedding"), F.col("other")), 6).alias("sim"))
 
 
-@query("t20_summary_gate", "SELECT doc_id, CASE WHEN o = '' THEN 'empty' WHEN length(o) < 30 THEN 'too_short' WHEN ends_with(o, '?') AND length(o) < 80 THEN 'question' WHEN doc_id % 4 = 0 THEN 'no_insights' WHEN doc_id % 4 = 1 THEN 'short_insights' END AS reason FROM (SELECT doc_id, trim(substring(text, 1, 40)) || CASE WHEN doc_id % 7 = 0 THEN '?' ELSE '' END AS o FROM documents)")
+FIGURES = r"[^.\n]*[0-9][^.\n]*"
+
+
+@query("t20_summary_gate", f"SELECT doc_id, CASE WHEN o = '' THEN 'empty' WHEN length(o) < 30 THEN 'too_short' WHEN ends_with(o, '?') AND length(o) < 80 THEN 'question' WHEN len(i) = 0 THEN 'no_insights' WHEN len(list_filter(i, lambda x: length(trim(x)) >= 10)) = 0 THEN 'short_insights' END AS reason FROM (SELECT doc_id, trim(text) AS o, regexp_extract_all(text, '{FIGURES}') AS i FROM documents)")
 def t20(spark, sf):
-    m = F.col("doc_id") % 4
-    insights = F.when(m == 0, F.array().cast("array<string>")).when(m == 1, F.array(F.lit("short"))).otherwise(F.array(F.lit("a long enough insight")))
-    overview = F.concat(F.trim(F.substring("text", 1, 40)), F.when(F.col("doc_id") % 7 == 0, "?").otherwise(""))
-    return docs(spark, sf).select("doc_id", X.summary_gate(overview, insights).alias("reason"))
+    return docs(spark, sf).select("doc_id", X.summary_gate(F.col("text"), F.regexp_extract_all("text", F.lit(FIGURES), 0)).alias("reason"))
 
 
-@query("t21_summary_format", "SELECT doc_id, substring(text,1,50) || chr(10) || chr(10) || '- ' || source || chr(10) || '- ' || lang AS summary FROM documents")
+@query("t21_summary_format", "SELECT doc_id, text || chr(10) || chr(10) || '- ' || source || chr(10) || '- ' || lang AS summary FROM documents")
 def t21(spark, sf):
-    return S.read_table(spark, sf, "documents").select("doc_id", X.format_summary(F.substring("text", 1, 50), F.array("source", "lang")).alias("summary"))
+    return S.read_table(spark, sf, "documents").select("doc_id", X.format_summary(F.col("text"), F.array("source", "lang")).alias("summary"))
 
 
 @query("t22_embedding_inputs", "SELECT file_id, 'summary' AS kind, 0 AS pos, trim(summary || chr(10) || chr(10) || 'Keywords: ' || source || ', ' || lang) AS text FROM summaries UNION ALL SELECT file_id, 'insight', unnest([0, 1]), trim(unnest([source || ' matters', 'more on ' || lang]) || ' (' || source || ', ' || lang || ')') FROM summaries", "summaries")
@@ -241,16 +240,15 @@ def t24(spark, sf):
 
 @query(
     "t25_extraction_choice",
-    r"""WITH c AS (SELECT doc_id AS file_id, 'primary' AS method, substring(text, 1, 40 + doc_id % 30) AS text FROM documents UNION ALL SELECT doc_id, 'secondary', substring(text, 1, 45 + doc_id % 20) FROM documents WHERE doc_id % 10 = 3 UNION ALL SELECT doc_id, 'plain', substring(text, 1, 20) FROM documents),
-g AS (SELECT *, CASE WHEN length(text) < 50 OR length(regexp_replace(text, '[a-zA-Z0-9\s]', '', 'g')) / length(text) > 0.4 THEN false ELSE true END AS good FROM c WHERE length(text) > 0)
+    r"""WITH c AS (SELECT doc_id AS file_id, 'primary' AS method, text FROM documents UNION ALL SELECT doc_id, 'secondary', regexp_replace(text, '[^a-zA-Z0-9\s]', '', 'g') FROM documents UNION ALL SELECT doc_id, 'plain', text FROM documents),
+w AS (SELECT *, list_slice(regexp_extract_all(lower(text), '\S+'), 1, 200) AS w, substring(text,1,5000) AS h FROM c WHERE length(text) > 0),
+g AS (SELECT *, NOT (length(text) < 50 OR length(regexp_replace(h, '[a-zA-Z0-9\s]', '', 'g')) / length(h) > 0.4 OR len(w) >= 30 AND len(list_distinct(w)) / len(w) < 0.15) AS good FROM w)
 SELECT file_id, method, text FROM g WHERE good OR (method = 'plain' AND length(trim(text)) > 0) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY CASE method WHEN 'primary' THEN 0 WHEN 'secondary' THEN 1 ELSE 2 END) = 1""",
 )
 def t25(spark, sf):
     d = docs(spark, sf).select(F.col("doc_id").alias("file_id"), "text")
-    a = d.select("file_id", F.lit("primary").alias("method"), F.substring("text", F.lit(1), (40 + F.col("file_id") % 30).cast("int")).alias("text"))
-    b = d.where("file_id % 10 = 3").select("file_id", F.lit("secondary").alias("method"), F.substring("text", F.lit(1), (45 + F.col("file_id") % 20).cast("int")).alias("text"))
-    c = d.select("file_id", F.lit("plain").alias("method"), F.substring("text", 1, 20).alias("text"))
-    return O.choose_extraction(a.union(b).union(c))
+    method = lambda name, text: d.select("file_id", F.lit(name).alias("method"), F.expr(text).alias("text"))
+    return O.choose_extraction(method("primary", "text").union(method("secondary", r"regexp_replace(text, r'[^a-zA-Z0-9\s]', '')")).union(method("plain", "text")))
 
 
 @query("t26_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -258,10 +256,9 @@ def t26(spark, sf):
     return docs(spark, sf).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
 
 
-@query("t27_retry_triage", "SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN 'permanent' ELSE 'retryable' END AS triage FROM documents")
+@query("t27_retry_triage", f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{X.either(X.PERMANENT)}') THEN 'permanent' ELSE 'retryable' END AS triage FROM documents")
 def t27(spark, sf):
-    said = F.element_at(F.array(F.lit("HTTP 503 Unavailable"), F.lit("Deadline exceeded"), F.lit("Model NOT FOUND after timeout"), F.lit("something odd")), (F.col("doc_id") % 4 + 1).cast("int"))
-    return docs(spark, sf).select("doc_id", X.retry_triage(said).alias("triage"))
+    return docs(spark, sf).select("doc_id", X.retry_triage(F.col("text")).alias("triage"))
 
 
 @query("t28_array_normalise", "SELECT doc_id, lower(source) || '|' || lang AS items FROM documents")

@@ -75,14 +75,14 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """Search queries: the first words of benchmark passages, and queries that name files."""
+    """Search queries: the benchmark passages, and for each user the kinds of files that the user has (ids below 0)."""
     b = read_table(spark, path, "benchmark").select(
         F.col("item_id").alias("query_id"),
         (F.col("item_id") % 20).alias("user_id"),
-        F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 6), " ").alias("query"),
+        F.replace("text", F.lit("\n"), F.lit(" ")).alias("query"),
     )
-    d = read_table(spark, path, "documents").where("doc_id < 20")
-    return b.union(d.select(F.col("doc_id") + 1000, F.col("doc_id") % 20, F.concat("source", F.lit(" "), "lang", F.lit(" report"))))
+    d = read_table(spark, path, "documents").groupBy((F.col("doc_id") % 20).alias("user_id"), "source", "lang").agg((-1 - F.min("doc_id")).alias("query_id"))
+    return b.union(d.select("query_id", "user_id", F.concat("source", F.lit(" "), "lang", F.lit(" report"))))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
