@@ -2,8 +2,8 @@
 
 Six signals are ranked per (query, collection), united, fused by weighted
 reciprocal ranks, boosted, cut to the best rows and re-ordered for diversity.
-Queries and files meet on equi-join keys only: the tenant, and the tenant with a
-term; containment of names is a filter after the tenant's key.
+Queries and files meet on equi-join keys only: the tenant with a term, the tenant
+with three characters of a name, and for vectors the tenant.
 """
 
 from __future__ import annotations
@@ -65,16 +65,32 @@ def rank_files(hits: DataFrame, k: int, tie: str = "chunk_index") -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "collection").orderBy("_n"))).drop("_n", "_m")
 
 
+def names_holding(parts: DataFrame, files: DataFrame) -> DataFrame:
+    """``parts`` (query_id, user_id, part) with the files of their tenant whose name holds the part.
+
+    A name that holds a part holds its first three characters, so both meet on
+    the tenant and those.  A part of one or two characters, which most names
+    hold, meets all names of its tenant.
+    """
+    names = files.select("user_id", "collection", "file_id", "created_at", F.lower("filename").alias("name"))
+    holds = F.col("name").contains(F.col("part"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substring("name", i, 3))
+    grams = names.where("length(name) >= 3").withColumn("gram", F.explode(F.array_distinct(starts)))
+    long = parts.where("length(part) >= 3").withColumn("gram", F.substring("part", 1, 3))
+    met = long.join(grams, ["user_id", "gram"]).where(holds).drop("gram")
+    return met.unionByName(parts.where("length(part) BETWEEN 1 AND 2").join(names, "user_id").where(holds))
+
+
 def sig_filename_full(queries: DataFrame, files: DataFrame, k: int = 10) -> DataFrame:
     """Q3: the name holds the whole query."""
-    hit = queries.join(files, "user_id").where(F.contains(F.lower("filename"), F.lower(F.trim("query"))) & (F.length(F.trim("query")) > 0))
+    hit = names_holding(queries.select("query_id", "user_id", F.lower(F.trim("query")).alias("part")), files)
     return top_k(hit, ["query_id", "collection"], [F.desc("created_at"), F.col("file_id")], k).select("query_id", "collection", "file_id", "rank")
 
 
 def sig_filename_tokens(queries: DataFrame, files: DataFrame, k: int = 20) -> DataFrame:
     """Q4: the name holds keywords; more of them rank higher."""
-    n = F.size(F.filter("kw", lambda w: F.contains(F.lower("filename"), w)))
-    hit = queries.join(files, "user_id").withColumn("matched", n).where("matched > 0")
+    hit = names_holding(queries.select("query_id", "user_id", F.explode(F.array_distinct("kw")).alias("part")), files)
+    hit = hit.groupBy("query_id", "collection", "file_id", "created_at").agg(F.count("*").alias("matched"))
     return top_k(hit, ["query_id", "collection"], [F.desc("matched"), F.desc("created_at"), F.col("file_id")], k).select("query_id", "collection", "file_id", "rank")
 
 

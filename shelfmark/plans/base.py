@@ -20,7 +20,7 @@ VIEWS = {
   sha256(text) AS file_hash,
   CASE WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 11 = 1 THEN 'pending' WHEN doc_id % 11 = 2 THEN 'processing' WHEN doc_id % 11 = 3 THEN NULL ELSE 'done' END AS extraction_status,
   doc_id % 17 = 0 AS is_private, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(cast((doc_id*37) % 43200 AS bigint)) AS created_at FROM documents""",
-    "summaries": f"""SELECT f.file_id, f.user_id, f.collection, f.filename, CASE WHEN is_private THEN '{PLACEHOLDER}' ELSE substring(d.text,1,300) END AS summary,
+    "summaries": f"""SELECT f.file_id, f.user_id, f.collection, f.filename, CASE WHEN is_private THEN '{PLACEHOLDER}' ELSE d.text END AS summary,
   CASE WHEN is_private THEN '' ELSE d.text END AS raw_text, is_private, created_at, d.lang, d.source, d.n_chars FROM files f JOIN documents d ON d.doc_id = f.file_id""",
     "queries": """SELECT item_id AS query_id, item_id % 20 AS user_id, replace(text, chr(10), ' ') AS query FROM benchmark
   UNION ALL SELECT -1 - min(doc_id), doc_id % 20, concat(source,' ',lang,' report') FROM documents GROUP BY doc_id % 20, source, lang""",

@@ -123,31 +123,32 @@ def t9(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-QTEXT = "concat(query, ' Q', doc_id % 4 + 1, ' 20', 10 + doc_id % 15, ' invoice ', doc_id, ' fy', 20 + doc_id % 5, ' March 2021 2020-01-', doc_id % 28 + 1, ' REF-', doc_id)"
+QTEXT = "text || ' ' || source || concat(' Q', doc_id % 4 + 1, ' 20', 10 + doc_id % 15, ' invoice ', doc_id, ' fy', 20 + doc_id % 5, ' March 2021 2020-01-', doc_id % 28 + 1, ' REF-', doc_id)"
+
+
+def found_sql(name: str, text: str, rules: list[str], group: int) -> str:
+    """What the rules find in ``text``, in their order, in lower case, each once."""
+    found = " || ".join(rf"regexp_extract_all({text}, '\b{r}\b', {group})" for r in rules)
+    return f"SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(k, range(len(k))), lambda z: list_position(k, z[1]) = z[2] + 1), lambda z: z[1]), '|') AS {name} FROM (SELECT doc_id, [lower(x) FOR x IN {found}] AS k FROM (SELECT doc_id, {QTEXT} AS query FROM documents WHERE text IS NOT NULL AND source IS NOT NULL))"
 
 
 def asked(spark, sf):
-    """Queries with dates and ids in them, one per document."""
+    """The whole text of each document, followed by dates and ids of every form."""
     i = F.col("doc_id")
-    return S.read_table(spark, sf, "documents").select(
+    return S.read_table(spark, sf, "documents").where("text IS NOT NULL AND source IS NOT NULL").select(
         "doc_id",
-        F.concat(F.col("source"), F.lit(" Q"), (i % 4 + 1).cast("string"), F.lit(" 20"), (10 + i % 15).cast("string"), F.lit(" invoice "), i.cast("string"), F.lit(" fy"), (20 + i % 5).cast("string"), F.lit(" March 2021 2020-01-"), (i % 28 + 1).cast("string"), F.lit(" REF-"), i.cast("string")).alias("query"),
+        F.concat(F.col("text"), F.lit(" "), F.col("source"), F.lit(" Q"), (i % 4 + 1).cast("string"), F.lit(" 20"), (10 + i % 15).cast("string"), F.lit(" invoice "), i.cast("string"), F.lit(" fy"), (20 + i % 5).cast("string"), F.lit(" March 2021 2020-01-"), (i % 28 + 1).cast("string"), F.lit(" REF-"), i.cast("string")).alias("query"),
     )
 
 
-@query(
-    "t10_query_dates",
-    """SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS dates FROM (SELECT doc_id, CASE WHEN y = '2020' THEN [d, y, '2021', q, 'march 2021', f] WHEN y = '2021' THEN [d, y, '2020', q, 'march 2021', f] ELSE [d, y, '2021', '2020', q, 'march 2021', f] END AS list_distinct_ordered
-FROM (SELECT doc_id, '20' || (10 + doc_id % 15) AS y, 'q' || (doc_id % 4 + 1) || ' 20' || (10 + doc_id % 15) AS q, 'fy' || (20 + doc_id % 5) AS f, '2020-01-' || (doc_id % 28 + 1) AS d FROM documents))""",
-)
+@query("t10_query_dates", found_sql("dates", "lower(query)", X.DATE_RULES, 0))
 def t10(spark, sf):
     return asked(spark, sf).select("doc_id", F.array_join(X.query_dates(F.col("query")), "|").alias("dates"))
 
 
-@query("t11_query_ids", "SELECT doc_id, CASE WHEN doc_id BETWEEN 0 AND 9 THEN '' ELSE doc_id::VARCHAR || '|' END || 'ref-' || doc_id AS ids FROM documents")
+@query("t11_query_ids", found_sql("ids", "query", [X.ID_AFTER_WORD, X.ID_PLAIN], 1))
 def t11(spark, sf):
-    out = asked(spark, sf).select("doc_id", X.query_doc_ids(F.col("query")).alias("ids"))
-    return out.select("doc_id", F.array_join(F.filter("ids", lambda x: x.rlike(r"^\d+$") | x.startswith("ref-")), "|").alias("ids"))
+    return asked(spark, sf).select("doc_id", F.array_join(X.query_doc_ids(F.col("query")), "|").alias("ids"))
 
 
 @query("t12_confidence", "SELECT doc_id, least(0.95, 0.3 + 0.2 * (len(regexp_extract_all(text, '[0-9]{4}')) + len(regexp_extract_all(text, '[A-Z]{2,}'))))::DOUBLE AS conf FROM documents")
@@ -222,7 +223,7 @@ def t21(spark, sf):
     return S.read_table(spark, sf, "documents").select("doc_id", X.format_summary(F.col("text"), F.array("source", "lang")).alias("summary"))
 
 
-@query("t22_embedding_inputs", "SELECT file_id, 'summary' AS kind, 0 AS pos, trim(summary || chr(10) || chr(10) || 'Keywords: ' || source || ', ' || lang) AS text FROM summaries UNION ALL SELECT file_id, 'insight', unnest([0, 1]), trim(unnest([source || ' matters', 'more on ' || lang]) || ' (' || source || ', ' || lang || ')') FROM summaries", "summaries")
+@query("t22_embedding_inputs", "SELECT file_id, 'summary' AS kind, 0 AS pos, substring(trim(summary || chr(10) || chr(10) || 'Keywords: ' || source || ', ' || lang), 1, 7600) AS text FROM summaries WHERE length(trim(summary)) > 0 UNION ALL SELECT file_id, 'insight', unnest([0, 1]), trim(unnest([source || ' matters', 'more on ' || lang]) || ' (' || source || ', ' || lang || ')') FROM summaries", "summaries")
 def t22(spark, sf):
     s = S.read_summaries(spark, sf).select("file_id", "summary").join(S.read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "source", "lang"), "file_id")
     s = s.withColumns({"entities": F.array("source", "lang"), "insights": F.array(F.concat("source", F.lit(" matters")), F.concat(F.lit("more on "), "lang"), F.lit(" "))})

@@ -59,7 +59,7 @@ def read_summaries(spark: SparkSession, path: str, collection: str = "all") -> D
         "user_id",
         "collection",
         "filename",
-        F.when(private, PLACEHOLDER).otherwise(F.substring("text", 1, 300)).alias("summary"),
+        F.when(private, PLACEHOLDER).otherwise(F.col("text")).alias("summary"),
         F.when(private, "").otherwise(F.col("text")).alias("raw_text"),
         F.when(~private, index).alias("index_json"),
         "is_private",
