@@ -209,7 +209,9 @@ DATE_RULES = [
 def query_dates(text: Column) -> Column:
     """Dates named in a query, in the order of the rules, each once."""
     low = F.lower(text)
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(low, F.lit(B + r + B), 0) for r in DATE_RULES]))
+    # Each form begins and ends with a word character, so these are its boundaries; whether it can begin here is looked at first.
+    whole = lambda r: rf"(?=[0-9a-z])(?<!{W})(?:{r})(?!{W})"
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(low, F.lit(whole(r)), 0) for r in DATE_RULES]))
 
 
 # Forms of document ids in queries.
@@ -219,7 +221,7 @@ ID_PLAIN = r"([A-Z]{2,}-\d+(?:-[A-Za-z0-9]+)*)"
 
 def query_doc_ids(text: Column) -> Column:
     """Ids after a word like invoice, and upper-case ids with a hyphen."""
-    both = F.concat(*[F.regexp_extract_all(text, F.lit(B + r + B), 1) for r in (ID_AFTER_WORD, ID_PLAIN)])
+    both = F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?=[A-Za-z])(?<!{W})" + r + B), 1) for r in (ID_AFTER_WORD, ID_PLAIN)])
     return F.array_distinct(F.transform(both, lambda x: F.lower(x)))
 
 

@@ -73,7 +73,7 @@ def build_summary_rows(files: DataFrame, extracted: DataFrame) -> DataFrame:
     """K1: one index row per public file; images carry how they were processed, media their transcript's kind."""
     pub = files.where("NOT is_private").join(extracted, "file_id")
     kind = F.when(F.col("collection") == "Images", "caption").when(F.col("collection") == "Media", "transcript")
-    return pub.select("file_id", "user_id", "collection", "filename", F.substring("text", 1, 300).alias("summary"), F.col("text").alias("raw_text"), kind.alias("processing_type"), F.lit(False).alias("is_private"))
+    return pub.select("file_id", "user_id", "collection", "filename", F.col("text").alias("summary"), F.col("text").alias("raw_text"), kind.alias("processing_type"), F.lit(False).alias("is_private"))
 
 
 def private_stubs(files: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def s8(spark, sf):
     return K.to_messages(S.read_files(spark, sf))
 
 
-SUMMARY_ROWS = "SELECT file_id, user_id, collection, filename, substring(text,1,300) AS summary, text AS raw_text, CASE collection WHEN 'Images' THEN 'caption' WHEN 'Media' THEN 'transcript' END AS processing_type, false AS is_private FROM files JOIN documents ON doc_id = file_id WHERE NOT is_private"
+SUMMARY_ROWS = "SELECT file_id, user_id, collection, filename, text AS summary, text AS raw_text, CASE collection WHEN 'Images' THEN 'caption' WHEN 'Media' THEN 'transcript' END AS processing_type, false AS is_private FROM files JOIN documents ON doc_id = file_id WHERE NOT is_private"
 
 
 @query("k1_summary_rows", SUMMARY_ROWS, "files")
