@@ -260,3 +260,14 @@ def test_boilerplate_is_sorted_once_under_a_filter(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     # At most once for the filter and once for the column, never inside the lambda over lines.
     assert plan.count("array_sort(") <= 2
+
+
+def test_names_holding_parts_of_any_length(spark):
+    from shelfmark.operators.search import names_holding
+
+    names = ["Report_v1.txt", "ab", "é", "", None, "aaaa", "report"]
+    files = spark.createDataFrame([(u, "c", 10 * u + i, None, n) for u in (1, 2) for i, n in enumerate(names)], "user_id long, collection string, file_id long, created_at timestamp, filename string")
+    parts = ["report", "rep", "ab", "b", "é", "aaa", "port_v1.txt", "aaaaa", "", None, "zzz"]
+    asked = spark.createDataFrame([(i, 1, p) for i, p in enumerate(parts)], "query_id long, user_id long, part string")
+    got = sorted((r.query_id, r.file_id) for r in names_holding(asked, files).collect())
+    assert got == sorted((i, 10 + j) for i, p in enumerate(parts) for j, n in enumerate(names) if p and n and p in n.lower())
