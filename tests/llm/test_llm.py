@@ -25,7 +25,7 @@ def docs(spark, rows=ODD, columns="doc_id long, text string"):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows_as_sql(name, spark, sf):
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "conversations"):
+    for t in ("documents", "pages", "embeddings", "conversations", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rows = c.execute(registry.ORACLES[name])
     names = [d[0] for d in rows.description]
