@@ -2,8 +2,9 @@
 
 Six signals are ranked per (query, collection), united, fused by weighted
 reciprocal ranks, boosted, cut to the best rows and re-ordered for diversity.
-Queries and files meet on equi-join keys only: the tenant with a term, the tenant
-with three characters of a name, and for vectors the tenant.
+Queries and files meet on equi-join keys only: the tenant with a term, or with three
+characters of a name.  Words are read from stored indexes (``operators.index``), vectors
+in blocks (``operators.vectors``).
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql.window import Window as W
 
 from shelfmark.functions import text as X
 from shelfmark.functions.columns import dot
+from shelfmark.operators import vectors as V
 from shelfmark.operators.catalogue import federate, top_k
+from shelfmark.operators.index import Index, bm25
 
-K1, BM25_B = 1.2, 0.75
 # The constant of reciprocal ranks, and the weight of each signal.
 RRF_K = 60
 WEIGHTS = {"filename:full": 3.0, "filename:tokenized": 2.0, "chunk:bm25": 2.0, "summary:bm25": 2.0, "chunk:hybrid": 1.5, "raw_text:bm25": 1.5}
@@ -29,35 +31,6 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "user_id", "query", X.keywords(F.col("query")).alias("kw"), X.keyword_query(F.col("query")).alias("bm25_query"))
 
 
-def build_postings(docs: DataFrame, keys: list[str], field: str) -> DataFrame:
-    """Q2: (keys, term, tf); counts are combined before the shuffle."""
-    return docs.select(*keys, F.explode(X.tokens(F.col(field))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-
-
-def bm25_stats(docs: DataFrame, field: str) -> DataFrame:
-    """A10: per collection the number of documents and their average length."""
-    return docs.groupBy("collection").agg(F.count("*").alias("n_docs"), F.avg(F.size(X.tokens(F.col(field)))).alias("avg_len"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, field: str, keys: list[str]) -> DataFrame:
-    """Q5: (query_id, collection, keys, score) of the tenant's documents that share a term with a query.
-
-    Document frequencies cover all tenants; postings meet queries on (user, term),
-    so a frequent term is only read by the tenants that ask for it.
-    """
-    id_keys = ["collection", "user_id", *keys]
-    q = queries.select("query_id", "user_id", F.explode(F.array_distinct(X.tokens(F.col("bm25_query")))).alias("term"))
-    asked = q.select("term").distinct()
-    # Terms that nobody asks for go before anything is counted or shuffled; a posting carries its document's length.
-    words = docs.select(*id_keys, X.tokens(F.col(field)).alias("w")).select(*id_keys, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    post = words.join(asked, "term", "left_semi").groupBy(*id_keys, "dl", "term").agg(F.count("*").alias("tf"))
-    df = post.groupBy("collection", "term").agg(F.count("*").alias("df"))
-    hit = post.join(q, ["user_id", "term"]).join(df, ["collection", "term"]).join(bm25_stats(docs, field), "collection")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avg_len")))
-    return hit.groupBy("query_id", *id_keys).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-
-
 def rank_files(hits: DataFrame, k: int, tie: str = "chunk_index") -> DataFrame:
     """The k best hits of each (query, collection), then ranks over distinct files, each by its best hit."""
     first = top_k(hits, ["query_id", "collection"], [F.desc("score"), F.col("file_id"), F.col(tie)], k, "_n")
@@ -65,20 +38,44 @@ def rank_files(hits: DataFrame, k: int, tie: str = "chunk_index") -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "collection").orderBy("_n"))).drop("_n", "_m")
 
 
-def names_holding(parts: DataFrame, files: DataFrame) -> DataFrame:
-    """``parts`` (query_id, user_id, part) with the files of their tenant whose name holds the part.
+def grams_of(text: Column) -> Column:
+    """The distinct runs of three characters; none for shorter texts."""
+    starts = F.sequence(F.lit(1), F.length(text) - 2)
+    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, 3)))).otherwise(F.array().cast("array<string>"))
 
-    A name that holds a part holds its first three characters, so both meet on
-    the tenant and those.  A part of one or two characters, which most names
-    hold, meets all names of its tenant.
+
+def names_like(patterns: DataFrame, files: DataFrame) -> DataFrame:
+    """``patterns`` (query_id, user_id, part) with the files of their tenant whose lower-case name fits ``part``.
+
+    A pattern fits if the name holds its literals, the pieces between its ``*``, one after the
+    other; one without ``*`` is a single literal.  A pattern without any literal, or null, fits nothing.
+    A name that fits holds all runs of three characters of the literals, so a pattern meets the names
+    that hold the run that the fewest names of the tenant hold, and none if a run is nowhere.  Patterns
+    whose literals have one or two characters, which most names hold, meet all names of their tenant.
     """
-    names = files.select("user_id", "collection", "file_id", "created_at", F.lower("filename").alias("name"))
-    holds = F.col("name").contains(F.col("part"))
-    starts = F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substring("name", i, 3))
-    grams = names.where("length(name) >= 3").withColumn("gram", F.explode(F.array_distinct(starts)))
-    long = parts.where("length(part) >= 3").withColumn("gram", F.substring("part", 1, 3))
-    met = long.join(grams, ["user_id", "gram"]).where(holds).drop("gram")
-    return met.unionByName(parts.where("length(part) BETWEEN 1 AND 2").join(names, "user_id").where(holds))
+    names = files.select("user_id", "collection", "file_id", "created_at", F.lower("filename").alias("name")).where("length(name) > 0")
+    p = patterns.withColumn("_id", F.struct("query_id", "part")).withColumn("_literals", F.filter(F.split("part", r"\*"), lambda x: F.length(x) > 0))
+    p = p.where("size(_literals) > 0").distinct().withColumn("_grams", F.array_distinct(F.flatten(F.transform("_literals", grams_of))))
+    quoted = F.transform("_literals", lambda x: F.regexp_replace(x, r"([\\%_])", r"\\$1"))
+    p = p.withColumn("_like", F.concat(F.lit("%"), F.array_join(quoted, "%"), F.lit("%")))
+    fits = F.expr("name LIKE _like")
+    grams = p.select("user_id", "_id", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram"))
+    # Runs that no pattern has go before names are counted or shuffled by them.
+    held = names.select("*", F.explode(grams_of(F.col("name"))).alias("gram")).join(grams.select("user_id", "gram").distinct(), ["user_id", "gram"], "left_semi")
+    count = held.groupBy("user_id", "gram").agg(F.count("*").alias("_count"))
+    best = grams.join(count, ["user_id", "gram"]).groupBy("user_id", "_id").agg(F.first("_n").alias("_n"), F.count("*").alias("_found"), F.min_by("gram", F.struct("_count", "gram")).alias("gram"))
+    rarest = best.where("_found = _n").select("user_id", "_id", "gram")
+    long = p.join(rarest, ["user_id", "_id"]).join(held, ["user_id", "gram"]).where(fits).select(*patterns.columns, "collection", "file_id", "created_at", "name")
+    short = p.where("size(_grams) = 0").join(names, "user_id").where(fits).select(*long.columns)
+    return long.unionByName(short)
+
+
+def names_holding(parts: DataFrame, files: DataFrame) -> DataFrame:
+    """``parts`` (query_id, user_id, part) with the files of their tenant whose lower-case name holds the part, ``*`` being a character like others."""
+    star = F.lit("\ue000")
+    hidden = parts.withColumn("part", F.replace("part", F.lit("*"), star))
+    met = names_like(hidden, files.withColumn("filename", F.replace("filename", F.lit("*"), star)))
+    return met.withColumns({c: F.replace(c, star, F.lit("*")) for c in ("part", "name")})
 
 
 def sig_filename_full(queries: DataFrame, files: DataFrame, k: int = 10) -> DataFrame:
@@ -94,29 +91,35 @@ def sig_filename_tokens(queries: DataFrame, files: DataFrame, k: int = 20) -> Da
     return top_k(hit, ["query_id", "collection"], [F.desc("matched"), F.desc("created_at"), F.col("file_id")], k).select("query_id", "collection", "file_id", "rank")
 
 
-def min_max(score: Column, w: W) -> Column:
-    low, high = F.min(score).over(w), F.max(score).over(w)
+def min_max(score: Column, low: Column, high: Column) -> Column:
     return F.when(score.isNull(), None).when(high == low, 1.0).otherwise((score - low) / (high - low))
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, field: str, keys: list[str], alpha: float = 0.5) -> DataFrame:
-    """Q6, Q14: alpha of the cosine and the rest of BM25, each scaled to [0, 1] within (query, collection).
+def hybrid(queries: DataFrame, index: Index, vectors: DataFrame, alpha: float = 0.5, above: float = 0.55) -> DataFrame:
+    """Q6: alpha of the cosine and the rest of BM25, each scaled to [0, 1] within (query, collection); scores over ``above``, which is ``alpha`` at least.
 
-    ``queries`` has query_vector (null: words only), ``docs`` has embedding.  A
-    side that is missing counts 0.
+    ``queries`` has query_vector (null: words only), ``vectors`` the tenant's collection, the keys
+    of the index and embedding.  A side that is missing counts 0.  Rows without words score ``alpha``
+    at most, so only rows with words can pass: their cosines are taken one by one, and of all others
+    blocks give the least and the greatest (``operators.vectors``).
     """
-    id_keys = ["collection", "user_id", *keys]
-    words = bm25(queries, docs, field, keys).withColumnRenamed("score", "words")
-    # Lengths are taken once a vector, not once a pair.
+    if above < alpha:
+        raise ValueError("rows without words could pass: use vectors.nearest for them")
+    id_keys = ["collection", "user_id", *index.keys]
+    group = ["query_id", "collection"]
+    words = bm25(queries, index).withColumnRenamed("score", "words")
+    span = words.groupBy(*group).agg(F.min("words").alias("_wl"), F.max("words").alias("_wh"))
+    words = words.join(span, group).withColumn("_w", min_max(F.col("words"), F.col("_wl"), F.col("_wh"))).select("query_id", *id_keys, "_w")
+    words = words.where((1 - alpha) * F.col("_w") + alpha > above - 1e-6)
+    blocks = V.packs_of(vectors, index.keys, ["user_id"], ["collection"])
+    dense = V.score_ranges(queries, blocks, index.keys, ["user_id"], ["collection"])
     length = lambda v: F.sqrt(dot(v, v))
-    q = queries.where("query_vector IS NOT NULL").select("query_id", "user_id", "query_vector", length(F.col("query_vector")).alias("_ql"))
-    dense = docs.where("embedding IS NOT NULL").select(*id_keys, "embedding", length(F.col("embedding")).alias("_dl")).join(q, "user_id")
-    like = dot(F.col("embedding"), F.col("query_vector")) / (F.col("_dl") * F.col("_ql") + F.lit(1e-9))
-    dense = dense.select("query_id", *id_keys, F.round(like, 6).alias("dense"))
-    both = dense.join(words, ["query_id", *id_keys], "full")
-    w = W.partitionBy("query_id", "collection")
-    score = alpha * F.coalesce(min_max(F.col("dense"), w), F.lit(0.0)) + (1 - alpha) * F.coalesce(min_max(F.col("words"), w), F.lit(0.0))
-    return both.withColumn("score", F.round(score, 6)).select("query_id", *id_keys, "score")
+    v = vectors.where("embedding IS NOT NULL").select(*id_keys, "embedding", length(F.col("embedding")).alias("_dl"))
+    q = queries.where("query_vector IS NOT NULL").select("query_id", "query_vector", length(F.col("query_vector")).alias("_ql"))
+    like = F.round(dot(F.col("embedding"), F.col("query_vector")) / (F.col("_dl") * F.col("_ql") + F.lit(1e-9)), 6)
+    met = words.join(v, id_keys, "left").join(q, "query_id", "left").join(dense, group, "left")
+    score = alpha * F.coalesce(min_max(like, F.col("low"), F.col("high")), F.lit(0.0)) + (1 - alpha) * F.col("_w")
+    return met.select("query_id", *id_keys, F.round(score, 6).alias("score")).where(F.col("score") > above)
 
 
 def consolidate(signals: dict[str, DataFrame]) -> DataFrame:
@@ -127,14 +130,16 @@ def consolidate(signals: dict[str, DataFrame]) -> DataFrame:
 
 
 def rrf(ranks: DataFrame) -> DataFrame:
-    """Q8, Q10: fused score, the signals that found a file, strongest first, and the chunk that matched best."""
+    """Q8, Q10: fused score, the signals that found a file, strongest first, and the chunk that matched, by words if there is one, else by vectors."""
     if "matched_chunk" not in ranks.columns:
         ranks = ranks.withColumn("matched_chunk", F.lit(None).cast("long"))
     pairs = [x for n, v in WEIGHTS.items() for x in (F.lit(n), F.lit(v))]
     weight = F.element_at(F.create_map(*pairs), F.col("signal"))
     place = F.element_at(F.create_map(*[x for i, n in enumerate(WEIGHTS) for x in (F.lit(n), F.lit(i))]), F.col("signal"))
     names = F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), "signal"))), lambda x: x["signal"])
-    return ranks.groupBy("query_id", "file_id").agg(F.sum(weight / (RRF_K + F.col("rank"))).alias("base"), names.alias("matched_in"), F.min_by("matched_chunk", F.when(F.col("matched_chunk").isNotNull(), F.col("rank"))).alias("matched_chunk"))
+    chunk = lambda n: F.max(F.when(F.col("signal") == n, F.col("matched_chunk")))
+    matched = F.coalesce(*[chunk(n) for n in WEIGHTS if n.startswith("chunk:")])
+    return ranks.groupBy("query_id", "file_id").agg(F.sum(weight / (RRF_K + F.col("rank"))).alias("base"), names.alias("matched_in"), matched.alias("matched_chunk"))
 
 
 def age_days(as_of: Column, at: Column) -> Column:
@@ -143,7 +148,7 @@ def age_days(as_of: Column, at: Column) -> Column:
 
 def boosts(scored: DataFrame, files: DataFrame, access: DataFrame, as_of: Column) -> DataFrame:
     """A little for new files and for files in use; files without a name go."""
-    s = scored.join(files.select("file_id", "filename", "created_at"), "file_id").join(access, "file_id", "left").where(F.length("filename") > 0)
+    s = scored.join(files.select("file_id", "collection", "filename", "filetype", "created_at"), "file_id").join(access, "file_id", "left").where(F.length("filename") > 0)
     recent = F.when(F.col("created_at").isNull(), 0.0).otherwise(0.08 * F.exp(-age_days(as_of, F.col("created_at")) / 30))
     fresh = F.when(F.col("last_accessed_at").isNull(), 0.5).otherwise(F.exp(-age_days(as_of, F.col("last_accessed_at")) / 14))
     used = F.when(F.coalesce("access_count", F.lit(0)) > 0, 0.12 * F.least(F.lit(1.0), F.log1p("access_count") * fresh / 3)).otherwise(0.0)
@@ -181,28 +186,36 @@ def mmr(results: DataFrame, lam: float = 0.7) -> DataFrame:
     return results.withColumn("words", X.filename_tokens(F.col("filename"))).groupBy("query_id").applyInPandas(one, schema)
 
 
-def search_signals(queries: DataFrame, files: DataFrame, summaries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The six signals.  ``chunks``: file rows with chunk_index and text; ``vectors``: file_id, embedding, and the queries' query_vector."""
+def search_signals(queries: DataFrame, files: DataFrame, chunks: Index, summaries: Index, bodies: Index, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The six signals.  The indexes are of chunks (file_id, chunk_index), summaries and bodies (file_id); ``vectors`` are of chunks, and the queries' query_vector."""
     q = prepare_queries(queries)
-    public = summaries.where("NOT is_private")
+    of_files = lambda index: rank_files(bm25(q, index).withColumn("chunk_index", F.lit(0)), 20)
     out = {
         "filename:full": sig_filename_full(q, files),
         "filename:tokenized": sig_filename_tokens(q, files),
-        "chunk:bm25": rank_files(bm25(q, chunks, "text", ["file_id", "chunk_index"]), 20),
-        "summary:bm25": rank_files(bm25(q, public, "summary", ["file_id"]).withColumn("chunk_index", F.lit(0)), 20),
-        "raw_text:bm25": rank_files(bm25(q, public, "raw_text", ["file_id"]).withColumn("chunk_index", F.lit(0)), 20),
+        "chunk:bm25": rank_files(bm25(q, chunks), 20),
+        "summary:bm25": of_files(summaries),
+        "raw_text:bm25": of_files(bodies),
     }
     if vectors is not None:
-        hits = hybrid(q.join(queries.select("query_id", "query_vector"), "query_id"), public.join(vectors, "file_id"), "raw_text", ["file_id"])
-        # Vectors are of whole files here: which chunk matched isn't known.
-        out["chunk:hybrid"] = rank_files(hits.where("score > 0.55").withColumn("chunk_index", F.lit(0)), 20).drop("chunk_index")
+        out["chunk:hybrid"] = rank_files(hybrid(q.join(queries.select("query_id", "query_vector"), "query_id"), chunks, vectors), 20)
     return out
 
 
-def federated_search(queries: DataFrame, files: DataFrame, summaries: DataFrame, chunks: DataFrame, access: DataFrame, as_of: Column, vectors: DataFrame | None = None, n: int = 30) -> DataFrame:
-    """Q12, Q10: query_id, file_id, score, rank, the signals that found the file and the chunk that matched; ``diverse_search`` goes on to Q11's order."""
-    fused = rrf(consolidate(search_signals(queries, files, summaries, chunks, vectors)))
-    return top_results(boosts(fused, files, access, as_of), n)
+def with_passages(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Q10: ``results`` with matched_text, the text of the chunk that matched (file_id, chunk_index, text); null if none did."""
+    c = chunks.select("file_id", F.col("chunk_index").cast("long").alias("matched_chunk"), F.col("text").alias("matched_text"))
+    return results.join(c, ["file_id", "matched_chunk"], "left")
+
+
+def federated_search(queries: DataFrame, files: DataFrame, chunks: Index, summaries: Index, bodies: Index, access: DataFrame, as_of: Column, vectors: DataFrame | None = None, texts: DataFrame | None = None, n: int = 30) -> DataFrame:
+    """Q12, Q10: for each query its best files with score, rank, the file's properties, the signals that found it and the chunk that matched.
+
+    ``texts`` (file_id, chunk_index, text) gives the chunk's text; ``diverse_search`` goes on to Q11's order.
+    """
+    fused = rrf(consolidate(search_signals(queries, files, chunks, summaries, bodies, vectors)))
+    found = top_results(boosts(fused, files, access, as_of), n)
+    return found if texts is None else with_passages(found, texts)
 
 
 def diverse_search(*args, **kwargs) -> DataFrame:

@@ -23,7 +23,8 @@ VIEWS = {
     "summaries": f"""SELECT f.file_id, f.user_id, f.collection, f.filename, CASE WHEN is_private THEN '{PLACEHOLDER}' ELSE d.text END AS summary,
   CASE WHEN is_private THEN '' ELSE d.text END AS raw_text, is_private, created_at, d.lang, d.source, d.n_chars FROM files f JOIN documents d ON d.doc_id = f.file_id""",
     "queries": """SELECT item_id AS query_id, item_id % 20 AS user_id, replace(text, chr(10), ' ') AS query FROM benchmark
-  UNION ALL SELECT -1 - min(doc_id), doc_id % 20, concat(source,' ',lang,' report') FROM documents GROUP BY doc_id % 20, source, lang""",
+  UNION ALL SELECT -1 - min(doc_id), doc_id % 20, concat(source,' ',lang,' report') FROM documents GROUP BY doc_id % 20, source, lang
+  UNION ALL SELECT -1000000000000 - max(file_id), user_id, string_split(arg_max(filename, file_id), '.')[1] FROM files JOIN documents ON doc_id = file_id GROUP BY user_id, lang""",
     "ev": "SELECT event_id, ts, user_id, event_type, value, cast(json_extract_string(props,'$.k') AS bigint) AS k FROM events",
     "clicks": "SELECT event_id, user_id, event_id % 40 AS query_id, k AS file_id, 1 + event_id % 13 AS rank, ts FROM ev WHERE event_type = 'click'",
     "access": "SELECT k AS file_id, count(*) AS access_count, max(ts) AS last_accessed_at FROM ev WHERE event_type IN ('view','click') GROUP BY k",
@@ -32,7 +33,7 @@ VIEWS = {
   cast(doc_id AS varchar) AS file_id, cast(doc_id % 20 AS varchar) AS user_id, 'f ' || doc_id || '.txt' AS filename, 'Text/Plain' AS filetype,
   'https://storage.googleapis.com/b/' || (doc_id % 20) || '/' || doc_id AS url, doc_id % 17 = 0 AS is_private FROM documents""",
 }
-NEEDS = {"summaries": ["files"], "clicks": ["ev"], "access": ["ev"]}
+NEEDS = {"summaries": ["files"], "queries": ["files"], "clicks": ["ev"], "access": ["ev"]}
 
 
 def with_views(body: str, *names: str) -> str:

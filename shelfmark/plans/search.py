@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import search as Q
 from shelfmark.operators.catalogue import newest_files
+from shelfmark.operators.index import Index, bm25
 from shelfmark.plans.base import VIEWS, query
 from shelfmark.plans.texts import STOP
 from shelfmark.sources import tables as S
+from shelfmark.sources.stored import shared_folder, spread
 
 AS_OF = "2024-02-01 00:00:00"
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
@@ -18,16 +20,32 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
+def public(spark, sf):
+    """Public files with their texts, dealt out to all cores."""
+    return spread(S.read_summaries(spark, sf).where("NOT is_private"))
+
+
 def line_chunks(spark, sf):
     """Chunks of public files: their lines."""
-    s = S.read_summaries(spark, sf).where("NOT is_private").select("collection", "user_id", "file_id", F.posexplode(F.split("raw_text", "\n")).alias("chunk_index", "text"))
+    s = public(spark, sf).select("collection", "user_id", "file_id", F.posexplode(F.split("raw_text", "\n")).alias("chunk_index", "text"))
     return s.where("length(text) > 0")
 
 
+def chunk_index(spark, sf):
+    return Index(spark, shared_folder(spark, "chunks"), ["file_id", "chunk_index"]).add(line_chunks(spark, sf), "text")
+
+
+def file_index(spark, sf):
+    """The index of whole files, for summaries and bodies: they are one text in these tables."""
+    return Index(spark, shared_folder(spark, "files"), ["file_id"]).add(public(spark, sf), "summary")
+
+
 def with_vectors(spark, sf):
-    e = S.read_table(spark, sf, "embeddings")
+    """The queries, some with a vector, and a vector for every chunk: the stored ones, dealt over files and chunks."""
+    e = S.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
     q = S.read_queries(spark, sf).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
-    return q, e.select(F.col("vec_id").alias("file_id"), "embedding")
+    c = line_chunks(spark, sf).drop("text").withColumn("vec_id", (F.col("file_id") * 31 + F.col("chunk_index")) % e.count())
+    return q, c.join(e, "vec_id").drop("vec_id")
 
 
 def prepared(spark, sf):
@@ -62,21 +80,20 @@ def rank_sql(source: str, where: str = "true") -> str:
 bm25_views("b_chunk", "line_chunks", "text", "chunk_index")
 bm25_views("b_sum", "public", "summary")
 bm25_views("b_raw", "public", "raw_text")
-VIEWS["dense"] = """SELECT query_id, collection, s.user_id, file_id, round(list_inner_product(d, v) / (sqrt(list_inner_product(d, d)) * sqrt(list_inner_product(v, v)) + 1e-9), 6) AS dense
-FROM public s JOIN (SELECT vec_id, embedding::DOUBLE[] AS d FROM embeddings) e ON e.vec_id = s.file_id JOIN queries q ON q.user_id = s.user_id JOIN (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings) x ON x.qid = q.query_id"""
-bm25_views("b_vec", "(SELECT p.* FROM public p JOIN embeddings ON vec_id = file_id)", "raw_text")
-VIEWS["hyb"] = """SELECT query_id, collection, user_id, file_id, 0 AS chunk_index, round(0.5 * coalesce(CASE WHEN dense IS NULL THEN NULL WHEN max(dense) OVER w = min(dense) OVER w THEN 1 ELSE (dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w) END, 0)
+VIEWS["dense"] = """SELECT query_id, collection, s.user_id, file_id, chunk_index, round(list_inner_product(d, v) / (sqrt(list_inner_product(d, d)) * sqrt(list_inner_product(v, v)) + 1e-9), 6) AS dense
+FROM line_chunks s JOIN (SELECT vec_id, embedding::DOUBLE[] AS d FROM embeddings) e ON e.vec_id = (s.file_id * 31 + s.chunk_index) % (SELECT count(*) FROM embeddings) JOIN queries q ON q.user_id = s.user_id JOIN (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings) x ON x.qid = q.query_id"""
+VIEWS["hyb"] = """SELECT query_id, collection, user_id, file_id, chunk_index, round(0.5 * coalesce(CASE WHEN dense IS NULL THEN NULL WHEN max(dense) OVER w = min(dense) OVER w THEN 1 ELSE (dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w) END, 0)
  + 0.5 * coalesce(CASE WHEN score IS NULL THEN NULL WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 0), 6) AS score
-FROM (SELECT query_id, collection, user_id, file_id, dense FROM dense) FULL JOIN (SELECT query_id, collection, user_id, file_id, score FROM b_vec) USING (query_id, collection, user_id, file_id) WINDOW w AS (PARTITION BY query_id, collection)"""
+FROM (SELECT query_id, collection, user_id, file_id, chunk_index, dense FROM dense) FULL JOIN (SELECT query_id, collection, user_id, file_id, chunk_index, score FROM b_chunk) USING (query_id, collection, user_id, file_id, chunk_index) WINDOW w AS (PARTITION BY query_id, collection)"""
 VIEWS["hyb_r"] = rank_sql("hyb", "score > 0.55")
 BASE = ["files", "summaries", "queries", "qk", "public"]
 SIGNALS = ["line_chunks", "sig_full", "sig_tok", *[f"{b}{x}" for b in ("b_chunk", "b_sum", "b_raw") for x in ("_t", "_p", "", "_r")]]
-HYBRID = ["dense", "b_vec_t", "b_vec_p", "b_vec", "hyb", "hyb_r"]
+HYBRID = ["dense", "hyb", "hyb_r"]
 VIEWS["ranks"] = """SELECT query_id, file_id, signal, min(rank) AS rank, arg_min(chunk, rank) AS matched_chunk FROM (SELECT query_id, file_id, rank, 'filename:full' AS signal, NULL::BIGINT AS chunk FROM sig_full UNION ALL SELECT query_id, file_id, rank, 'filename:tokenized', NULL FROM sig_tok
- UNION ALL SELECT query_id, file_id, rank, 'chunk:bm25', chunk_index FROM b_chunk_r UNION ALL SELECT query_id, file_id, rank, 'summary:bm25', NULL FROM b_sum_r UNION ALL SELECT query_id, file_id, rank, 'raw_text:bm25', NULL FROM b_raw_r UNION ALL SELECT query_id, file_id, rank, 'chunk:hybrid', NULL FROM hyb_r) GROUP BY ALL"""
-VIEWS["fused"] = "SELECT query_id, file_id, sum(CASE signal WHEN 'filename:full' THEN 3.0 WHEN 'chunk:hybrid' THEN 1.5 WHEN 'raw_text:bm25' THEN 1.5 ELSE 2.0 END::DOUBLE / (60 + rank)) AS base, string_agg(signal, '|' ORDER BY CASE signal WHEN 'filename:full' THEN 0 WHEN 'filename:tokenized' THEN 1 WHEN 'chunk:bm25' THEN 2 WHEN 'summary:bm25' THEN 3 WHEN 'chunk:hybrid' THEN 4 ELSE 5 END) AS matched_in, max(matched_chunk) AS matched_chunk FROM ranks GROUP BY ALL"
+ UNION ALL SELECT query_id, file_id, rank, 'chunk:bm25', chunk_index FROM b_chunk_r UNION ALL SELECT query_id, file_id, rank, 'summary:bm25', NULL FROM b_sum_r UNION ALL SELECT query_id, file_id, rank, 'raw_text:bm25', NULL FROM b_raw_r UNION ALL SELECT query_id, file_id, rank, 'chunk:hybrid', chunk_index FROM hyb_r) GROUP BY ALL"""
+VIEWS["fused"] = "SELECT query_id, file_id, sum(CASE signal WHEN 'filename:full' THEN 3.0 WHEN 'chunk:hybrid' THEN 1.5 WHEN 'raw_text:bm25' THEN 1.5 ELSE 2.0 END::DOUBLE / (60 + rank)) AS base, string_agg(signal, '|' ORDER BY CASE signal WHEN 'filename:full' THEN 0 WHEN 'filename:tokenized' THEN 1 WHEN 'chunk:bm25' THEN 2 WHEN 'summary:bm25' THEN 3 WHEN 'chunk:hybrid' THEN 4 ELSE 5 END) AS matched_in, coalesce(max(CASE WHEN signal = 'chunk:bm25' THEN matched_chunk END), max(CASE WHEN signal = 'chunk:hybrid' THEN matched_chunk END)) AS matched_chunk FROM ranks GROUP BY ALL"
 AGE = f"greatest(0.0, epoch(TIMESTAMP '{AS_OF}' - date_trunc('second', {{}})) / 86400)"
-VIEWS["boosted"] = f"""SELECT query_id, f.file_id, filename, base, matched_in, matched_chunk, round(base * (1 + 0.08 * exp(-{AGE.format('created_at')} / 30) + CASE WHEN coalesce(access_count, 0) > 0 THEN 0.12 * least(1.0, ln(1 + access_count) * exp(-{AGE.format('last_accessed_at')} / 14) / 3) ELSE 0 END), 6) AS score
+VIEWS["boosted"] = f"""SELECT query_id, f.file_id, f.collection, filename, filetype, created_at, base, matched_in, matched_chunk, round(base * (1 + 0.08 * exp(-{AGE.format('created_at')} / 30) + CASE WHEN coalesce(access_count, 0) > 0 THEN 0.12 * least(1.0, ln(1 + access_count) * exp(-{AGE.format('last_accessed_at')} / 14) / 3) ELSE 0 END), 6) AS score
 FROM fused JOIN files f USING (file_id) LEFT JOIN access a ON a.file_id = f.file_id WHERE length(filename) > 0"""
 
 
@@ -87,9 +104,9 @@ def q1(spark, sf):
     return prepared(spark, sf).select("query_id", "user_id", F.size("kw").alias("n_keywords"), F.size(F.array_distinct(tokens(F.col("bm25_query")))).alias("n_terms"))
 
 
-@query("q2_postings", "SELECT collection, file_id, term, tf FROM b_sum_p", "summaries", "public", "b_sum_t", "b_sum_p")
+@query("q2_postings", "SELECT collection, file_id, term, tf, len(toks)::INTEGER AS dl FROM b_sum_p JOIN b_sum_t USING (collection, user_id, file_id, chunk_index)", "summaries", "public", "b_sum_t", "b_sum_p")
 def q2(spark, sf):
-    return Q.build_postings(S.read_summaries(spark, sf).where("NOT is_private"), ["collection", "file_id"], "summary")
+    return file_index(spark, sf).postings().where("bucket >= 0").select("collection", "file_id", "term", "tf", "dl")
 
 
 @query("q3_signal_filename_full", "SELECT * FROM sig_full", *BASE, "sig_full")
@@ -104,25 +121,26 @@ def q4(spark, sf):
 
 @query("q5_bm25_summary", "SELECT query_id, collection, user_id, file_id, score FROM b_sum", *BASE, "b_sum_t", "b_sum_p", "b_sum")
 def q5(spark, sf):
-    return Q.bm25(prepared(spark, sf), S.read_summaries(spark, sf).where("NOT is_private"), "summary", ["file_id"])
+    return bm25(prepared(spark, sf), file_index(spark, sf))
 
 
 @query("q5_bm25_chunks_w1", "SELECT query_id, collection, file_id, chunk_index, rank FROM b_chunk_r", *BASE, "line_chunks", "b_chunk_t", "b_chunk_p", "b_chunk", "b_chunk_r")
 def q5b(spark, sf):
-    hits = Q.bm25(prepared(spark, sf), line_chunks(spark, sf), "text", ["file_id", "chunk_index"])
+    hits = bm25(prepared(spark, sf), chunk_index(spark, sf))
     return Q.rank_files(hits, 20).select("query_id", "collection", "file_id", "chunk_index", "rank")
 
 
-@query("q6_signal_hybrid", "SELECT query_id, collection, user_id, file_id, score FROM hyb WHERE score > 0.55", *BASE, *HYBRID[:-1])
+@query("q6_signal_hybrid", "SELECT query_id, collection, user_id, file_id, chunk_index, score FROM hyb WHERE score > 0.55", *BASE, "line_chunks", "b_chunk_t", "b_chunk_p", "b_chunk", *HYBRID[:-1])
 def q6(spark, sf):
     q, v = with_vectors(spark, sf)
     p = Q.prepare_queries(q).join(q.select("query_id", "query_vector"), "query_id")
-    return Q.hybrid(p, S.read_summaries(spark, sf).where("NOT is_private").join(v, "file_id"), "raw_text", ["file_id"]).where("score > 0.55")
+    return Q.hybrid(p, chunk_index(spark, sf), v)
 
 
 def signals(spark, sf):
     q, v = with_vectors(spark, sf)
-    return Q.search_signals(q, S.read_files(spark, sf), S.read_summaries(spark, sf), line_chunks(spark, sf), v)
+    files = file_index(spark, sf)
+    return Q.search_signals(q, S.read_files(spark, sf), chunk_index(spark, sf), files, files, v)
 
 
 @query("q7_consolidation", "SELECT * FROM ranks", *BASE, *SIGNALS, *HYBRID, "ranks")
@@ -137,15 +155,16 @@ def q8(spark, sf):
 
 def searched(spark, sf, search=Q.federated_search):
     q, v = with_vectors(spark, sf)
-    return search(q, S.read_files(spark, sf), S.read_summaries(spark, sf), line_chunks(spark, sf), S.read_access(spark, sf), as_of(), v)
+    files = file_index(spark, sf)
+    return search(q, S.read_files(spark, sf), chunk_index(spark, sf), files, files, S.read_access(spark, sf), as_of(), v, line_chunks(spark, sf))
 
 
-SEARCH_SQL = "SELECT query_id, file_id, filename, score, matched_in, matched_chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM boosted QUALIFY rank <= 30"
+SEARCH_SQL = "SELECT b.*, text AS matched_text FROM (SELECT query_id, file_id, collection, filename, filetype, created_at, score, matched_in, matched_chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM boosted QUALIFY rank <= 30) b LEFT JOIN line_chunks c ON c.file_id = b.file_id AND c.chunk_index = b.matched_chunk"
 
 
 @query("q12_federated_search", SEARCH_SQL, *BASE, "ev", "access", *SIGNALS, *HYBRID, "ranks", "fused", "boosted")
 def q12(spark, sf):
-    return searched(spark, sf).select("query_id", "file_id", "filename", "score", F.array_join("matched_in", "|").alias("matched_in"), "matched_chunk", "rank")
+    return searched(spark, sf).select("query_id", "file_id", "collection", "filename", "filetype", "created_at", "score", F.array_join("matched_in", "|").alias("matched_in"), "matched_chunk", "matched_text", "rank")
 
 
 @query("q11_mmr_diversity")

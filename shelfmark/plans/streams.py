@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,21 +9,14 @@ from shelfmark.operators import catalogue as K
 from shelfmark.operators import retrieval as R
 from shelfmark.operators import search as Q
 from shelfmark.plans import retrieval, search
+from shelfmark.operators.index import bm25
 from shelfmark.plans.base import query
 from shelfmark.plans.catalogue import USAGE
 from shelfmark.sources import tables as S
+from shelfmark.sources.stored import shared_folder
 from shelfmark.streaming import jobs
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = root or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/stream-{uuid.uuid4()}"
-
-
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     path = f"{sf}/{name}.parquet"
     # The star lets the table be one file or a folder of them.
@@ -36,7 +26,7 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """The stream's result after all its present input; each batch replaces or adds to what was there."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
@@ -81,11 +71,11 @@ def l3(spark, sf):
     return K.top_k(S.read_files(spark, sf), ["collection"], [F.desc("created_at"), F.col("file_id")], 20).select("collection", "file_id", "rank")
 
 
-@query("p7_p12_wildcard_names", "SELECT query_id, file_id FROM queries JOIN files USING (user_id) WHERE contains(lower(filename), lower(split_part(query, ' ', 1))) AND length(filename) > 0", "queries", "files")
+@query("p7_p12_wildcard_names", "SELECT query_id, file_id FROM queries JOIN files USING (user_id) WHERE regexp_matches(lower(filename), array_to_string(list_transform(list_filter(string_split(lower(query), ' '), lambda w: length(w) > 0), lambda w: regexp_escape(w)), '.*')) AND length(filename) > 0", "queries", "files")
 def p7(spark, sf):
-    q = S.read_queries(spark, sf).withColumn("query", F.split("query", " ")[0])
-    hit = q.join(S.read_files(spark, sf), "user_id").where(F.contains(F.lower("filename"), F.lower("query")) & (F.length("filename") > 0))
-    return hit.select("query_id", "file_id")
+    """Whole queries as patterns: a star between their words."""
+    q = S.read_queries(spark, sf).select("query_id", "user_id", F.replace(F.lower("query"), F.lit(" "), F.lit("*")).alias("part"))
+    return Q.names_like(q, S.read_files(spark, sf)).select("query_id", "file_id")
 
 
 @query("j4_personalisation", "SELECT f.file_id, coalesce(access_count, 0) AS access_count, last_accessed_at FROM files f LEFT JOIN access a ON a.file_id = f.file_id", "files", "access")
@@ -107,5 +97,5 @@ def u4(spark, sf):
 
 @query("l4_top_results", "SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM (SELECT query_id, file_id, max(score) AS score FROM b_sum GROUP BY ALL) QUALIFY rank <= 30", *search.BASE, "b_sum_t", "b_sum_p", "b_sum")
 def l4(spark, sf):
-    hits = Q.bm25(search.prepared(spark, sf), S.read_summaries(spark, sf).where("NOT is_private"), "summary", ["file_id"])
+    hits = bm25(search.prepared(spark, sf), search.file_index(spark, sf))
     return Q.top_results(hits.groupBy("query_id", "file_id").agg(F.max("score").alias("score"))).select("query_id", "file_id", "rank")

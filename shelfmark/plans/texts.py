@@ -9,6 +9,7 @@ from shelfmark.functions import text as X
 from shelfmark.operators import texts as O
 from shelfmark.plans.base import query
 from shelfmark.sources import tables as S
+from shelfmark.sources.stored import shared_folder, spread
 
 STOP = "[" + ",".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 #: SQL of the keyword list of a column ``query``: each word once, in order.
@@ -50,13 +51,12 @@ SELECT collection, n_docs, n_tokens, n_terms, round(n_tokens / n_docs, 6) AS avg
     "files",
 )
 def a10(spark, sf):
-    from shelfmark.operators.search import build_postings
+    from shelfmark.operators.index import Index
 
-    d = docs(spark, sf).join(S.read_files(spark, sf).select("file_id", "collection"), F.col("doc_id") == F.col("file_id"))
-    p = build_postings(d, ["collection", "file_id"], "text")
-    terms = p.groupBy("collection").agg(F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
-    n = S.read_files(spark, sf).groupBy("collection").agg(F.count("*").alias("n_docs"))
-    return n.join(terms, "collection").select("collection", "n_docs", "n_tokens", "n_terms", F.round(F.col("n_tokens") / F.col("n_docs"), 6).alias("avg_len"))
+    d = spread(S.read_files(spark, sf, "text"))
+    index = Index(spark, shared_folder(spark, "files"), ["file_id"]).add(d, "text")
+    n = index.totals().join(index.frequencies().groupBy("collection").agg(F.count("*").alias("n_terms")), "collection")
+    return n.select("collection", "n_docs", F.col("n_words").alias("n_tokens"), "n_terms", F.round(F.col("n_words") / F.col("n_docs"), 6).alias("avg_len"))
 
 
 @query("t1_keywords", f"SELECT query_id, {KEYWORDS_SQL} AS kw FROM queries".replace("SELECT query_id, ", "SELECT query_id, array_to_string(list_transform(list_filter(list_zip(k, range(len(k))), lambda z: list_position(k, z[1]) = z[2] + 1), lambda z: z[1]), ' ') AS kw FROM (SELECT query_id, ").replace(" AS kw FROM queries", " AS k FROM queries)"), "queries")

@@ -20,8 +20,8 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The file catalogue."""
+def read_files(spark: SparkSession, path: str, *more: str) -> DataFrame:
+    """The file catalogue, with ``more`` columns of the same rows."""
     d = read_table(spark, path, "documents")
     m10, m11 = F.col("doc_id") % 10, F.col("doc_id") % 11
     ext = F.when(m10 == 0, ".png").when(m10 == 1, ".mp3").when(m10 == 2, ".mp4").when(m10 == 3, ".pdf").otherwise(".txt")
@@ -37,13 +37,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         status.alias("extraction_status"),
         (F.col("doc_id") % 17 == 0).alias("is_private"),
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast((doc_id * 37) % 43200 AS int), 0)").alias("created_at"),
+        *more,
     )
 
 
 def read_summaries(spark: SparkSession, path: str, collection: str = "all") -> DataFrame:
     """One row per file; an unknown collection gives no rows."""
-    f = read_files(spark, path).select("file_id", "user_id", "filename", "collection", "is_private", "created_at")
-    d = read_table(spark, path, "documents").select(F.col("doc_id").alias("file_id"), "text", "lang", "source", "n_chars")
     private = F.col("is_private")
     index = F.to_json(
         F.struct(
@@ -54,7 +53,7 @@ def read_summaries(spark: SparkSession, path: str, collection: str = "all") -> D
             F.array(F.concat(F.lit("chars: "), F.col("n_chars").cast("string"))).alias("key_numbers"),
         )
     )
-    out = f.join(d, "file_id").select(
+    out = read_files(spark, path, "text", "lang", "source", "n_chars").select(
         "file_id",
         "user_id",
         "collection",
@@ -75,14 +74,16 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """Search queries: the benchmark passages, and for each user the kinds of files that the user has (ids below 0)."""
+    """Search queries: the benchmark passages, for each user the kinds of files that the user has, and for each user and language the name of a file (ids below 0)."""
     b = read_table(spark, path, "benchmark").select(
         F.col("item_id").alias("query_id"),
         (F.col("item_id") % 20).alias("user_id"),
         F.replace("text", F.lit("\n"), F.lit(" ")).alias("query"),
     )
-    d = read_table(spark, path, "documents").groupBy((F.col("doc_id") % 20).alias("user_id"), "source", "lang").agg((-1 - F.min("doc_id")).alias("query_id"))
-    return b.union(d.select("query_id", "user_id", F.concat("source", F.lit(" "), "lang", F.lit(" report"))))
+    f = read_files(spark, path, "source", "lang")
+    kinds = f.groupBy("user_id", "source", "lang").agg((-1 - F.min("file_id")).alias("query_id"))
+    named = f.groupBy("user_id", "lang").agg((-1000000000000 - F.max("file_id")).alias("query_id"), F.max_by(F.substring_index("filename", ".", 1), "file_id").alias("query"))
+    return b.union(kinds.select("query_id", "user_id", F.concat("source", F.lit(" "), "lang", F.lit(" report")))).union(named.select("query_id", "user_id", "query"))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
