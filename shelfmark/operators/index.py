@@ -5,8 +5,7 @@ totals of a delta are signed, so what is gone is taken back by addition.  Reader
 deltas that the manifest names, and ``compact`` merges them into one.
 
     postings/delta=D/bucket=B   collection, user_id, keys, term, tf, dl; sorted by tenant and term
-    terms/delta=D               collection, term, df
-    totals/delta=D              collection, n_docs, n_words
+    terms/delta=D               collection, term, df; without a term the documents and their words
     gone/delta=D                user_id and file, whose postings of earlier deltas don't count
     manifest/version=V          the deltas that count
 
@@ -16,8 +15,11 @@ length and no term.  A bucket that one term fills is still written by several ta
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from shelfmark.functions import text as X
 from shelfmark.sources import stored
@@ -39,14 +41,10 @@ def bucket_of(term: Column, n: int) -> Column:
     return F.when(term.isNull(), -1).otherwise(F.pmod(F.xxhash64(term), F.lit(n)).cast("int"))
 
 
-def frequencies(postings: DataFrame) -> DataFrame:
-    """A10: documents of each collection that hold a term."""
-    return postings.where("term IS NOT NULL").groupBy("collection", "term").agg(F.count("*").alias("df"))
-
-
-def totals(postings: DataFrame) -> DataFrame:
-    """A10: documents of each collection, and their words."""
-    return postings.where("term IS NULL").groupBy("collection").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_words"))
+def statistics(postings: DataFrame) -> DataFrame:
+    """A10: for each collection the documents that hold a term, and in the row without term all documents and their words."""
+    words = F.sum(F.when(F.col("term").isNull(), F.col("dl").cast("long")))
+    return postings.groupBy("collection", "term").agg(F.count("*").alias("df"), F.coalesce(words, F.lit(0)).alias("n_words"))
 
 
 class Index:
@@ -55,27 +53,22 @@ class Index:
     def __init__(self, spark: SparkSession, path: str, keys: list[str] | None = None, buckets: int = 32) -> None:
         self.spark, self.path, self.manifest = spark, path, stored.Manifest(spark, path)
         if self.manifest.versions():
-            self.schema = spark.read.parquet(f"{path}/postings").schema
-            meta = spark.read.parquet(f"{path}/form").first()
-            self.keys, self.buckets = list(meta["keys"]), meta["buckets"]
+            form = spark.read.parquet(f"{path}/form").first()
+            self.keys, self.buckets = list(form["keys"]), form["buckets"]
+            self.schema = StructType.fromJson(json.loads(form["schema"]))
+            self.live = self.manifest.parts()
         elif keys is None:
             raise ValueError(f"no index at {path}: name the keys of a new one")
         else:
-            self.keys, self.buckets, self.schema = keys, buckets, None
+            self.keys, self.buckets, self.schema, self.live = keys, buckets, None, []
 
     # Reading
 
-    def _part(self, name: str, schema: str) -> DataFrame:
-        return stored.present(self.spark, f"{self.path}/{name}", schema, self._live(), "delta")
-
-    def _live(self) -> list[int]:
-        return self.manifest.parts()
-
     def postings(self) -> DataFrame:
         """All rows that count; filters on ``bucket`` and ``delta`` prune folders."""
         if self.schema is None:
             raise ValueError("nothing has been added")
-        live = self._live()
+        live = self.live
         rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/postings").where(F.col("delta").isin(*live))
         if not any(f"delta={d}" in stored.folders(self.spark, f"{self.path}/gone") for d in live):
             return rows
@@ -84,13 +77,17 @@ class Index:
         kept = rows.join(gone, file, "left").where("_until IS NULL OR delta >= _until")
         return kept.select(*rows.columns)
 
+    def _statistics(self) -> DataFrame:
+        t = stored.present(self.spark, f"{self.path}/terms", "collection string, term string, df long, n_words long, delta int", self.live, "delta")
+        return t.groupBy("collection", "term").agg(F.sum("df").alias("df"), F.sum("n_words").alias("n_words")).where("df > 0")
+
     def frequencies(self) -> DataFrame:
-        t = self._part("terms", "collection string, term string, df long, delta int")
-        return t.groupBy("collection", "term").agg(F.sum("df").alias("df")).where("df > 0")
+        """A10: (collection, term, df)."""
+        return self._statistics().where("term IS NOT NULL").drop("n_words")
 
     def totals(self) -> DataFrame:
-        t = self._part("totals", "collection string, n_docs long, n_words long, delta int")
-        return t.groupBy("collection").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_words").alias("n_words")).where("n_docs > 0")
+        """A10: (collection, n_docs, n_words)."""
+        return self._statistics().where("term IS NULL").select("collection", F.col("df").alias("n_docs"), "n_words")
 
     # Writing
 
@@ -99,45 +96,48 @@ class Index:
         out = f"{self.path}/postings/delta={number}"
         rows = rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "user_id", "term")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(out)
-        mine = self.spark.read.parquet(out)
-        up, down = [frequencies(mine), totals(mine)], None
+        count = statistics(self.spark.read.schema(rows.schema).parquet(out))
         if gone is not None:
-            gone.write.mode("overwrite").parquet(f"{self.path}/gone/delta={number}")
-            old = self.postings().join(self.spark.read.parquet(f"{self.path}/gone/delta={number}"), ["user_id", self.keys[0]], "left_semi")
-            down = [frequencies(old).withColumn("df", -F.col("df")), totals(old).withColumns({"n_docs": -F.col("n_docs"), "n_words": -F.col("n_words")})]
-        for name, i in (("terms", 0), ("totals", 1)):
-            (up[i].unionByName(down[i]) if down else up[i]).write.mode("overwrite").parquet(f"{self.path}/{name}/delta={number}")
+            path = f"{self.path}/gone/delta={number}"
+            gone.write.mode("overwrite").parquet(path)
+            old = self.postings().join(self.spark.read.parquet(path), ["user_id", self.keys[0]], "left_semi")
+            count = count.unionByName(statistics(old).withColumns({"df": -F.col("df"), "n_words": -F.col("n_words")}))
+        count.write.mode("overwrite").parquet(f"{self.path}/terms/delta={number}")
+
+    def _commit(self, live: list[int]) -> Index:
+        self.manifest.commit(live)
+        self.live = live
+        return self
 
     def _next(self) -> int:
-        return max(self._live(), default=-1) + 1
+        return max(self.live, default=-1) + 1
 
     def add(self, docs: DataFrame, field: str, max_deltas: int = 8) -> Index:
         """Index the words of ``field``; files that are there already are replaced.  Beyond ``max_deltas`` deltas all are merged."""
-        live, number = self._live(), self._next()
+        live, number = self.live, self._next()
         postings = build_postings(docs, ["collection", "user_id", *self.keys], field)
         gone = docs.select("user_id", self.keys[0]).distinct() if live else None
         self._write(number, postings, gone)
         if not live:
-            form = self.spark.createDataFrame([(self.keys, self.buckets)], "keys array<string>, buckets int")
+            self.schema = StructType([*postings.schema, StructField("bucket", IntegerType()), StructField("delta", IntegerType())])
+            form = self.spark.createDataFrame([(self.keys, self.buckets, self.schema.json())], "keys array<string>, buckets int, schema string")
             form.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/form")
-        self.manifest.commit([*live, number])
-        self.schema = self.spark.read.parquet(f"{self.path}/postings").schema
+        self._commit([*live, number])
         return self.compact() if len(live) + 1 > max_deltas else self
 
     def delete(self, files: DataFrame) -> Index:
         """Take files (user_id and the file's key) out: K6, K7, X11."""
-        live, number = self._live(), self._next()
+        live, number = self.live, self._next()
         none = self.postings().drop("bucket", "delta").limit(0)
         self._write(number, none, files.select("user_id", self.keys[0]).distinct())
-        self.manifest.commit([*live, number])
-        return self
+        return self._commit([*live, number])
 
     def compact(self) -> Index:
         """Merge all deltas into one; the old ones' folders go."""
-        live, number = self._live(), self._next()
+        live, number = self.live, self._next()
         self._write(number, self.postings().drop("bucket", "delta"), None)
-        self.manifest.commit([number])
-        for name in ("postings", "terms", "totals", "gone"):
+        self._commit([number])
+        for name in ("postings", "terms", "gone"):
             for folder in stored.folders(self.spark, f"{self.path}/{name}"):
                 if folder in {f"delta={d}" for d in live}:
                     stored.remove(self.spark, f"{self.path}/{name}/{folder}")

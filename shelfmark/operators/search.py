@@ -95,24 +95,24 @@ def min_max(score: Column, low: Column, high: Column) -> Column:
     return F.when(score.isNull(), None).when(high == low, 1.0).otherwise((score - low) / (high - low))
 
 
-def hybrid(queries: DataFrame, index: Index, vectors: DataFrame, alpha: float = 0.5, above: float = 0.55) -> DataFrame:
+def hybrid(queries: DataFrame, words: DataFrame, keys: list[str], vectors: DataFrame, alpha: float = 0.5, above: float = 0.55) -> DataFrame:
     """Q6: alpha of the cosine and the rest of BM25, each scaled to [0, 1] within (query, collection); scores over ``above``, which is ``alpha`` at least.
 
-    ``queries`` has query_vector (null: words only), ``vectors`` the tenant's collection, the keys
-    of the index and embedding.  A side that is missing counts 0.  Rows without words score ``alpha``
+    ``queries`` has query_vector (null: words only), ``words`` the scores by ``bm25``, ``vectors`` the
+    tenant, the collection, the keys and embedding.  A side that is missing counts 0.  Rows without words score ``alpha``
     at most, so only rows with words can pass: their cosines are taken one by one, and of all others
     blocks give the least and the greatest (``operators.vectors``).
     """
     if above < alpha:
         raise ValueError("rows without words could pass: use vectors.nearest for them")
-    id_keys = ["collection", "user_id", *index.keys]
+    id_keys = ["collection", "user_id", *keys]
     group = ["query_id", "collection"]
-    words = bm25(queries, index).withColumnRenamed("score", "words")
+    words = words.withColumnRenamed("score", "words")
     span = words.groupBy(*group).agg(F.min("words").alias("_wl"), F.max("words").alias("_wh"))
     words = words.join(span, group).withColumn("_w", min_max(F.col("words"), F.col("_wl"), F.col("_wh"))).select("query_id", *id_keys, "_w")
     words = words.where((1 - alpha) * F.col("_w") + alpha > above - 1e-6)
-    blocks = V.packs_of(vectors, index.keys, ["user_id"], ["collection"])
-    dense = V.score_ranges(queries, blocks, index.keys, ["user_id"], ["collection"])
+    blocks = V.packs_of(vectors, keys, ["user_id"], ["collection"])
+    dense = V.score_ranges(queries, blocks, keys, ["user_id"], ["collection"])
     length = lambda v: F.sqrt(dot(v, v))
     v = vectors.where("embedding IS NOT NULL").select(*id_keys, "embedding", length(F.col("embedding")).alias("_dl"))
     q = queries.where("query_vector IS NOT NULL").select("query_id", "query_vector", length(F.col("query_vector")).alias("_ql"))
@@ -189,16 +189,17 @@ def mmr(results: DataFrame, lam: float = 0.7) -> DataFrame:
 def search_signals(queries: DataFrame, files: DataFrame, chunks: Index, summaries: Index, bodies: Index, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
     """The six signals.  The indexes are of chunks (file_id, chunk_index), summaries and bodies (file_id); ``vectors`` are of chunks, and the queries' query_vector."""
     q = prepare_queries(queries)
+    words = bm25(q, chunks)
     of_files = lambda index: rank_files(bm25(q, index).withColumn("chunk_index", F.lit(0)), 20)
     out = {
         "filename:full": sig_filename_full(q, files),
         "filename:tokenized": sig_filename_tokens(q, files),
-        "chunk:bm25": rank_files(bm25(q, chunks), 20),
+        "chunk:bm25": rank_files(words, 20),
         "summary:bm25": of_files(summaries),
         "raw_text:bm25": of_files(bodies),
     }
     if vectors is not None:
-        out["chunk:hybrid"] = rank_files(hybrid(q.join(queries.select("query_id", "query_vector"), "query_id"), chunks, vectors), 20)
+        out["chunk:hybrid"] = rank_files(hybrid(queries.select("query_id", "user_id", "query_vector"), words, chunks.keys, vectors), 20)
     return out
 
 

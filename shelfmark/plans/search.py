@@ -10,7 +10,7 @@ from shelfmark.operators.index import Index, bm25
 from shelfmark.plans.base import VIEWS, query
 from shelfmark.plans.texts import STOP
 from shelfmark.sources import tables as S
-from shelfmark.sources.stored import shared_folder, spread
+from shelfmark.sources.stored import settled, shared_folder, spread
 
 AS_OF = "2024-02-01 00:00:00"
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
@@ -44,6 +44,8 @@ def with_vectors(spark, sf):
     """The queries, some with a vector, and a vector for every chunk: the stored ones, dealt over files and chunks."""
     e = S.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
     q = S.read_queries(spark, sf).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
+    # Each signal reads the queries, so they are written once.
+    q = settled(q)
     c = line_chunks(spark, sf).drop("text").withColumn("vec_id", (F.col("file_id") * 31 + F.col("chunk_index")) % e.count())
     return q, c.join(e, "vec_id").drop("vec_id")
 
@@ -133,8 +135,8 @@ def q5b(spark, sf):
 @query("q6_signal_hybrid", "SELECT query_id, collection, user_id, file_id, chunk_index, score FROM hyb WHERE score > 0.55", *BASE, "line_chunks", "b_chunk_t", "b_chunk_p", "b_chunk", *HYBRID[:-1])
 def q6(spark, sf):
     q, v = with_vectors(spark, sf)
-    p = Q.prepare_queries(q).join(q.select("query_id", "query_vector"), "query_id")
-    return Q.hybrid(p, chunk_index(spark, sf), v)
+    index = chunk_index(spark, sf)
+    return Q.hybrid(q, bm25(Q.prepare_queries(q), index), index.keys, v)
 
 
 def signals(spark, sf):
