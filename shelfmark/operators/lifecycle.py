@@ -44,32 +44,41 @@ def rate_breaches(events: DataFrame, window: str, most: int) -> DataFrame:
     return n.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("begins"), "n")
 
 
-def lockouts(events: DataFrame, failures: int = 5, minutes: int = 15) -> DataFrame:
-    """When users were locked out: ``failures`` failed logins in a row; attempts while locked don't count, a success resets.
+def lockout_step(n: int, until: int, last: int, us: int, ok: bool, failures: int, span: int, idle: int) -> tuple[int, int, int, bool]:
+    """One attempt at ``us`` (all times in microseconds): (failures in a row, end of the lock, last attempt, whether it locks)."""
+    if n and us - last > idle:
+        n = 0
+    if us < until:
+        return n, until, us, False
+    n = 0 if ok else n + 1
+    return (0, us + span, us, True) if n >= failures else (n, until, us, False)
 
-    Events: event_id, user_id, ts, ok.  A user's events pass in order and are never held together.
+
+def lockouts(events: DataFrame, failures: int = 5, minutes: int = 15, idle: timedelta = timedelta(days=90)) -> DataFrame:
+    """When users were locked out: ``failures`` failed logins in a row; attempts while locked don't count, a success resets, as does a time of ``idle`` without attempts.
+
+    Events: event_id, user_id, ts, ok; those without ts don't count.  A user's events pass in order and are never held together.
     """
-    span = timedelta(minutes=minutes)
-    schema = pa.schema([("user_id", pa.int64()), ("locked_at", pa.timestamp("us")), ("until", pa.timestamp("us"))])
+    span, most = minutes * 60_000_000, int(idle.total_seconds()) * 1_000_000
+    schema = pa.schema([("user_id", pa.int64()), ("locked_at", pa.int64()), ("until", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user, n, until = object(), 0, None
+        user, n, until, last = object(), 0, 0, 0
         for batch in batches:
             out = []
-            for u, ts, ok in zip(*(batch.column(c).to_pylist() for c in ("user_id", "ts", "ok")), strict=True):
+            for u, us, ok in zip(*(batch.column(c).to_pylist() for c in ("user_id", "us", "ok")), strict=True):
                 if u != user:
-                    user, n, until = u, 0, None
-                if until is not None and ts is not None and ts < until:
-                    continue
-                n = 0 if ok else n + 1
-                if n >= failures:
-                    n, until = 0, None if ts is None else ts + span
-                    out.append((u, ts, until))
+                    user, n, until, last = u, 0, 0, 0
+                n, until, last, locked = lockout_step(n, until, last, us, ok, failures, span, most)
+                if locked:
+                    out.append((u, us, until))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    e = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "ok")
-    ordered = e.repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_last("ts"), "event_id")
-    return ordered.mapInArrow(run, "user_id long, locked_at timestamp_ntz, until timestamp_ntz")
+    e = events.where("ts IS NOT NULL").select(F.col("user_id").cast("long").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "ok")
+    ordered = e.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
+    found = ordered.mapInArrow(run, "user_id long, locked_at long, until long")
+    micros = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
+    return found.select("user_id", micros("locked_at"), micros("until"))
 
 
 def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:

@@ -45,6 +45,8 @@ def with_views(body: str, *names: str) -> str:
     body = body.strip()
     if not head:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
 
 

@@ -40,7 +40,10 @@ def status_events(spark, sf):
     return S.read_events(spark, sf).select("event_id", "ts", F.col("k").alias("file_id"), s.alias("status"), F.when(s == "failed", F.concat(F.lit("error "), F.col("event_id").cast("string"))).alias("error"))
 
 
-@query("x5_latest_status", "SELECT k AS file_id, ['pending','processing','done','failed'][1 + (arg_max(event_id, (ts, event_id)) % 4)] AS status, CASE WHEN arg_max(event_id, (ts, event_id)) % 4 = 3 THEN 'error ' || arg_max(event_id, (ts, event_id)) END AS error, count(*) AS n_events FROM ev GROUP BY k", "ev")
+STATUS_SQL = "SELECT k AS file_id, ['pending','processing','done','failed'][1 + (arg_max(event_id, (ts, event_id)) % 4)] AS status, CASE WHEN arg_max(event_id, (ts, event_id)) % 4 = 3 THEN 'error ' || arg_max(event_id, (ts, event_id)) END AS error, count(*) AS n_events FROM ev GROUP BY k"
+
+
+@query("x5_latest_status", STATUS_SQL, "ev")
 def x5(spark, sf):
     return L.latest_status(status_events(spark, sf))
 
@@ -50,10 +53,21 @@ def x6(spark, sf):
     return L.rate_breaches(S.read_events(spark, sf), "1 day", 3)
 
 
-@query("x7_lockouts")
+def logins(spark, sf):
+    return S.read_events(spark, sf).where("event_type IN ('error', 'signup')").select("event_id", "user_id", "ts", (F.col("event_type") == "signup").alias("ok"))
+
+
+#: Each user's attempts one by one, as a recursion over their numbers.
+LOCKOUTS = """WITH RECURSIVE a AS (SELECT user_id, ts, event_type = 'signup' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev WHERE event_type IN ('error', 'signup')),
+s AS (SELECT user_id, i, ts, CASE WHEN ok THEN 0 ELSE 1 END AS n, TIMESTAMP '1970-01-01 00:00:00' AS until, false AS locked FROM a WHERE i = 1
+UNION ALL SELECT a.user_id, a.i, a.ts, CASE WHEN a.ts < s.until THEN s.n WHEN a.ok OR s.n >= 2 THEN 0 ELSE s.n + 1 END, CASE WHEN a.ts >= s.until AND NOT a.ok AND s.n >= 2 THEN a.ts + INTERVAL 15 MINUTE ELSE s.until END, a.ts >= s.until AND NOT a.ok AND s.n >= 2
+FROM s JOIN a ON a.user_id = s.user_id AND a.i = s.i + 1)
+SELECT user_id, ts AS locked_at, until FROM s WHERE locked"""
+
+
+@query("x7_lockouts", LOCKOUTS, "ev")
 def x7(spark, sf):
-    e = S.read_events(spark, sf).where("event_type IN ('error', 'signup')").select("event_id", "user_id", "ts", (F.col("event_type") == "signup").alias("ok"))
-    return L.lockouts(e, failures=3)
+    return L.lockouts(logins(spark, sf), failures=3)
 
 
 @query("x8_idle_sessions", "SELECT * FROM ses", "ev", "ses")

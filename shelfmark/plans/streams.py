@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from shelfmark.operators import catalogue as K
 from shelfmark.operators import retrieval as R
 from shelfmark.operators import search as Q
-from shelfmark.plans import retrieval, search
+from shelfmark.plans import lifecycle, retrieval, search
 from shelfmark.operators.index import bm25
 from shelfmark.plans.base import query
 from shelfmark.plans.catalogue import USAGE
 from shelfmark.sources import tables as S
-from shelfmark.sources.stored import shared_folder
+from shelfmark.sources.stored import BatchSink, shared_folder
 from shelfmark.streaming import jobs
 
 
@@ -49,6 +49,77 @@ def x10(spark, sf):
     return finished(jobs.usage_stream(e), "complete")
 
 
+def arriving(spark: SparkSession, df: DataFrame, parts: list) -> DataFrame:
+    """A stream of ``df`` in as many batches as there are conditions ``parts``: rows arrive with the part they fulfil."""
+    folder = shared_folder(spark, "arriving")
+    for i, part in enumerate(parts):
+        df.where(part).coalesce(1).write.parquet(f"{folder}/{i:04d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def run_batches(stream: DataFrame, write, mode: str) -> None:
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", shared_folder(stream.sparkSession, "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@query("x5_status_stream", lifecycle.STATUS_SQL, "ev")
+def x5(spark, sf):
+    """Four batches by a hash, so that most events come late, and every seventh event twice."""
+    e = lifecycle.status_events(spark, sf).where("file_id IS NOT NULL")
+    h = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    s = arriving(spark, e, [(h == i) | ((F.col("event_id") % 7 == 0) & (h == i - 1)) for i in range(5)])
+    sink = BatchSink(spark, shared_folder(spark, "status"), jobs.STATUS, ["file_id"])
+    run_batches(jobs.status_stream(s), jobs.into(sink), "update")
+    return sink.read().drop("batch")
+
+
+@query("x7_lockout_stream", lifecycle.LOCKOUTS, "ev")
+def x7(spark, sf):
+    """Ten days a batch; attempts at their ends come up to fifty minutes late, in any order.  A far attempt ends the stream."""
+    e = lifecycle.logins(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit(True).alias("ok"))
+    e = e.unionByName(end)
+    span = F.when(F.col("event_id") < 0, 3).otherwise(F.floor((F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3000)) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / 864000))
+    s = arriving(spark, e, [span <= 0, span == 1, (span >= 2) & (F.col("event_id") >= 0), F.col("event_id") < 0])
+    sink = BatchSink(spark, shared_folder(spark, "lockouts"), "user_id long, locked_at timestamp_ntz, until timestamp_ntz")
+    run_batches(jobs.lockout_stream(s, failures=3), jobs.into(sink), "append")
+    return sink.read().drop("batch")
+
+
+@query("x10_usage_merged", USAGE, "ev")
+def x10_merged(spark, sf):
+    """Running totals in update mode, merged into one folder a day after every second batch."""
+    e = S.read_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    s = arriving(spark, e, [F.dayofmonth("ts").between(a, a + 5) | ((a == 25) & (F.dayofmonth("ts") > 30)) for a in range(1, 30, 6)])
+    sink = jobs.usage_sink(spark, shared_folder(spark, "usage"), most=2)
+    run_batches(jobs.usage_stream(s), jobs.into(sink), "update")
+    return sink.read().drop("batch")
+
+
+@query(
+    "x1_ingest_stream",
+    "SELECT m.user_id, m.file_id, 'Documents' AS collection, is_private, CASE WHEN is_private THEN 0 ELSE len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 0)) END AS n_chunks, 'work' AS sink FROM messages m JOIN documents ON doc_id = message_id WHERE reason IS NULL AND delivery_attempt <= 3 UNION ALL SELECT NULL, cast(message_id AS varchar), NULL, NULL, NULL, 'dead' FROM messages WHERE NOT (reason IS NULL AND delivery_attempt <= 3)",
+    "messages",
+)
+def x1(spark, sf):
+    """Three batches; what came in the first comes in the last again and changes nothing."""
+    v = S.read_message_values(spark, sf)
+    s = arriving(spark, v, [F.col("message_id") % 3 == 0, F.col("message_id") % 3 == 1, (F.col("message_id") % 3 == 2) | ((F.col("message_id") % 3 == 0) & F.col("value").contains("fileName") & (F.col("delivery_attempt") <= 3))])
+    d = S.read_table(spark, sf, "documents").select((F.col("doc_id") % 20).cast("string").alias("user_id"), F.col("doc_id").cast("string").alias("file_id"), "text")
+    sinks = jobs.IngestSinks(spark, shared_folder(spark, "ingest"), lambda files: d, lines)
+    jobs.run_ingest(s, sinks, shared_folder(spark, "state")).awaitTermination()
+    n = sinks.chunks.read().groupBy("user_id", "file_id").agg(F.count("*").alias("n"))
+    rows = sinks.rows.read().join(n, ["user_id", "file_id"], "left").select("user_id", "file_id", "collection", "is_private", F.coalesce("n", F.lit(0)).alias("n_chunks"), F.lit("work").alias("sink"))
+    none = F.lit(None).cast("string")
+    dead = sinks.dead.read().select(none.alias("user_id"), F.col("message_id").cast("string").alias("file_id"), none.alias("collection"), F.lit(None).cast("boolean").alias("is_private"), F.lit(None).cast("long").alias("n_chunks"), F.lit("dead").alias("sink"))
+    return rows.unionByName(dead)
+
+
+def lines(texts: DataFrame) -> DataFrame:
+    c = texts.select("user_id", "file_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "chunk_text"))
+    return c.where("length(chunk_text) > 0")
+
+
 @query("s6_plain_text", "SELECT filename AS path, trim(text) AS text FROM files JOIN documents ON doc_id = file_id WHERE ends_with(filename, '.txt') AND length(trim(text)) > 0", "files")
 def s6(spark, sf):
     d = S.read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").cast("binary").alias("content"))

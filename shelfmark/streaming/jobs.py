@@ -8,15 +8,19 @@ run a batch twice, so those writes are keyed by batch or idempotent.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from shelfmark.functions.columns import collection_of, norm_filename
 from shelfmark.operators.catalogue import route_messages
-from shelfmark.operators.lifecycle import ingest_batch, route_dead_letters
-from shelfmark.sources.tables import read_messages
+from shelfmark.operators.lifecycle import ingest_batch, lockout_step, route_dead_letters
+from shelfmark.sources.stored import BatchSink, settled, user_bucket
+from shelfmark.sources.tables import PLACEHOLDER, read_messages
 
 
 def dedupe_stream(uploads: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -31,52 +35,169 @@ def usage_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return n.select("user_id", F.to_date("w.start").alias("day"), "messages", "persistent", "ephemeral")
 
 
-def usage_upsert(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps each batch's running totals under its own number; ``read_usage`` takes the latest of each key."""
+USAGE = "user_id long, day date, messages long, persistent long, ephemeral long"
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return write
+def usage_sink(spark: SparkSession, path: str, most: int = 16) -> BatchSink:
+    """The totals per user and day that ``usage_stream`` gives in update mode: a later batch's row of a key replaces the earlier one's; merged into folders by day."""
+    return BatchSink(spark, path, USAGE, ["user_id", "day"], {"day": F.col("day")}, most)
 
 
-def read_usage(spark, path: str) -> DataFrame:
-    """The totals per user and day: in update mode a later batch's row of a key replaces the earlier one's, in append mode a key has one row."""
-    counts = ["messages", "persistent", "ephemeral"]
-    last = spark.read.parquet(path).groupBy("user_id", "day").agg(F.max_by(F.struct(*counts), "batch").alias("n"))
-    return last.select("user_id", "day", *[f"n.{c}" for c in counts])
+def into(sink: BatchSink) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function that writes to ``sink``."""
+    return lambda batch, number: sink.write(batch, number)
 
 
-def run_ingest(values: DataFrame, indexed: Callable[[], DataFrame], out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Read messages, route them, skip what is indexed, and write work and dead letters per batch.
+class IngestSinks:
+    """Where the batches of messages go: what is to be processed, what is not, and the index rows, stubs and chunks of what was.
 
-    ``indexed`` gives the present index keys (user_id, file_id) when a batch runs.
+    Each is a ``BatchSink``, so a batch that runs twice changes nothing, and a file that comes again replaces its
+    own rows (K1, K2, K3).  ``text`` gives a file's text (user_id, file_id, text) for a batch's files; ``chunk``
+    makes rows of (user_id, file_id, chunk_index, chunk_text) of them.
     """
 
-    def batch(df: DataFrame, number: int) -> None:
-        valid, rejected = read_messages(df)
-        route_dead_letters(valid, rejected).where("route != 'process'").write.mode("overwrite").parquet(f"{out}/dead_letters/batch={number}")
-        route_messages(ingest_batch(valid, indexed())).write.mode("overwrite").parquet(f"{out}/work/batch={number}")
+    WORK = "message_id long, user_id string, file_id string, filename string, topic string"
+    DEAD = "message_id long, route string, reason string"
+    ROW = "user_id string, file_id string, collection string, filename string, summary string, raw_text string, is_private boolean"
+    CHUNK = "user_id string, file_id string, chunk_index int, chunk_text string"
+
+    def __init__(self, spark: SparkSession, path: str, text: Callable[[DataFrame], DataFrame], chunk: Callable[[DataFrame], DataFrame], most: int = 16, buckets: int = 16) -> None:
+        file, place = ["user_id", "file_id"], {"bucket": user_bucket(buckets)}
+        self.text, self.chunk = text, chunk
+        self.work = BatchSink(spark, f"{path}/work", self.WORK, None, None, most)
+        self.dead = BatchSink(spark, f"{path}/dead_letters", self.DEAD, None, None, most)
+        self.rows = BatchSink(spark, f"{path}/rows", self.ROW, file, {"collection": F.col("collection"), **place}, most)
+        self.chunks = BatchSink(spark, f"{path}/chunks", self.CHUNK, file, place, most)
+
+    def indexed(self) -> DataFrame:
+        """Keys of the files that have a row."""
+        return self.rows.read().select("user_id", "file_id")
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        if all(s.has(number) for s in (self.work, self.dead, self.rows, self.chunks)):
+            return
+        # The messages of a batch are read once; a run that is repeated must not see its own rows as indexed.
+        values = settled(batch)
+        valid, rejected = read_messages(values)
+        self.dead.write(route_dead_letters(valid, rejected).where("route != 'process'"), number)
+        before = self.rows.read().where(F.col("batch") < number).select("user_id", "file_id")
+        taken = settled(ingest_batch(valid, before))
+        self.work.write(route_messages(taken).select("message_id", "user_id", "file_id", "filename", "topic"), number)
+        texts = taken.where("NOT is_private").select("user_id", "file_id").join(self.text(taken), ["user_id", "file_id"])
+        self.chunks.write(self.chunk(texts), number)
+        f = taken.select("user_id", "file_id", collection_of(F.col("filetype")).alias("collection"), norm_filename(F.col("filename")).alias("filename"), "is_private")
+        body = f.join(texts, ["user_id", "file_id"], "left")
+        public = F.when(F.col("is_private"), "").otherwise(F.coalesce("text", F.lit("")))
+        # The rows go last: a file counts as indexed when all else is there.
+        self.rows.write(body.withColumns({"raw_text": public, "summary": F.when(F.col("is_private"), PLACEHOLDER).otherwise(public)}), number)
+
+
+def run_ingest(values: DataFrame, sinks: IngestSinks, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Read messages, route them, skip what is indexed, and write all sinks, batch by batch."""
+    return values.writeStream.foreachBatch(sinks.write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stateful(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB, which processors with several states, lists and timers need; for queries that start from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+STATUS = "file_id long, status string, error string, n_events long"
+
+
+class LatestStatus(StatefulProcessor):
+    """Per file the last status by (ts, event_id) and the events seen; both are forgotten ``ttl`` after the last change."""
+
+    def __init__(self, ttl: timedelta) -> None:
+        self.ttl = int(ttl.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "us long, event_id long, status string, error string", self.ttl)
+        self.count = handle.getValueState("count", "n long", self.ttl)
+        self.seen = handle.getMapState("seen", "event_id long", "one int", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get() if self.last.exists() else None
+        n = self.count.get()[0] if self.count.exists() else 0
+        for part in rows:
+            for us, event, status, error in part[["us", "event_id", "status", "error"]].itertuples(index=False):
+                if self.seen.containsKey((event,)):
+                    continue
+                self.seen.updateValue((event,), (1,))
+                n += 1
+                if last is None or (us, event) > tuple(last[:2]):
+                    last = (us, event, status, None if pd.isna(error) else error)
+        self.count.update((n,))
+        self.last.update(tuple(last))
+        error = None if last[2] == "done" or last[3] is None else last[3][:1000]
+        yield pd.DataFrame({"file_id": [key[0]], "status": [last[2]], "error": pd.Series([error], dtype=object), "n_events": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def status_stream(events: DataFrame, ttl: timedelta = timedelta(days=30)) -> DataFrame:
+    """X5 as a stream, for update mode: a row for each file of a batch, its last status so far.
+
+    Events: event_id, ts, file_id, status, error.  Late events change nothing but the count, repeated ones nothing at all.
+    """
+    stateful(events.sparkSession)
+    e = events.select("file_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "status", "error")
+    return e.groupBy("file_id").transformWithStateInPandas(LatestStatus(ttl), STATUS, "Update", "ProcessingTime")
 
-    return values.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
+class Lockouts(StatefulProcessor):
+    """Attempts wait in a list until the watermark has passed them, then count in order.
 
-def lockout_stream(events: DataFrame, failures: int = 5, minutes: int = 15) -> DataFrame:
-    """X7 as a stream: state per user is the count of failures and the end of the lock."""
-    span = pd.Timedelta(minutes=minutes)
+    A timer stands at the first attempt that waits, and one when the user is forgotten.
+    """
 
-    def update(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, until = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+    def __init__(self, failures: int, minutes: int, idle: timedelta) -> None:
+        self.failures, self.span, self.idle = failures, minutes * 60_000_000, int(idle.total_seconds()) * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, ok boolean")
+        self.user = handle.getValueState("user", "n int, until long, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(us), int(event), bool(ok)) for part in rows for us, event, ok in part[["us", "event_id", "ok"]].itertuples(index=False)]
+        self.waiting.appendList(new)
+        for us, _, _ in new:
+            self.handle.registerTimer(us // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get())
+        ready, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
+        n, until, last = self.user.get() if self.user.exists() else (0, 0, 0)
         out = []
-        for ts, ok in rows[["ts", "ok"]].itertuples(index=False):
-            if until and ts.value < until:
-                continue
-            n = 0 if ok else n + 1
-            if n >= failures:
-                n, until = 0, (ts + span).value
-                out.append((key[0], ts, ts + span))
-        state.update((n, until))
-        yield pd.DataFrame(out, columns=["user_id", "locked_at", "until"]).astype({"user_id": "int64", "locked_at": "datetime64[ns]", "until": "datetime64[ns]"})
-
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, locked_at timestamp, until timestamp", "n int, until long", "append", "NoTimeout")
+        for us, _, ok in ready:
+            n, until, last, locked = lockout_step(n, until, last, us, ok, self.failures, self.span, self.idle)
+            if locked:
+                out.append((key[0], us, until))
+        if ready:
+            self.waiting.put(later) if later else self.waiting.clear()
+        if (n or until > now) and last + self.idle >= now:
+            self.user.update((n, until, last))
+            self.handle.registerTimer((last + self.idle) // 1000 + 1)
+        elif self.user.exists():
+            self.user.clear()
+        yield pd.DataFrame(out, columns=["user_id", "locked_at", "until"]).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def lockout_stream(events: DataFrame, delay: str = "1 hour", failures: int = 5, minutes: int = 15, idle: timedelta = timedelta(days=90)) -> DataFrame:
+    """X7 as a stream, for append mode: what ``lockouts`` gives, when the watermark has passed it.
+
+    Attempts may come in any order within ``delay``; later ones are dropped.  A user without attempts for ``idle`` is forgotten.
+    """
+    stateful(events.sparkSession)
+    e = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "ok").withWatermark("ts", delay)
+    e = e.withColumn("us", F.unix_micros("ts"))
+    found = e.groupBy("user_id").transformWithStateInPandas(Lockouts(failures, minutes, idle), "user_id long, locked_at long, until long", "Append", "EventTime")
+    micros = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
+    return found.select("user_id", micros("locked_at"), micros("until"))

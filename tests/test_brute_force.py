@@ -14,7 +14,7 @@ from shelfmark.plans.chunking import md_docs, sentence_vectors
 from shelfmark.plans.registry import ORACLES, QUERIES
 from shelfmark.sources import tables as S
 
-HELD_HERE = {"t6_redaction", "a11_redaction_counts", "t9_sentence_split", "x7_lockouts", "q11_mmr_diversity", "c3_parents", "c6_hierarchical_chunks", "c7_flat_chunks", "c8_semantic_chunks", "c9_chunk_table"}
+HELD_HERE = {"t6_redaction", "a11_redaction_counts", "t9_sentence_split", "q11_mmr_diversity", "c3_parents", "c6_hierarchical_chunks", "c7_flat_chunks", "c8_semantic_chunks", "c9_chunk_table"}
 
 
 def test_every_query_without_sql_is_held_here():

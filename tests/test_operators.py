@@ -199,9 +199,6 @@ def run(query_df, path, mode="append"):
 
 
 def test_streams_match_batches(spark, tmp_path, sf):
-    logins(spark).write.parquet(str(tmp_path / "l"))
-    s = spark.readStream.schema(logins(spark).schema).parquet(str(tmp_path / "l"))
-    assert [(r.user_id, str(r.locked_at)) for r in run(jobs.lockout_stream(s), "locks")] == [(1, "2024-01-01 00:04:00")]
     e = S.read_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     e.write.parquet(str(tmp_path / "e"))
     s = spark.readStream.schema(e.schema).parquet(str(tmp_path / "e"))
@@ -216,18 +213,6 @@ def test_stream_dedupe(spark, tmp_path):
     assert sorted((r.user_id, r.file_hash) for r in run(jobs.dedupe_stream(s), "dd")) == [(1, "h"), (2, "h")]
 
 
-def test_ingest_stream(spark, sf, tmp_path):
-    v = S.read_message_values(spark, sf)
-    v.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(v.schema).parquet(str(tmp_path / "in"))
-    none = spark.createDataFrame([], "user_id string, file_id string")
-    q = jobs.run_ingest(stream, lambda: none, str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    valid, rejected = S.read_messages(v)
-    assert spark.read.parquet(str(tmp_path / "out/work")).count() == valid.where("delivery_attempt <= 3").count()
-    assert spark.read.parquet(str(tmp_path / "out/dead_letters")).count() == valid.where("delivery_attempt > 3").count() + rejected.count()
-
-
 def test_entry_lists_queries():
     import __spark_entry__ as e
 
@@ -244,10 +229,10 @@ def test_usage_stream_in_update_mode_counts_each_event_once(spark, tmp_path):
     for n in range(3):
         spark.createDataFrame([(1, "click" if n else "view", at)], "user_id long, event_type string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
     e = spark.readStream.schema("user_id long, event_type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    q = jobs.usage_stream(e).writeStream.outputMode("update").foreachBatch(jobs.usage_upsert(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q = jobs.usage_stream(e).writeStream.outputMode("update").foreachBatch(jobs.into(jobs.usage_sink(spark, str(tmp_path / "out")))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert len(list((tmp_path / "out").glob("batch=*"))) >= 3
-    got = jobs.read_usage(spark, str(tmp_path / "out")).collect()
+    assert len(list((tmp_path / "out" / "parts").glob("batch=*"))) >= 3
+    got = jobs.usage_sink(spark, str(tmp_path / "out")).read().collect()
     assert [(r.user_id, str(r.day), r.messages, r.persistent, r.ephemeral) for r in got] == [(1, "2024-01-05", 3, 2, 1)]
 
 
