@@ -60,27 +60,31 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Manifest:
-    """Which numbered parts of a table count, one small table a version; a version counts when its write has ended."""
+    """Which numbered parts of a table count: an empty file a version, whose name lists them.  Making a file is one step, so a version counts wholly or not at all."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, f"{path}/manifest"
 
+    def _names(self) -> list[str]:
+        fs, p = _file_system(self.spark, self.path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
     def versions(self) -> list[int]:
-        names = [n for n in folders(self.spark, self.path) if n.startswith("version=")]
-        return sorted(int(n[8:]) for n in names if exists(self.spark, f"{self.path}/{n}/_SUCCESS"))
+        return [int(n.split(".")[0]) for n in self._names()]
 
     def parts(self) -> list[int]:
         """Numbers of the present version, in order."""
-        v = self.versions()
-        return sorted(r.part for r in self.spark.read.schema("part long").parquet(f"{self.path}/version={v[-1]}").collect()) if v else []
+        names = self._names()
+        return sorted(int(x) for x in names[-1].split(".")[1].split("_") if x) if names else []
 
     def commit(self, parts: list[int]) -> None:
-        v = self.versions()
-        path = f"{self.path}/version={v[-1] + 1 if v else 0}"
-        self.spark.createDataFrame([(p,) for p in parts], "part long").coalesce(1).write.mode("overwrite").parquet(path)
+        names = self._names()
+        number = int(names[-1].split(".")[0]) + 1 if names else 0
+        fs, p = _file_system(self.spark, f"{self.path}/{number:010d}.{'_'.join(map(str, parts))}")
+        fs.create(p).close()
         # One version before the present stays for readers that have begun.
-        for old in v[:-1]:
-            remove(self.spark, f"{self.path}/version={old}")
+        for old in names[:-1]:
+            remove(self.spark, f"{self.path}/{old}")
 
 
 def present(spark: SparkSession, path: str, schema: str, parts: list[int], column: str) -> DataFrame:

@@ -13,7 +13,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from shelfmark.functions.columns import collection_of, norm_filename
@@ -97,107 +97,74 @@ def run_ingest(values: DataFrame, sinks: IngestSinks, checkpoint: str, trigger:
     return values.writeStream.foreachBatch(sinks.write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stateful(spark: SparkSession) -> None:
-    """Keep streaming state in RocksDB, which processors with several states, lists and timers need; for queries that start from now on."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
 STATUS = "file_id long, status string, error string, n_events long"
 
 
-class LatestStatus(StatefulProcessor):
-    """Per file the last status by (ts, event_id) and the events seen; both are forgotten ``ttl`` after the last change."""
-
-    def __init__(self, ttl: timedelta) -> None:
-        self.ttl = int(ttl.total_seconds() * 1000)
+def status_stream(events: DataFrame, delay: str = "40 days", ttl: timedelta = timedelta(days=30)) -> DataFrame:
+    """X5 as a stream, for update mode: a row for each file of a batch, its last status so far by (ts, event_id).
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us long, event_id long, status string, error string", self.ttl)
-        self.count = handle.getValueState("count", "n long", self.ttl)
-        self.seen = handle.getMapState("seen", "event_id long", "one int", self.ttl)
+    Events: event_id, ts, file_id, status, error.  Late events change nothing but the count, repeated ones nothing
+    at all, and those later than ``delay`` are dropped.  A file's state, with the ids of its events, is forgotten when
+    the watermark is ``ttl`` beyond its last event.
+    """
+    keep = int(ttl.total_seconds() * 1000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get() if self.last.exists() else None
-        n = self.count.get()[0] if self.count.exists() else 0
-        for part in rows:
+    def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *last, seen = state.get if state.exists else (None, None, None, None, [])
+        known = set(seen)
+        for part in parts:
             for us, event, status, error in part[["us", "event_id", "status", "error"]].itertuples(index=False):
-                if self.seen.containsKey((event,)):
-                    continue
-                self.seen.updateValue((event,), (1,))
-                n += 1
-                if last is None or (us, event) > tuple(last[:2]):
-                    last = (us, event, status, None if pd.isna(error) else error)
-        self.count.update((n,))
-        self.last.update(tuple(last))
+                if event not in known:
+                    known.add(event)
+                    if last[0] is None or (us, event) > (last[0], last[1]):
+                        last = [int(us), int(event), status, None if pd.isna(error) else error]
+        state.update((*last, [int(x) for x in known]))
+        state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs(), 0) + keep)
         error = None if last[2] == "done" or last[3] is None else last[3][:1000]
-        yield pd.DataFrame({"file_id": [key[0]], "status": [last[2]], "error": pd.Series([error], dtype=object), "n_events": [n]})
+        yield pd.DataFrame({"file_id": [key[0]], "status": [last[2]], "error": pd.Series([error], dtype=object), "n_events": [len(known)]})
 
-    def close(self) -> None:
-        pass
-
-
-def status_stream(events: DataFrame, ttl: timedelta = timedelta(days=30)) -> DataFrame:
-    """X5 as a stream, for update mode: a row for each file of a batch, its last status so far.
-
-    Events: event_id, ts, file_id, status, error.  Late events change nothing but the count, repeated ones nothing at all.
-    """
-    stateful(events.sparkSession)
-    e = events.select("file_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "status", "error")
-    return e.groupBy("file_id").transformWithStateInPandas(LatestStatus(ttl), STATUS, "Update", "ProcessingTime")
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    e = e.select("file_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "status", "error")
+    return e.groupBy("file_id").applyInPandasWithState(update, STATUS, "us long, event_id long, status string, error string, seen array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-class Lockouts(StatefulProcessor):
-    """Attempts wait in a list until the watermark has passed them, then count in order.
+def lockout_stream(events: DataFrame, delay: str = "1 hour", failures: int = 5, minutes: int = 15, idle: timedelta = timedelta(days=90)) -> DataFrame:
+    """X7 as a stream, for append mode: what ``lockouts`` gives, when the watermark has passed it.
 
-    A timer stands at the first attempt that waits, and one when the user is forgotten.
+    Attempts may come in any order within ``delay``; later ones are dropped.  They wait in the user's state until
+    the watermark has passed them, and then count in order: an event-time timer stands at the first that waits.
+    A user without attempts for ``idle`` is forgotten, by the same timer.
     """
-
-    def __init__(self, failures: int, minutes: int, idle: timedelta) -> None:
-        self.failures, self.span, self.idle = failures, minutes * 60_000_000, int(idle.total_seconds()) * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, event_id long, ok boolean")
-        self.user = handle.getValueState("user", "n int, until long, last long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(us), int(event), bool(ok)) for part in rows for us, event, ok in part[["us", "event_id", "ok"]].itertuples(index=False)]
-        self.waiting.appendList(new)
-        for us, _, _ in new:
-            self.handle.registerTimer(us // 1000 + 1)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get())
-        ready, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
-        n, until, last = self.user.get() if self.user.exists() else (0, 0, 0)
+    span, most = minutes * 60_000_000, int(idle.total_seconds()) * 1_000_000
+
+    def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, until, last, *waiting = state.get if state.exists else (0, 0, 0, [], [], [])
+        rows = list(zip(*waiting, strict=True))
+        if not state.hasTimedOut:
+            rows += [(int(us), int(event), bool(ok)) for part in parts for us, event, ok in part[["us", "event_id", "ok"]].itertuples(index=False)]
+        rows.sort()
+        now = max(state.getCurrentWatermarkMs(), 0) * 1000
+        ready = sum(r[0] < now for r in rows)
         out = []
-        for us, _, ok in ready:
-            n, until, last, locked = lockout_step(n, until, last, us, ok, self.failures, self.span, self.idle)
+        for us, _, ok in rows[:ready]:
+            n, until, last, locked = lockout_step(n, until, last, us, ok, failures, span, most)
             if locked:
                 out.append((key[0], us, until))
-        if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
-        if (n or until > now) and last + self.idle >= now:
-            self.user.update((n, until, last))
-            self.handle.registerTimer((last + self.idle) // 1000 + 1)
-        elif self.user.exists():
-            self.user.clear()
+        rows = rows[ready:]
+        if rows or (n or until > now) and last + most >= now:
+            state.update((n, until, last, *([r[i] for r in rows] for i in range(3))))
+            # A timer has to stand after the watermark.
+            state.setTimeoutTimestamp(max((rows[0][0] if rows else last + most) // 1000 + 1, now // 1000 + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["user_id", "locked_at", "until"]).astype("int64")
 
-    def close(self) -> None:
-        pass
-
-
-def lockout_stream(events: DataFrame, delay: str = "1 hour", failures: int = 5, minutes: int = 15, idle: timedelta = timedelta(days=90)) -> DataFrame:
-    """X7 as a stream, for append mode: what ``lockouts`` gives, when the watermark has passed it.
-
-    Attempts may come in any order within ``delay``; later ones are dropped.  A user without attempts for ``idle`` is forgotten.
-    """
-    stateful(events.sparkSession)
     e = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "ok").withWatermark("ts", delay)
-    e = e.withColumn("us", F.unix_micros("ts"))
-    found = e.groupBy("user_id").transformWithStateInPandas(Lockouts(failures, minutes, idle), "user_id long, locked_at long, until long", "Append", "EventTime")
+    found = e.withColumn("us", F.unix_micros("ts")).groupBy("user_id").applyInPandasWithState(
+        update, "user_id long, locked_at long, until long", "n int, until long, last long, at array<long>, event array<long>, ok array<boolean>", "append", GroupStateTimeout.EventTimeTimeout
+    )
     micros = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
     return found.select("user_id", micros("locked_at"), micros("until"))
