@@ -43,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast when ``df`` (already cut, so cheap to count) has at most ``max_rows`` rows."""
     return F.broadcast(df) if df.count() <= max_rows else df

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import batches_of, fold, table
+from shelfmark.llm.common import batches_of, fold, free_name, table
 
 BUCKETS = 1 << 16
 #: Languages beyond this many are an error: the model would not be small.
@@ -277,8 +277,8 @@ def label_texts(texts: list[str | None], model: dict, spans: bool = True) -> pd.
     return pd.DataFrame({"letters": letters, "labelled": labelled_share})
 
 
-def labelled(docs: DataFrame, model: dict, spans: bool) -> DataFrame:
-    """``docs`` with the struct ``_found``; only the text goes to Python, a few million characters at a time."""
+def labelled(docs: DataFrame, model: dict, spans: bool, name: str) -> DataFrame:
+    """``docs`` with the struct ``name``; only the text goes to Python, a few million characters at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(f"lang_pred string, score double, spans {SPAN}" if spans else "letters long, labelled double")
@@ -288,12 +288,13 @@ def labelled(docs: DataFrame, model: dict, spans: bool) -> DataFrame:
             out = [label_texts(texts[a:b], shared.value, spans) for a, b in batches_of([t or "" for t in texts], GROUP)]
             yield pd.concat(out, ignore_index=True) if out else label_texts([], shared.value, spans)
 
-    return docs.withColumn("_found", label(F.col("text")))
+    return docs.withColumn(name, label(F.col("text")))
 
 
 def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred, score and the spans (code points) of its text."""
-    return labelled(docs, model, True).select(*keep, "_found.*")
+    name = free_name(docs, "_found")
+    return labelled(docs, model, True, name).select(*keep, f"{name}.*")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,4 +311,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     language could be learned, every text that has letters stays.
     """
     model = train(docs)
-    return labelled(docs, model, spans=False).where("_found.labelled > 0" if model["langs"] else "_found.letters > 0").drop("_found")
+    name = free_name(docs, "_found")
+    return labelled(docs, model, False, name).where(f"{name}.labelled > 0" if model["langs"] else f"{name}.letters > 0").drop(name)

@@ -38,6 +38,8 @@ MAX_SOURCES = 100_000
 class MixConfig:
     #: Target entropy of the weights, as a share of that of equal weights.
     entropy: float = 0.97
+    #: The target is also this share of the way from the entropy of the natural shares to that of equal weights, at least.
+    lift: float = 0.0
     #: No source is repeated more often than this.
     max_repeats: float = 4.0
     #: Tokens to emit, as a multiple of the corpus.
@@ -76,7 +78,8 @@ def solve(tokens: np.ndarray, cfg: MixConfig) -> tuple[float, np.ndarray]:
             low, high = (mid, high) if too_low(mid) else (low, mid)
         return high
 
-    target = cfg.entropy * np.log(len(tokens)) if len(tokens) > 1 else 0.0
+    equal = np.log(len(tokens))
+    target = max(cfg.entropy * equal, entropy(1.0) + cfg.lift * (equal - entropy(1.0))) if len(tokens) > 1 else 0.0
     a = 1.0 if entropy(1.0) >= target else bisect(lambda x: entropy(x) > target)
     if repeats(a) > cfg.max_repeats:
         a = max(a, bisect(lambda x: repeats(x) > cfg.max_repeats))
@@ -97,7 +100,8 @@ def source_weights(counted: DataFrame, cfg: MixConfig) -> DataFrame:
     a, w, r = 1.0, np.zeros(len(t)), np.ones(len(t))
     if some.any():
         a, w[some] = solve(t[some], cfg)
-        r[some] = cfg.budget * t.sum() * w[some] / t[some]
+        # Rounded, so that whole passes stay whole.
+        r[some] = np.round(cfg.budget * t.sum() * w[some] / t[some], 9)
     size = max(cfg.block_tokens, t.sum() / cfg.max_blocks)
     out = [(x.source, int(x.source_tokens), float(w[i]), a, float(r[i]), int(r[i]), float(r[i] - int(r[i])), max(1, int(np.ceil(t[i] / size)))) for i, x in enumerate(rows)]
     return counted.sparkSession.createDataFrame(out, schema)
@@ -148,4 +152,4 @@ def mix(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return schedule(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), MixConfig(lift=0.5))

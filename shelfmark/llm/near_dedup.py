@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import batches_of, cut, mix64, scratch, slices_of, small, table, word_hashes
+from shelfmark.llm.common import batches_of, cut, free_name, mix64, scratch, slices_of, small, table, word_hashes
 from shelfmark.llm.components import components, merged
 
 BANDS, ROWS = 32, 5
@@ -352,17 +352,17 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: in
 
     Rows are linked by a key of their own, so repeated rows and rows without doc_id take part.
     """
-    folder = scratch(docs.sparkSession, "rows")
+    folder, row = scratch(docs.sparkSession, "rows"), free_name(docs, "_row")
     # The keys hold once they are written.
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
+    docs.withColumn(row, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
     rows = docs.sparkSession.read.parquet(folder)
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, num, den)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words, num, den)
     linked = cut(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c")))
     groups = cut(linked.groupBy("_c").agg(F.count("*").alias("rows")).where("rows > 1"))
-    several = cut(_grouped(linked, groups, ["_c"]).join(rows.select("_row", "doc_id"), "_row"))
+    several = cut(_grouped(linked, groups, ["_c"]).join(rows.select(F.col(row).alias("_row"), "doc_id"), "_row"))
     first = several.groupBy("_c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first")).select("_first._row")
     gone = cut(several.select("_row").join(first, "_row", "left_anti").select(F.col("_row").alias("_gone")))
-    return rows.join(small(gone, MAX_BROADCAST), rows["_row"] == F.col("_gone"), "left_anti").drop("_row")
+    return rows.join(small(gone, MAX_BROADCAST), rows[row] == gone["_gone"], "left_anti").drop(row)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

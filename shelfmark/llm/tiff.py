@@ -259,7 +259,13 @@ def decode_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
         tile_w, tile_h, places, sizes = one(322), one(323), tags[324], tags[325]
     else:
         tile_w, tile_h, places, sizes = width, min(one(278, height), height), tags[273], tags[279]
-    across = -(-width // tile_w)
+    if min(width, height, tile_w, tile_h, samples) < 1:
+        raise ValueError("a size of 0")
+    # No codec here makes more than MOST_EXPANDED bytes of one, so larger sizes are wrong, and are not allocated.
+    held = sum(max(0, min(size, len(data) - place)) for place, size in zip(places, sizes, strict=True))
+    across, down = -(-width // tile_w), -(-height // tile_h)
+    if len(places) != across * down or max(width * height, across * down * tile_w * min(tile_h, height)) * samples * bits // 8 > MOST_EXPANDED * held:
+        raise ValueError("sizes beyond what the strips or tiles hold")
     page = np.zeros((height, width, samples), kind)
     for i, (place, size) in enumerate(zip(places, sizes, strict=True)):
         top, left = i // across * tile_h, i % across * tile_w
@@ -278,13 +284,18 @@ def decode_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
     return page
 
 
+#: Bytes that one stored byte can become, rounded up: LZW words of 12 bits stand for 4,096 bytes at most.
+MOST_EXPANDED = 4096
+
 PAGE_FIELDS = "page_no int, width int, height int, samples int, compression int, tiled boolean, predictor int, pixels binary, error string"
 
 
 def read_pages(files: DataFrame, media: str = "media") -> DataFrame:
-    """One row per page: the other columns of ``files`` and ``PAGE_FIELDS``."""
+    """One row per page: the other columns of ``files`` and ``PAGE_FIELDS``, which replace columns of their names."""
+    made = T._parse_datatype_string(PAGE_FIELDS)
+    files = files.drop(*[c for c in made.names if c != media])
     rest = [f for f in files.schema.fields if f.name != media]
-    schema = T.StructType([*rest, *T._parse_datatype_string(PAGE_FIELDS).fields])
+    schema = T.StructType([*rest, *made.fields])
     names = [f.name for f in rest]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
