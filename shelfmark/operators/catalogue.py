@@ -227,6 +227,17 @@ def stage_summary(stages: DataFrame) -> DataFrame:
     return stages.groupBy("stage").agg(F.count("*").alias("n"), F.count_if("failed").alias("failures"), F.round(F.percentile("ms", 0.5), 4).alias("p50"), F.round(F.percentile("ms", 0.95), 4).alias("p95"))
 
 
+def stage_sketches(stages: DataFrame, by: list[str], k: int = 400) -> DataFrame:
+    """A16 in parts: runs, failures and a quantile sketch of the durations of each stage and part ``by``, to be kept and merged."""
+    return stages.groupBy("stage", *by).agg(F.count("*").alias("n"), F.count_if("failed").alias("failures"), F.kll_sketch_agg_double("ms", k).alias("sketch"))
+
+
+def merged_summary(sketches: DataFrame, ranks: dict[str, float] | None = None, k: int = 400) -> DataFrame:
+    """A16 from kept parts: runs, failures and durations at the given ranks, whose error in rank is about 4.6 / k."""
+    m = sketches.groupBy("stage").agg(F.sum("n").alias("n"), F.sum("failures").alias("failures"), F.kll_merge_agg_double("sketch", k).alias("_s"))
+    return m.select("stage", "n", "failures", *[F.kll_sketch_get_quantile_double("_s", F.lit(r)).alias(c) for c, r in (ranks or {"p50": 0.5, "p95": 0.95}).items()])
+
+
 def merge_partials(partials: DataFrame, most_insights: int = 8) -> DataFrame:
     """One row per file from partial results (file_id, part, overview, insights, entities).
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -213,6 +214,10 @@ def chunk_documents(docs: DataFrame, parent_tokens: int | None = None, child_tok
     return whole.join(size, "doc_id").mapInPandas(run, CHUNK_FIELDS)
 
 
+def pieces_of(kind: str, text: str, most: int) -> list[str]:
+    return packed(text.split("\n"), most, "\n") if kind in ("code", "table") else split_sentences(text)
+
+
 def flat_chunks(blocks: list[tuple[str, str]], most: int, overlap: int) -> list[str]:
     """Chunks of blocks; headings stay with what follows (or stand last), and whole sentences overlap."""
     out: list[list[str]] = []
@@ -235,8 +240,7 @@ def flat_chunks(blocks: list[tuple[str, str]], most: int, overlap: int) -> list[
         if kind == "heading":
             heads.append(text)
             continue
-        pieces = packed(text.split("\n"), most, "\n") if kind in ("code", "table") else split_sentences(text)
-        for i, piece in enumerate(pieces):
+        for i, piece in enumerate(pieces_of(kind, text, most)):
             piece = "\n".join([*heads, piece]) if i == 0 else piece
             if cur and size + len(piece) + 1 > most:
                 close()
@@ -266,32 +270,55 @@ def chunk_flat(docs: DataFrame, target: int = 600, overlap: int = 80) -> DataFra
 def chunk_semantic(sentences: DataFrame, target: int = 400, least_like: float = 0.65) -> DataFrame:
     """Sentences (doc_id, pos, sentence, embedding) as chunks: cut where a sentence leaves the running centroid, or at the budget.
 
-    A sentence without a vector stays with the sentences before it, up to the budget, and doesn't move the centroid.
+    A document's sentences pass in order, and no more of them are held than the chunk that is open.  A sentence
+    without a vector stays with the sentences before it, up to the budget, and doesn't move the centroid.
     doc_id is the key; rows without one are left out.
     """
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        rows: list[tuple[int, int, str, int]] = []
-        cur: list[str] = []
-        total, tokens = None, 0
-        doc = int(part["doc_id"].iloc[0])
-        for s, v in zip(part["sentence"], part["embedding"], strict=True):
-            v = None if v is None else np.asarray(v, np.float64)
-            n = max(1, len(s) // CHARS)
-            if cur:
-                like = 1.0 if v is None or total is None else float(total @ v / (np.linalg.norm(total) * np.linalg.norm(v) + 1e-9))
-                if tokens + n > target or like < least_like and tokens > target / 3:
-                    rows.append((doc, len(rows), " ".join(cur), len(cur)))
-                    cur, total, tokens = [], None, 0
-            cur.append(s)
-            if v is not None:
-                total = v if total is None else total + v
-            tokens += n
-        rows.append((doc, len(rows), " ".join(cur), len(cur)))
-        return pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk_text", "n_sentences"])
+    fields = [("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("chunk_text", pa.string()), ("n_sentences", pa.int32())]
 
-    return sentences.where("doc_id IS NOT NULL").groupBy("doc_id").applyInPandas(one, "doc_id long, chunk_index int, chunk_text string, n_sentences int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One chunk is open at a time: its sentences, the sum of their vectors, and their tokens.
+        doc, index, cur, total, tokens = None, 0, [], None, 0
+        out: list[tuple] = []
+
+        def close() -> None:
+            nonlocal index, cur, total, tokens
+            if cur:
+                out.append((doc, index, " ".join(cur), len(cur)))
+            index, cur, total, tokens = index + 1, [], None, 0
+
+        def ready() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+            out.clear()
+            return made
+
+        for batch in batches:
+            lists = batch.column(2)
+            begins = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            missing = lists.is_null().to_pylist()
+            for i, (d, s) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if d != doc:
+                    close()
+                    doc, index = d, 0
+                v = None if missing[i] else flat[begins[i] : begins[i + 1]]
+                n = max(1, len(s) // CHARS)
+                if cur:
+                    like = 1.0 if v is None or total is None else float(total @ v / (np.linalg.norm(total) * np.linalg.norm(v) + 1e-9))
+                    if tokens + n > target or like < least_like and tokens > target / 3:
+                        close()
+                cur.append(s)
+                if v is not None:
+                    total = v if total is None else total + v
+                tokens += n
+            yield ready()
+        close()
+        yield ready()
+
+    rows = sentences.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "sentence", "embedding", "pos")
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    return ordered.mapInArrow(run, "doc_id long, chunk_index int, chunk_text string, n_sentences int")
 
 
 def build_chunks(files: DataFrame, texts: DataFrame, vectors: DataFrame, old: DataFrame | None = None) -> DataFrame:
@@ -304,8 +331,66 @@ def build_chunks(files: DataFrame, texts: DataFrame, vectors: DataFrame, old: Da
 
 
 def summary_plan(docs: DataFrame, whole: int = 12_000, piece: int = 4_000, most: int = 30) -> DataFrame:
-    """One pass for a short text; else the pieces of a long one, the first ``most`` kept."""
+    """T23 by lengths: one pass for a short text; else the pieces of a long one as its length has them, the first ``most`` kept."""
     d = docs.withColumn("tokens", token_count(F.col("text")))
     pieces = F.ceil(F.col("tokens") / (piece - 200)).cast("int")
     n: Column = F.when(F.col("tokens") <= whole, 1).otherwise(pieces)
     return d.select("doc_id", "tokens", F.least(n, F.lit(most)).alias("n_pieces"), (n > most).alias("truncated"))
+
+
+def count_flat(sizes: Iterator[tuple[bool, list[int]]], most: int, overlap: int) -> int:
+    """How many chunks ``flat_chunks`` makes of blocks (whether a heading, the lengths of its pieces): its fold over lengths alone."""
+    n, cur, size, fresh = 0, [], 0, False
+    heads: list[int] = []
+
+    def close() -> None:
+        nonlocal n, cur, size, fresh
+        if fresh:
+            n += 1
+            tail, total = [], 0
+            for s in reversed(cur):
+                if total + s > overlap:
+                    break
+                tail.insert(0, s)
+                total += s
+            cur, size = tail, total + len(tail)
+        fresh = False
+
+    for heading, pieces in sizes:
+        if heading:
+            heads += pieces
+            continue
+        for i, s in enumerate(pieces):
+            s += sum(h + 1 for h in heads) if i == 0 else 0
+            if cur and size + s + 1 > most:
+                close()
+            cur.append(s)
+            size += s + 1
+            fresh = True
+        heads = []
+    if heads:
+        cur.append(sum(heads) + len(heads) - 1)
+        fresh = True
+    close()
+    return n
+
+
+def summary_pieces(docs: DataFrame, whole: int = 12_000, piece: int = 4_000, overlap: int = 200, most: int = 30) -> DataFrame:
+    """T23 by the chunker: ``docs`` (doc_id, text) as doc_id, tokens, n_pieces, truncated; a long text has as many pieces as C7 makes of it.
+
+    Only long texts are taken apart.  A text without any block, or null, has one piece.
+    """
+    d = docs.select("doc_id", "text", token_count(F.col("text")).alias("tokens"))
+    blocks = parse_blocks(d.where(F.col("tokens") > whole).select("doc_id", "text")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_no", "kind", "text"))).alias("blocks"))
+
+    @F.pandas_udf("int")
+    def pieces(column: pd.Series) -> pd.Series:
+        def one(row) -> int:
+            sizes = ((x["kind"] == "heading", [len(x["text"])] if x["kind"] == "heading" else [len(p) for p in pieces_of(x["kind"], x["text"], CHARS * piece)]) for x in row)
+            return count_flat(sizes, CHARS * piece, CHARS * overlap)
+
+        return column.map(one)
+
+    found = d.select("doc_id", "tokens").join(blocks.select("doc_id", pieces("blocks").alias("n")), "doc_id", "left")
+    n = F.greatest(F.coalesce("n", F.lit(1)), F.lit(1))
+    return found.select("doc_id", "tokens", F.least(n, F.lit(most)).alias("n_pieces"), (n > most).alias("truncated"))

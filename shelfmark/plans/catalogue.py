@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from shelfmark.functions import columns as C
 from shelfmark.operators import catalogue as K
 from shelfmark.plans.base import query
 from shelfmark.sources import tables as S
+from shelfmark.sources.stored import Partitioned, shared_folder, user_bucket
 
 FILE_COLS = ["file_id", "user_id", "filename", "filetype", "collection", "file_hash", "extraction_status", "is_private", "created_at"]
 
@@ -78,6 +81,40 @@ def k3(spark, sf):
     return K.replace_by_key(c.withColumn("origin", F.lit("old")), new.withColumn("origin", F.lit("new")), ["file_id"])
 
 
+def stored_table(spark, rows, by, keyed=()):
+    """``rows`` in a new partitioned table."""
+    table = Partitioned(spark, shared_folder(spark, "table"), rows.schema, by, list(keyed))
+    table.add(rows)
+    return table
+
+
+@query("k3_replace_stored", "SELECT vec_id, file_id, chunk_index, 'old' AS origin, user_id FROM (SELECT *, file_id % 20 AS user_id FROM chunks) WHERE user_id <> 3 UNION ALL SELECT vec_id, file_id, chunk_index + 100, 'new', file_id % 20 FROM chunks WHERE file_id % 20 = 3", "chunks")
+def k3_stored(spark, sf):
+    """K3 on folders by tenant: only the bucket of the tenant whose files are replaced is written again."""
+    c = S.read_chunks(spark, sf).drop("embedding").withColumns({"user_id": F.col("file_id") % 20, "origin": F.lit("old")})
+    table = stored_table(spark, c, {"bucket": user_bucket(8)}, ["bucket"])
+    table.replace(c.where("user_id = 3").withColumns({"chunk_index": F.col("chunk_index") + 100, "origin": F.lit("new")}), ["user_id", "file_id"])
+    return table.read().drop("bucket")
+
+
+@query("k7_purge_stored", "SELECT collection, user_id, file_id FROM files WHERE user_id NOT IN (3,5)", "files")
+def k7_stored(spark, sf):
+    """K7 on folders by collection and tenant."""
+    files = S.read_files(spark, sf).select("collection", "user_id", "file_id")
+    table = stored_table(spark, files, {"collection": F.col("collection"), "bucket": user_bucket(8)}, ["bucket"])
+    table.delete(spark.createDataFrame([(3,), (5,)], "user_id long"), ["user_id"])
+    return table.read().drop("bucket")
+
+
+@query("x9_retention_stored", "SELECT event_id, user_id, file_id FROM clicks WHERE ts >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 10 DAY", "clicks")
+def x9_stored(spark, sf):
+    """X9 on folders by day: those of earlier days go unread."""
+    clicks = S.read_clicks(spark, sf).select("event_id", "user_id", "file_id", "ts")
+    table = stored_table(spark, clicks, {"day": F.to_date("ts")})
+    table.retain("day", datetime.date(2024, 1, 22), F.col("ts") >= F.expr("timestamp_ntz'2024-01-22 00:00:00'"))
+    return table.read().select("event_id", "user_id", "file_id")
+
+
 @query("k4_load_report", "SELECT count(*) FILTER (vec_id IS NOT NULL AND length(text) > 0) AS inserted, count(*) FILTER (NOT (vec_id IS NOT NULL AND length(text) > 0)) AS skipped, count(*) AS total FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def k4(spark, sf):
     d = S.read_table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
@@ -276,8 +313,24 @@ STAGES = ["download", "validate", "extract", "quality", "summarise", "embed", "i
 
 @query("a16_stage_timing", f"SELECT {STAGES}[1 + event_id % 8] AS stage, count(*) AS n, count(*) FILTER (event_id % 37 = 0) AS failures, round(quantile_cont(value * 100, 0.5), 4) AS p50, round(quantile_cont(value * 100, 0.95), 4) AS p95 FROM ev GROUP BY 1", "ev")
 def a16(spark, sf):
+    return K.stage_summary(stages(spark, sf))
+
+
+@query("a16_stage_sketches", f"SELECT {STAGES}[1 + event_id % 8] AS stage, count(*) AS n, count(*) FILTER (event_id % 37 = 0) AS failures, true AS p50_near, true AS p95_near FROM ev GROUP BY 1", "ev")
+def a16_sketches(spark, sf):
+    """Sketches of each day, merged; whether both durations are within two hundredths of their rank among all runs."""
+    s = stages(spark, sf)
+    found = K.merged_summary(K.stage_sketches(s, ["day"]))
+    below = lambda c: F.count_if(F.col("ms") < F.col(c)) / F.count("*")
+    upto = lambda c: F.count_if(F.col("ms") <= F.col(c)) / F.count("*")
+    near = [((below(c) <= r + 0.02) & (upto(c) >= r - 0.02)).alias(f"{c}_near") for c, r in (("p50", 0.5), ("p95", 0.95))]
+    checked = s.join(found.select("stage", "p50", "p95"), "stage").groupBy("stage").agg(*near)
+    return found.select("stage", "n", "failures").join(checked, "stage")
+
+
+def stages(spark, sf):
     stage = F.element_at(F.array(*map(F.lit, STAGES)), (F.col("event_id") % 8 + 1).cast("int"))
-    return K.stage_summary(S.read_events(spark, sf).select(stage.alias("stage"), (F.col("value") * 100).alias("ms"), (F.col("event_id") % 37 == 0).alias("failed")))
+    return S.read_events(spark, sf).select(stage.alias("stage"), (F.col("value") * 100).alias("ms"), (F.col("event_id") % 37 == 0).alias("failed"), F.to_date("ts").alias("day"))
 
 
 @query("a17_failure_taxonomy", "SELECT CASE file_id % 3 WHEN 0 THEN 'no_content' WHEN 1 THEN 'llm_failed' ELSE 'unknown' END AS error_kind, collection, count(*) AS n FROM files WHERE extraction_status = 'failed' GROUP BY ALL", "files")

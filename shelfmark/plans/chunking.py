@@ -94,3 +94,8 @@ def c9(spark, sf):
 @query("t23_summary_plan", "SELECT doc_id, tokens::INTEGER AS tokens, least(n, 30)::INTEGER AS n_pieces, n > 30 AS truncated FROM (SELECT *, CASE WHEN tokens <= 1000 THEN 1 ELSE ceil(tokens / 200) END AS n FROM (SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS tokens FROM documents))")
 def t23(spark, sf):
     return C.summary_plan(S.read_table(spark, sf, "documents").select("doc_id", "text"), 1000, 400)
+
+
+@query("t23_summary_pieces")
+def t23_pieces(spark, sf):
+    return C.summary_pieces(md_docs(spark, sf), 1000, 400, 20)

@@ -14,7 +14,7 @@ from shelfmark.plans.chunking import md_docs, sentence_vectors
 from shelfmark.plans.registry import ORACLES, QUERIES
 from shelfmark.sources import tables as S
 
-HELD_HERE = {"t6_redaction", "a11_redaction_counts", "t9_sentence_split", "q11_mmr_diversity", "c3_parents", "c6_hierarchical_chunks", "c7_flat_chunks", "c8_semantic_chunks", "c9_chunk_table"}
+HELD_HERE = {"t6_redaction", "a11_redaction_counts", "t9_sentence_split", "q11_mmr_diversity", "c3_parents", "c6_hierarchical_chunks", "c7_flat_chunks", "c8_semantic_chunks", "c9_chunk_table", "t23_summary_pieces"}
 
 
 def test_every_query_without_sql_is_held_here():
@@ -213,6 +213,17 @@ def test_flat_chunks(spark, sf, marked):
     assert {(r.doc_id, r.chunk_index): r.chunk_text for r in QUERIES["c7_flat_chunks"](spark, sf).collect()} == want
 
 
+def test_summary_pieces(spark, sf, marked):
+    """As many pieces as the chunker makes, for texts of all lengths."""
+    flat = Counter(r.doc_id for r in C.chunk_flat(md_docs(spark, sf), 400, 20).collect())
+    got = {r.doc_id: (r.tokens, r.n_pieces, r.truncated) for r in QUERIES["t23_summary_pieces"](spark, sf).collect()}
+    want = {}
+    for doc, t in marked.items():
+        n = flat[doc] if max(1, len(t) // 4) > 1000 else 1
+        want[doc] = (max(1, len(t) // 4), min(n, 30), n > 30)
+    assert {d: got[d] for d in want} == want and any(v[1] > 1 for v in want.values())
+
+
 def test_semantic_chunks(spark, sf):
     by_doc = defaultdict(list)
     for r in sentence_vectors(spark, sf).collect():
