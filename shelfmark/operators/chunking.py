@@ -321,9 +321,17 @@ def chunk_semantic(sentences: DataFrame, target: int = 400, least_like: float =
     return ordered.mapInArrow(run, "doc_id long, chunk_index int, chunk_text string, n_sentences int")
 
 
-def build_chunks(files: DataFrame, texts: DataFrame, vectors: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    """Chunks of public files, redacted, with the file's fields and a vector by (file_id, chunk_index); chunks without vector are left out."""
+def build_chunks(files: DataFrame, texts: DataFrame, vectors: DataFrame, old: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """Chunks of public files, redacted, with the file's fields and a vector by (file_id, chunk_index); chunks without vector are left out.
+
+    J5: the fields come from the file's row in ``summaries`` (user_id, file_id, collection, filename), and
+    from the catalogue where it has none or the field is empty there.
+    """
     ready = files.where("NOT is_private").select("file_id", "user_id", "collection", "filename")
+    if summaries is not None:
+        parent = summaries.select("user_id", "file_id", F.col("collection").alias("_c"), F.col("filename").alias("_f"))
+        own = lambda c, p: F.coalesce(F.nullif(p, F.lit("")), c).alias(c)
+        ready = ready.join(parent, ["user_id", "file_id"], "left").select("file_id", "user_id", own("collection", "_c"), own("filename", "_f"))
     docs = texts.join(ready.select("file_id"), "file_id").select(F.col("file_id").alias("doc_id"), "text")
     c = redact(chunk_documents(docs, 1500, 400, 60).withColumnRenamed("doc_id", "file_id"), "chunk_text").withColumnRenamed("redacted", "embed_text").drop("counts")
     new = c.join(vectors, ["file_id", "chunk_index"]).join(ready, "file_id")

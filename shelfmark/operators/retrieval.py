@@ -25,14 +25,14 @@ def conversation_context(turns: DataFrame, n: int = 6) -> DataFrame:
 
 
 def vector_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Query vectors (query_id, file_id, query_vector) against the chunks of the same file."""
-    hit = chunks.where("embedding IS NOT NULL").join(queries, "file_id")
+    """Query vectors (query_id, user_id, file_id, query_vector) against the chunks of the same tenant's file."""
+    hit = chunks.where("embedding IS NOT NULL").join(queries, ["user_id", "file_id"])
     return hit.select("query_id", "chunk_index", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
 
 
 def over_retrieve(variants: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
-    """Variants of a question (query_id, variant, file_id, query_vector): k chunks each, then the best score of each chunk."""
-    hit = chunks.where("embedding IS NOT NULL AND chunk_index >= 0").join(variants, "file_id")
+    """Variants of a question (query_id, variant, user_id, file_id, query_vector): k chunks each, then the best score of each chunk."""
+    hit = chunks.where("embedding IS NOT NULL AND chunk_index >= 0").join(variants, ["user_id", "file_id"])
     hit = hit.select("query_id", "variant", "chunk_index", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
     some = top_k(hit, ["query_id", "variant"], [F.desc("score"), F.col("chunk_index")], k, "_n")
     return some.groupBy("query_id", "chunk_index").agg(F.max("score").alias("score"))

@@ -28,7 +28,7 @@ VIEWS = {
     "ev": "SELECT event_id, ts, user_id, event_type, value, cast(json_extract_string(props,'$.k') AS bigint) AS k FROM events",
     "clicks": "SELECT event_id, user_id, event_id % 40 AS query_id, k AS file_id, 1 + event_id % 13 AS rank, ts FROM ev WHERE event_type = 'click'",
     "access": "SELECT k AS file_id, count(*) AS access_count, max(ts) AS last_accessed_at FROM ev WHERE event_type IN ('view','click') GROUP BY k",
-    "chunks": "SELECT vec_id, vec_id % 100 AS file_id, vec_id // 100 AS chunk_index, embedding FROM embeddings",
+    "chunks": "SELECT vec_id, vec_id % n AS file_id, vec_id // n AS chunk_index, embedding FROM embeddings, (SELECT greatest(100, count(*) // 5) AS n FROM embeddings)",
     "messages": """SELECT doc_id AS message_id, CASE WHEN doc_id % 29 = 0 THEN 'malformed' WHEN doc_id % 31 = 0 THEN 'missing:userId,fileName,gcsUrl' END AS reason, cast(doc_id % 6 AS integer) AS delivery_attempt,
   cast(doc_id AS varchar) AS file_id, cast(doc_id % 20 AS varchar) AS user_id, 'f ' || doc_id || '.txt' AS filename, 'Text/Plain' AS filetype,
   'https://storage.googleapis.com/b/' || (doc_id % 20) || '/' || doc_id AS url, doc_id % 17 = 0 AS is_private FROM documents""",

@@ -17,7 +17,7 @@ VIEWS["reranked"] = """SELECT query_id, chunk_index, score, rerank, row_number()
 
 
 def candidates(spark, sf):
-    c = R.vector_scores(search.file_questions(spark, sf), S.read_chunks(spark, sf))
+    c = R.vector_scores(search.file_questions(spark, sf), search.owned_chunks(spark, sf))
     asks = F.when(F.col("query_id") % 2 == 0, "How many rows in total?").otherwise("Who wrote this?")
     return R.table_boost(c.withColumns({"question": asks, "has_table": F.col("chunk_index") % 2 == 0}))
 
@@ -33,7 +33,7 @@ def reranked(spark, sf):
 
 def passages(spark, sf):
     """Passing chunks with texts: the question's file marked by the chunk, and that text twice as their parent."""
-    r = reranked(spark, sf).withColumn("file_id", F.col("query_id") % 100)
+    r = reranked(spark, sf).join(search.file_questions(spark, sf).select("query_id", "file_id"), "query_id")
     t = S.read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text")
     t = r.join(t, "file_id").where("rerank >= 4")
     chunk = F.concat("text", (F.col("chunk_index") % 2).cast("string"))
@@ -41,7 +41,7 @@ def passages(spark, sf):
 
 
 VIEWS["blocks"] = """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, body, has_table FROM (SELECT *, row_number() OVER (PARTITION BY query_id, body ORDER BY rank) AS m FROM
- (SELECT query_id, rank, chunk_index % 2 = 0 AS has_table, CASE WHEN chunk_index % 3 = 0 THEN c || c ELSE c END AS body FROM (SELECT r.*, text || (chunk_index % 2) AS c FROM reranked r JOIN documents ON doc_id = query_id % 100 WHERE rerank >= 4))) WHERE m = 1"""
+ (SELECT query_id, rank, chunk_index % 2 = 0 AS has_table, CASE WHEN chunk_index % 3 = 0 THEN c || c ELSE c END AS body FROM (SELECT r.*, text || (chunk_index % 2) AS c FROM reranked r JOIN fileq USING (query_id) JOIN documents ON doc_id = file_id WHERE rerank >= 4))) WHERE m = 1"""
 RERANK = [*BASE, "cand", "outside", "reranked"]
 
 
@@ -54,7 +54,7 @@ def r1(spark, sf):
 def r2(spark, sf):
     q = search.file_questions(spark, sf)
     v = q.withColumn("variant", F.lit(0)).unionByName(q.withColumns({"variant": F.lit(1), "query_vector": F.transform("query_vector", lambda x: -x)}))
-    return R.over_retrieve(v, S.read_chunks(spark, sf), 3)
+    return R.over_retrieve(v, search.owned_chunks(spark, sf), 3)
 
 
 @query("r3_table_boost", "SELECT query_id, chunk_index, score FROM cand", *BASE, "cand")

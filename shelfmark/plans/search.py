@@ -180,17 +180,22 @@ def q13(spark, sf):
 
 
 #: Questions about one file: every vector asks for the chunks of its file that are nearest to it.
-VIEWS["fileq"] = "SELECT vec_id AS query_id, vec_id % 100 AS file_id, embedding::DOUBLE[] AS v FROM embeddings"
+VIEWS["fileq"] = "SELECT vec_id AS query_id, file_id, embedding::DOUBLE[] AS v FROM chunks"
 FILE_HITS = "SELECT query_id, chunk_index, round(list_inner_product(v, e) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(e, e)) + 1e-9), 6) AS score FROM fileq q JOIN (SELECT file_id, chunk_index, embedding::DOUBLE[] AS e FROM chunks) c USING (file_id)"
 VIEWS["file_hits"] = FILE_HITS
 
 
+def owned_chunks(spark, sf):
+    """Chunk vectors with their tenant."""
+    return S.read_chunks(spark, sf).withColumn("user_id", F.col("file_id") % 20)
+
+
 def file_questions(spark, sf):
-    return S.read_chunks(spark, sf).select(F.col("vec_id").alias("query_id"), "file_id", F.col("embedding").alias("query_vector"))
+    return owned_chunks(spark, sf).select(F.col("vec_id").alias("query_id"), "user_id", "file_id", F.col("embedding").alias("query_vector"))
 
 
 @query("q14_file_scoped", "SELECT query_id, chunk_index, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) AS rank FROM file_hits QUALIFY rank <= 6", "chunks", "fileq", "file_hits")
 def q14(spark, sf):
     from shelfmark.operators.retrieval import vector_scores
 
-    return Q.top_k(vector_scores(file_questions(spark, sf), S.read_chunks(spark, sf)), ["query_id"], [F.desc("score"), F.col("chunk_index")], 6)
+    return Q.top_k(vector_scores(file_questions(spark, sf), owned_chunks(spark, sf)), ["query_id"], [F.desc("score"), F.col("chunk_index")], 6)

@@ -157,7 +157,7 @@ def j4(spark, sf):
 
 @query("j7_vector_join", "SELECT query_id, chunk_index, score FROM file_hits", "chunks", "fileq", "file_hits")
 def j7(spark, sf):
-    return R.vector_scores(search.file_questions(spark, sf), S.read_chunks(spark, sf))
+    return R.vector_scores(search.file_questions(spark, sf), search.owned_chunks(spark, sf))
 
 
 @query("u4_distinct_parents", "SELECT query_id, n, body FROM blocks", *retrieval.RERANK, "blocks")

@@ -68,9 +68,10 @@ def read_summaries(spark: SparkSession, path: str, collection: str = "all") -> D
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """S3: chunk vectors; file_id and chunk_index are the key."""
+    """S3: chunk vectors; file_id and chunk_index are the key.  A file has five, and there are 100 files at least."""
     e = read_table(spark, path, "embeddings")
-    return e.select("vec_id", (F.col("vec_id") % 100).alias("file_id"), F.floor(F.col("vec_id") / 100).alias("chunk_index"), "embedding")
+    n = max(100, e.count() // 5)
+    return e.select("vec_id", (F.col("vec_id") % n).alias("file_id"), F.floor(F.col("vec_id") / n).alias("chunk_index"), "embedding")
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

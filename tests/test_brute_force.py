@@ -158,6 +158,99 @@ def without_boilerplate(text):
     return "\n".join(x for x in lines if n[x.strip(" ")] < 3)
 
 
+def glued(parts, most, glue):
+    """Neighbours joined while they fit."""
+    done, i = [], 0
+    while i < len(parts):
+        j, body = i + 1, parts[i]
+        while j < len(parts) and len(body + glue + parts[j]) <= most:
+            body += glue + parts[j]
+            j += 1
+        if body.strip():
+            done.append(body)
+        i = j
+    return done
+
+
+def sentences_of(text):
+    out = []
+    for p in re.split(r"(?<=[.!?])\s+(?=[A-Z(\"'])", text, flags=re.ASCII):
+        if out and re.search(X.SENTENCE_OPEN, out[-1], flags=re.ASCII):
+            out[-1] = f"{out[-1]} {p}"
+        else:
+            out.append(p)
+    return out
+
+
+def cut_block(kind, text, most):
+    if len(text) <= most:
+        return [text]
+    by_line = kind in ("code", "table")
+    return glued(text.split("\n") if by_line else sentences_of(text), most, "\n" if by_line else " ")
+
+
+def plain_parents(blocks, most):
+    if len("\n\n".join(t for _, t in blocks)) <= most:
+        return [blocks]
+    pieces, out = [(k, p) for k, t in blocks for p in cut_block(k, t, most)], [[]]
+    for k, p in pieces:
+        if out[-1] and sum(len(t) + 2 for _, t in out[-1]) + len(p) + 2 > most:
+            out.append([])
+        out[-1].append((k, p))
+    return out
+
+
+def plain_children(blocks, most, overlap):
+    """Each chunk is [what overlaps, its own pieces, whether a table is in it]."""
+    done, head, own, table = [], [], [], False
+
+    def size():
+        return sum(map(len, head)) + sum(len(p) + 2 for p in own)
+
+    def end():
+        nonlocal head, own, table
+        if own:
+            body = "\n\n".join(head + own).strip()
+            done.append((body, table))
+            head = [body[max(0, len(body) - overlap) :]] if overlap and body else []
+        own, table = [], False
+
+    for i, (kind, text) in enumerate(blocks):
+        turn = i and kind != blocks[i - 1][0] and {kind, blocks[i - 1][0]} & {"code", "table"}
+        if (kind == "heading" or turn) and size() >= int(most * C.EARLY):
+            end()
+        for piece in cut_block(kind, text, most):
+            if head + own and size() + len(piece) + 2 > most:
+                end()
+            own.append(piece)
+            table |= kind == "table"
+    end()
+    return done
+
+
+def plain_flat(blocks, most, overlap):
+    pieces, heads = [], []
+    for kind, text in blocks:
+        if kind == "heading":
+            heads.append(text)
+            continue
+        parts = glued(text.split("\n"), most, "\n") if kind in ("code", "table") else sentences_of(text)
+        if parts:
+            parts[0] = "\n".join(heads + parts[:1])
+        pieces += parts
+        heads = []
+    # A chunk is a range of pieces; ``own`` is the first piece that no chunk has yet.
+    chunks, begin, own = [], 0, 0
+    for i, p in enumerate(pieces):
+        if i > begin and sum(len(x) + 1 for x in pieces[begin:i]) + len(p) + 1 > most and own < i:
+            chunks.append("\n".join(pieces[begin:i]))
+            least, begin, own = begin, i, i
+            while begin > least and sum(map(len, pieces[begin - 1 : i])) <= overlap:
+                begin -= 1
+    last = pieces[begin:] + ["\n".join(heads)] * bool(heads)
+    return chunks + ["\n".join(last)] * bool(last)
+
+
 def chunked(doc, text, budget=None):
     text = without_boilerplate(strip(text))
     if budget is None:
@@ -175,9 +268,9 @@ def chunked(doc, text, budget=None):
         sections[-1][1] = [path[k] for k in sorted(path)]
     rows, at = [], 0
     for blocks, heads in sections:
-        for parent in C.pack_parents(blocks, 4 * budget[0]):
+        for parent in plain_parents(blocks, 4 * budget[0]):
             whole = "\n\n".join(t for _, t in parent).strip()
-            for body, _ in C.pack_children(parent, 4 * budget[1], 4 * budget[2]):
+            for body, _ in plain_children(parent, 4 * budget[1], 4 * budget[2]):
                 rows.append((doc, len(rows), at, body, whole, any(k == "table" for k, _ in parent), " > ".join(heads), max(1, len(body) // 4)))
             at += 1
     return rows
@@ -196,20 +289,20 @@ def test_hierarchical_chunks(spark, sf, marked):
 
 
 def test_chunk_table(spark, sf, texts):
-    vectors = {(r.file_id, r.chunk_index): len(r.embedding) for r in S.read_chunks(spark, sf).collect()}
+    vectors = {(i, n): 64 for i, t in texts.items() for n in range(len(t or "") // 200 + 1) if (31 * i + n) % 13}
     want = Counter()
     for f in S.read_files(spark, sf).collect():
         if not f.is_private and texts[f.file_id] is not None:
             for x in chunked(f.file_id, texts[f.file_id], (1500, 400, 60)):
                 if (f.file_id, x[1]) in vectors:
-                    want[f.file_id, x[1], x[2], x[3], redacted(x[3])[0], f.user_id, f.filename, vectors[f.file_id, x[1]]] += 1
+                    want[f.file_id, x[1], x[2], x[3], redacted(x[3])[0], f.user_id, f.filename if f.file_id % 3 == 0 else "row of " + f.filename, vectors[f.file_id, x[1]]] += 1
     fields = ["file_id", "chunk_index", "parent_index", "chunk_text", "embed_text", "user_id", "filename", "dim"]
     assert Counter(tuple(r[f] for f in fields) for r in QUERIES["c9_chunk_table"](spark, sf).collect()) == want
     assert want
 
 
 def test_flat_chunks(spark, sf, marked):
-    want = {(doc, i): t for doc, text in marked.items() for i, t in enumerate(C.flat_chunks([(k, t) for k, _, t in blocks_of(text)], 4 * 600, 4 * 80))}
+    want = {(doc, i): t for doc, text in marked.items() for i, t in enumerate(plain_flat([(k, t) for k, _, t in blocks_of(text)], 4 * 600, 4 * 80))}
     assert {(r.doc_id, r.chunk_index): r.chunk_text for r in QUERIES["c7_flat_chunks"](spark, sf).collect()} == want
 
 
