@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from shelfmark.operators import search as Q
@@ -40,6 +42,12 @@ def file_index(spark, sf):
     return Index(spark, shared_folder(spark, "files"), ["file_id"]).add(public(spark, sf), "summary")
 
 
+def indexes(spark, sf):
+    """Both indexes, built at the same time."""
+    with ThreadPoolExecutor(2) as pool:
+        return list(pool.map(lambda build: build(spark, sf), (chunk_index, file_index)))
+
+
 def with_vectors(spark, sf):
     """The queries, some with a vector, and a vector for every chunk: the stored ones, dealt over files and chunks."""
     e = S.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -141,8 +149,8 @@ def q6(spark, sf):
 
 def signals(spark, sf):
     q, v = with_vectors(spark, sf)
-    files = file_index(spark, sf)
-    return Q.search_signals(q, S.read_files(spark, sf), chunk_index(spark, sf), files, files, v)
+    chunks, files = indexes(spark, sf)
+    return Q.search_signals(q, S.read_files(spark, sf), chunks, files, files, v)
 
 
 @query("q7_consolidation", "SELECT * FROM ranks", *BASE, *SIGNALS, *HYBRID, "ranks")
@@ -157,8 +165,8 @@ def q8(spark, sf):
 
 def searched(spark, sf, search=Q.federated_search):
     q, v = with_vectors(spark, sf)
-    files = file_index(spark, sf)
-    return search(q, S.read_files(spark, sf), chunk_index(spark, sf), files, files, S.read_access(spark, sf), as_of(), v, line_chunks(spark, sf))
+    chunks, files = indexes(spark, sf)
+    return search(q, S.read_files(spark, sf), chunks, files, files, S.read_access(spark, sf), as_of(), v, line_chunks(spark, sf))
 
 
 SEARCH_SQL = "SELECT b.*, text AS matched_text FROM (SELECT query_id, file_id, collection, filename, filetype, created_at, score, matched_in, matched_chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM boosted QUALIFY rank <= 30) b LEFT JOIN line_chunks c ON c.file_id = b.file_id AND c.chunk_index = b.matched_chunk"

@@ -164,14 +164,14 @@ def t13(spark, sf):
 
 @query(
     "t14_entity_filter",
-    """WITH q AS (SELECT query_id, user_id, unnest(list_distinct([lower(trim(x)) FOR x IN list_slice(string_split(query, ' '), 1, 2) IF trim(x) <> ''])) AS item FROM queries),
+    """WITH q AS (SELECT query_id, user_id, unnest(list_distinct([lower(trim(x)) FOR x IN string_split(query, ' ') IF trim(x) <> ''])) AS item FROM queries),
 h AS (SELECT file_id, user_id, unnest([lower(source), lang, '2024-01-01', 'inv-' || file_id]) AS item FROM summaries WHERE NOT is_private)
 SELECT query_id, file_id, string_agg(DISTINCT h.item, '|' ORDER BY h.item) AS matched FROM q JOIN h USING (user_id, item) GROUP BY ALL""",
     "queries",
     "summaries",
 )
 def t14(spark, sf):
-    q = S.read_queries(spark, sf).withColumn("items", F.slice(F.split("query", " "), 1, 2))
+    q = S.read_queries(spark, sf).withColumn("items", F.split("query", " "))
     s = S.read_summaries(spark, sf).where("NOT is_private").withColumn("index", F.from_json("index_json", S.INDEX_SCHEMA))
     return O.entity_filter(q, s).withColumn("matched", F.array_join("matched", "|"))
 
@@ -187,12 +187,13 @@ KINDS = " ".join(f"WHEN plain IN ({', '.join(map(repr, phrases))}) THEN '{kind}'
 @query(
     "t16_small_talk",
     rf"""SELECT conv_id, turn, CASE WHEN length(trim(said)) <= 30 THEN CASE {KINDS} END END AS kind FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(said), '[^a-z ]+', ' ', 'g'), '\s+', ' ', 'g')) AS plain
-FROM (SELECT conv_id, turn, CASE turn WHEN 0 THEN ' Good   MORNING! ' WHEN 1 THEN 'thank you :)' ELSE text END AS said FROM conversations))""",
+FROM (SELECT conv_id, turn, text AS said FROM conversations UNION ALL SELECT conv_id, -1 - turn, CASE turn % 2 WHEN 0 THEN ' Good   MORNING! ' ELSE 'thank you :)' END FROM conversations))""",
 )
 def t16(spark, sf):
-    c = S.read_table(spark, sf, "conversations")
-    said = F.when(F.col("turn") == 0, " Good   MORNING! ").when(F.col("turn") == 1, "thank you :)").otherwise(F.col("text"))
-    return c.select("conv_id", "turn", X.small_talk_kind(said).alias("kind"))
+    """All turns, and a phrase beside each (turns below 0), as the table has no small talk."""
+    c = S.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    more = c.select("conv_id", (-1 - F.col("turn")).alias("turn"), F.when(F.col("turn") % 2 == 0, " Good   MORNING! ").otherwise("thank you :)").alias("text"))
+    return c.unionByName(more).select("conv_id", "turn", X.small_talk_kind(F.col("text")).alias("kind"))
 
 
 @query("t17_t18_name_overlap", r"""WITH t AS (SELECT file_id, list_distinct(list_filter(regexp_split_to_array(lower(filename), '[\s_.\-]+'), lambda w: length(w) > 1)) AS w FROM files)
