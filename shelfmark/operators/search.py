@@ -147,8 +147,9 @@ def age_days(as_of: Column, at: Column) -> Column:
 
 
 def boosts(scored: DataFrame, files: DataFrame, access: DataFrame, as_of: Column) -> DataFrame:
-    """A little for new files and for files in use; files without a name go."""
-    s = scored.join(files.select("file_id", "collection", "filename", "filetype", "created_at"), "file_id").join(access, "file_id", "left").where(F.length("filename") > 0)
+    """A little for new files and for files in use; files without a name go (P12).  Collection and type come along where ``files`` has them (Q10)."""
+    more = [c for c in ("collection", "filetype") if c in files.columns]
+    s = scored.join(files.select("file_id", "filename", "created_at", *more), "file_id").join(access, "file_id", "left").where(F.length("filename") > 0)
     recent = F.when(F.col("created_at").isNull(), 0.0).otherwise(0.08 * F.exp(-age_days(as_of, F.col("created_at")) / 30))
     fresh = F.when(F.col("last_accessed_at").isNull(), 0.5).otherwise(F.exp(-age_days(as_of, F.col("last_accessed_at")) / 14))
     used = F.when(F.coalesce("access_count", F.lit(0)) > 0, 0.12 * F.least(F.lit(1.0), F.log1p("access_count") * fresh / 3)).otherwise(0.0)
