@@ -10,6 +10,10 @@ and ``<|`` becomes ``<\|``; after doubling, runs of backslashes have even
 length, so ``<\|`` can only come from the second step and the escape is
 reversible.  In roles a line feed also becomes ``\n`` (an odd run).
 
+The loss mask is the spans of the texts of assistant turns in ``formatted``, in
+order: from and up to which code point, and from and up to which byte of its UTF-8
+form.  Empty texts have empty spans; what a span covers is escaped.
+
 Defined results: a null text or role is the empty string; a null turn sorts
 first; rows that tie on the turn are ordered by role and text, and repeated rows
 stay.  A null ``conv_id`` is one conversation.  Extra columns are ignored; an
@@ -29,6 +33,7 @@ from shelfmark.llm.common import table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 BLOCK = 256
+SPAN = ("start", "stop", "byte_start", "byte_stop")
 
 
 def escape(text: Column) -> Column:
@@ -47,8 +52,8 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
 
 
-def _fold(items: Column, opening: Column) -> Column:
-    """Concatenate parts (first role, last role, body): a separator between equal roles, a block edge else."""
+def _pieces(items: Column, opening: Column) -> Column:
+    """The parts (first role, last role, body) with what stands before each: a separator between equal roles, a block edge else."""
 
     def piece(x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(items, i - 1)["last"])
@@ -56,18 +61,48 @@ def _fold(items: Column, opening: Column) -> Column:
         joint = F.when(i == 0, opening).when(before == x["first"], F.lit(SEP)).otherwise(edge)
         return F.concat(joint, x["body"])
 
-    return F.array_join(F.transform(items, piece), "")
+    return F.transform(items, piece)
+
+
+def _ends(pieces: Column) -> Column:
+    """Where each piece ends when all are put together: array of struct(c code points, b bytes)."""
+    zero = F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("b"), F.array().cast("array<struct<c:bigint,b:bigint>>").alias("ends"))
+
+    def add(a: Column, p: Column) -> Column:
+        c, b = (a["c"] + F.length(p)).alias("c"), (a["b"] + F.octet_length(p)).alias("b")
+        return F.struct(c, b, F.array_append(a["ends"], F.struct(c, b)).alias("ends"))
+
+    return F.aggregate(pieces, zero, add, lambda a: a["ends"])
 
 
-def format_chats(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> one row per conversation: conv_id, formatted."""
+def _shifted(body: Column, end: Column, spans: Column) -> Column:
+    """Spans of ``body`` as spans of the text in which it ends at ``end``."""
+    c, b = end["c"] - F.length(body), end["b"] - F.octet_length(body)
+    return F.transform(spans, lambda s: F.struct(*[(at + s[n]).alias(n) for n, at in zip(SPAN, (c, c, b, b), strict=True)]))
+
+
+def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:
+    """(conv_id, turn, role, text) -> one row per conversation: conv_id, formatted, loss_spans of the turns whose role is ``learn``."""
     clean = turns.select("conv_id", "turn", escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
     run = F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)
-    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("first"), F.col("role").alias("last"), F.col("text").alias("body"))
+    one = F.struct("turn", F.col("role").alias("first"), F.col("role").alias("last"), F.col("text").alias("body"))
     runs = clean.groupBy("conv_id", run.alias("run")).agg(F.sort_array(F.collect_list(one)).alias("t"))
-    runs = runs.select("conv_id", F.struct("run", F.col("t")[0]["first"].alias("first"), F.element_at("t", -1)["last"].alias("last"), _fold(F.col("t"), F.lit("")).alias("body")).alias("r"))
-    whole = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
-    return whole.select("conv_id", F.concat(_fold(F.col("r"), F.concat(F.lit(START), F.col("r")[0]["first"], F.lit("\n"))), F.lit(END)).alias("formatted"))
+    pieces = _pieces(F.col("t"), F.lit(""))
+    whole = lambda x: F.array(F.struct(*[n.cast("long").alias(k) for k, n in zip(SPAN, (F.lit(0), F.length(x), F.lit(0), F.octet_length(x)), strict=True)]))
+    learned = F.zip_with("t", _ends(pieces), lambda x, e: F.when(x["last"] == escape_role(F.lit(learn)), _shifted(x["body"], e, whole(x["body"]))))
+    spans = F.flatten(F.filter(learned, lambda x: x.isNotNull()))
+    runs = runs.select("conv_id", F.struct("run", F.col("t")[0]["first"].alias("first"), F.element_at("t", -1)["last"].alias("last"), F.array_join(pieces, "").alias("body"), spans.alias("spans")).alias("r"))
+    runs = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    pieces = _pieces(F.col("r"), F.concat(F.lit(START), F.col("r")[0]["first"], F.lit("\n")))
+    spans = F.flatten(F.zip_with("r", _ends(pieces), lambda x, e: _shifted(x["body"], e, x["spans"])))
+    return runs.select("conv_id", F.concat(F.array_join(pieces, ""), F.lit(END)).alias("formatted"), spans.alias("loss_spans"))
+
+
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The unescaped texts under the spans: bytes are cut, so each text costs its own length alone."""
+    whole = F.array(formatted.cast("binary"))
+    texts = F.transform(whole, lambda b: F.transform(spans, lambda s: unescape(F.substring(b, s["byte_start"].cast("int") + 1, (s["byte_stop"] - s["byte_start"]).cast("int")).cast("string"))))
+    return texts[0]
 
 
 def parse_chats(formatted: Column) -> Column:
@@ -85,10 +120,10 @@ def parse_chats(formatted: Column) -> Column:
 
 
 def digest_chats(chats: DataFrame) -> DataFrame:
-    """Figures read back from ``formatted``; the loss mask covers the texts of assistant turns."""
-    read = chats.select("conv_id", "formatted", parse_chats(F.col("formatted")).alias("t"))
+    """Figures read back from ``formatted`` and, for the loss, from what lies under ``loss_spans``."""
+    read = chats.select("conv_id", "formatted", "loss_spans", parse_chats(F.col("formatted")).alias("t"))
     turns = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    loss = F.array_join(under_mask(F.col("formatted"), F.col("loss_spans")), "")
     read = read.select("conv_id", F.size("t").cast("long").alias("n_turns"), turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select("conv_id", "n_turns", F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 

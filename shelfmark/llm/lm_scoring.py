@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import HashIndex, batches_of, cut, fold, table, word_hashes
+from shelfmark.llm.common import HashIndex, batches_of, cut, fold, free_name, table, word_hashes
 
 DIM = 16
 #: Words with a vector of their own, buckets of the others, and items of a class.
@@ -351,10 +351,16 @@ def fit(training: DataFrame) -> tuple[DataFrame, Vocabulary, list[np.ndarray]]:
 
 
 def score(docs: DataFrame, model: tuple[DataFrame, Vocabulary, list[np.ndarray]], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with n_tokens, n_known, train_tokens, base_score and score of its text."""
+    """The columns ``keep`` of ``docs`` with n_tokens, n_known, train_tokens, base_score and score of its text.
+
+    A column of ours whose name a kept one has takes the next free name (``score_``).
+    """
     counts, vocab, params = model
     shared = docs.sparkSession.sparkContext.broadcast((vocab, params))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    # Kept columns go by number until the end.
+    kept = docs.select(*keep)
+    held = [f"_{i}" for i in range(len(keep))]
+    fields = ", ".join(f"`{h}` {f.dataType.simpleString()}" for h, f in zip(held, kept.schema.fields, strict=True))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, scorer = shared.value[0], Scorer(shared.value[1])
@@ -370,7 +376,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, Vocabulary, list[np.ndarray]]
                 seen = at >= 0
                 known = np.bincount(doc, seen, m).astype(np.int64) + (vocab.texts > 0)
                 add = lambda where, values: np.bincount(doc[where], values, m) if where.any() else np.zeros(m)
-                out = part[keep].iloc[begin:end].reset_index(drop=True)
+                out = part[held].iloc[begin:end].reset_index(drop=True)
                 out["n_tokens"], out["n_known"] = size, known
                 out["base"] = add(seen, weight[at[seen]]) + np.log10(vocab.texts + 0.1) - size * np.log10(vocab.mass)
                 # A word in a bucket takes its share of it; the counts of unknown words are joined below.
@@ -378,7 +384,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, Vocabulary, list[np.ndarray]]
                 out["tail"] = np.split(hashes[~seen].view(np.int64), np.cumsum(np.bincount(doc[~seen], minlength=m))[:-1]) if m else []
                 yield out
 
-    rows = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
+    rows = docs.select(*[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)], F.col("text").cast("binary").alias("_text"))
     first = rows.mapInPandas(run, f"{fields}, n_tokens long, n_known long, base double, model double, tail array<long>")
     # The numbers of the rows hold once they are written.
     first = cut(first.withColumn("_row", F.monotonically_increasing_id()))
@@ -387,14 +393,14 @@ def score(docs: DataFrame, model: tuple[DataFrame, Vocabulary, list[np.ndarray]]
     out = first.drop("tail").join(tail, "_row", "left")
     add = F.coalesce("_add", F.lit(0.0))
     trained = F.lit(vocab.tokens > 0)
-    return out.select(
-        *keep,
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        F.when(trained, F.col("base") + add).otherwise(0.0).alias("base_score"),
-        F.when(trained, F.col("model") + add).otherwise(0.0).alias("score"),
-    )
+    made = {
+        "n_tokens": F.col("n_tokens"),
+        "n_known": F.col("n_known") + F.coalesce("_known", F.lit(0)),
+        "train_tokens": F.lit(vocab.tokens).cast("long"),
+        "base_score": F.when(trained, F.col("base") + add).otherwise(0.0),
+        "score": F.when(trained, F.col("model") + add).otherwise(0.0),
+    }
+    return out.select(*[F.col(h).alias(c) for h, c in zip(held, kept.columns, strict=True)], *[c.alias(free_name(kept, n)) for n, c in made.items()])
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

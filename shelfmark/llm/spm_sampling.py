@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import mix64, slices_of, table
+from shelfmark.llm.common import free_name, mix64, slices_of, table
 
 MARK = "▁"
 BATCH = 1 << 18
@@ -476,10 +476,12 @@ def encode(docs: DataFrame, key: str, keep: list[str], k: int = 2, sharpness: fl
 
     ``key`` names the integer column that seeds a row; ``text`` is encoded whole.
     With ``check`` the column ``round_trip`` says whether the ids, decoded by the same
-    worker, give the text again.
+    worker, give the text again.  A column of ours whose name a kept one has takes the
+    next free name (``rank_``).
     """
-    fields = docs.select(*keep).schema.fields
-    schema = T.StructType([*fields, *T._parse_datatype_string(SAMPLE_FIELDS + (", round_trip boolean" if check else "")).fields])
+    kept = docs.select(*keep)
+    ours = T._parse_datatype_string(SAMPLE_FIELDS + (", round_trip boolean" if check else "")).fields
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(free_name(kept, f.name), f.dataType) for f in ours]])
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_file))
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -508,8 +510,8 @@ def encode(docs: DataFrame, key: str, keep: list[str], k: int = 2, sharpness: fl
                 ]
                 if check:
                     made.append(pa.array([t == texts[i] for t, i in zip(decoded(pieces, flat, offsets), origin.tolist(), strict=True)], pa.bool_()))
-                kept = [part.column(i).take(pa.array(origin)) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
+                given = [part.column(i).take(pa.array(origin)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*given, *made], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -533,7 +535,8 @@ def decoded(pieces: Pieces, values: np.ndarray, offsets: np.ndarray) -> Iterator
 
 def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", model_file: str = DEFAULT_MODEL) -> DataFrame:
     """The columns ``keep`` and ``decoded``, the text of the column ``ids``."""
-    schema = T.StructType([*encoded.select(*keep).schema.fields, T.StructField("decoded", T.StringType())])
+    kept = encoded.select(*keep)
+    schema = T.StructType([*kept.schema.fields, T.StructField(free_name(kept, "decoded"), T.StringType())])
     model = encoded.sparkSession.sparkContext.broadcast(read_model(model_file))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

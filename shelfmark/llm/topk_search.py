@@ -12,9 +12,12 @@ levels of descending norm and levels into blocks of about ``BLOCK`` vectors
    blocks of the levels before.
 3. In a block, vectors go by descending norm in chunks; a chunk that no query
    can use ends the block.  Vectors are rotated by the right singular vectors of
-   the data, so the first coordinates hold most of the product; partial sums plus
-   the product of the residual norms bound the rest, and only pairs that pass are
-   computed in full.
+   the data, so the first coordinates hold most of the product.  Partial sums grow
+   in stages (``STAGES``); after each, the sum plus the product of the norms of
+   what is left bounds a pair, queries and candidates without a pair go, and only
+   pairs that pass the last stage are computed in full.
+
+The first block's results are kept from step 1; it is not met again.
 
 Defined results: vectors that are null, or hold null or non-finite components,
 take no part; vectors of different lengths are compared as if padded with zeros;
@@ -36,8 +39,11 @@ from pyspark.sql.window import Window as W
 from shelfmark.llm.common import cut, table
 
 BLOCK, PACK, CHUNK, LEVELS = 4096, 256, 512, 64
-#: Share of coordinates in the first partial sum.
-PARTIAL = 0.25
+#: Shares of the rotated coordinates in the partial sums.
+STAGES = (0.25, 0.5, 0.75)
+#: Below this share of open pairs of a chunk, they are computed one by one.
+SPARSE = 0.02
+FOUND = ["query_id", "vec_id", "score"]
 
 
 def usable(v: Column) -> Column:
@@ -77,34 +83,48 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.ascontiguousarray(basis[:, np.argsort(-values)])
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, low: np.ndarray, basis: np.ndarray, k: int) -> tuple[list, np.ndarray]:
+def best_of(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, low: np.ndarray, basis: np.ndarray, k: int) -> tuple[list, np.ndarray, list[int]]:
     """The k best candidates of each query that reach ``low``; c must be in order of descending norm.
 
-    Gives rows (query, vec_id, score) and the raised lower bounds.
+    Gives rows (query, vec_id, score), the raised lower bounds, and the numbers of
+    pairs: all, those that pass the norms, then those that pass each stage.
     """
     dim = q.shape[1]
-    h = max(1, int(dim * PARTIAL)) if dim else 0
+    edges = sorted({max(1, int(dim * x)) for x in STAGES}) if dim else []
     q_norm, c_norm = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+    h = edges[-1] if edges else 0
     qr, cr = q @ basis[:, :h], c @ basis[:, :h]
-    q_rest = np.sqrt(np.maximum(0, q_norm**2 - (qr**2).sum(axis=1)))
-    c_rest = np.sqrt(np.maximum(0, c_norm**2 - (cr**2).sum(axis=1)))
+    rest = lambda whole, part: [np.sqrt(np.maximum(0, whole**2 - (part[:, :e] ** 2).sum(axis=1))) for e in edges]
+    q_rest, c_rest = rest(q_norm, qr), rest(c_norm, cr)
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
     low = low.copy()
+    pairs = [len(q) * len(c), 0] + [0] * len(STAGES)
     # Rounding of the rotated products stays far below this.
     slack = 1e-9 * q_norm * (c_norm[0] if len(c) else 0) + 1e-6
     for a in range(0, len(c), CHUNK):
         rows = np.flatnonzero(q_norm * c_norm[a] + slack >= low)
         if not len(rows):
             break
-        part = slice(a, a + CHUNK)
-        bound = qr[rows] @ cr[part].T + np.outer(q_rest[rows], c_rest[part]) + slack[rows, None]
-        x, y = np.nonzero(bound >= low[rows, None])
-        if len(x) > 0.1 * bound.size:
-            s = (q[rows] @ c[part].T)[x, y]
+        cols = np.arange(a, min(a + CHUNK, len(c)))
+        size = len(rows) * len(cols)
+        pairs[1] += size
+        total, begin = np.zeros((len(rows), len(cols))), 0
+        open_ = np.ones(total.shape, bool)
+        for i, e in enumerate(edges):
+            total += qr[rows, begin:e] @ cr[cols, begin:e].T
+            open_ &= total + np.outer(q_rest[i][rows], c_rest[i][cols]) + slack[rows, None] >= low[rows, None]
+            pairs[2 + i] += int(open_.sum())
+            begin, some, other = e, open_.any(axis=1), open_.any(axis=0)
+            if not (some.all() and other.all()):
+                rows, cols, total, open_ = rows[some], cols[other], total[np.ix_(some, other)], open_[np.ix_(some, other)]
+        x, y = np.nonzero(open_)
+        x, y = rows[x], cols[y]
+        if len(x) > SPARSE * size:
+            s = (q[rows] @ c[cols].T)[open_]
         else:
-            s = np.einsum("ij,ij->i", q[rows[x]], c[a + y])
-        fits = (s >= low[rows[x]]) & (q_ids[rows[x]] != c_ids[a + y])
-        x, y, s = rows[x[fits]], a + y[fits], s[fits]
+            s = np.einsum("ij,ij->i", q[x], c[y])
+        fits = (s >= low[x]) & (q_ids[x] != c_ids[y])
+        x, y, s = x[fits], y[fits], s[fits]
         for i in np.unique(x).tolist():
             mine = x == i
             score, ids = np.concatenate([found[i][0], s[mine]]), np.concatenate([found[i][1], c_ids[y[mine]]])
@@ -112,7 +132,7 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray,
             found[i] = score[order], ids[order]
             if len(order) == k:
                 low[i] = max(low[i], score[order[-1]])
-    return [(int(q_ids[i]), int(v), int(round(s))) for i in range(len(q)) for s, v in zip(*found[i], strict=True)], low
+    return [(int(q_ids[i]), int(v), int(round(s))) for i in range(len(q)) for s, v in zip(*found[i], strict=True)], low, pairs
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
@@ -164,24 +184,27 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
         for part in parts_:
             for r in part.itertuples(index=False):
                 q, q_ids = read(r.q_ids, r.q_m)
-                _, low = best_of(q, q_ids, *read(r.ids, r.m), np.full(len(q), -np.inf), basis, k)
+                rows, low, _ = best_of(q, q_ids, *read(r.ids, r.m), np.full(len(q), -np.inf), basis, k)
                 norm = np.linalg.norm(q, axis=1)
                 last = max(a for a, top in tops if a == tops[0][0] or (norm * top * (1 + 1e-9) + 1e-6 >= low).any())
-                yield pd.DataFrame({"pack": [r.pack], "q_ids": [r.q_ids], "q_m": [r.q_m], "low": [low.tobytes()], "last": [last]})
+                row = {"pack": [r.pack], "q_ids": [r.q_ids], "q_m": [r.q_m], "low": [low.tobytes()], "last": [last], "met": [r.sub]}
+                yield pd.DataFrame(row | {n: [[x[i] for x in rows]] for i, n in enumerate(FOUND)})
 
     # One block of at most a few MB meets every pack.
-    first = blocks.where(F.col("level") == tops[0][0]).orderBy("sub").limit(1).select("ids", "m")
-    begun = cut(packs.withColumn("one", F.lit(1)).join(F.broadcast(first.withColumn("one", F.lit(1))), "one").drop("one").mapInPandas(begin, "pack int, q_ids binary, q_m binary, low binary, last int"))
+    first = blocks.where(F.col("level") == tops[0][0]).orderBy("sub").limit(1).select("sub", "ids", "m")
+    begun = cut(packs.withColumn("one", F.lit(1)).join(F.broadcast(first.withColumn("one", F.lit(1))), "one").drop("one").mapInPandas(begin, "pack int, q_ids binary, q_m binary, low binary, last int, met int, query_id array<long>, vec_id array<long>, score array<long>"))
     reach = F.filter(F.array(*[F.struct(F.lit(a).alias("level"), F.lit(b).alias("n")) for a, b in parts.items()]), lambda x: x["level"] <= F.col("last"))
-    sent = begun.withColumn("to", F.explode(reach)).select("q_ids", "q_m", "low", F.col("to.level").alias("level"), F.explode(F.sequence(F.lit(0), F.col("to.n") - 1)).alias("sub"))
+    sent = begun.withColumn("to", F.explode(reach)).select("q_ids", "q_m", "low", F.col("to.level").alias("level"), F.explode(F.sequence(F.lit(0), F.col("to.n") - 1)).alias("sub"), "met")
+    sent = sent.where((F.col("level") != tops[0][0]) | (F.col("sub") != F.col("met"))).drop("met")
 
     def meet(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts_:
             for r in part.itertuples(index=False):
-                rows, _ = best_of(*read(r.q_ids, r.q_m), *read(r.ids, r.m), np.frombuffer(r.low, np.float64), basis, k)
-                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
+                rows, _, _ = best_of(*read(r.q_ids, r.q_m), *read(r.ids, r.m), np.frombuffer(r.low, np.float64), basis, k)
+                yield pd.DataFrame(rows, columns=FOUND, dtype="int64")
 
     near = sent.join(blocks, ["level", "sub"]).drop("level", "sub").mapInPandas(meet, "query_id long, vec_id long, score long")
+    near = near.unionByName(begun.select(F.explode(F.arrays_zip(*FOUND)).alias("f")).select("f.*"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
