@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.operators import chunking as C
 from shelfmark.operators import retrieval as R
-from shelfmark.plans import search
+from shelfmark.plans import chunking, search
 from shelfmark.plans.base import VIEWS, query
 from shelfmark.sources import tables as S
+from shelfmark.sources.stored import settled
 
 BASE = ["chunks", "fileq", "file_hits"]
 VIEWS["cand"] = "SELECT query_id, chunk_index, least(1.0, CASE WHEN query_id % 2 = 0 AND chunk_index % 2 = 0 THEN score * 1.15 + 0.05 ELSE score END) AS score FROM file_hits"
@@ -82,6 +84,28 @@ def r6(spark, sf):
     return R.context_text(R.context_blocks(passages(spark, sf)))
 
 
+def stored_chunks(spark, sf):
+    """C9's chunks of all public files, marked up so that some hold tables, with parents and vectors."""
+    texts = chunking.md_docs(spark, sf).withColumnRenamed("doc_id", "file_id")
+    return C.build_chunks(S.read_files(spark, sf), texts, chunking.chunk_vectors(spark, sf))
+
+
+@query("r6_chunk_contexts")
+def r6_chunks(spark, sf):
+    """Retrieval on the chunk table to its end: J7, R3, R4, R6, U4; contexts are C6's chunks and parents."""
+    chunks = settled(stored_chunks(spark, sf).select("user_id", "file_id", "chunk_index", "chunk_text", "parent_text", "has_table", "embedding"))
+    asked = search.file_questions(spark, sf)
+    hits = R.vector_scores(asked, chunks).join(asked.select("query_id", "file_id"), "query_id")
+    hits = hits.join(chunks.select("file_id", "chunk_index", "has_table"), ["file_id", "chunk_index"])
+    asks = F.when(F.col("query_id") % 2 == 0, "How many rows in total?").otherwise("Who wrote this?")
+    boosted = R.table_boost(hits.withColumn("question", asks))
+    given = boosted.where("(chunk_index + query_id) % 13 != 0").select("query_id", "chunk_index", ((F.col("chunk_index") * 7 + F.col("query_id") * 3) % 11).alias("score"))
+    best = R.apply_rerank(boosted.select("query_id", "file_id", "chunk_index", "score"), given, keep=3).where("rerank >= 4")
+    # Texts join only what passes the floor.
+    passing = best.join(chunks.select("file_id", "chunk_index", "chunk_text", "parent_text", "has_table"), ["file_id", "chunk_index"])
+    return R.context_text(R.context_blocks(passing))
+
+
 def answers(spark, sf):
     c = S.read_table(spark, sf, "conversations").where("role = 'assistant'")
     said = F.concat("text", F.lit(" [Chunk "), (1 + F.col("turn") % 4).cast("string"), F.lit("] [chunk 9] ."))

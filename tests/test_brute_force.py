@@ -12,9 +12,10 @@ from shelfmark.functions import text as X
 from shelfmark.operators import chunking as C
 from shelfmark.plans.chunking import md_docs, sentence_vectors
 from shelfmark.plans.registry import ORACLES, QUERIES
+from shelfmark.plans.search import file_questions
 from shelfmark.sources import tables as S
 
-HELD_HERE = {"t6_redaction", "a11_redaction_counts", "t9_sentence_split", "q11_mmr_diversity", "c3_parents", "c6_hierarchical_chunks", "c7_flat_chunks", "c8_semantic_chunks", "c9_chunk_table", "t23_summary_pieces"}
+HELD_HERE = {"t6_redaction", "a11_redaction_counts", "t9_sentence_split", "q11_mmr_diversity", "c3_parents", "c6_hierarchical_chunks", "c7_flat_chunks", "c8_semantic_chunks", "c9_chunk_table", "t23_summary_pieces", "r6_chunk_contexts"}
 
 
 def test_every_query_without_sql_is_held_here():
@@ -301,6 +302,47 @@ def test_chunk_table(spark, sf, texts):
     assert want
 
 
+def test_chunk_contexts(spark, sf, marked):
+    """Questions about a file, its chunks by cosine, boosted, reranked and shown with their parents."""
+    held = {r.vec_id: list(r.embedding) for r in S.read_table(spark, sf, "embeddings").collect() if r.embedding is not None}
+    total = S.read_table(spark, sf, "embeddings").count()
+    lengths = {r.doc_id: len(r.text or "") for r in S.read_table(spark, sf, "documents").collect()}
+    owner = {f.file_id: f.user_id for f in S.read_files(spark, sf).collect() if not f.is_private}
+    stored = {}
+    for doc in marked.keys() & owner.keys():
+        for x in chunked(doc, marked[doc], (1500, 400, 60)):
+            at = 31 * doc + x[1]
+            if x[1] <= lengths[doc] // 200 and at % 13 and at % total in held:
+                stored.setdefault(doc, []).append((x[1], x[3], x[4], x[5], held[at % total]))
+    want = {}
+    for q in file_questions(spark, sf).collect():
+        if owner.get(q.file_id) != q.user_id:
+            continue
+        pool = []
+        for n, text, parent, table, v in stored.get(q.file_id, []):
+            size = math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(x * x for x in q.query_vector))
+            score = round(sum(x * y for x, y in zip(v, q.query_vector, strict=True)) / (size + 1e-9), 6)
+            if q.query_id % 2 == 0 and table:
+                score = min(1.0, score * 1.15 + 0.05)
+            pool.append((-score, n, text, parent, table))
+        pool = sorted(pool)[:20]
+        given = {n: (7 * n + 3 * q.query_id) % 11 for _, n, *_ in pool if (n + q.query_id) % 13}
+        if len(pool) <= 3 or not given:
+            ranked = [(10 * s, i, *x) for i, (s, _, *x) in enumerate(pool)]
+        else:
+            ranked = [(-given[n], i, *x) for i, (_, n, *x) in enumerate(pool) if n in given]
+        bodies, blocks = [], []
+        for worth, _, text, parent, table in sorted(ranked, key=lambda x: x[:2])[:3]:
+            body = parent if len(parent) > len(text) else text
+            if -worth >= 4 and body not in bodies:
+                bodies.append(body)
+                blocks.append(f"[Chunk {len(bodies)}]{' (contains a table)' if table else ''}\n{body}")
+        if blocks:
+            want[q.query_id] = (len(blocks), "\n\n---\n\n".join(blocks))
+    got = {r.query_id: (r.n_blocks, r.context) for r in QUERIES["r6_chunk_contexts"](spark, sf).collect()}
+    assert got == want and max(n for n, _ in want.values()) > 1
+
+
 def test_flat_chunks(spark, sf, marked):
     want = {(doc, i): t for doc, text in marked.items() for i, t in enumerate(plain_flat([(k, t) for k, _, t in blocks_of(text)], 4 * 600, 4 * 80))}
     assert {(r.doc_id, r.chunk_index): r.chunk_text for r in QUERIES["c7_flat_chunks"](spark, sf).collect()} == want
