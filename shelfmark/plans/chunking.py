@@ -71,12 +71,21 @@ def c7(spark, sf):
     return C.chunk_flat(md_docs(spark, sf))
 
 
+#: Stored vectors are sent to every task up to this many bytes; beyond it the numbers of sentences meet them, and then sentences by document and place.
+SENT_BYTES = 64 << 20
+
+
 def sentence_vectors(spark, sf):
     """All sentences of documents, with the stored vectors in turn; a sentence whose vector is missing keeps a null one."""
-    s = S.read_table(spark, sf, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    d = S.read_table(spark, sf, "documents").select("doc_id", "text")
+    s = d.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
     e = S.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
-    n = e.agg(F.coalesce(F.max("vec_id") + 1, F.lit(1)).alias("n"))
-    return s.crossJoin(F.broadcast(n)).withColumn("vec_id", F.pmod(F.col("doc_id") * 7 + F.floor(F.col("pos") / 3), "n")).join(e, "vec_id", "left").drop("vec_id", "n")
+    size = e.agg(F.coalesce(F.max("vec_id") + 1, F.lit(1)).alias("n"), F.sum(16 + 8 * F.coalesce(F.size("embedding"), F.lit(0))).alias("bytes")).first()
+    numbered = lambda t: t.withColumn("vec_id", F.pmod(F.col("doc_id") * 7 + F.floor(F.col("pos") / 3), F.lit(size.n)))
+    if (size.bytes or 0) <= SENT_BYTES:
+        return numbered(s).join(F.broadcast(e), "vec_id", "left").drop("vec_id")
+    keys = numbered(s.drop("sentence")).join(e, "vec_id").drop("vec_id")
+    return s.join(keys, ["doc_id", "pos"], "left")
 
 
 @query("c8_semantic_chunks")

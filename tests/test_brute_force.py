@@ -359,6 +359,14 @@ def test_summary_pieces(spark, sf, marked):
     assert {d: got[d] for d in want} == want and any(v[1] > 1 for v in want.values())
 
 
+def test_sentences_meet_vectors_either_way(spark, sf, monkeypatch):
+    """Vectors sent to all tasks and vectors joined by number give the same rows."""
+    rows = lambda: Counter((r.doc_id, r.pos, r.sentence, None if r.embedding is None else tuple(r.embedding)) for r in sentence_vectors(spark, sf).collect())
+    sent = rows()
+    monkeypatch.setattr("shelfmark.plans.chunking.SENT_BYTES", 0)
+    assert rows() == sent and sent
+
+
 def test_semantic_chunks(spark, sf):
     by_doc = defaultdict(list)
     for r in sentence_vectors(spark, sf).collect():
