@@ -67,10 +67,10 @@ def choose_extraction(candidates: DataFrame) -> DataFrame:
 
 
 def triage_blobs(blobs: DataFrame) -> DataFrame:
-    """What kind of PDF a blob is; needs content, length and the characters its text layer gave."""
+    """What kind of PDF a blob is; needs content (null: no PDF), length and the characters its text layer gave."""
     head = F.substring("content", 1, 4096).cast("string")
     pdf = F.substring("content", 1, 5) == F.lit("%PDF-").cast("binary")
-    verdict = F.when(~pdf, "not_pdf").when(F.contains(head, F.lit("/Encrypt")), "encrypted").when((F.col("text_chars") < 50) & (F.col("length") > 100_000), "image_only").otherwise("ok")
+    verdict = F.when(~F.coalesce(pdf, F.lit(False)), "not_pdf").when(F.contains(head, F.lit("/Encrypt")), "encrypted").when((F.col("text_chars") < 50) & (F.col("length") > 100_000), "image_only").otherwise("ok")
     return blobs.withColumn("verdict", verdict)
 
 

@@ -256,3 +256,20 @@ def test_names_holding_parts_of_any_length(spark):
     asked = spark.createDataFrame([(i, 1, p) for i, p in enumerate(parts)], "query_id long, user_id long, part string")
     got = sorted((r.query_id, r.file_id) for r in names_holding(asked, files).collect())
     assert got == sorted((i, 10 + j) for i, p in enumerate(parts) for j, n in enumerate(names) if p and n and p in n.lower())
+
+
+def test_triage_reads_the_bytes_and_its_sql_too(spark, tmp_path):
+    import duckdb
+
+    from shelfmark.plans.registry import ORACLES, QUERIES
+
+    texts = ["%PDF-", None, "a" * 120_000, "/Encrypt", "a" * 99_901, "é" * 2040 + "/Encrypt", "é" * 2039 + "/Encrypt", "a" * 99_900]
+    rows = [(4 * i + m, t) for i, t in enumerate(texts) for m in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["t24_pdf_triage"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(c.execute(ORACLES["t24_pdf_triage"]).fetchall())
+    verdict = dict(got)
+    assert {verdict[4 + m] for m in range(4)} == {"not_pdf"}
+    assert [verdict[4 * i + 3] for i in range(8)] == ["ok", "not_pdf", "image_only", "encrypted", "image_only", "ok", "encrypted", "ok"]
