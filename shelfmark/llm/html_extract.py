@@ -18,20 +18,20 @@ that.  Pages are never grouped.
 Defined results: null or empty html gives an empty text; a null URL, or one
 without host, takes part without a reference.  Unclosed and stray tags are
 tolerated.  A host with fewer than ``min_pages`` different pages has no template;
-with few pages, at least three must agree.  Repeated rows give a row each.  Rows
-of more than ``MAX_PAIRS`` pairs of children match each child with the next one of
-its label, so the time for very long pages is bounded.
+with few pages, at least three must agree.  Repeated rows give a row each.  The
+alignment has one rule for pages of all sizes.
 """
 
 from __future__ import annotations
 
 import bisect
 import html as html_lib
-import itertools
+import math
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +47,8 @@ TEMPLATE_SHARE, MIN_PAGES = 0.6, 3
 STRONG_SHARE, WEAK_SHARE = 0.9, 0.5
 #: Article elements are the content if they hold this share of the text that is left.
 ARTICLE_SHARE = 0.5
-#: Rows of children are matched in one pass beyond so many pairs, or after so many pairs of nodes.
-MAX_PAIRS, MAX_MEMO = 250_000, 1_000_000
+#: Weights of pairs of forms that are kept for later rows; others are found again.
+KEPT = 1_000_000
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -243,85 +243,140 @@ def parse(source: str) -> Page:
     return page
 
 
-def _in_turn(p: list[int], q: list[int], la: list[str], lb: list[str]) -> list[tuple[int, int]]:
-    """An order-keeping match in one pass: each child takes the next one of its label, unless that leaves out more than a hundred."""
-    places: dict[str, list[int]] = {}
-    for k, v in enumerate(q):
-        places.setdefault(lb[v], []).append(k)
-    out, at = [], 0
-    for u in p:
-        row = places.get(la[u], [])
-        k = bisect.bisect_left(row, at)
-        if k < len(row) and row[k] - at <= 100:
-            out.append((u, q[row[k]]))
-            at = row[k] + 1
-    return out
+def _forms(*pages: Page) -> tuple[list[list[int]], list[str], list[tuple[int, ...]], list[int]]:
+    """Nodes of one form (label, and forms of the children in order) share a number: the nodes' forms by page, then label, children and size of each form."""
+    known: dict[tuple, int] = {}
+    label: list[str] = []
+    kids: list[tuple[int, ...]] = []
+    size: list[int] = []
+    forms = []
+    for page in pages:
+        form = [0] * len(page.label)
+        # Parents come before their children.
+        for i in range(len(form) - 1, -1, -1):
+            key = page.label[i], tuple([form[c] for c in page.children[i]])
+            at = known.get(key)
+            if at is None:
+                at = known[key] = len(label)
+                label.append(key[0])
+                kids.append(key[1])
+                size.append(1 + sum([size[c] for c in key[1]]))
+            form[i] = at
+        forms.append(form)
+    return forms, label, kids, size
+
+
+class _Rows:
+    """Two rows of forms, and the weights of their pairs: how many nodes a largest match of the two forms has, 0 for other labels."""
+
+    def __init__(self, p: Sequence[int], q: Sequence[int], label: list[str], base: int = 0) -> None:
+        us, vs = {u: r for r, u in enumerate(dict.fromkeys(p))}, {v: c for c, v in enumerate(dict.fromkeys(q))}
+        self.base, self.weight = base, np.zeros((len(us), len(vs)), np.int32)
+        self.p, self.q = [us[u] for u in p], np.array([vs[v] for v in q], np.int64)
+        by: dict[str, list[tuple[int, int]]] = {}
+        for v, c in vs.items():
+            by.setdefault(label[v], []).append((c, v))
+        self.todo = ((r, c, u, v) for u, r in us.items() for c, v in by.get(label[u], ()))
+        self.at = (0, 0, 0, 0)
+
+    def below(self, best: np.ndarray, r: int) -> np.ndarray:
+        """Row r + 1 of the table of best sums, from row r."""
+        out = np.zeros_like(best)
+        np.maximum(best[1:], best[:-1] + self.weight[self.p[r]][self.q], out=out[1:])
+        return np.maximum.accumulate(out, out=out)
+
+    def most(self) -> int:
+        best = np.zeros(len(self.q) + 1, np.int32)
+        for r in range(len(self.p)):
+            best = self.below(best, r)
+        return self.base + int(best[-1])
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """Places of a largest match.  One row of the table in every sqrt(rows) is held; those between are made again when the way back comes to them."""
+        m, n = len(self.p), len(self.q)
+        step = math.isqrt(m)
+        held = [np.zeros(n + 1, np.int32)]
+        best = held[0]
+        for r in range(m):
+            best = self.below(best, r)
+            if (r + 1) % step == 0:
+                held.append(best)
+        out, r, c, first, rows = [], m, n, m, []
+        while r and c:
+            if r <= first:
+                first = (r - 1) // step * step
+                rows = [held[first // step]]
+                for k in range(first, r):
+                    rows.append(self.below(rows[-1], k))
+            here, above = rows[r - first], rows[r - first - 1]
+            if here[c] == above[c]:
+                r -= 1
+            elif here[c] == here[c - 1]:
+                c -= 1
+            else:
+                r, c = r - 1, c - 1
+                out.append((r, c))
+        return out
+
+
+def _same_start(p: Sequence[int], q: Sequence[int]) -> int:
+    return next((k for k, (u, v) in enumerate(zip(p, q, strict=False)) if u != v), min(len(p), len(q)))
 
 
 def align(a: Page, b: Page) -> list[tuple[int, int]]:
     """Simple tree matching: the pairs of nodes of a largest order-keeping match from the roots down.
 
-    Only nodes of equal labels match.  Rows of equal leaves match by place, which
-    is as good as any other match, so the quadratic step is left to mixed rows of
-    at most ``MAX_PAIRS`` pairs; longer rows, and all after ``MAX_MEMO`` pairs of nodes,
-    match in one pass, see ``_in_turn``.
+    Only nodes of equal labels match.  Pages of every size are matched by this one rule.  Work goes by forms,
+    of which pages have few: a form matches itself whole, equal beginnings of rows match each other, and the
+    quadratic step is left to what differs.
     """
-    la, lb, ca, cb = a.label, b.label, a.children, b.children
-    memo: dict[tuple[int, int], tuple[int, tuple]] = {}
-
-    def match(x: int, y: int) -> int:
-        """Fill ``memo`` for all pairs below (x, y), without recursion (trees may be deep)."""
-        todo = [(x, y, False)]
-        while todo:
-            i, j, ready = todo.pop()
-            if (i, j) in memo:
-                continue
-            p, q = ca[i], cb[j]
-            if not p or not q:
-                memo[i, j] = 1, ()
-                continue
-            if not any(ca[u] for u in p) and not any(cb[v] for v in q) and len({la[u] for u in p} | {lb[v] for v in q}) == 1:
-                memo[i, j] = 1 + min(len(p), len(q)), tuple(zip(p, q, strict=False))
-                continue
-            pairs = _in_turn(p, q, la, lb) if len(p) * len(q) > MAX_PAIRS or len(memo) > MAX_MEMO else None
-            if not ready:
-                below = [(u, v, False) for u, v in (pairs if pairs is not None else itertools.product(p, q)) if la[u] == lb[v] and (u, v) not in memo]
-                if below:
-                    todo.append((i, j, True))
-                    todo += below
-                    continue
-            if pairs is not None:
-                memo[i, j] = 1 + sum(memo[x][0] for x in pairs), tuple(pairs)
-                continue
-            m, n = len(p), len(q)
-            best = [[0] * (n + 1)]
-            for u in p:
-                prev, row, l = best[-1], [0], la[u]
-                for k, v in enumerate(q):
-                    top = prev[k + 1] if prev[k + 1] > row[k] else row[k]
-                    if lb[v] == l:
-                        w = prev[k] + memo[u, v][0]
-                        top = w if w > top else top
-                    row.append(top)
-                best.append(row)
-            pairs, r, c = [], m, n
-            while r and c:
-                if best[r][c] == best[r - 1][c]:
-                    r -= 1
-                elif best[r][c] == best[r][c - 1]:
-                    c -= 1
+    (fa, fb), label, kids, size = _forms(a, b)
+    known: dict[tuple[int, int], int] = {}
+
+    def weighed(rows: _Rows) -> _Rows:
+        """Fill in the weights, without recursion (trees may be deep)."""
+        open_rows = [rows]
+        while True:
+            now = open_rows[-1]
+            for r, c, u, v in now.todo:
+                if u == v:
+                    now.weight[r, c] = size[u]
+                elif not kids[u] or not kids[v]:
+                    now.weight[r, c] = 1
+                elif (u, v) in known:
+                    now.weight[r, c] = known[u, v]
                 else:
-                    r, c = r - 1, c - 1
-                    pairs.append((p[r], q[c]))
-            memo[i, j] = 1 + best[m][n], tuple(pairs)
-        return memo[x, y][0]
+                    # What the rows begin and end with alike is in a largest match.
+                    p, q = kids[u], kids[v]
+                    k = _same_start(p, q)
+                    e = _same_start(p[k:][::-1], q[k:][::-1])
+                    base = 1 + sum([size[x] for x in p[:k]]) + sum([size[x] for x in p[len(p) - e :]])
+                    if k + e == min(len(p), len(q)):
+                        now.weight[r, c] = base
+                        continue
+                    now.at = r, c, u, v
+                    open_rows.append(_Rows(p[k : len(p) - e], q[k : len(q) - e], label, base))
+                    break
+            else:
+                if len(open_rows) == 1:
+                    return rows
+                open_rows.pop()
+                up = open_rows[-1]
+                r, c, u, v = up.at
+                if len(known) >= KEPT:
+                    known.clear()
+                up.weight[r, c] = known[u, v] = now.most()
 
-    match(0, 0)
     out, todo = [], [(0, 0)]
     while todo:
-        pair = todo.pop()
-        out.append(pair)
-        todo += memo[pair][1] if pair in memo else ()
+        i, j = todo.pop()
+        out.append((i, j))
+        p, q = a.children[i], b.children[j]
+        forms = [fa[u] for u in p], [fb[v] for v in q]
+        k = _same_start(*forms)
+        todo += zip(p[:k], q[:k], strict=False)
+        if k < min(len(p), len(q)):
+            todo += [(p[k + r], q[k + c]) for r, c in weighed(_Rows(forms[0][k:], forms[1][k:], label)).pairs()]
     return out
 
 

@@ -266,6 +266,15 @@ def test_alignment_is_a_largest_match():
         assert len(html_extract.align(a, b)) == best(a, 0, b, 0)
 
 
+def test_alignment_is_largest_in_long_rows_too():
+    # More than 250,000 pairs of children: a heading that moved down leaves out no paragraph, and what is below counts.
+    p, long = "<p></p>", "<p><b></b><i></i></p>"
+    a, b = html_extract.parse("<h2></h2>" + p * 600), html_extract.parse(p * 50 + "<h2></h2>" + p * 550)
+    assert len(html_extract.align(a, b)) == 1 + 600
+    a, b = html_extract.parse(p + "<h1></h1>" + long * 600), html_extract.parse(long * 600 + "<h1></h1>" + p)
+    assert len(html_extract.align(a, b)) == 1 + 3 * 600
+
+
 def test_extraction_of_no_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
 
