@@ -273,3 +273,22 @@ def test_triage_reads_the_bytes_and_its_sql_too(spark, tmp_path):
     verdict = dict(got)
     assert {verdict[4 + m] for m in range(4)} == {"not_pdf"}
     assert [verdict[4 * i + 3] for i in range(8)] == ["ok", "not_pdf", "image_only", "encrypted", "image_only", "ok", "encrypted", "ok"]
+
+
+def test_gates_take_long_texts_in_linear_time(spark, tmp_path):
+    import time
+
+    from shelfmark.plans.registry import QUERIES
+
+    texts = ["word " * 60_000, "9. " * 3 + "word " * 60_000 + ".5", None, " \n", "Sales rose 12 %. More in 2020\nno figure. x9"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.time()
+    got = dict(tuple(r) for r in QUERIES["t20_summary_gate"](spark, str(tmp_path)).collect())
+    assert got == {0: "no_insights", 1: "short_insights", 2: "empty", 3: "too_short", 4: None}
+    chosen = {r.file_id: r.method for r in QUERIES["t25_extraction_choice"](spark, str(tmp_path)).collect()}
+    assert chosen == {0: "plain", 1: "plain", 3: "plain", 4: "plain"} and time.time() - start < 60
+
+
+def test_gate_computes_its_text_and_words_once(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(X.quality_gate(F.concat("t", F.lit("a")))["bad"].alias("bad"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(") == 1 and plan.count("regexp_extract_all(") == 1
