@@ -185,3 +185,12 @@ def test_a_common_run_of_characters_is_not_the_key(spark):
     ask = spark.createDataFrame([(1, 1, "report_1007")], "query_id long, user_id long, part string")
     met = Q.names_like(ask, files)
     assert [r.file_id for r in met.collect()] == [7]
+
+
+def test_postings_are_counted_in_the_row(spark):
+    from shelfmark.operators.index import build_postings
+
+    docs = spark.createDataFrame([(1, "b a B é"), (2, ""), (3, None)], "file_id long, t string")
+    made = build_postings(docs, ["file_id"], "t")
+    assert sorted(map(tuple, made.select("file_id", "dl", "term", "tf").collect()), key=repr) == sorted([(1, 4, "a", 1), (1, 4, "b", 2), (1, 4, "é", 1), (1, 4, None, 1), (2, 0, None, 1), (3, 0, None, 1)], key=repr)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
