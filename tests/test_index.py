@@ -194,3 +194,15 @@ def test_postings_are_counted_in_the_row(spark):
     made = build_postings(docs, ["file_id"], "t")
     assert sorted(map(tuple, made.select("file_id", "dl", "term", "tf").collect()), key=repr) == sorted([(1, 4, "a", 1), (1, 4, "b", 2), (1, 4, "é", 1), (1, 4, None, 1), (2, 0, None, 1), (3, 0, None, 1)], key=repr)
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_is_the_same_when_terms_are_sent_and_when_they_are_joined(spark, tmp_path, monkeypatch):
+    from shelfmark.operators import index as I
+
+    docs = spark.createDataFrame([("c", 1, i, "a b " * (i % 3) + "d") for i in range(9)], "collection string, user_id long, file_id long, t string")
+    made = I.Index(spark, f"{tmp_path}/index", ["file_id"]).add(docs, "t")
+    asked = spark.createDataFrame([(7, 1, "a d x"), (8, 2, "a")], "query_id long, user_id long, bm25_query string")
+    monkeypatch.setattr(I.stored, "shared_folder", lambda spark, name, n=iter(range(9)): f"{tmp_path}/shared-{next(n)}")
+    sent = sorted(map(tuple, I.bm25(asked, made).collect()))
+    monkeypatch.setattr(I, "FEW_TERMS", 0)
+    assert sent == sorted(map(tuple, I.bm25(asked, made).collect())) and {r[0] for r in sent} == {7}
