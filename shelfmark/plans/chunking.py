@@ -93,19 +93,19 @@ def c8(spark, sf):
     return C.chunk_semantic(sentence_vectors(spark, sf))
 
 
-def chunk_vectors(spark, sf):
-    """Vectors for the chunks of all documents, one for every 200 characters of a text; every thirteenth is missing."""
-    e = S.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+def chunk_vectors(spark, sf, *columns):
+    """The stored vectors' ``columns`` for the chunks of all documents, one vector for every 200 characters of a text; every thirteenth is missing."""
+    e = S.read_table(spark, sf, "embeddings")
     d = S.read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 200).cast("int"))).alias("chunk_index"))
     at = F.col("file_id") * 31 + F.col("chunk_index")
-    return d.where(at % 13 != 0).withColumn("vec_id", at % e.count()).join(e, "vec_id").drop("vec_id")
+    return d.where(at % 13 != 0).withColumn("vec_id", at % e.count()).join(e.select("vec_id", *columns), "vec_id")
 
 
 @query("c9_chunk_table")
 def c9(spark, sf):
     """The summaries of every third file are missing, so the catalogue names those."""
     texts = S.read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text")
-    v = chunk_vectors(spark, sf).select("file_id", "chunk_index", F.size("embedding").alias("dim"))
+    v = chunk_vectors(spark, sf, F.size("embedding").alias("dim")).drop("vec_id")
     known = S.read_summaries(spark, sf).where("file_id % 3 != 0").select("user_id", "file_id", "collection", F.concat(F.lit("row of "), "filename").alias("filename"))
     return C.build_chunks(S.read_files(spark, sf), texts, v, summaries=known).drop("heading_path")
 

@@ -85,24 +85,31 @@ def r6(spark, sf):
 
 
 def stored_chunks(spark, sf):
-    """C9's chunks of all public files, marked up so that some hold tables, with parents and vectors."""
+    """C9's chunks of all public files, marked up so that some hold tables, with parents and the numbers of their vectors."""
     texts = chunking.md_docs(spark, sf).withColumnRenamed("doc_id", "file_id")
     return C.build_chunks(S.read_files(spark, sf), texts, chunking.chunk_vectors(spark, sf))
 
 
+#: Files whose chunks pass are sent to every task up to this many; beyond it all texts are shuffled to meet them.
+FEW_FILES = 500_000
+
+
 @query("r6_chunk_contexts")
 def r6_chunks(spark, sf):
     """Retrieval on the chunk table to its end: J7, R3, R4, R6, U4; contexts are C6's chunks and parents."""
-    chunks = settled(stored_chunks(spark, sf).select("user_id", "file_id", "chunk_index", "chunk_text", "parent_text", "has_table", "embedding"))
+    chunks = settled(stored_chunks(spark, sf).select("user_id", "file_id", "chunk_index", "chunk_text", "parent_text", "has_table", "vec_id"))
     asked = search.file_questions(spark, sf)
-    hits = R.vector_scores(asked, chunks).join(asked.select("query_id", "file_id"), "query_id")
+    # Vectors join what is asked about, and texts only what passes the floor.
+    met = chunks.select("user_id", "file_id", "chunk_index", "vec_id").join(asked.select("user_id", "file_id").distinct(), ["user_id", "file_id"], "left_semi")
+    hits = R.vector_scores(asked, met.join(S.read_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")).join(asked.select("query_id", "file_id"), "query_id")
     hits = hits.join(chunks.select("file_id", "chunk_index", "has_table"), ["file_id", "chunk_index"])
     asks = F.when(F.col("query_id") % 2 == 0, "How many rows in total?").otherwise("Who wrote this?")
     boosted = R.table_boost(hits.withColumn("question", asks))
     given = boosted.where("(chunk_index + query_id) % 13 != 0").select("query_id", "chunk_index", ((F.col("chunk_index") * 7 + F.col("query_id") * 3) % 11).alias("score"))
-    best = R.apply_rerank(boosted.select("query_id", "file_id", "chunk_index", "score"), given, keep=3).where("rerank >= 4")
-    # Texts join only what passes the floor.
-    passing = best.join(chunks.select("file_id", "chunk_index", "chunk_text", "parent_text", "has_table"), ["file_id", "chunk_index"])
+    best = settled(R.apply_rerank(boosted.select("query_id", "file_id", "chunk_index", "score"), given, keep=3).where("rerank >= 4"))
+    files = best.select("file_id").distinct()
+    shown = chunks.join(F.broadcast(files) if files.count() <= FEW_FILES else files, "file_id", "left_semi")
+    passing = best.join(shown.select("file_id", "chunk_index", "chunk_text", "parent_text", "has_table"), ["file_id", "chunk_index"])
     return R.context_text(R.context_blocks(passing))
 
 
