@@ -40,6 +40,10 @@ def test_chunk_contexts_of_many_files(spark, sf, monkeypatch):
     assert Counter(map(tuple, QUERIES["r6_chunk_contexts"](spark, sf).collect())) == few and few
 
 
+def test_chunks_of_the_table_are_not_shuffled(spark, sf, shuffled_joins):
+    assert not [x for x in after_python(QUERIES["c9_chunk_table"](spark, sf)) if "Exchange" in x]
+
+
 def test_chunk_table_with_repeated_and_missing_vectors(spark):
     """A row for each vector of a chunk; none for vectors without chunk, files without vectors or private files."""
     files = spark.createDataFrame([(i, 1, "Documents", f"f{i}", i == 3) for i in range(5)], "file_id long, user_id long, collection string, filename string, is_private boolean")
