@@ -116,7 +116,7 @@ def status_stream(events: DataFrame, delay: str = "40 days", ttl: timedelta = ti
         *last, seen = state.get if state.exists else (None, None, None, None, [])
         known = set(seen)
         for part in parts:
-            for us, event, status, error in part[["us", "event_id", "status", "error"]].itertuples(index=False):
+            for us, event, status, error in zip(*(part[c].tolist() for c in ("us", "event_id", "status", "error")), strict=True):
                 if event not in known:
                     known.add(event)
                     if last[0] is None or (us, event) > (last[0], last[1]):

@@ -3,9 +3,10 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.operators import chunking as C
-from shelfmark.plans import retrieval
+from shelfmark.plans import retrieval, streams
 from shelfmark.plans.registry import QUERIES
 
 
@@ -55,3 +56,17 @@ def test_chunk_table_with_repeated_and_missing_vectors(spark):
     assert Counter((r.file_id, r.chunk_index, r.vector) for r in got) == Counter([(0, 0, "a"), (0, 0, "b"), (0, 2, "c"), (1, 1, None)])
     for r in got:
         assert all(r[c] == want[r.file_id, r.chunk_index][c] for c in ("parent_index", "chunk_text", "parent_text", "has_table", "heading_path", "tokens"))
+
+
+def test_batches_of_a_stream_come_whole_and_in_order(spark, monkeypatch, tmp_path):
+    """A batch is a part, of many rows, none or one, in files of a bounded number of rows that no single task writes."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    monkeypatch.setattr(streams, "shared_folder", lambda spark, name: f"{tmp_path}/{name}")
+    df = spark.range(2000).select("id", F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") % 2 == 0, F.lit(1.5)).alias("x"))
+    parts = [F.col("id") < 1500, F.lit(False), F.col("id") == 7, (F.col("id") >= 1500) | (F.col("id") == 8)]
+    stream = streams.arriving(spark, df, parts)
+    assert stream.columns == df.columns
+    got = {}
+    streams.run_batches(stream, lambda batch, number: got.update({number: Counter(map(tuple, batch.collect()))}), "append")
+    assert [got[i] for i in range(4)] == [Counter(map(tuple, df.where(p).collect())) for p in parts] and len(got) == 4
+    assert [len(list(tmp_path.glob(f"arriving/{i:04d}/*.parquet"))) for i in range(4)] == [15] * 4
