@@ -342,6 +342,23 @@ def test_topk_matches_brute_force(spark, monkeypatch):
     assert topk_search.top_k(df.limit(0), df).count() == 0 and topk_search.top_k(df.where("vec_id = 900"), df).count() == 0
 
 
+@pytest.mark.parametrize("send", [1 << 26, 0])
+def test_topk_sends_queries_and_not_their_copies(spark, monkeypatch, send):
+    """Packs go to every task once, not a copy for each block; too many of them are joined by a shuffle, and a task then holds one at a time."""
+    monkeypatch.setattr(topk_search, "BLOCK", 64)
+    monkeypatch.setattr(topk_search, "PACK", 4)
+    monkeypatch.setattr(topk_search, "SEND", send)
+    rng = np.random.default_rng(6)
+    v = {i: np.floor(256 * x / np.linalg.norm(x)) for i, x in enumerate(rng.normal(0, 1, (700, 8)))}
+    df = spark.createDataFrame([(i, (x / 256).tolist()) for i, x in v.items()], "vec_id long, embedding array<double>")
+    found = topk_search.top_k(df.where("vec_id % 50 = 0"), df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastNestedLoopJoin" in plan) == bool(send)
+    want = {(q, r + 1, i, -s) for q in v if q % 50 == 0 for r, (s, i) in enumerate(sorted((-int(v[q] @ x), i) for i, x in v.items() if i != q)[:5])}
+    assert set(map(tuple, found.collect())) == want
+
+
+
 # 7: LM scoring
 
 

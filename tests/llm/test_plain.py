@@ -182,3 +182,30 @@ def test_partial_sums_lose_no_pair_and_prune():
         rows, _, pairs = topk_search.best_of(q, ids, c, np.arange(3000), low, basis[:, np.argsort(-values)], 5)
         assert sorted(rows) == sorted(want)
         assert pairs == sorted(pairs, reverse=True) and pairs[-1] < most * pairs[0]
+
+
+def test_bounds_of_all_pairs_are_one_product(monkeypatch):
+    """Stages that send nothing off are tried once a block, and a pack's best over many blocks are those of all vectors, at any length."""
+    rng = np.random.default_rng(8)
+    made = []
+    product = topk_search.Block.product
+    monkeypatch.setattr(topk_search.Block, "product", lambda self, q, c: (made.append(q.shape[1]), product(self, q, c))[1])
+    for scale in (1, 40, 1e4):
+        v = np.floor(rng.normal(0, 1, (4 * 4096, 32)) * 64) * scale
+        ids = rng.permutation(len(v)).astype(np.int64)
+        basis = np.eye(32)
+        pack = topk_search.Pack(v[:40], ids[:40], np.full(40, -np.inf), basis, 5)
+        made.clear()
+        for a in range(0, len(v), 4096):
+            order = a + np.argsort(-np.linalg.norm(v[a : a + 4096], axis=1))
+            pairs = pack.meet(topk_search.Block(v[order], ids[order], basis))
+            assert pairs == sorted(pairs, reverse=True) and pairs[-1] < pairs[0]
+        # A quarter of 32 coordinates and the rest; 8 chunks a block.
+        assert made.count(9) <= 8 and made.count(25) == 4 * 8
+        got = list(zip(*(x.tolist() for x in pack.rows()), strict=True))
+        want = []
+        for q, i in zip(v[:40], ids[:40].tolist(), strict=True):
+            s = v @ q
+            order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:5]
+            want += [(i, int(ids[j]), int(s[j])) for j in order]
+        assert sorted(got) == sorted(want)
