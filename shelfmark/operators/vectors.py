@@ -3,7 +3,8 @@
 Vectors of a tenant's collection are packed into blocks of bounded size, chosen by a hash of
 their keys, and queries of a tenant into packs.  A block meets each pack of its tenant once, and
 one matrix product gives all cosines of the two; what leaves is a short list for each query
-of the block, so cosines are never rows of a table.  Blocks carry a salt and packs are copied for
+of the block, so cosines are never rows of a table.  Packs of up to ``SENT_BYTES`` go to every task
+and blocks stay where they are.  For more, blocks carry a salt and packs are copied for
 every salt of their tenant, so a tenant that holds most vectors is spread over tasks.
 """
 
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -21,6 +23,8 @@ from shelfmark.operators.catalogue import top_k
 
 #: Vectors of a block, queries of a pack, and blocks of a salt.
 BLOCK, PACK, SALT = 1024, 256, 16
+#: Query vectors that are sent to every task.
+SENT_BYTES = 64 << 20
 #: Half a unit of the sixth decimal, and more: cosines this near may be equal when rounded and scaled.
 NEAR = 4e-6
 
@@ -38,9 +42,40 @@ def packs_of(vectors: DataFrame, keys: list[str], scope: list[str], extra: list[
     return v.groupBy(*scope, *extra, "_salt", "_salts", "_block").agg(F.collect_list(F.struct(*keys, "embedding")).alias("rows"))
 
 
+def packs_in_place(vectors: DataFrame, scope: list[str], extra: list[str]) -> DataFrame:
+    """Blocks of ``BLOCK`` vectors at most, without keys, made by each task of the rows that it has: nothing is shuffled."""
+    group = [*scope, *extra]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            t = pa.Table.from_batches([part]).combine_chunks()
+            g = t.select(group).append_column("_at", pa.array(np.arange(len(t)))).group_by(group, use_threads=False).aggregate([("_at", "list")]).combine_chunks()
+            lists = g["_at_list"].combine_chunks() if isinstance(g["_at_list"], pa.ChunkedArray) else g["_at_list"]
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            n = -(-np.diff(ends) // BLOCK)
+            of = np.repeat(np.arange(len(n)), n)
+            begins = ends[of] + BLOCK * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+            rows = pa.StructArray.from_arrays([pc.take(t["embedding"].combine_chunks(), lists.flatten())], names=["embedding"])
+            blocks = pa.ListArray.from_arrays(pa.array(np.append(begins, ends[-1:]), pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([*[g[c].combine_chunks().take(pa.array(of)) for c in group], blocks], names=[*group, "rows"])
+
+    v = vectors.where("embedding IS NOT NULL").select(*group, "embedding")
+    schema = v.select(*group).schema.add("rows", DataType.fromDDL(f"array<struct<embedding: {v.schema['embedding'].dataType.simpleString()}>>"))
+    made = v.mapInArrow(run, schema)
+    return made.withColumn("_salts", F.lit(SALT).cast("long")).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALT)).cast("long"))
+
+
+def few(queries: DataFrame) -> bool:
+    """Whether the vectors of ``queries`` go to every task; reads them once."""
+    r = queries.where("query_vector IS NOT NULL").agg(F.coalesce(F.sum(16 + 8 * F.size("query_vector")), F.lit(0)).alias("n")).first()
+    return r.n <= SENT_BYTES
+
+
 def _meet(queries: DataFrame, blocks: DataFrame, scope: list[str]) -> DataFrame:
     q = _numbered(queries.where("query_vector IS NOT NULL").select(*scope, "query_id", "query_vector"), scope, PACK, ["query_id"], "_pack")
     q = q.groupBy(*scope, "_pack").agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked"))
+    if few(queries):
+        return blocks.drop("_salts", "_salt", "_block").join(F.broadcast(q.drop("_pack")), scope)
     salts = blocks.select(*scope, "_salts").distinct()
     q = q.join(salts, scope).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts", "_pack")
     return blocks.drop("_salts", "_block").join(q, [*scope, "_salt"]).drop("_salt")
@@ -67,9 +102,9 @@ def block_lists(queries: DataFrame, blocks: DataFrame, keys: list[str], scope: l
     """For each query and block: scope, the block's other columns, query_id, low, high and the ``k`` best (keys, score), with what ties with the last."""
     met = _meet(queries, blocks, scope)
     plain = [c for c in met.columns if c not in ("rows", "asked")]
-    fields = ", ".join(f"{c}: {blocks.schema['rows'].dataType.elementType[c].dataType.simpleString()}" for c in keys)
+    fields = "".join(f"{c}: {blocks.schema['rows'].dataType.elementType[c].dataType.simpleString()}, " for c in keys)
     query_type = met.schema["asked"].dataType.elementType["query_id"].dataType
-    schema = met.select(*plain).schema.add("query_id", query_type).add("low", "double").add("high", "double").add("best", DataType.fromDDL(f"array<struct<{fields}, score: double>>"))
+    schema = met.select(*plain).schema.add("query_id", query_type).add("low", "double").add("high", "double").add("best", DataType.fromDDL(f"array<struct<{fields}score: double>>"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

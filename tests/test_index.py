@@ -206,3 +206,66 @@ def test_bm25_is_the_same_when_terms_are_sent_and_when_they_are_joined(spark, tm
     sent = sorted(map(tuple, I.bm25(asked, made).collect()))
     monkeypatch.setattr(I, "FEW_TERMS", 0)
     assert sent == sorted(map(tuple, I.bm25(asked, made).collect())) and {r[0] for r in sent} == {7}
+
+
+def test_a_first_delta_is_not_shuffled(spark, tmp_path):
+    """Each task writes its own documents' postings; later deltas, which are small, are gathered."""
+    docs = frame(spark, [("c", 1, i, "alpha beta gamma") for i in range(80)]).repartition(4)
+    index = Index(spark, f"{tmp_path}/i", ["file_id"], buckets=2).add(docs, "text")
+    files = lambda d: len(list(tmp_path.glob(f"i/postings/delta={d}/bucket=-1/*.parquet")))
+    assert files(0) == 4
+    index.add(docs.limit(40), "text")
+    assert files(1) == 1 and index.totals().first().n_docs == 80
+
+
+def test_ranges_of_blocks_made_in_place(spark, monkeypatch):
+    """Blocks that tasks make of their own rows, and packs that are sent or too many for it, give what all pairs give."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(V, "BLOCK", 16)
+    monkeypatch.setattr(V, "PACK", 4)
+    rows = [(0 if i < 150 else i % 4, "ab"[i % 2] if i % 3 else None, None if i % 31 == 0 else rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(200)]
+    ask = [(q, q % 5, None if q == 6 else rng.integers(-3, 4, 5).astype(float).tolist()) for q in range(12)]
+    v = spark.createDataFrame(rows, "user_id long, collection string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(ask, "query_id long, user_id long, query_vector array<float>")
+    want = defaultdict(list)
+    for i, user, x in ask:
+        for u, c, y in rows:
+            if x is not None and y is not None and u == user:
+                want[i, c].append(round(float(np.dot(x, y)) / (math.hypot(*x) * math.hypot(*y) + 1e-9), 6) + 0.0)
+    blocks = V.packs_in_place(v, ["user_id"], ["collection"])
+    assert "Exchange" not in V.packs_in_place(v.coalesce(1), ["user_id"], ["collection"])._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert max(len(r.rows) for r in blocks.collect()) == 16
+    for most in (64 << 20, 0):
+        monkeypatch.setattr(V, "SENT_BYTES", most)
+        got = {(r.query_id, r.collection): (r.low, r.high) for r in V.score_ranges(q, blocks, [], ["user_id"], ["collection"]).collect()}
+        assert got == {k: (min(s), max(s)) for k, s in want.items()}
+
+
+def test_nearest_of_more_queries_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 16)
+    monkeypatch.setattr(V, "SALT", 2)
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i % 2, i, rng.normal(0, 1, 4).tolist()) for i in range(200)], "user_id long, id long, embedding array<double>")
+    q = spark.createDataFrame([(i, i % 2, rng.normal(0, 1, 4).tolist()) for i in range(9)], "query_id long, user_id long, query_vector array<double>")
+    sent = sorted(map(tuple, V.nearest(q, v, ["id"], ["user_id"], 3).collect()))
+    monkeypatch.setattr(V, "SENT_BYTES", 0)
+    assert sent == sorted(map(tuple, V.nearest(q, v, ["id"], ["user_id"], 3).collect())) and len(sent) == 27
+
+
+def test_hybrid_with_vectors_held_apart(spark, monkeypatch):
+    """Vectors that chunks share give the same as vectors in the chunks' rows, whatever is sent; some chunks and numbers have none."""
+    rng = random.Random(9)
+    held = [(i, [rng.random() - 0.5 for _ in range(4)] if i % 5 else None) for i in range(12)]
+    at = [("c%d" % (i % 2), i % 2, i, 0, i % 14) for i in range(60) if i % 7]
+    words = [(q, "c%d" % (i % 2), i % 2, i, 0, round(rng.random() * 5, 6)) for q in range(6) for i in range(60) if i % 2 == q % 2 and rng.random() < 0.4]
+    asks = [(q, q % 2, [rng.random() - 0.5 for _ in range(4)] if q != 3 else None) for q in range(6)]
+    e = spark.createDataFrame(held, "vec_id long, embedding array<double>")
+    c = spark.createDataFrame(at, "collection string, user_id long, file_id long, chunk_index long, vec_id long")
+    w = spark.createDataFrame(words, "query_id long, collection string, user_id long, file_id long, chunk_index long, score double")
+    a = spark.createDataFrame(asks, "query_id long, user_id long, query_vector array<double>")
+    keys = ["file_id", "chunk_index"]
+    want = sorted(map(tuple, Q.hybrid(a, w, keys, c.join(e, "vec_id").drop("vec_id")).collect()))
+    assert want and want == sorted(map(tuple, Q.hybrid(a, w, keys, c, held=e).collect()))
+    monkeypatch.setattr(V, "SENT_BYTES", 0)
+    monkeypatch.setattr(Q, "FEW", 0)
+    assert want == sorted(map(tuple, Q.hybrid(a, w, keys, c, held=e).collect()))

@@ -98,3 +98,12 @@ def test_batches_of_a_stream_come_whole_and_in_order(spark, monkeypatch, tmp_pat
     streams.run_batches(stream, lambda batch, number: got.update({number: Counter(map(tuple, batch.collect()))}), "append")
     assert [got[i] for i in range(4)] == [Counter(map(tuple, df.where(p).collect())) for p in parts] and len(got) == 4
     assert [len(list(tmp_path.glob(f"arriving/{i:04d}/*.parquet"))) for i in range(4)] == [15] * 4
+
+
+@pytest.mark.parametrize("name", ["q6_signal_hybrid", "q7_consolidation"])
+def test_chunk_vectors_are_not_shuffled(spark, sf, shuffled_joins, name):
+    df = QUERIES[name](spark, sf)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(mode)
+    moved = [set(re.findall(r"(\w+)#", x)) for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert moved and not [x for x in moved if x & {"embedding", "rows"}]
